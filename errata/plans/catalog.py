@@ -5,11 +5,162 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from errata.operators import features as ft
+from errata.operators import scores as sc
 from errata.plans import wordscores as ws
 from errata.plans.registry import query
+from errata.sources import fixtures as fx
 
 
 @query("word_scores_e2e")
 def q_word_scores_e2e(spark, sf_dir):
     return ws.word_scores_e2e(spark, sf_dir).select(
         "token", "pos", "n_seen", "n_true", "score")
+
+
+def _features(spark, sf_dir):
+    seqs = ws.labelled_sequences(spark, sf_dir)
+    return _featurise_with_lemma(spark, sf_dir, seqs)
+
+
+def _featurise_with_lemma(spark, sf_dir, seqs):
+    """Feature rows plus the lemma and stripped token (for the narrow keys)."""
+    from errata.operators.lookup import bounded_broadcast, two_step_lookup
+    from errata.operators.tagging import tag_tokens
+    rows = ft.token_rows(seqs)
+    rows = tag_tokens(rows, "token", fx.fx_lexicon(spark, sf_dir))
+    rows = rows.select("*", *ft.token_scalar_features(F.col("token")))
+    z = bounded_broadcast(ft.zipf_table(rows).select(F.col("word").alias("_zw"),
+                                                     F.col("zipf").alias("_zipf")))
+    rows = rows.join(z, F.lower(F.col("stripped")) == F.col("_zw"), "left")
+    rows = rows.withColumn("frequency", F.coalesce(F.col("_zipf"), F.lit(0.0)))
+    psy = ft.psy_lexicon(fx.fx_psy(spark, sf_dir))
+    cj = ft.cefr_lexicon(fx.fx_cefr_vocab(spark, sf_dir))
+    rows = two_step_lookup(rows, psy, [F.col("token"), F.col("pos")],
+                           [F.col("lemma"), F.col("pos")], ["word", "pos"], ["freq_pm", "aoa"], "_psy")
+    rows = two_step_lookup(rows, cj, [F.col("token"), F.col("pos")],
+                           [F.col("lemma"), F.col("pos")], ["word", "pos"], ["cefr_j"], "_cj")
+    return rows.select(
+        "character_length", "frequency", "first_upper", "all_upper", "sequence_length",
+        F.col("seq_id").alias("sequence_id"), "token", "pos", "cefr",
+        F.col("_cj_cefr_j").cast("double").alias("cefr_j"),
+        F.col("_psy_freq_pm").alias("freq_pm"), F.col("_psy_aoa").alias("aoa"),
+        *ft.pos_flags(F.col("pos")), "label",
+        F.col("row_i").cast("bigint").alias("row_i"), F.col("feature_i").cast("int").alias("feature_i"),
+        "lemma", "stripped")
+
+
+@query("features")
+def q_features(spark, sf_dir):
+    seqs = ws.labelled_sequences(spark, sf_dir)
+    lex = fx.fx_lexicon(spark, sf_dir)
+    psy = ft.psy_lexicon(fx.fx_psy(spark, sf_dir))
+    cj = ft.cefr_lexicon(fx.fx_cefr_vocab(spark, sf_dir))
+    return ft.sort_features(ft.featurise(seqs, lex, psy, cj))
+
+
+@query("feat_token")
+def q_feat_token(spark, sf_dir):
+    return _features(spark, sf_dir).select("sequence_id", "feature_i", "token", "character_length",
+                                           "stripped", "first_upper", "all_upper")
+
+
+@query("feat_pos")
+def q_feat_pos(spark, sf_dir):
+    return _features(spark, sf_dir).select("sequence_id", "feature_i", "pos", "is_noun", "is_verb",
+                                           "is_adjective", "is_adverb")
+
+
+@query("feat_psy")
+def q_feat_psy(spark, sf_dir):
+    return _features(spark, sf_dir).select("sequence_id", "feature_i", "token", "lemma", "pos",
+                                           "freq_pm", "aoa")
+
+
+@query("feat_cefr")
+def q_feat_cefr(spark, sf_dir):
+    return _features(spark, sf_dir).select("sequence_id", "feature_i", "token", "lemma", "pos", "cefr_j")
+
+
+@query("feat_zipf")
+def q_feat_zipf(spark, sf_dir):
+    return _features(spark, sf_dir).select("sequence_id", "feature_i", "token", "frequency")
+
+
+@query("feat_seq_len")
+def q_feat_seq_len(spark, sf_dir):
+    return ft.token_rows(ws.labelled_sequences(spark, sf_dir)).select(
+        F.col("seq_id").alias("sequence_id"), "sequence_length").distinct()
+
+
+@query("token_rows")
+def q_token_rows(spark, sf_dir):
+    return ft.token_rows(ws.labelled_sequences(spark, sf_dir)).select(
+        F.col("seq_id").alias("sequence_id"), F.col("feature_i").cast("int").alias("feature_i"),
+        "token", "label")
+
+
+@query("tag_tokens")
+def q_tag_tokens(spark, sf_dir):
+    from errata.operators.tagging import tag_tokens
+    rows = ft.token_rows(ws.labelled_sequences(spark, sf_dir))
+    return tag_tokens(rows, "token", fx.fx_lexicon(spark, sf_dir)).select(
+        F.col("seq_id").alias("sequence_id"), F.col("feature_i").cast("int").alias("feature_i"),
+        "token", "pos", "lemma")
+
+
+@query("zipf_table")
+def q_zipf_table(spark, sf_dir):
+    return ft.zipf_table(ft.token_rows(ws.labelled_sequences(spark, sf_dir)))
+
+
+@query("lex_psy")
+def q_lex_psy(spark, sf_dir):
+    return ft.psy_lexicon(fx.fx_psy(spark, sf_dir))
+
+
+@query("lex_cefr")
+def q_lex_cefr(spark, sf_dir):
+    return ft.cefr_lexicon(fx.fx_cefr_vocab(spark, sf_dir))
+
+
+@query("lex_dedupe")
+def q_lex_dedupe(spark, sf_dir):
+    cj = ft.cefr_lexicon(fx.fx_cefr_vocab(spark, sf_dir))
+    keyed = cj.select(F.lower("word").alias("key"), "pos", "cefr_j", F.col("word").alias("source_word"))
+    out = ft.last_per_key(keyed, ["key", "pos"], "source_word")
+    return out.select(F.col("key").alias("word"), "pos", "cefr_j", "source_word")
+
+
+@query("word_counts")
+def q_word_counts(spark, sf_dir):
+    return sc.word_counts(_features(spark, sf_dir))
+
+
+@query("word_scores")
+def q_word_scores(spark, sf_dir):
+    return sc.word_scores(_features(spark, sf_dir))
+
+
+@query("word_scores_ordered")
+def q_word_scores_ordered(spark, sf_dir):
+    s = sc.word_scores_ordered(_features(spark, sf_dir), ["row_i", "feature_i"])
+    return s.select("token", "pos", "n_seen", "n_true", "score",
+                    F.col("first_seen.row_i").alias("first_row_i"),
+                    F.col("first_seen.feature_i").alias("first_feature_i"))
+
+
+@query("seq_rows")
+def q_seq_rows(spark, sf_dir):
+    return ws.labelled_sequences(spark, sf_dir)
+
+
+@query("mask_labels")
+def q_mask_labels(spark, sf_dir):
+    return ws.masked_word_labels(spark, sf_dir).select(
+        "essay_id", F.col("i").cast("bigint").alias("i"), F.col("w").alias("token"), "pos", "label")
+
+
+@query("cefr_level")
+def q_cefr_level(spark, sf_dir):
+    return fx.fx_essays(spark, sf_dir).select("essay_id", F.left(F.col("cefr"), F.lit(2)).alias("cefr"))

@@ -2,8 +2,17 @@
 
 from __future__ import annotations
 
+from errata.constants import ASCII_PUNCT, PY_WS
 from errata.plans.oracle_fixtures import FIXTURE_CTES
 
+
+def lit(x: str) -> str:
+    return "'" + x.replace("'", "''") + "'"
+
+
+STRIP = lit("^" + PY_WS + "+|" + PY_WS + r"+\z")
+PUNCT = lit(ASCII_PUNCT)
+
 CONTENT = "('VERB', 'NOUN', 'ADJ', 'ADV')"
 SELECTED = "('R:VERB', 'R:NOUN', 'R:ADJ', 'R:ADV')"
 
@@ -29,6 +38,53 @@ SELECT 'fx_' || CAST(m.essay_id AS VARCHAR) AS seq_id,
        string_agg(label, '|||' ORDER BY i) AS label_seq,
        left(max(e.cefr), 2) AS cefr, CAST(m.essay_id AS BIGINT) AS row_i
 FROM o_masked m JOIN fx_essays e ON e.essay_id = m.essay_id GROUP BY m.essay_id""",
+    "o_trows": """
+SELECT row_i, seq_id, cefr, sequence_length, CAST(feature_i AS INTEGER) AS feature_i,
+       tk[feature_i + 1] AS token, lb[feature_i + 1] AS label
+FROM (SELECT row_i, seq_id, cefr, tk, lb, CAST(len(tk) AS INTEGER) AS sequence_length,
+             unnest(generate_series(0, least(len(tk), len(lb)) - 1)) AS feature_i
+      FROM (SELECT *, string_split(token_seq, '|||') AS tk, string_split(label_seq, '|||') AS lb
+            FROM o_seqs))""",
+    "o_ttag": """
+SELECT r.*, CASE WHEN a.word IS NOT NULL THEN a.pos WHEN b.word IS NOT NULL THEN b.pos ELSE 'X' END AS pos,
+       CASE WHEN a.word IS NOT NULL THEN a.lemma WHEN b.word IS NOT NULL THEN b.lemma ELSE r.token END AS lemma
+FROM o_trows r LEFT JOIN fx_lexicon a ON a.word = r.token LEFT JOIN fx_lexicon b ON b.word = lower(r.token)""",
+    "o_tscal": f"""
+SELECT *, CAST(length(token) AS INTEGER) AS character_length,
+       trim(regexp_replace(token, {STRIP}, '', 'g'), {PUNCT}) AS stripped
+FROM o_ttag""",
+    "o_zipf": """
+SELECT word, n, greatest(round(log10(n / sum(n) OVER ()) + 9, 2), 0.0) AS zipf
+FROM (SELECT lower(stripped) AS word, count(*) AS n FROM o_tscal WHERE length(stripped) > 0 GROUP BY 1)""",
+    "o_lex_psy": """
+SELECT "Word" AS word, CASE "Dom_PoS_SUBTLEX" WHEN 'Noun' THEN 'NOUN' WHEN 'Verb' THEN 'VERB'
+              WHEN 'Adjective' THEN 'ADJ' WHEN 'Adverb' THEN 'ADV' END AS pos,
+       TRY_CAST("Freq_pm" AS DOUBLE) AS freq_pm, TRY_CAST("AoA_Kup_lem" AS DOUBLE) AS aoa
+FROM fx_psy WHERE "Dom_PoS_SUBTLEX" IN ('Noun', 'Verb', 'Adjective', 'Adverb')""",
+    "o_lex_cefr": """
+SELECT word, CASE pos WHEN 'noun' THEN 'NOUN' WHEN 'adjective' THEN 'ADJ' WHEN 'adverb' THEN 'ADV'
+                      ELSE 'VERB' END AS pos,
+       CAST(CASE cefr_j WHEN 'A1' THEN 0 WHEN 'A2' THEN 1 WHEN 'B1' THEN 2 WHEN 'B2' THEN 3
+                        WHEN 'C1' THEN 4 WHEN 'C2' THEN 5 END AS INTEGER) AS cefr_j
+FROM fx_cefr_vocab
+WHERE pos IN ('noun', 'verb', 'adjective', 'adverb', 'be-verb', 'do-verb', 'have-verb')""",
+    "o_feat": f"""
+SELECT t.character_length, coalesce(z.zipf, 0.0) AS frequency,
+       length(t.stripped) > 0 AND regexp_matches(t.stripped, '^\\p{{Lu}}') AS first_upper,
+       length(t.stripped) > 0 AND regexp_matches(t.stripped, '\\p{{Lu}}')
+           AND NOT regexp_matches(t.stripped, '[\\p{{Ll}}\\p{{Lt}}]') AS all_upper,
+       t.sequence_length, t.seq_id AS sequence_id, t.token, t.pos, t.cefr,
+       CAST(CASE WHEN c1.word IS NOT NULL THEN c1.cefr_j ELSE c2.cefr_j END AS DOUBLE) AS cefr_j,
+       CASE WHEN p1.word IS NOT NULL THEN p1.freq_pm ELSE p2.freq_pm END AS freq_pm,
+       CASE WHEN p1.word IS NOT NULL THEN p1.aoa ELSE p2.aoa END AS aoa,
+       t.pos = 'NOUN' AS is_noun, t.pos = 'VERB' AS is_verb, t.pos = 'ADJ' AS is_adjective,
+       t.pos = 'ADV' AS is_adverb, t.label, t.row_i, t.feature_i, t.lemma, t.stripped
+FROM o_tscal t
+LEFT JOIN o_zipf z ON z.word = lower(t.stripped)
+LEFT JOIN o_lex_psy p1 ON p1.word = t.token AND p1.pos = t.pos
+LEFT JOIN o_lex_psy p2 ON p2.word = t.lemma AND p2.pos = t.pos
+LEFT JOIN o_lex_cefr c1 ON c1.word = t.token AND c1.pos = t.pos
+LEFT JOIN o_lex_cefr c2 ON c2.word = t.lemma AND c2.pos = t.pos""",
 }
 
 
@@ -58,3 +114,42 @@ SELECT w AS token, pos, count(*) AS n_seen, count(*) FILTER (WHERE label = 'true
        count(*) FILTER (WHERE label = 'true') / count(*) AS score
 FROM o_masked WHERE label IN ('true', 'false') GROUP BY w, pos
 HAVING count(*) FILTER (WHERE label = 'true') > 0""")
+
+FEATURES_19 = ("character_length, frequency, first_upper, all_upper, sequence_length, sequence_id, "
+               "token, pos, cefr, cefr_j, freq_pm, aoa, is_noun, is_verb, is_adjective, is_adverb, "
+               "label, row_i, feature_i")
+register("features", f"SELECT {FEATURES_19} FROM o_feat")
+register("feat_token", """SELECT sequence_id, feature_i, token, character_length, stripped,
+       first_upper, all_upper FROM o_feat""")
+register("feat_pos", """SELECT sequence_id, feature_i, pos, is_noun, is_verb, is_adjective, is_adverb
+FROM o_feat""")
+register("feat_psy", "SELECT sequence_id, feature_i, token, lemma, pos, freq_pm, aoa FROM o_feat")
+register("feat_cefr", "SELECT sequence_id, feature_i, token, lemma, pos, cefr_j FROM o_feat")
+register("feat_zipf", "SELECT sequence_id, feature_i, token, frequency FROM o_feat")
+register("feat_seq_len", "SELECT DISTINCT sequence_id, sequence_length FROM o_feat")
+register("token_rows", "SELECT seq_id AS sequence_id, feature_i, token, label FROM o_trows")
+register("tag_tokens", "SELECT seq_id AS sequence_id, feature_i, token, pos, lemma FROM o_ttag")
+register("zipf_table", "SELECT word, n, zipf FROM o_zipf")
+register("lex_psy", "SELECT word, pos, freq_pm, aoa FROM o_lex_psy")
+register("lex_cefr", "SELECT word, pos, cefr_j FROM o_lex_cefr")
+register("lex_dedupe", """
+SELECT lower(word) AS word, pos, max_by(cefr_j, word) AS cefr_j, max(word) AS source_word
+FROM o_lex_cefr GROUP BY lower(word), pos""")
+register("word_counts", """
+SELECT token, pos, count(*) AS n_seen, count(*) FILTER (WHERE label = 'true') AS n_true
+FROM o_feat WHERE label IN ('true', 'false') GROUP BY token, pos""")
+register("word_scores", """
+SELECT token, pos, count(*) AS n_seen, count(*) FILTER (WHERE label = 'true') AS n_true,
+       count(*) FILTER (WHERE label = 'true') / count(*) AS score
+FROM o_feat WHERE label IN ('true', 'false') GROUP BY token, pos
+HAVING count(*) FILTER (WHERE label = 'true') > 0""")
+register("word_scores_ordered", """
+SELECT token, pos, count(*) AS n_seen, count(*) FILTER (WHERE label = 'true') AS n_true,
+       count(*) FILTER (WHERE label = 'true') / count(*) AS score,
+       min(row_i) AS first_row_i,
+       CAST(arg_min(feature_i, row_i * 1000000 + feature_i) AS INTEGER) AS first_feature_i
+FROM o_feat WHERE label IN ('true', 'false') GROUP BY token, pos
+HAVING count(*) FILTER (WHERE label = 'true') > 0""")
+register("seq_rows", "SELECT seq_id, token_seq, label_seq, cefr, row_i FROM o_seqs")
+register("mask_labels", "SELECT essay_id, CAST(i AS BIGINT) AS i, w AS token, pos, label FROM o_masked")
+register("cefr_level", "SELECT essay_id, left(cefr, 2) AS cefr FROM fx_essays")
