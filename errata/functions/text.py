@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from errata.constants import (ASCII_PUNCT, PUNCT_FROM, PUNCT_TO, PY_WS,
                               PY_WS_BODY, WORD_CHAR)
+from errata.functions.letbind import let, sql_str
 
 # A word is letters/marks/digits joined by single hyphens or apostrophes; any
 # other non-blank code point is a token of its own.
@@ -48,23 +49,11 @@ def tokens(c: Column) -> Column:
     return F.regexp_extract_all(c, F.lit(TOKEN_RE), 0)
 
 
-def char_classes(c: Column) -> Column:
-    """One ASCII class per code point: w word, j joiner (- or '), blank, o other."""
-    w = F.regexp_replace(c, WORD_CHAR, "w")
-    b = F.regexp_replace(w, PY_WS, " ")
-    j = F.regexp_replace(b, "[-']", "j")
-    o = F.regexp_replace(j, "[^wj ]", "o")
-    return F.split(o, "")
-
-
 # Token starts / ends from the class array ``cl`` in one linear pass: a code
 # point continues a token when it is a word char after a word char (or after
 # a joiner that itself follows a word char), or a joiner between word chars.
-_C = "coalesce(nullif(get({cl}, {i}), ''), ' ')"
-
-
 def _c(cl: str, i: str) -> str:
-    return _C.format(cl=cl, i=i)
+    return f"coalesce(nullif(get({cl}, {i}), ''), ' ')"
 
 
 def _cont(cl: str, i: str) -> str:
@@ -73,14 +62,23 @@ def _cont(cl: str, i: str) -> str:
             f"({_c(cl, i)} = 'j' AND {_c(cl, f'{i} - 1')} = 'w' AND {_c(cl, f'{i} + 1')} = 'w'))")
 
 
-def token_starts_sql(cl: str) -> str:
-    return (f"filter(sequence(0, greatest(size({cl}) - 1, 0)), "
-            f"i -> {_c(cl, 'i')} <> ' ' AND NOT {_cont(cl, 'i')})")
+def char_classes_sql(text: str) -> str:
+    w = f"regexp_replace({text}, {sql_str(WORD_CHAR)}, 'w')"
+    b = f"regexp_replace({w}, {sql_str(PY_WS)}, ' ')"
+    j = f"regexp_replace({b}, '[-\\']', 'j')"
+    o = f"regexp_replace({j}, '[^wj ]', 'o')"
+    return f"split({o}, '')"
 
 
-def token_ends_sql(cl: str) -> str:
-    return (f"transform(filter(sequence(0, greatest(size({cl}) - 1, 0)), "
+def token_bounds_sql(text: str) -> str:
+    """struct(starts, ends): token offsets of ``text``, linear in its length."""
+    cl = "tb.cl"
+    starts = (f"filter(sequence(0, greatest(size({cl}) - 1, 0)), "
+              f"i -> {_c(cl, 'i')} <> ' ' AND NOT {_cont(cl, 'i')})")
+    ends = (f"transform(filter(sequence(0, greatest(size({cl}) - 1, 0)), "
             f"i -> {_c(cl, 'i')} <> ' ' AND NOT {_cont(cl, 'i + 1')}), i -> i + 1)")
+    return let([("cl", char_classes_sql(text))],
+               f"named_struct('starts', {starts}, 'ends', {ends})", var="tb")
 
 
 def strip_ascii_punct(c: Column) -> Column:

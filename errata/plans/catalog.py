@@ -164,3 +164,130 @@ def q_mask_labels(spark, sf_dir):
 @query("cefr_level")
 def q_cefr_level(spark, sf_dir):
     return fx.fx_essays(spark, sf_dir).select("essay_id", F.left(F.col("cefr"), F.lit(2)).alias("cefr"))
+
+
+# ---------------------------------------------------------------- text layer
+from errata.functions.text import normalise_punct  # noqa: E402
+from errata.operators import edits as ed  # noqa: E402
+from errata.operators import paragraphs as pg  # noqa: E402
+
+
+def _norm(df):
+    return df.withColumn("text", normalise_punct(F.col("text")))
+
+
+def _dirty_paras(spark, sf_dir, normalise=True):
+    d = fx.fx_dirty(spark, sf_dir)
+    return pg.paragraph_rows(_norm(d) if normalise else d, ["essay_id"])
+
+
+@query("norm_punct")
+def q_norm_punct(spark, sf_dir):
+    return _norm(fx.fx_dirty(spark, sf_dir)).select("essay_id", "text")
+
+
+@query("paragraphs")
+def q_paragraphs(spark, sf_dir):
+    return _dirty_paras(spark, sf_dir)
+
+
+@query("line_offsets")
+def q_line_offsets(spark, sf_dir):
+    d = pg.with_line_offsets(_norm(fx.fx_dirty(spark, sf_dir)))
+    return d.select("essay_id", F.explode("lines").alias("l")).select("essay_id", "l.*")
+
+
+@query("max_para_len")
+def q_max_para_len(spark, sf_dir):
+    d = pg.with_paragraphs(fx.fx_dirty(spark, sf_dir))
+    return d.select("essay_id", pg.max_paragraph_length().alias("max_len"))
+
+
+@query("long_essays")
+def q_long_essays(spark, sf_dir):
+    from errata.constants import LONG_PARAGRAPH_LIMIT
+    d = q_max_para_len(spark, sf_dir)
+    return d.filter(F.col("max_len") > LONG_PARAGRAPH_LIMIT)
+
+
+def _dirty_clean(spark, sf_dir):
+    return pg.with_clean(_dirty_paras(spark, sf_dir))
+
+
+@query("clean_para")
+def q_clean_para(spark, sf_dir):
+    return (_dirty_clean(spark, sf_dir).filter(F.col("clean") != "")
+            .select("essay_id", "para_no", F.col("clean").alias("para"), "lead"))
+
+
+def _ws_offsets(df):
+    from errata.functions.letbind import let
+    offs = ("filter(sequence(0, size(v.wcl)), o -> o = 0 OR o = size(v.wcl) "
+            "OR get(v.wcl, o - 1) = ' ' OR get(v.wcl, o) = ' ')")
+    return df.withColumn("offs", F.expr(let([("wcl", "wcl")], offs)))
+
+
+@query("remap_offsets")
+def q_remap_offsets(spark, sf_dir):
+    d = _ws_offsets(_dirty_clean(spark, sf_dir))
+    d = d.withColumn("o", F.explode("offs"))
+    return d.select("essay_id", "para_no", "o", F.expr(pg.remap_sql("o")).alias("o_clean"))
+
+
+@query("trim_spans")
+def q_trim_spans(spark, sf_dir):
+    d = _ws_offsets(_dirty_clean(spark, sf_dir))
+    d = d.withColumn("k", F.explode(F.expr("sequence(0, size(offs) - 2)")))
+    d = d.filter(F.col("k") < F.size("offs") - 1)
+    d = d.withColumn("o_start", F.expr("offs[k]")).withColumn("o_end", F.expr("offs[k + 1]"))
+    d = d.withColumn("s", F.expr(pg.remap_sql("o_start"))).withColumn("e", F.expr(pg.remap_sql("o_end")))
+    d = d.withColumn("s", F.col("s").cast("int")).withColumn("e", F.col("e").cast("int"))
+    return d.select("essay_id", "para_no", "o_start", "o_end", "s", "e",
+                    F.expr(pg.trim_start_sql("s", "e")).alias("s_trim"),
+                    F.expr(pg.trim_end_sql("s", "e")).alias("e_trim"))
+
+
+@query("tokenise")
+def q_tokenise(spark, sf_dir):
+    d = pg.with_tokens(_dirty_clean(spark, sf_dir).filter(F.col("clean") != ""))
+    z = F.arrays_zip(F.col("toks").alias("tok"), F.col("starts").alias("cs"), F.col("ends").alias("ce"))
+    d = d.select("essay_id", "para_no", F.posexplode(z).alias("tok_i", "t"))
+    return d.select("essay_id", "para_no", "tok_i", "t.tok", "t.cs", "t.ce")
+
+
+def _essay_paras(spark, sf_dir):
+    return pg.paragraph_rows(_norm(fx.fx_essays(spark, sf_dir)), ["essay_id"])
+
+
+@query("para_rows")
+def q_para_rows(spark, sf_dir):
+    p = pg.with_clean(_essay_paras(spark, sf_dir)).filter(F.col("clean") != "")
+    coders = fx.fx_edits(spark, sf_dir).select("essay_id", "coder").distinct()
+    return p.join(coders, "essay_id").select("essay_id", "coder", "para_no")
+
+
+@query("edit_kind")
+def q_edit_kind(spark, sf_dir):
+    e = ed.edit_kinds(fx.fx_edits(spark, sf_dir))
+    return e.select("essay_id", "coder", F.col("edit_no").cast("bigint").alias("edit_no"),
+                    "kind", "cat", "cor")
+
+
+def _edits_in_paras(spark, sf_dir):
+    bounds = ed.paragraph_bounds(_norm(fx.fx_essays(spark, sf_dir)))
+    e = ed.edit_kinds(fx.fx_edits(spark, sf_dir))
+    return ed.assign_paragraphs(e, bounds)
+
+
+@query("edit_in_para")
+def q_edit_in_para(spark, sf_dir):
+    return _edits_in_paras(spark, sf_dir).select(
+        "essay_id", "coder", F.col("edit_no").cast("bigint").alias("edit_no"), "para_no",
+        F.col("s").cast("bigint").alias("s"), F.col("e").cast("bigint").alias("e"))
+
+
+@query("drop_covered_detections")
+def q_drop_covered_detections(spark, sf_dir):
+    e = ed.drop_covered_detections(_edits_in_paras(spark, sf_dir), ["essay_id", "coder", "para_no"])
+    return e.select("essay_id", "coder", "para_no",
+                    F.col("edit_no").cast("bigint").alias("edit_no"), "kind")

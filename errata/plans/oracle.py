@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from errata.constants import ASCII_PUNCT, PY_WS
+from errata.constants import ASCII_PUNCT, PUNCT_FROM, PUNCT_TO, PY_WS
+from errata.functions.text import TOKEN_RE
 from errata.plans.oracle_fixtures import FIXTURE_CTES
 
 
@@ -11,13 +12,49 @@ def lit(x: str) -> str:
 
 
 STRIP = lit("^" + PY_WS + "+|" + PY_WS + r"+\z")
+WS = lit(PY_WS)
 PUNCT = lit(ASCII_PUNCT)
 
 CONTENT = "('VERB', 'NOUN', 'ADJ', 'ADV')"
 SELECTED = "('R:VERB', 'R:NOUN', 'R:ADJ', 'R:ADV')"
 
+def paragraph_ctes(src: str, p: str) -> dict[str, str]:
+    """Paragraphs of ``src`` (essay_id, text) by the line rule, as windows."""
+    return {
+        f"{p}_lines": f"""
+SELECT essay_id, text, CAST(k AS INTEGER) AS line_no, line,
+       CAST(sum(length(line) + 1) OVER (PARTITION BY essay_id ORDER BY k) - length(line) - 1 AS INTEGER) AS l_start
+FROM (SELECT essay_id, text, unnest(generate_series(0, len(a) - 1)) AS k, unnest(a) AS line
+      FROM (SELECT essay_id, text, string_split(text, chr(10)) AS a FROM {src}))""",
+        f"{p}_lkind": f"""
+SELECT *, CASE WHEN slen > 25 THEN 2 WHEN slen > 0 THEN 1 ELSE 0 END AS kind
+FROM (SELECT *, length(regexp_replace(line, {STRIP}, '', 'g')) AS slen FROM {p}_lines)""",
+        f"{p}_lnl": f"""
+SELECT *, sum(CASE WHEN kind = 2 THEN 1 ELSE 0 END) OVER (PARTITION BY essay_id ORDER BY line_no) AS nl
+FROM {p}_lkind""",
+        f"{p}_lpara": f"""
+SELECT *, CASE WHEN kshort <= 5 THEN greatest(nl, 1) ELSE nl + 1 END - 1 AS para_no
+FROM (SELECT *, count(*) FILTER (WHERE kind = 1 AND nl = 0) OVER (PARTITION BY essay_id) AS kshort
+      FROM {p}_lnl)""",
+        f"{p}_paras": f"""
+SELECT essay_id, para_no, p_start, p_end, substring(text, p_start + 1, p_end - p_start) AS para
+FROM (SELECT essay_id, CAST(para_no AS INTEGER) AS para_no, CAST(min(l_start) AS INTEGER) AS p_start,
+             CAST(least(max(l_start + length(line) + 1), max(length(text))) AS INTEGER) AS p_end,
+             max(text) AS text
+      FROM {p}_lpara GROUP BY essay_id, para_no HAVING max(kind) > 0)""",
+        f"{p}_clean": f"""
+SELECT *, regexp_replace(regexp_replace(para_ws, ' +', ' ', 'g'), '^ ', '') AS clean,
+       left(para_ws, 1) = ' ' AS lead
+FROM (SELECT *, regexp_replace(para, {WS}, ' ', 'g') AS para_ws FROM {p}_paras)""",
+    }
+
+
 # Shared derived CTEs, in dependency order (each may use earlier ones).
 DERIVED_CTES = {
+    "o_dirty_norm": f"""
+SELECT essay_id, cefr, translate(text, {lit(PUNCT_FROM)}, {lit(PUNCT_TO)}) AS text FROM fx_dirty""",
+    "o_essays_norm": f"""
+SELECT essay_id, cefr, translate(text, {lit(PUNCT_FROM)}, {lit(PUNCT_TO)}) AS text FROM fx_essays""",
     "o_words": """
 SELECT essay_id, i, w, cs, cs + length(w) AS ce FROM fx_toks WHERE length(w) > 0""",
     "o_word_labels": f"""
@@ -38,6 +75,27 @@ SELECT 'fx_' || CAST(m.essay_id AS VARCHAR) AS seq_id,
        string_agg(label, '|||' ORDER BY i) AS label_seq,
        left(max(e.cefr), 2) AS cefr, CAST(m.essay_id AS BIGINT) AS row_i
 FROM o_masked m JOIN fx_essays e ON e.essay_id = m.essay_id GROUP BY m.essay_id""",
+    **paragraph_ctes("o_dirty_norm", "o_np"),
+    **paragraph_ctes("fx_dirty", "o_rp"),
+    **paragraph_ctes("o_essays_norm", "o_ep"),
+    "o_np_offs": """
+SELECT essay_id, para_no, CAST(o AS INTEGER) AS o, para_ws, clean, lead
+FROM (SELECT *, unnest(generate_series(0, length(para_ws))) AS o FROM o_np_clean)
+WHERE o = 0 OR o = length(para_ws) OR substring(para_ws, o, 1) = ' ' OR substring(para_ws, o + 1, 1) = ' '""",
+    "o_np_remap": """
+SELECT *, CAST(CASE WHEN lead THEN greatest(r - 1, 0) ELSE r END AS INTEGER) AS o_clean
+FROM (SELECT *, length(regexp_replace(substring(para_ws, 1, o), ' +', ' ', 'g'))
+                - CASE WHEN o > 0 AND substring(para_ws, o, 1) = ' ' AND substring(para_ws, o + 1, 1) = ' '
+                       THEN 1 ELSE 0 END AS r
+      FROM o_np_offs)""",
+    "o_np_tokens": f"""
+SELECT essay_id, para_no, CAST(row_number() OVER (PARTITION BY essay_id, para_no ORDER BY k) - 1 AS INTEGER) AS tok_i,
+       piece AS tok, CAST(cs AS INTEGER) AS cs, CAST(cs + length(piece) AS INTEGER) AS ce
+FROM (SELECT *, sum(length(piece)) OVER (PARTITION BY essay_id, para_no ORDER BY k) - length(piece) AS cs
+      FROM (SELECT essay_id, para_no, unnest(generate_series(1, len(pc))) AS k, unnest(pc) AS piece
+            FROM (SELECT essay_id, para_no, regexp_extract_all(clean, {lit(TOKEN_RE + "| +")}) AS pc
+                  FROM o_np_clean WHERE clean <> '')))
+WHERE left(piece, 1) <> ' '""",
     "o_trows": """
 SELECT row_i, seq_id, cefr, sequence_length, CAST(feature_i AS INTEGER) AS feature_i,
        tk[feature_i + 1] AS token, lb[feature_i + 1] AS label
@@ -153,3 +211,45 @@ HAVING count(*) FILTER (WHERE label = 'true') > 0""")
 register("seq_rows", "SELECT seq_id, token_seq, label_seq, cefr, row_i FROM o_seqs")
 register("mask_labels", "SELECT essay_id, CAST(i AS BIGINT) AS i, w AS token, pos, label FROM o_masked")
 register("cefr_level", "SELECT essay_id, left(cefr, 2) AS cefr FROM fx_essays")
+
+register("norm_punct", f"SELECT essay_id, translate(text, {lit(PUNCT_FROM)}, {lit(PUNCT_TO)}) AS text FROM fx_dirty")
+register("paragraphs", "SELECT essay_id, para_no, p_start, p_end, para FROM o_np_paras")
+register("line_offsets", "SELECT essay_id, line_no, l_start, CAST(length(line) AS INTEGER) AS l_len FROM o_np_lines")
+register("max_para_len", """
+SELECT f.essay_id, CAST(max(p.p_end - p.p_start) AS INTEGER) AS max_len
+FROM fx_dirty f LEFT JOIN o_rp_paras p ON p.essay_id = f.essay_id GROUP BY f.essay_id""")
+register("long_essays", """
+SELECT essay_id, CAST(max(p_end - p_start) AS INTEGER) AS max_len FROM o_rp_paras
+GROUP BY essay_id HAVING max(p_end - p_start) > 2000""")
+register("clean_para", "SELECT essay_id, para_no, clean AS para, lead FROM o_np_clean WHERE clean <> ''")
+register("remap_offsets", "SELECT essay_id, para_no, o, o_clean FROM o_np_remap")
+register("trim_spans", """
+SELECT essay_id, para_no, o AS o_start, o_next AS o_end, s, e,
+       CAST(CASE WHEN s <> e AND substring(clean, s + 1, 1) = ' ' THEN s + 1 ELSE s END AS INTEGER) AS s_trim,
+       CAST(CASE WHEN s <> e AND e > 0 AND substring(clean, e, 1) = ' ' THEN e - 1 ELSE e END AS INTEGER) AS e_trim
+FROM (SELECT *, o_clean AS s, lead(o_clean) OVER w AS e, lead(o) OVER w AS o_next
+      FROM o_np_remap WINDOW w AS (PARTITION BY essay_id, para_no ORDER BY o))
+WHERE o_next IS NOT NULL""")
+register("tokenise", "SELECT essay_id, para_no, tok_i, tok, cs, ce FROM o_np_tokens")
+register("para_rows", """
+SELECT DISTINCT c.essay_id, c.coder, p.para_no
+FROM o_ep_clean p JOIN (SELECT DISTINCT essay_id, coder FROM fx_edits) c ON c.essay_id = p.essay_id
+WHERE p.clean <> ''""")
+register("edit_kind", f"""
+SELECT essay_id, coder, CAST(edit_no AS BIGINT) AS edit_no,
+       CASE WHEN cor IS NULL THEN 'D' ELSE 'C' END AS kind,
+       CASE WHEN cor IS NULL THEN NULL ELSE coalesce(cat, 'C') END AS cat,
+       translate(cor, {lit(PUNCT_FROM)}, {lit(PUNCT_TO)}) AS cor
+FROM fx_edits""")
+DERIVED_CTES["o_edit_para"] = """
+SELECT x.essay_id, x.coder, CAST(x.edit_no AS BIGINT) AS edit_no, p.para_no,
+       CAST(x.s - p.p_start AS BIGINT) AS s, CAST(x.e - p.p_start AS BIGINT) AS e,
+       CASE WHEN x.cor IS NULL THEN 'D' ELSE 'C' END AS kind
+FROM fx_edits x JOIN o_ep_paras p ON p.essay_id = x.essay_id AND x.s >= p.p_start AND x.e <= p.p_end"""
+register("edit_in_para", "SELECT essay_id, coder, edit_no, para_no, s, e FROM o_edit_para")
+register("drop_covered_detections", """
+SELECT d.essay_id, d.coder, d.para_no, d.edit_no, d.kind FROM o_edit_para d
+WHERE NOT (d.kind = 'D' AND EXISTS (
+    SELECT 1 FROM o_edit_para c WHERE c.essay_id = d.essay_id AND c.coder = d.coder
+      AND c.para_no = d.para_no AND c.kind = 'C'
+      AND ((c.s <> c.e AND c.s >= d.s AND c.e <= d.e) OR (c.s = c.e AND c.s > d.s AND c.e < d.e))))""")
