@@ -107,7 +107,9 @@ def _token_edit_sql() -> str:
             "'expanded', z.expanded, 'cor_text', z.cor_text, 'cor_toks', z.cor_toks, "
             "'c_start', element_at(filter(a.applied.spans, w -> w.edit_no = z.edit_no), 1).c_start, "
             "'c_end', element_at(filter(a.applied.spans, w -> w.edit_no = z.edit_no), 1).c_end)), "
-            "'cor', a.applied.cor, 'dropped', a.drop, 'edits_rt', a.e2)")
+            "'cor', a.applied.cor, 'dropped', a.drop, 'edits_rt', a.e2, "
+            "'spans_all', transform(a.e3, y -> named_struct('edit_no', y.x.edit_no, 'kind', y.x.kind, "
+            "'s', y.x.s, 'e', y.x.e, 'ts', y.k.ts, 'te', y.k.te, 'expanded', y.k.xp)))")
     return _chain([("e1", step1), ("e2", trim), ("e3", step3), ("drop", fold),
                    ("e5", step5), ("applied", apply)], body)
 
@@ -148,4 +150,5 @@ def sentences(essays: DataFrame, edits: DataFrame, coders: DataFrame | None = No
     return s.select("essay_id", "coder", "para_no", "p_start", "clean",
                     F.col("toks").alias("orig"), "starts", "ends",
                     F.col("_te.cor").alias("cor"), F.col("_te.tok_edits").alias("tok_edits"),
-                    F.col("_te.dropped").alias("dropped"), F.col("_te.edits_rt").alias("edits_rt"))
+                    F.col("_te.dropped").alias("dropped"), F.col("_te.edits_rt").alias("edits_rt"),
+                    F.col("_te.spans_all").alias("spans_all"))

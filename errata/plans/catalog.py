@@ -291,3 +291,190 @@ def q_drop_covered_detections(spark, sf_dir):
     e = ed.drop_covered_detections(_edits_in_paras(spark, sf_dir), ["essay_id", "coder", "para_no"])
     return e.select("essay_id", "coder", "para_no",
                     F.col("edit_no").cast("bigint").alias("edit_no"), "kind")
+
+
+# ---------------------------------------------------------------- edit layer
+from errata.operators import m2 as m2op  # noqa: E402
+from errata.operators.sentences import sentences as _sentences  # noqa: E402
+from errata.plans import dataset as dsp  # noqa: E402
+
+
+def _sents(spark, sf_dir):
+    return _sentences(fx.fx_essays(spark, sf_dir), fx.fx_edits(spark, sf_dir))
+
+
+def _spans(spark, sf_dir):
+    s = _sents(spark, sf_dir)
+    x = s.select("essay_id", "coder", "para_no", F.explode("spans_all").alias("x"))
+    return x.select("essay_id", "coder", "para_no", F.col("x.edit_no").cast("bigint").alias("edit_no"),
+                    F.col("x.kind").alias("kind"), F.col("x.s").alias("s"), F.col("x.e").alias("e"),
+                    F.col("x.ts").alias("ts"), F.col("x.te").alias("te"), F.col("x.expanded").alias("expanded"))
+
+
+@query("char_to_tok")
+def q_char_to_tok(spark, sf_dir):
+    return _spans(spark, sf_dir)
+
+
+@query("edit_order")
+def q_edit_order(spark, sf_dir):
+    from pyspark.sql import Window
+    w = Window.partitionBy("essay_id", "coder", "para_no").orderBy("te", "ts", "edit_no")
+    return _spans(spark, sf_dir).select("essay_id", "coder", "para_no", "edit_no",
+                                        (F.row_number().over(w) - 1).cast("int").alias("m2_rank"))
+
+
+def _tok_edits(spark, sf_dir):
+    s = _sents(spark, sf_dir)
+    x = s.select("essay_id", "coder", "para_no", F.explode("tok_edits").alias("t"))
+    return x.select("essay_id", "coder", "para_no", "t.*")
+
+
+@query("drop_overlaps")
+def q_drop_overlaps(spark, sf_dir):
+    s = _sents(spark, sf_dir)
+    return s.select("essay_id", "coder", "para_no", F.explode("dropped").alias("edit_no"))
+
+
+@query("fill_detection")
+def q_fill_detection(spark, sf_dir):
+    t = _tok_edits(spark, sf_dir).filter(F.col("kind") == "D")
+    return t.select("essay_id", "coder", "para_no", "edit_no", "ts", "te",
+                    F.array_join("cor_toks", " ").alias("cor"))
+
+
+@query("expand_cor")
+def q_expand_cor(spark, sf_dir):
+    t = _tok_edits(spark, sf_dir).filter(F.col("expanded"))
+    return t.select("essay_id", "coder", "para_no", "edit_no", "cor_text")
+
+
+@query("cor_spans")
+def q_cor_spans(spark, sf_dir):
+    return _tok_edits(spark, sf_dir).select("essay_id", "coder", "para_no", "edit_no", "ts", "te",
+                                            "c_start", "c_end")
+
+
+@query("apply_edits")
+def q_apply_edits(spark, sf_dir):
+    s = _sents(spark, sf_dir)
+    return s.select("essay_id", "coder", "para_no", F.array_join("orig", " ").alias("orig"),
+                    F.array_join("cor", " ").alias("cor"))
+
+
+@query("apply_counts")
+def q_apply_counts(spark, sf_dir):
+    s = _sents(spark, sf_dir)
+    delta = F.aggregate("tok_edits", F.lit(0), lambda acc, t: acc + F.size(t["cor_toks"]) - (t["te"] - t["ts"]))
+    return s.select("essay_id", "coder", "para_no", F.size("orig").alias("n_orig"),
+                    F.size("cor").alias("n_cor"), delta.alias("delta"))
+
+
+def _lines(spark, sf_dir, old_cats=False):
+    s = _sents(spark, sf_dir)
+    return s, m2op.classify_edits(m2op.edit_lines(s), fx.fx_lexicon(spark, sf_dir), old_cats)
+
+
+@query("minimise")
+def q_minimise(spark, sf_dir):
+    _, l = _lines(spark, sf_dir, old_cats=True)
+    return l.select("essay_id", "para_no", "coder", "rank", "edit_no", "kind", "o_start", "o_end",
+                    "c_start", "c_end", F.array_join("o_toks", " ").alias("o_str"),
+                    F.array_join("c_toks", " ").alias("c_str"))
+
+
+@query("classify_edits")
+def q_classify_edits(spark, sf_dir):
+    _, l = _lines(spark, sf_dir)
+    return l.select("essay_id", "para_no", "coder", "rank", "edit_no", "type")
+
+
+def _blocks(spark, sf_dir):
+    s, l = _lines(spark, sf_dir)
+    return m2op.m2_blocks(s, l)
+
+
+@query("noop_rows")
+def q_noop_rows(spark, sf_dir):
+    b = _blocks(spark, sf_dir)
+    x = b.select("essay_id", "para_no", F.explode("edits").alias("a")).filter(F.col("a.cat") == "noop")
+    return x.select("essay_id", "para_no", F.col("a.coder").alias("coder"))
+
+
+@query("coder0_sents")
+def q_coder0_sents(spark, sf_dir):
+    b = _blocks(spark, sf_dir)
+    return b.select("essay_id", "para_no", F.concat_ws(" ", F.lit("S"), F.array_join("tokens", " ")).alias("s_line"))
+
+
+@query("coder_align")
+def q_coder_align(spark, sf_dir):
+    s = _sents(spark, sf_dir)
+    c0 = s.filter(F.col("coder") == 0).select("essay_id", "para_no")
+    return s.join(c0, ["essay_id", "para_no"], "left_semi").select("essay_id", "para_no", "coder")
+
+
+@query("m2_text")
+def q_m2_text(spark, sf_dir):
+    return m2op.block_text(_blocks(spark, sf_dir)).select("essay_id", "para_no", "value")
+
+
+@query("invert")
+def q_invert(spark, sf_dir):
+    inv = m2op.invert_blocks(_blocks(spark, sf_dir))
+    return m2op.block_text(inv).select("essay_id", "para_no", "value")
+
+
+@query("label_tokens")
+def q_label_tokens(spark, sf_dir):
+    inv = m2op.block_labels(m2op.invert_blocks(_blocks(spark, sf_dir)))
+    return inv.select("essay_id", "para_no", F.array_join("tokens", "|||").alias("token_seq"),
+                      F.array_join("labels", "|||").alias("label_seq"))
+
+
+@query("dataset_e2e")
+def q_dataset_e2e(spark, sf_dir):
+    return dsp.dataset_from_essays(fx.fx_essays(spark, sf_dir), fx.fx_edits(spark, sf_dir),
+                                   fx.fx_lexicon(spark, sf_dir))
+
+
+def _edit_rows_from_fixture(spark, sf_dir):
+    e = fx.fx_edits(spark, sf_dir)
+    cor = F.filter(F.split(F.coalesce("cor", F.lit("")), " +"), lambda t: t != "")
+    return e.select("essay_id", "coder", F.col("edit_no").cast("bigint").alias("edit_no"), F.struct(
+        F.col("s").cast("int").alias("start"), F.col("e").cast("int").alias("end"),
+        F.coalesce("cat", F.lit("D")).alias("cat"), cor.alias("cor"),
+        F.col("coder").cast("string").alias("coder")).alias("a"))
+
+
+@query("fmt_edit")
+def q_fmt_edit(spark, sf_dir):
+    x = _edit_rows_from_fixture(spark, sf_dir)
+    return x.select("essay_id", "coder", "edit_no", F.expr(m2op.format_edit_sql("a")).alias("line"))
+
+
+@query("parse_edit")
+def q_parse_edit(spark, sf_dir):
+    x = _edit_rows_from_fixture(spark, sf_dir)
+    x = x.withColumn("line", F.expr(m2op.format_edit_sql("a")))
+    p = x.withColumn("p", F.expr(m2op.parse_edit_sql("line")))
+    return p.select("essay_id", "coder", "edit_no", F.col("p.start").alias("start"), F.col("p.end").alias("end"),
+                    F.col("p.cat").alias("cat"), F.array_join("p.cor", " ").alias("cor"),
+                    F.col("p.coder").alias("coder_field"))
+
+
+@query("parse_sent")
+def q_parse_sent(spark, sf_dir):
+    e = fx.fx_essays(spark, sf_dir).select("essay_id", F.concat(F.lit("S "), F.col("text")).alias("value"))
+    p = m2op.parse_blocks(e.withColumn("value", F.regexp_replace("value", "\n", " ")))
+    return p.select("essay_id", F.size("tokens").cast("int").alias("n_tokens"),
+                    F.array_join("tokens", " ").alias("tokens"))
+
+
+@query("edits_by_coder")
+def q_edits_by_coder(spark, sf_dir):
+    e = fx.fx_edits(spark, sf_dir)
+    g = e.groupBy("essay_id", "coder").agg(F.count(F.lit(1)).alias("n_edits"),
+                                           F.array_sort(F.collect_list("edit_no")).alias("_l"))
+    return g.select("essay_id", "coder", "n_edits",
+                    F.array_join(F.transform("_l", lambda v: v.cast("string")), ",").alias("edit_nos"))

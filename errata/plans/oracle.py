@@ -253,3 +253,94 @@ WHERE NOT (d.kind = 'D' AND EXISTS (
     SELECT 1 FROM o_edit_para c WHERE c.essay_id = d.essay_id AND c.coder = d.coder
       AND c.para_no = d.para_no AND c.kind = 'C'
       AND ((c.s <> c.e AND c.s >= d.s AND c.e <= d.e) OR (c.s = c.e AND c.s > d.s AND c.e < d.e))))""")
+
+DERIVED_CTES["o_ep_tokens"] = DERIVED_CTES["o_np_tokens"].replace("o_np_clean", "o_ep_clean")
+DERIVED_CTES["o_kept"] = """
+SELECT d.* FROM o_edit_para d
+WHERE NOT (d.kind = 'D' AND EXISTS (
+    SELECT 1 FROM o_edit_para c WHERE c.essay_id = d.essay_id AND c.coder = d.coder
+      AND c.para_no = d.para_no AND c.kind = 'C'
+      AND ((c.s <> c.e AND c.s >= d.s AND c.e <= d.e) OR (c.s = c.e AND c.s > d.s AND c.e < d.e))))"""
+
+
+def _remap(o: str) -> str:
+    r = (f"(length(regexp_replace(substring(c.para_ws, 1, {o}), ' +', ' ', 'g')) - CASE WHEN {o} > 0 "
+         f"AND substring(c.para_ws, {o}, 1) = ' ' AND substring(c.para_ws, {o} + 1, 1) = ' ' THEN 1 ELSE 0 END)")
+    return f"CAST(CASE WHEN c.lead THEN greatest({r} - 1, 0) ELSE {r} END AS INTEGER)"
+
+
+DERIVED_CTES["o_ed_rm"] = f"""
+SELECT k.essay_id, k.coder, k.para_no, k.edit_no, k.kind, c.clean,
+       {_remap('k.s')} AS s0, {_remap('k.e')} AS e0
+FROM o_kept k JOIN o_ep_clean c ON c.essay_id = k.essay_id AND c.para_no = k.para_no
+WHERE c.clean <> ''"""
+DERIVED_CTES["o_ed_tr"] = """
+SELECT essay_id, coder, para_no, edit_no, kind,
+       CASE WHEN s0 <> e0 AND substring(clean, s0 + 1, 1) = ' ' THEN s0 + 1 ELSE s0 END AS s,
+       CASE WHEN s0 <> e0 AND e0 > 0 AND substring(clean, e0, 1) = ' ' THEN e0 - 1 ELSE e0 END AS e
+FROM o_ed_rm"""
+DERIVED_CTES["o_j3_look"] = """
+SELECT x.*,
+  (SELECT count(*) FROM o_ep_tokens t WHERE t.essay_id = x.essay_id AND t.para_no = x.para_no) AS n,
+  (SELECT min(cs) FROM o_ep_tokens t WHERE t.essay_id = x.essay_id AND t.para_no = x.para_no) AS first_cs,
+  (SELECT max(cs) FROM o_ep_tokens t WHERE t.essay_id = x.essay_id AND t.para_no = x.para_no) AS last_cs,
+  (SELECT max(ce) FROM o_ep_tokens t WHERE t.essay_id = x.essay_id AND t.para_no = x.para_no) AS last_ce,
+  (SELECT min(tok_i) FROM o_ep_tokens t WHERE t.essay_id = x.essay_id AND t.para_no = x.para_no AND t.cs = x.s) AS ps,
+  (SELECT min(tok_i) FROM o_ep_tokens t WHERE t.essay_id = x.essay_id AND t.para_no = x.para_no AND t.ce = x.e) AS pe,
+  (SELECT max(cs) FROM o_ep_tokens t WHERE t.essay_id = x.essay_id AND t.para_no = x.para_no AND t.cs <= x.s) AS ls,
+  (SELECT min(ce) FROM o_ep_tokens t WHERE t.essay_id = x.essay_id AND t.para_no = x.para_no AND t.ce > x.e) AS fe
+FROM o_ed_tr x"""
+DERIVED_CTES["o_j3_ends"] = """
+SELECT *, CASE WHEN ps IS NOT NULL THEN s ELSE coalesce(ls, last_cs) END AS s2,
+          CASE WHEN pe IS NOT NULL THEN e ELSE coalesce(fe, last_ce) END AS e2
+FROM o_j3_look"""
+DERIVED_CTES["o_j3"] = """
+SELECT j.essay_id, j.coder, j.para_no, j.edit_no, j.kind, j.s, j.e,
+  CAST(CASE WHEN j.s = j.e THEN CASE WHEN j.s = 0 OR j.s <= j.first_cs THEN 0 WHEN j.s >= j.last_ce THEN j.n
+            WHEN j.ps IS NOT NULL THEN j.ps WHEN j.pe IS NOT NULL THEN j.pe + 1
+            ELSE (SELECT t.tok_i FROM o_ep_tokens t WHERE t.essay_id = j.essay_id AND t.para_no = j.para_no AND t.cs = j.ls) END
+       WHEN j.ps IS NOT NULL AND j.pe IS NOT NULL THEN j.ps
+       ELSE (SELECT t.tok_i FROM o_ep_tokens t WHERE t.essay_id = j.essay_id AND t.para_no = j.para_no AND t.cs = j.s2) END AS INTEGER) AS ts,
+  CAST(CASE WHEN j.s = j.e THEN CASE WHEN j.s = 0 OR j.s <= j.first_cs THEN 0 WHEN j.s >= j.last_ce THEN j.n
+            WHEN j.ps IS NOT NULL THEN j.ps WHEN j.pe IS NOT NULL THEN j.pe + 1
+            ELSE (SELECT t.tok_i + 1 FROM o_ep_tokens t WHERE t.essay_id = j.essay_id AND t.para_no = j.para_no AND t.ce = j.fe) END
+       WHEN j.ps IS NOT NULL AND j.pe IS NOT NULL THEN j.pe + 1
+       ELSE (SELECT t.tok_i + 1 FROM o_ep_tokens t WHERE t.essay_id = j.essay_id AND t.para_no = j.para_no AND t.ce = j.e2) END AS INTEGER) AS te,
+  CASE WHEN j.s = j.e THEN NOT (j.s = 0 OR j.s <= j.first_cs OR j.s >= j.last_ce OR j.ps IS NOT NULL OR j.pe IS NOT NULL)
+       ELSE NOT (j.ps IS NOT NULL AND j.pe IS NOT NULL) END AS expanded
+FROM o_j3_ends j"""
+register("char_to_tok", """
+SELECT essay_id, coder, para_no, CAST(edit_no AS BIGINT) AS edit_no, kind, CAST(s AS INTEGER) AS s,
+       CAST(e AS INTEGER) AS e, ts, te, expanded FROM o_j3""")
+register("edit_order", """
+SELECT essay_id, coder, para_no, CAST(edit_no AS BIGINT) AS edit_no,
+       CAST(row_number() OVER (PARTITION BY essay_id, coder, para_no ORDER BY te, ts, edit_no) - 1 AS INTEGER) AS m2_rank
+FROM o_j3""")
+register("fmt_edit", """
+SELECT essay_id, coder, CAST(edit_no AS BIGINT) AS edit_no,
+       'A ' || CAST(s AS VARCHAR) || ' ' || CAST(e AS VARCHAR) || '|||' || coalesce(cat, 'D') || '|||' ||
+       array_to_string(list_filter(regexp_split_to_array(coalesce(cor, ''), ' +'), lambda t: t <> ''), ' ')
+       || '|||REQUIRED|||-NONE-|||' || CAST(coder AS VARCHAR) AS line
+FROM fx_edits""")
+register("parse_edit", """
+SELECT essay_id, coder, CAST(edit_no AS BIGINT) AS edit_no, CAST(s AS INTEGER) AS start, CAST(e AS INTEGER) AS "end",
+       coalesce(cat, 'D') AS cat,
+       array_to_string(list_filter(regexp_split_to_array(coalesce(cor, ''), ' +'), lambda t: t <> ''), ' ') AS cor,
+       CAST(coder AS VARCHAR) AS coder_field
+FROM fx_edits""")
+register("parse_sent", f"""
+SELECT essay_id, CAST(len(toks) AS INTEGER) AS n_tokens, array_to_string(toks, ' ') AS tokens
+FROM (SELECT essay_id, list_filter(regexp_split_to_array(regexp_replace(text, {STRIP}, '', 'g'), {lit(PY_WS + '+')}),
+                                   lambda t: t <> '') AS toks FROM fx_essays)""")
+register("edits_by_coder", """
+SELECT essay_id, coder, count(*) AS n_edits, string_agg(CAST(edit_no AS VARCHAR), ',' ORDER BY edit_no) AS edit_nos
+FROM fx_edits GROUP BY essay_id, coder""")
+register("coder0_sents", """
+SELECT t.essay_id, t.para_no, 'S ' || string_agg(t.tok, ' ' ORDER BY t.tok_i) AS s_line
+FROM o_ep_tokens t WHERE t.essay_id IN (SELECT essay_id FROM fx_edits WHERE coder = 0)
+GROUP BY t.essay_id, t.para_no""")
+register("coder_align", """
+SELECT p.essay_id, p.para_no, c.coder
+FROM (SELECT DISTINCT essay_id, para_no FROM o_ep_tokens) p
+JOIN (SELECT DISTINCT essay_id, coder FROM fx_edits) c ON c.essay_id = p.essay_id
+WHERE p.essay_id IN (SELECT essay_id FROM fx_edits WHERE coder = 0)""")
