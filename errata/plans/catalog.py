@@ -327,13 +327,14 @@ def q_edit_order(spark, sf_dir):
 def _tok_edits(spark, sf_dir):
     s = _sents(spark, sf_dir)
     x = s.select("essay_id", "coder", "para_no", F.explode("tok_edits").alias("t"))
-    return x.select("essay_id", "coder", "para_no", "t.*")
+    return x.select("essay_id", "coder", "para_no", "t.*").withColumn("edit_no", F.col("edit_no").cast("bigint"))
 
 
 @query("drop_overlaps")
 def q_drop_overlaps(spark, sf_dir):
     s = _sents(spark, sf_dir)
-    return s.select("essay_id", "coder", "para_no", F.explode("dropped").alias("edit_no"))
+    x = s.select("essay_id", "coder", "para_no", F.explode("dropped").alias("edit_no"))
+    return x.withColumn("edit_no", F.col("edit_no").cast("bigint"))
 
 
 @query("fill_detection")

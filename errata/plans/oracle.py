@@ -241,10 +241,11 @@ SELECT essay_id, coder, CAST(edit_no AS BIGINT) AS edit_no,
        CASE WHEN cor IS NULL THEN NULL ELSE coalesce(cat, 'C') END AS cat,
        translate(cor, {lit(PUNCT_FROM)}, {lit(PUNCT_TO)}) AS cor
 FROM fx_edits""")
-DERIVED_CTES["o_edit_para"] = """
+DERIVED_CTES["o_edit_para"] = f"""
 SELECT x.essay_id, x.coder, CAST(x.edit_no AS BIGINT) AS edit_no, p.para_no,
        CAST(x.s - p.p_start AS BIGINT) AS s, CAST(x.e - p.p_start AS BIGINT) AS e,
-       CASE WHEN x.cor IS NULL THEN 'D' ELSE 'C' END AS kind
+       CASE WHEN x.cor IS NULL THEN 'D' ELSE 'C' END AS kind,
+       translate(x.cor, {lit(PUNCT_FROM)}, {lit(PUNCT_TO)}) AS cor
 FROM fx_edits x JOIN o_ep_paras p ON p.essay_id = x.essay_id AND x.s >= p.p_start AND x.e <= p.p_end"""
 register("edit_in_para", "SELECT essay_id, coder, edit_no, para_no, s, e FROM o_edit_para")
 register("drop_covered_detections", """
@@ -270,12 +271,12 @@ def _remap(o: str) -> str:
 
 
 DERIVED_CTES["o_ed_rm"] = f"""
-SELECT k.essay_id, k.coder, k.para_no, k.edit_no, k.kind, c.clean,
+SELECT k.essay_id, k.coder, k.para_no, k.edit_no, k.kind, k.cor, c.clean,
        {_remap('k.s')} AS s0, {_remap('k.e')} AS e0
 FROM o_kept k JOIN o_ep_clean c ON c.essay_id = k.essay_id AND c.para_no = k.para_no
 WHERE c.clean <> ''"""
 DERIVED_CTES["o_ed_tr"] = """
-SELECT essay_id, coder, para_no, edit_no, kind,
+SELECT essay_id, coder, para_no, edit_no, kind, cor, clean,
        CASE WHEN s0 <> e0 AND substring(clean, s0 + 1, 1) = ' ' THEN s0 + 1 ELSE s0 END AS s,
        CASE WHEN s0 <> e0 AND e0 > 0 AND substring(clean, e0, 1) = ' ' THEN e0 - 1 ELSE e0 END AS e
 FROM o_ed_rm"""
@@ -295,7 +296,8 @@ SELECT *, CASE WHEN ps IS NOT NULL THEN s ELSE coalesce(ls, last_cs) END AS s2,
           CASE WHEN pe IS NOT NULL THEN e ELSE coalesce(fe, last_ce) END AS e2
 FROM o_j3_look"""
 DERIVED_CTES["o_j3"] = """
-SELECT j.essay_id, j.coder, j.para_no, j.edit_no, j.kind, j.s, j.e,
+SELECT j.essay_id, j.coder, j.para_no, j.edit_no, j.kind, j.s, j.e, j.cor, j.clean,
+  CASE WHEN j.s = j.e THEN j.ls ELSE j.s2 END AS cs2, CASE WHEN j.s = j.e THEN j.fe ELSE j.e2 END AS ce2,
   CAST(CASE WHEN j.s = j.e THEN CASE WHEN j.s = 0 OR j.s <= j.first_cs THEN 0 WHEN j.s >= j.last_ce THEN j.n
             WHEN j.ps IS NOT NULL THEN j.ps WHEN j.pe IS NOT NULL THEN j.pe + 1
             ELSE (SELECT t.tok_i FROM o_ep_tokens t WHERE t.essay_id = j.essay_id AND t.para_no = j.para_no AND t.cs = j.ls) END
@@ -344,3 +346,41 @@ SELECT p.essay_id, p.para_no, c.coder
 FROM (SELECT DISTINCT essay_id, para_no FROM o_ep_tokens) p
 JOIN (SELECT DISTINCT essay_id, coder FROM fx_edits) c ON c.essay_id = p.essay_id
 WHERE p.essay_id IN (SELECT essay_id FROM fx_edits WHERE coder = 0)""")
+
+DERIVED_CTES["o_w4"] = """
+SELECT essay_id, coder, para_no,
+  list_reduce(list(struct_pack(n := CAST(edit_no AS BIGINT), ts := ts, te := te, xp := expanded) ORDER BY edit_no),
+    lambda acc, y: CASE WHEN y.xp AND y.ts < acc.prev
+                        THEN struct_pack(prev := acc.prev, dropped := list_append(acc.dropped, y.n))
+                        ELSE struct_pack(prev := y.te, dropped := acc.dropped) END,
+    struct_pack(prev := CAST(0 AS INTEGER), dropped := CAST([] AS BIGINT[]))).dropped AS dropped
+FROM o_j3 GROUP BY essay_id, coder, para_no"""
+DERIVED_CTES["o_cor"] = f"""
+SELECT j.*, w.dropped IS NOT NULL AND list_contains(w.dropped, CAST(j.edit_no AS BIGINT)) AS is_dropped,
+       CASE WHEN j.expanded THEN regexp_replace(
+              CASE WHEN j.s > j.cs2 THEN substring(j.clean, j.cs2 + 1, j.s - j.cs2) ELSE '' END || j.bt ||
+              CASE WHEN j.ce2 > j.e THEN substring(j.clean, j.e + 1, j.ce2 - j.e) ELSE '' END, {STRIP}, '', 'g')
+            ELSE j.bt END AS full_text
+FROM (SELECT *, coalesce(cor, CASE WHEN e > s THEN substring(clean, s + 1, e - s) ELSE '' END) AS bt FROM o_j3) j
+LEFT JOIN o_w4 w ON w.essay_id = j.essay_id AND w.coder = j.coder AND w.para_no = j.para_no"""
+DERIVED_CTES["o_ncor"] = f"""
+SELECT *, CAST(CASE WHEN kind = 'D' THEN greatest(te - greatest(ts, 0), 0)
+            ELSE len(regexp_extract_all(regexp_replace(full_text, {STRIP}, '', 'g'), {lit(TOKEN_RE)})) END
+          AS INTEGER) AS ncor
+FROM o_cor WHERE NOT is_dropped"""
+DERIVED_CTES["o_cspans"] = """
+SELECT *, CAST(ts + coalesce(sum(ncor - (te - ts)) OVER (PARTITION BY essay_id, coder, para_no ORDER BY edit_no
+                 ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS INTEGER) AS c_start
+FROM o_ncor"""
+register("drop_overlaps", "SELECT essay_id, coder, para_no, unnest(dropped) AS edit_no FROM o_w4")
+register("fill_detection", """
+SELECT c.essay_id, c.coder, c.para_no, CAST(c.edit_no AS BIGINT) AS edit_no, c.ts, c.te,
+       coalesce((SELECT string_agg(t.tok, ' ' ORDER BY t.tok_i) FROM o_ep_tokens t
+                 WHERE t.essay_id = c.essay_id AND t.para_no = c.para_no AND t.tok_i >= c.ts AND t.tok_i < c.te), '') AS cor
+FROM o_ncor c WHERE c.kind = 'D'""")
+register("expand_cor", """
+SELECT essay_id, coder, para_no, CAST(edit_no AS BIGINT) AS edit_no, full_text AS cor_text
+FROM o_ncor WHERE expanded""")
+register("cor_spans", """
+SELECT essay_id, coder, para_no, CAST(edit_no AS BIGINT) AS edit_no, ts, te, c_start,
+       CAST(c_start + ncor AS INTEGER) AS c_end FROM o_cspans""")
