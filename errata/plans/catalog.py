@@ -479,3 +479,141 @@ def q_edits_by_coder(spark, sf_dir):
                                            F.array_sort(F.collect_list("edit_no")).alias("_l"))
     return g.select("essay_id", "coder", "n_edits",
                     F.array_join(F.transform("_l", lambda v: v.cast("string")), ",").alias("edit_nos"))
+
+
+# ---------------------------------------------------------------- files, splits, stream
+from errata.operators import splits as spl  # noqa: E402
+from errata.session import scratch_path  # noqa: E402
+from errata.sources import files as io  # noqa: E402
+
+SEQ_SCHEMA = "seq_id string, token_seq string, label_seq string, cefr string, row_i bigint"
+
+
+@query("src_essays")
+def q_src_essays(spark, sf_dir):
+    path = scratch_path(spark, "essays-json")
+    io.write_essays_json(fx.fx_essays(spark, sf_dir), fx.fx_edits(spark, sf_dir), path)
+    _, _, edits = io.read_essays_json(spark, path)
+    return edits.select("coder", F.col("edit_no").cast("bigint").alias("edit_no"), "s", "e", "cor", "cat")
+
+
+@query("src_glob")
+def q_src_glob(spark, sf_dir):
+    path = scratch_path(spark, "essays-json")
+    io.write_essays_json(fx.fx_essays(spark, sf_dir), fx.fx_edits(spark, sf_dir), path)
+    essays, coders, _ = io.read_essays_json(spark, path + "/part-*")
+    return essays.groupBy(F.element_at(F.split("file", "/"), -1).alias("file_name")).agg(
+        F.count(F.lit(1)).alias("n_essays"))
+
+
+def _m2_files(spark, sf_dir):
+    path = scratch_path(spark, "m2")
+    io.write_m2(_blocks(spark, sf_dir), path, ["essay_id", "para_no"])
+    return path
+
+
+@query("snk_m2")
+def q_snk_m2(spark, sf_dir):
+    path = _m2_files(spark, sf_dir)
+    return spark.read.option("lineSep", "\n\n").text(path)
+
+
+@query("src_m2")
+def q_src_m2(spark, sf_dir):
+    b = io.read_m2(spark, _m2_files(spark, sf_dir))
+    return b.select("file_name", "block_no", F.array_join("tokens", " ").alias("tokens"),
+                    F.size("edits").alias("n_edits"))
+
+
+@query("block_no")
+def q_block_no(spark, sf_dir):
+    b = io.read_m2(spark, _m2_files(spark, sf_dir))
+    inv = m2op.invert_blocks(b)
+    return inv.select("file_name", "block_no", (F.size("tokens") > 0).alias("kept"))
+
+
+@query("cefr_attach")
+def q_cefr_attach(spark, sf_dir):
+    blocks = _blocks(spark, sf_dir).join(
+        fx.fx_essays(spark, sf_dir).select("essay_id", F.left("cefr", F.lit(2)).alias("cefr")), "essay_id")
+    m2path, cpath = scratch_path(spark, "m2"), scratch_path(spark, "cefr")
+    io.write_m2(blocks.coalesce(1), m2path, ["essay_id", "para_no"])
+    io.write_cefr_list(blocks, cpath, ["essay_id", "para_no"])
+    b = io.read_m2(spark, m2path)
+    return io.attach_cefr(b, spark, cpath).select("block_no", F.array_join("tokens", " ").alias("tokens"), "cefr")
+
+
+def _seqs_tsv(spark, sf_dir, name="seqs"):
+    path = scratch_path(spark, name)
+    io.write_tsv(ws.labelled_sequences(spark, sf_dir), path, ["row_i"])
+    return path
+
+
+@query("snk_tsv")
+def q_snk_tsv(spark, sf_dir):
+    return spark.read.text(_seqs_tsv(spark, sf_dir))
+
+
+@query("src_tsv")
+def q_src_tsv(spark, sf_dir):
+    return io.read_tsv(spark, _seqs_tsv(spark, sf_dir), SEQ_SCHEMA)
+
+
+@query("src_tsv_nohdr")
+def q_src_tsv_nohdr(spark, sf_dir):
+    path = scratch_path(spark, "seqs-nohdr")
+    ws.labelled_sequences(spark, sf_dir).write.mode("overwrite").options(
+        **{**io.TSV_OPTS, "header": "false"}).csv(path)
+    return io.read_tsv(spark, path, header=False)
+
+
+@query("combine")
+def q_combine(spark, sf_dir):
+    """Two TSV sets (the train and test parts) read back as one."""
+    seqs = spl.split_rows(ws.labelled_sequences(spark, sf_dir), "seq_id")
+    a, b = scratch_path(spark, "part-train"), scratch_path(spark, "part-test")
+    io.write_tsv(seqs.filter(F.col("split") == "train").drop("split"), a)
+    io.write_tsv(seqs.filter(F.col("split") == "test").drop("split").drop("cefr"), b)
+    ra = io.read_tsv(spark, a, SEQ_SCHEMA)
+    rb = io.read_tsv(spark, b, "seq_id string, token_seq string, label_seq string, row_i bigint")
+    out = ra.unionByName(rb, allowMissingColumns=True)
+    return out.select("seq_id", "token_seq", "label_seq", "cefr", "row_i")
+
+
+@query("split_rows")
+def q_split_rows(spark, sf_dir):
+    return spl.split_rows(ws.labelled_sequences(spark, sf_dir), "seq_id").select("seq_id", "split")
+
+
+@query("split_dev")
+def q_split_dev(spark, sf_dir):
+    return spl.split_rows(ws.labelled_sequences(spark, sf_dir), "seq_id", create_dev=True).select(
+        "seq_id", "split")
+
+
+@query("split_grouped")
+def q_split_grouped(spark, sf_dir):
+    seqs = fx.fx_essays(spark, sf_dir).select(F.col("essay_id").cast("string").alias("seq_id"), "cefr")
+    return spl.split_grouped(seqs, "cefr").select("seq_id", "cefr", "split")
+
+
+@query("snk_scores")
+def q_snk_scores(spark, sf_dir):
+    path = scratch_path(spark, "scores")
+    io.write_scores(sc.word_scores(_features(spark, sf_dir)), path)
+    return spark.read.schema("key string, score double").json(path)
+
+
+@query("stream_features")
+def q_stream_features(spark, sf_dir):
+    from errata.operators.tagging import tag_tokens  # noqa: F401
+    from errata.streaming.features import feature_stream, run_to_parquet
+    src = _seqs_tsv(spark, sf_dir, "stream-in")
+    lex = fx.fx_lexicon(spark, sf_dir)
+    psy = ft.psy_lexicon(fx.fx_psy(spark, sf_dir))
+    cj = ft.cefr_lexicon(fx.fx_cefr_vocab(spark, sf_dir))
+    rows = ft.token_rows(ws.labelled_sequences(spark, sf_dir))
+    zipf = ft.zipf_table(rows)
+    out, ck = scratch_path(spark, "stream-out"), scratch_path(spark, "stream-ckpt")
+    run_to_parquet(feature_stream(spark, src, lex, psy, cj, zipf), out, ck)
+    return spark.read.parquet(out)

@@ -384,3 +384,24 @@ FROM o_ncor WHERE expanded""")
 register("cor_spans", """
 SELECT essay_id, coder, para_no, CAST(edit_no AS BIGINT) AS edit_no, ts, te, c_start,
        CAST(c_start + ncor AS INTEGER) AS c_end FROM o_cspans""")
+
+register("combine", """
+SELECT q.seq_id, q.token_seq, q.label_seq, CASE WHEN p.split = 'test' THEN NULL ELSE q.cefr END AS cefr, q.row_i
+FROM o_seqs q JOIN o_split p ON p.seq_id = q.seq_id""")
+DERIVED_CTES["o_split"] = """
+SELECT seq_id, CASE WHEN row_number() OVER (ORDER BY md5('1848_' || seq_id)) <= ceil(CAST(0.1 AS DOUBLE) * count(*) OVER ())
+            THEN 'test' ELSE 'train' END AS split
+FROM o_seqs"""
+register("split_rows", "SELECT seq_id, split FROM o_split")
+register("split_dev", """
+SELECT seq_id, split FROM o_split WHERE split = 'test'
+UNION ALL
+SELECT seq_id, CASE WHEN row_number() OVER (ORDER BY md5('1848_dev' || seq_id)) <= ceil(CAST(0.1 AS DOUBLE) * count(*) OVER ())
+                    THEN 'dev' ELSE 'train' END AS split
+FROM o_split WHERE split = 'train'""")
+register("split_grouped", """
+SELECT CAST(e.essay_id AS VARCHAR) AS seq_id, e.cefr, v.split FROM fx_essays e JOIN
+  (SELECT cefr, CASE WHEN row_number() OVER (ORDER BY md5('1848_' || cefr)) <= ceil(CAST(0.1 AS DOUBLE) * count(*) OVER ())
+                     THEN 'test' ELSE 'train' END AS split
+   FROM (SELECT DISTINCT cefr FROM fx_essays)) v ON v.cefr = e.cefr""")
+register("src_tsv", "SELECT seq_id, token_seq, label_seq, cefr, row_i FROM o_seqs")
