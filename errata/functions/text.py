@@ -49,36 +49,32 @@ def tokens(c: Column) -> Column:
     return F.regexp_extract_all(c, F.lit(TOKEN_RE), 0)
 
 
-# Token starts / ends from the class array ``cl`` in one linear pass: a code
-# point continues a token when it is a word char after a word char (or after
-# a joiner that itself follows a word char), or a joiner between word chars.
-def _c(cl: str, i: str) -> str:
-    return f"coalesce(nullif(get({cl}, {i}), ''), ' ')"
-
-
-def _cont(cl: str, i: str) -> str:
-    return (f"(({_c(cl, i)} = 'w' AND ({_c(cl, f'{i} - 1')} = 'w' OR "
-            f"({_c(cl, f'{i} - 1')} = 'j' AND {_c(cl, f'{i} - 2')} = 'w'))) OR "
-            f"({_c(cl, i)} = 'j' AND {_c(cl, f'{i} - 1')} = 'w' AND {_c(cl, f'{i} + 1')} = 'w'))")
+# Token starts / ends in linear time from the ASCII class string (w word,
+# j joiner, o other, blank). One regex pass marks every code point that
+# continues a token with ``c``: a word char after a word char, a word char
+# after a joiner that follows a word char, a joiner between word chars
+# (look-arounds see the unmarked string). Starts are the remaining
+# non-blank marks; a token's last code point is one not followed by ``c``.
+CONT_RE = r"(?<=w)w|(?<=wj)w|(?<=w)j(?=w)"
 
 
 def char_classes_sql(text: str) -> str:
     w = f"regexp_replace({text}, {sql_str(WORD_CHAR)}, 'w')"
     b = f"regexp_replace({w}, {sql_str(PY_WS)}, ' ')"
     j = f"regexp_replace({b}, '[-\\']', 'j')"
-    o = f"regexp_replace({j}, '[^wj ]', 'o')"
-    return f"split({o}, '')"
+    return f"regexp_replace({j}, '[^wj ]', 'o')"
 
 
 def token_bounds_sql(text: str) -> str:
     """struct(starts, ends): token offsets of ``text``, linear in its length."""
-    cl = "tb.cl"
-    starts = (f"filter(sequence(0, greatest(size({cl}) - 1, 0)), "
-              f"i -> {_c(cl, 'i')} <> ' ' AND NOT {_cont(cl, 'i')})")
-    ends = (f"transform(filter(sequence(0, greatest(size({cl}) - 1, 0)), "
-            f"i -> {_c(cl, 'i')} <> ' ' AND NOT {_cont(cl, 'i + 1')}), i -> i + 1)")
-    return let([("cl", char_classes_sql(text))],
-               f"named_struct('starts', {starts}, 'ends', {ends})", var="tb")
+    marked = f"regexp_replace({char_classes_sql(text)}, {sql_str(CONT_RE)}, 'c')"
+    body = ("named_struct('starts', filter(sequence(0, greatest(size(tb.m) - 1, 0)), "
+            "i -> tb.m[i] IN ('w', 'j', 'o')), "
+            "'ends', transform(filter(sequence(0, greatest(size(tb.e) - 1, 0)), "
+            "i -> tb.e[i] = 'E'), i -> i + 1))")
+    inner = let([("m", "split(tb0.m, '')"),
+                 ("e", "split(regexp_replace(tb0.m, '[wjoc](?!c)', 'E'), '')")], body, "tb")
+    return let([("m", marked)], inner, "tb0")
 
 
 def strip_ascii_punct(c: Column) -> Column:

@@ -15,7 +15,9 @@ DEFAULT_MAX_BROADCAST = 256 << 20
 
 
 def planned_size(df: DataFrame) -> int:
-    stats = df._jdf.queryExecution().optimizedPlan().stats()
+    """Size estimate of the analysed plan: an upper bound derived from the
+    input files (no column pruning yet), cheap to obtain."""
+    stats = df._jdf.queryExecution().analyzed().stats()
     size = stats.sizeInBytes()
     return int(size if isinstance(size, int) else size.toString())
 

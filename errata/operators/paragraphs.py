@@ -88,11 +88,12 @@ def cleaning_sql(para: str) -> str:
     positions i with blanks at i and i + 1."""
     ws = f"regexp_replace({para}, {sql_str(PY_WS)}, ' ')"
     clean = "regexp_replace(regexp_replace(c0.para_ws, ' {2,}', ' '), '^ ', '')"
-    doubles = ("filter(sequence(0, greatest(size(c1.wcl) - 2, 0)), "
-               "i -> c1.wcl[i] = ' ' AND get(c1.wcl, i + 1) = ' ')")
+    doubles = ("filter(sequence(0, greatest(size(c1.dbl) - 1, 0)), i -> c1.dbl[i] = 'D')")
     body = ("named_struct('para_ws', c0.para_ws, 'clean', c1.clean, "
             "'lead', coalesce(c1.wcl[0] = ' ', false), 'wcl', c1.wcl, 'doubles', " + doubles + ")")
-    e = let([("clean", clean), ("wcl", "split(regexp_replace(c0.para_ws, '[^ ]', '.'), '')")], body, "c1")
+    e = let([("clean", clean), ("wcl", "split(regexp_replace(c0.para_ws, '[^ ]', '.'), '')"),
+             ("dbl", "split(regexp_replace(regexp_replace(c0.para_ws, '[^ ]', '.'), ' (?= )', 'D'), '')")],
+            body, "c1")
     return let([("para_ws", ws)], e, "c0")
 
 

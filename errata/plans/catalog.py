@@ -18,6 +18,13 @@ def q_word_scores_e2e(spark, sf_dir):
         "token", "pos", "n_seen", "n_true", "score")
 
 
+def _zipf(spark, sf_dir):
+    """A9 over the corpus words (the same words the sequences hold), read
+    straight from the documents instead of re-deriving the sequences."""
+    words = fx.fx_toks(spark, sf_dir).filter(F.length("w") > 0).select(F.col("w").alias("token"))
+    return ft.zipf_table(words)
+
+
 def _features(spark, sf_dir):
     seqs = ws.labelled_sequences(spark, sf_dir)
     return _featurise_with_lemma(spark, sf_dir, seqs)
@@ -30,8 +37,8 @@ def _featurise_with_lemma(spark, sf_dir, seqs):
     rows = ft.token_rows(seqs)
     rows = tag_tokens(rows, "token", fx.fx_lexicon(spark, sf_dir))
     rows = rows.select("*", *ft.token_scalar_features(F.col("token")))
-    z = bounded_broadcast(ft.zipf_table(rows).select(F.col("word").alias("_zw"),
-                                                     F.col("zipf").alias("_zipf")))
+    z = bounded_broadcast(_zipf(spark, sf_dir).select(F.col("word").alias("_zw"),
+                                                      F.col("zipf").alias("_zipf")))
     rows = rows.join(z, F.lower(F.col("stripped")) == F.col("_zw"), "left")
     rows = rows.withColumn("frequency", F.coalesce(F.col("_zipf"), F.lit(0.0)))
     psy = ft.psy_lexicon(fx.fx_psy(spark, sf_dir))
@@ -56,7 +63,7 @@ def q_features(spark, sf_dir):
     lex = fx.fx_lexicon(spark, sf_dir)
     psy = ft.psy_lexicon(fx.fx_psy(spark, sf_dir))
     cj = ft.cefr_lexicon(fx.fx_cefr_vocab(spark, sf_dir))
-    return ft.sort_features(ft.featurise(seqs, lex, psy, cj))
+    return ft.sort_features(ft.featurise(seqs, lex, psy, cj, _zipf(spark, sf_dir)))
 
 
 @query("feat_token")
@@ -111,7 +118,7 @@ def q_tag_tokens(spark, sf_dir):
 
 @query("zipf_table")
 def q_zipf_table(spark, sf_dir):
-    return ft.zipf_table(ft.token_rows(ws.labelled_sequences(spark, sf_dir)))
+    return _zipf(spark, sf_dir)
 
 
 @query("lex_psy")
@@ -612,8 +619,7 @@ def q_stream_features(spark, sf_dir):
     lex = fx.fx_lexicon(spark, sf_dir)
     psy = ft.psy_lexicon(fx.fx_psy(spark, sf_dir))
     cj = ft.cefr_lexicon(fx.fx_cefr_vocab(spark, sf_dir))
-    rows = ft.token_rows(ws.labelled_sequences(spark, sf_dir))
-    zipf = ft.zipf_table(rows)
+    zipf = _zipf(spark, sf_dir)
     out, ck = scratch_path(spark, "stream-out"), scratch_path(spark, "stream-ckpt")
     run_to_parquet(feature_stream(spark, src, lex, psy, cj, zipf), out, ck)
     return spark.read.parquet(out)
