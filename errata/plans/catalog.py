@@ -623,3 +623,12 @@ def q_stream_features(spark, sf_dir):
     out, ck = scratch_path(spark, "stream-out"), scratch_path(spark, "stream-ckpt")
     run_to_parquet(feature_stream(spark, src, lex, psy, cj, zipf), out, ck)
     return spark.read.parquet(out)
+
+
+@query("merge_ops")
+def q_merge_ops(spark, sf_dir):
+    from errata.operators.merge import merge_ops
+    m = merge_ops(_sents(spark, sf_dir))
+    return m.select("essay_id", "coder", "para_no", "strategy", F.col("o_start").cast("bigint").alias("o_start"),
+                    F.col("o_end").cast("bigint").alias("o_end"), F.col("c_start").cast("bigint").alias("c_start"),
+                    F.col("c_end").cast("bigint").alias("c_end"), "ops")

@@ -406,3 +406,33 @@ register("src_tsv", "SELECT seq_id, token_seq, label_seq, cefr, row_i FROM o_seq
 register("combine", """
 SELECT q.seq_id, q.token_seq, q.label_seq, CASE WHEN p.split = 'test' THEN NULL ELSE q.cefr END AS cefr, q.row_i
 FROM o_seqs q JOIN o_split p ON p.seq_id = q.seq_id""")
+
+DERIVED_CTES["o_ops"] = """
+SELECT essay_id, coder, para_no, op, p, r, n2, kk FROM (
+  SELECT essay_id, coder, para_no, ts AS p, 0 AS r, edit_no AS n2, k AS kk,
+         CASE WHEN k < least(te - ts, ncor) THEN 'S' WHEN te - ts > ncor THEN 'D' ELSE 'I' END AS op
+  FROM (SELECT *, unnest(generate_series(0, greatest(te - ts, ncor) - 1)) AS k FROM o_cspans
+        WHERE greatest(te - ts, ncor) > 0)
+  UNION ALL
+  SELECT c.essay_id, c.coder, t.para_no, t.tok_i AS p, 1 AS r, 0 AS n2, 0 AS kk, 'M' AS op
+  FROM o_ep_tokens t JOIN (SELECT DISTINCT essay_id, coder FROM fx_edits) c ON c.essay_id = t.essay_id
+  WHERE NOT EXISTS (SELECT 1 FROM o_cspans x WHERE x.essay_id = t.essay_id AND x.coder = c.coder
+                    AND x.para_no = t.para_no AND t.tok_i >= x.ts AND t.tok_i < x.te))"""
+DERIVED_CTES["o_ops2"] = """
+SELECT *, coalesce(sum(CASE WHEN op = 'I' THEN 0 ELSE 1 END) OVER wb, 0) AS o_pos,
+          coalesce(sum(CASE WHEN op = 'D' THEN 0 ELSE 1 END) OVER wb, 0) AS c_pos,
+          sum(CASE WHEN op = 'M' THEN 1 ELSE 0 END) OVER wc AS g_merge,
+          sum(CASE WHEN lg IS NOT DISTINCT FROM op THEN 0 ELSE 1 END) OVER wc AS g_equal,
+          row_number() OVER w0 AS g_split
+FROM (SELECT *, lag(op) OVER w0 AS lg FROM o_ops WINDOW w0 AS (PARTITION BY essay_id, coder, para_no ORDER BY p, r, n2, kk))
+WINDOW w0 AS (PARTITION BY essay_id, coder, para_no ORDER BY p, r, n2, kk),
+       wb AS (PARTITION BY essay_id, coder, para_no ORDER BY p, r, n2, kk ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING),
+       wc AS (PARTITION BY essay_id, coder, para_no ORDER BY p, r, n2, kk ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)"""
+register("merge_ops", """
+SELECT essay_id, coder, para_no, strategy, CAST(min(o_pos) AS BIGINT) AS o_start,
+       CAST(max(o_pos + CASE WHEN op = 'I' THEN 0 ELSE 1 END) AS BIGINT) AS o_end,
+       CAST(min(c_pos) AS BIGINT) AS c_start, CAST(max(c_pos + CASE WHEN op = 'D' THEN 0 ELSE 1 END) AS BIGINT) AS c_end,
+       string_agg(op, '' ORDER BY p, r, n2, kk) AS ops
+FROM (SELECT *, unnest(['all-split', 'all-merge', 'all-equal']) AS strategy FROM o_ops2 WHERE op <> 'M')
+GROUP BY essay_id, coder, para_no, strategy,
+         CASE strategy WHEN 'all-split' THEN g_split WHEN 'all-merge' THEN g_merge ELSE g_equal END""")
