@@ -44,15 +44,3 @@ def label_value(covered: Column) -> Column:
 def mask_label(label: Column, pos: Column) -> Column:
     """Tokens outside the four content parts of speech are ``NONE``."""
     return F.when(pos.isin(*CONTENT_TAGS), label).otherwise(F.lit(LABEL_NONE))
-
-
-def label_positions_sql(n: str, edits: str) -> str:
-    """Labels for positions 0..n-1 from token-unit edits ``[start, end)``.
-
-    ``edits`` is an array of struct(start, end, cat); coders are united and an
-    empty span marks nothing.
-    """
-    sel = ", ".join("'" + x + "'" for x in SELECTED_LABELS)
-    return (f"IF({n} > 0, transform(sequence(0, {n} - 1), i -> "
-            f"IF(exists({edits}, x -> x.cat IN ({sel}) AND x.start <= i AND i < x.end), "
-            f"'{LABEL_TRUE}', '{LABEL_FALSE}')), CAST(array() AS array<string>))")

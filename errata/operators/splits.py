@@ -3,7 +3,8 @@
 Rows are ordered by ``md5(seed || '_' || salt || id)``; the first
 ``ceil(share * n)`` go to test. The cut is found without a global sort:
 a histogram over the first four hex digits (65,536 buckets) gives the
-boundary bucket, and only that bucket's rows are ranked.
+boundary bucket, and only that bucket's rows are ranked to find the last
+test key; every row is then placed by comparing its key with that scalar.
 """
 
 from __future__ import annotations
@@ -34,10 +35,10 @@ def split_exact(df: DataFrame, idcol: str, share: float = TEST_SHARE, seed: int
     before = cum.filter(F.col("_b") < cut).select(F.coalesce(F.sum("_n"), F.lit(0))).scalar()
     edge = x.filter(F.col("_b") == cut)
     edge = edge.withColumn("_r", F.row_number().over(Window.partitionBy("_b").orderBy("_h", idcol)))
-    edge_ids = edge.filter(F.col("_r") <= k - before).select(F.col(idcol).alias("_eid"))
-    x = x.join(bounded_broadcast(edge_ids), F.col(idcol) == F.col("_eid"), "left")
-    is_right = (F.col("_b") < cut) | F.col("_eid").isNotNull()
-    return x.withColumn("split", F.when(is_right, right).otherwise(left)).drop("_h", "_b", "_eid")
+    h_cut = edge.filter(F.col("_r") == k - before).select("_h").scalar()   # last test key
+    is_right = (F.col("_b") < cut) | ((F.col("_b") == cut) & (F.col("_h") <= h_cut))
+    return x.withColumn("split", F.when(F.coalesce(is_right, F.lit(False)), right)
+                        .otherwise(left)).drop("_h", "_b")
 
 
 def split_rows(df: DataFrame, idcol: str, create_dev: bool = False, share: float = TEST_SHARE,

@@ -87,3 +87,29 @@ def test_token_offsets_point_at_tokens(spark):
 
 def test_token_pattern_is_shared():
     assert TOKEN_RE.startswith(r"[\p{L}\p{M}\p{N}]+")
+
+
+def test_invert_twice_gives_original(spark):
+    from errata.operators import m2
+    a_t = "array<struct<start:int,end:int,cat:string,cor:array<string>,coder:string>>"
+    rows = [(["a", "b", "c", "d", "e"], [(1, 2, "R", ["X", "Y"], "0"), (3, 3, "M", ["Z"], "0"),
+                                          (4, 5, "U", [], "0")]),
+            (["He", "go", "home", "."], [(1, 2, "R:VERB", ["goes"], "0")]),
+            (["x"], [(-1, -1, "noop", ["-NONE-"], "0")])]
+    df = spark.createDataFrame(rows, f"tokens array<string>, edits {a_t}")
+    once = m2.invert_blocks(df)
+    twice = m2.invert_blocks(once).collect()
+    assert [r.tokens for r in twice] == [r[0] for r in rows]
+
+
+def test_split_parts_exact_disjoint_complete(spark):
+    from errata.operators import splits as spl
+    for n in (1, 9, 10, 11, 29, 101, 1000):
+        df = spark.createDataFrame([(f"id{i}",) for i in range(n)], "seq_id string")
+        out = spl.split_rows(df, "seq_id", create_dev=True).collect()
+        ids = [r.seq_id for r in out]
+        assert sorted(ids) == sorted(f"id{i}" for i in range(n))
+        test = sum(r.split == "test" for r in out)
+        dev = sum(r.split == "dev" for r in out)
+        assert test == spl.test_size(n)
+        assert dev == spl.test_size(n - test)
