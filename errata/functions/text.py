@@ -49,31 +49,26 @@ def tokens(c: Column) -> Column:
     return F.regexp_extract_all(c, F.lit(TOKEN_RE), 0)
 
 
-# Token starts / ends in linear time from the ASCII class string (w word,
-# j joiner, o other, blank). One regex pass marks every code point that
-# continues a token with ``c``: a word char after a word char, a word char
-# after a joiner that follows a word char, a joiner between word chars
-# (look-arounds see the unmarked string). Starts are the remaining
-# non-blank marks; a token's last code point is one not followed by ``c``.
-CONT_RE = r"(?<=w)w|(?<=wj)w|(?<=w)j(?=w)"
-
-
-def char_classes_sql(text: str) -> str:
-    w = f"regexp_replace({text}, {sql_str(WORD_CHAR)}, 'w')"
-    b = f"regexp_replace({w}, {sql_str(PY_WS)}, ' ')"
-    j = f"regexp_replace({b}, '[-\\']', 'j')"
-    return f"regexp_replace({j}, '[^wj ]', 'o')"
+# Token starts / ends in linear time, for text whose only whitespace is the
+# blank (cleaned paragraphs). Word characters become ``w``; one regex pass then
+# marks every code point that continues a token with ``c``: a word char after
+# a word char, a word char after a joiner (- or ') that follows a word char, a
+# joiner between word chars (look-arounds see the unmarked string). Starts
+# are the remaining non-blank code points; a token's last code point is one
+# not followed by ``c``.
+CONT_RE = r"(?<=w)w|(?<=w[-'])w|(?<=w)[-'](?=w)"
 
 
 def token_bounds_sql(text: str) -> str:
     """struct(starts, ends): token offsets of ``text``, linear in its length."""
-    marked = f"regexp_replace({char_classes_sql(text)}, {sql_str(CONT_RE)}, 'c')"
+    words = f"regexp_replace({text}, {sql_str(WORD_CHAR)}, 'w')"
+    marked = f"regexp_replace({words}, {sql_str(CONT_RE)}, 'c')"
     body = ("named_struct('starts', filter(sequence(0, greatest(size(tb.m) - 1, 0)), "
-            "i -> tb.m[i] IN ('w', 'j', 'o')), "
+            "i -> tb.m[i] NOT IN ('c', ' ', '')), "
             "'ends', transform(filter(sequence(0, greatest(size(tb.e) - 1, 0)), "
             "i -> tb.e[i] = 'E'), i -> i + 1))")
     inner = let([("m", "split(tb0.m, '')"),
-                 ("e", "split(regexp_replace(tb0.m, '[wjoc](?!c)', 'E'), '')")], body, "tb")
+                 ("e", "split(regexp_replace(tb0.m, '[^ ](?!c)', 'E'), '')")], body, "tb")
     return let([("m", marked)], inner, "tb0")
 
 

@@ -77,22 +77,29 @@ def max_paragraph_length(paras: str = "paras") -> Column:
 
 def paragraph_rows(df: DataFrame, keys: list[str], text: str = "text") -> DataFrame:
     """One row per paragraph: keys, para_no, p_start, p_end, para (raw)."""
-    p = with_paragraphs(df.select(*keys, text), text)
-    return p.select(*keys, F.explode("paras").alias("_p")).select(*keys, "_p.*")
+    # inline() emits the struct fields as columns, so no field is extracted
+    # after the generator (extraction lets the optimiser copy the producer).
+    return df.select(*keys, F.inline(F.expr(paragraphs_sql(text))))
 
 
 def cleaning_sql(para: str) -> str:
     """P5 inputs for one paragraph, as struct(para_ws, clean, lead, wcl,
     doubles): each whitespace a blank; runs collapsed and one leading blank
     dropped; whether a blank was dropped; the blank mask as an array; the
-    positions i with blanks at i and i + 1."""
+    positions i with blanks at i and i + 1. The mask and the positions are
+    built only when the paragraph has two blanks in a row (otherwise no
+    offset moves but for the leading blank)."""
     ws = f"regexp_replace({para}, {sql_str(PY_WS)}, ' ')"
     clean = "regexp_replace(regexp_replace(c0.para_ws, ' {2,}', ' '), '^ ', '')"
-    doubles = ("filter(sequence(0, greatest(size(c1.dbl) - 1, 0)), i -> c1.dbl[i] = 'D')")
+    mask = "regexp_replace(c0.para_ws, '[^ ]', '.')"
+    empty = "CAST(array() AS array<string>)"
+    doubles = ("IF(c1.has2, filter(sequence(0, greatest(size(c1.dbl) - 1, 0)), i -> c1.dbl[i] = 'D'), "
+               "CAST(array() AS array<int>))")
     body = ("named_struct('para_ws', c0.para_ws, 'clean', c1.clean, "
-            "'lead', coalesce(c1.wcl[0] = ' ', false), 'wcl', c1.wcl, 'doubles', " + doubles + ")")
-    e = let([("clean", clean), ("wcl", "split(regexp_replace(c0.para_ws, '[^ ]', '.'), '')"),
-             ("dbl", "split(regexp_replace(regexp_replace(c0.para_ws, '[^ ]', '.'), ' (?= )', 'D'), '')")],
+            "'lead', coalesce(left(c0.para_ws, 1) = ' ', false), 'wcl', c1.wcl, 'doubles', " + doubles + ")")
+    e = let([("clean", clean), ("has2", "instr(c0.para_ws, '  ') > 0"),
+             ("wcl", f"IF(instr(c0.para_ws, '  ') > 0, split({mask}, ''), {empty})"),
+             ("dbl", f"IF(instr(c0.para_ws, '  ') > 0, split(regexp_replace({mask}, ' (?= )', 'D'), ''), {empty})")],
             body, "c1")
     return let([("para_ws", ws)], e, "c0")
 
@@ -100,8 +107,7 @@ def cleaning_sql(para: str) -> str:
 def with_clean(df: DataFrame, para: str = "para") -> DataFrame:
     """P5 + P8 inputs as columns ``para_ws``, ``clean``, ``lead``, ``wcl``,
     ``doubles`` (see ``cleaning_sql``)."""
-    df = df.withColumn("_cl", F.expr(cleaning_sql(para)))
-    return df.select("*", "_cl.*").drop("_cl")
+    return df.select("*", F.inline(F.array(F.expr(cleaning_sql(para)))))
 
 
 def remap_sql(o: str, c: str = "") -> str:
@@ -129,6 +135,5 @@ def trim_end_sql(s: str, e: str, para: str = "clean") -> str:
 
 def with_tokens(df: DataFrame, text: str = "clean") -> DataFrame:
     """E5: ``toks`` (strings), ``starts`` and ``ends`` (code point offsets)."""
-    df = df.withColumn("_tb", F.expr(token_bounds_sql(text)))
-    df = df.withColumn("toks", tokens(F.col(text)))
-    return df.select("*", "_tb.*").drop("_tb")
+    df = df.select("*", F.inline(F.array(F.expr(token_bounds_sql(text)))))
+    return df.withColumn("toks", tokens(F.col(text)))
