@@ -229,9 +229,10 @@ def q_clean_para(spark, sf_dir):
 
 def _ws_offsets(df):
     from errata.functions.letbind import let
-    offs = ("filter(sequence(0, size(v.wcl)), o -> o = 0 OR o = size(v.wcl) "
-            "OR get(v.wcl, o - 1) = ' ' OR get(v.wcl, o) = ' ')")
-    return df.withColumn("offs", F.expr(let([("wcl", "wcl")], offs)))
+    offs = ("filter(sequence(0, size(v.bl)), o -> o = 0 OR o = size(v.bl) "
+            "OR get(v.bl, o - 1) = ' ' OR get(v.bl, o) = ' ')")
+    mask = "split(regexp_replace(para_ws, '[^ ]', '.'), '')"
+    return df.withColumn("offs", F.expr(let([("bl", mask)], offs)))
 
 
 @query("remap_offsets")
@@ -245,7 +246,7 @@ def q_remap_offsets(spark, sf_dir):
 def q_trim_spans(spark, sf_dir):
     d = _ws_offsets(_dirty_clean(spark, sf_dir))
     d = d.withColumn("k", F.explode(F.expr("sequence(0, size(offs) - 2)")))
-    d = d.filter(F.col("k") < F.size("offs") - 1)
+    d = d.filter((F.col("k") >= 0) & (F.col("k") < F.size("offs") - 1))
     d = d.withColumn("o_start", F.expr("offs[k]")).withColumn("o_end", F.expr("offs[k + 1]"))
     d = d.withColumn("s", F.expr(pg.remap_sql("o_start"))).withColumn("e", F.expr(pg.remap_sql("o_end")))
     d = d.withColumn("s", F.col("s").cast("int")).withColumn("e", F.col("e").cast("int"))
