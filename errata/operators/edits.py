@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from errata.functions.text import normalise_punct
-from errata.operators.paragraphs import with_paragraphs
+from errata.operators.paragraphs import paragraphs_sql
 
 
 def edit_kinds(edits: DataFrame) -> DataFrame:
@@ -25,7 +25,7 @@ def edit_kinds(edits: DataFrame) -> DataFrame:
 
 def paragraph_bounds(essays: DataFrame, text: str = "text") -> DataFrame:
     """Per essay, the sorted paragraph starts and ends (one small row)."""
-    p = with_paragraphs(essays.select("essay_id", text), text)
+    p = essays.select("essay_id", F.expr(paragraphs_sql(text, with_text=False)).alias("paras"))
     return p.select("essay_id",
                     F.expr("transform(paras, x -> x.p_start)").alias("pstarts"),
                     F.expr("transform(paras, x -> x.p_end)").alias("pends"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from errata.constants import CEFR_J_POS_MAP, CEFR_LEVELS, FIELD_SEP, PSY_POS_MAP
+from errata.constants import CEFR_J_POS_MAP, CEFR_LEVELS, PSY_POS_MAP
 from errata.functions.text import strip_ascii_punct
 from errata.operators.lookup import bounded_broadcast, two_step_lookup
 from errata.operators.tagging import tag_tokens

@@ -13,7 +13,6 @@ from pyspark.sql import functions as F
 from errata.constants import (FIELD_SEP, LABEL_FALSE, LABEL_TRUE, NONE_TOKEN, NOOP_TYPE,
                               PY_WS, REQUIRED, SELECTED_LABELS)
 from errata.functions.letbind import let, sql_str
-from errata.operators.lookup import two_step_lookup
 from errata.operators.tagging import tag_tokens
 
 SEP_RE = r"\|\|\|"

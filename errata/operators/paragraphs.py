@@ -18,7 +18,7 @@ from errata.functions.text import STRIP_RE, token_bounds_sql, tokens
 PARA_TYPE = "array<struct<para_no:int,p_start:int,p_end:int,para:string>>"
 
 
-def paragraphs_sql(text: str) -> str:
+def paragraphs_sql(text: str, with_text: bool = True) -> str:
     """W2 + W1: ``text`` -> array of struct(para_no, p_start, p_end, para).
 
     A line (split on newline) is long when its stripped length is over 25,
@@ -42,8 +42,8 @@ def paragraphs_sql(text: str) -> str:
     item = ("named_struct('para_no', j, "
             f"'p_start', {lstart.format(k=a)}, "
             f"'p_end', IF(j + 1 < size(v4.starts), {lstart.format(k='v4.starts[j + 1]')}, v0.n), "
-            f"'para', concat(array_join(slice(v0.lines, {a} + 1, {b} - {a}), '\\n'), "
-            "IF(j + 1 < size(v4.starts), '\\n', '')))")
+            + (f"'para', concat(array_join(slice(v0.lines, {a} + 1, {b} - {a}), '\\n'), "
+               "IF(j + 1 < size(v4.starts), '\\n', '')))" if with_text else "'para', CAST(NULL AS STRING))"))
     body = (f"IF(size(v4.starts) = 0, CAST(array() AS {PARA_TYPE}), "
             f"transform(sequence(0, size(v4.starts) - 1), j -> {item}))")
     e = let([("starts", starts)], body, "v4")

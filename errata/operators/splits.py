@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from errata.constants import SPLIT_SEED, TEST_SHARE
 from errata.operators.lookup import bounded_broadcast
+from errata.session import checkpoint_root
 
 
 def _order_key(idcol: F.Column, seed: int, salt: str) -> F.Column:
@@ -27,13 +28,17 @@ def split_exact(df: DataFrame, idcol: str, share: float = TEST_SHARE, seed: int
     """Add ``split`` = right for the first ceil(share * n) rows by key."""
     x = df.withColumn("_h", _order_key(F.col(idcol), seed, salt))
     x = x.withColumn("_b", F.conv(F.substring("_h", 1, 4), 16, 10).cast("int"))
-    counts = x.groupBy("_b").agg(F.count(F.lit(1)).alias("_n"))      # <= 65,536 rows
+    # The scalars below read a narrow (id, key, bucket) table written once to
+    # the shared checkpoint folder, not the whole input plan again.
+    checkpoint_root(df.sparkSession)
+    keys = x.select(idcol, "_h", "_b").checkpoint(eager=True)
+    counts = keys.groupBy("_b").agg(F.count(F.lit(1)).alias("_n"))   # <= 65,536 rows
     n = counts.select(F.sum("_n")).scalar()
     k = F.ceil(F.lit(float(share)) * n)  # float product, as the reference computes it
     cum = counts.withColumn("_cum", F.sum("_n").over(Window.orderBy("_b")))   # bounded table
     cut = cum.filter(F.col("_cum") >= k).select(F.min("_b")).scalar()
     before = cum.filter(F.col("_b") < cut).select(F.coalesce(F.sum("_n"), F.lit(0))).scalar()
-    edge = x.filter(F.col("_b") == cut)
+    edge = keys.filter(F.col("_b") == cut)
     edge = edge.withColumn("_r", F.row_number().over(Window.partitionBy("_b").orderBy("_h", idcol)))
     h_cut = edge.filter(F.col("_r") == k - before).select("_h").scalar()   # last test key
     is_right = (F.col("_b") < cut) | ((F.col("_b") == cut) & (F.col("_h") <= h_cut))

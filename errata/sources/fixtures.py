@@ -47,18 +47,14 @@ def fx_dirty(spark: SparkSession, sf_dir: str) -> DataFrame:
 def fx_toks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Blank/newline separated words with their start offset ``cs``.
 
-    Word i starts one past the (i-1)-th separator, so the offsets come from
-    the separator positions within the row: no shuffle or sort of words (the
-    same values as a running sum of lengths over each essay's words).
+    A running sum of lengths over each essay's words: one shuffle by essay,
+    which Spark reuses across the fixtures built on these words.
     """
-    from errata.functions.letbind import let
     e = fx_essays(spark, sf_dir)
-    mask = "split(regexp_replace(regexp_replace(text, '[^ \\n]', '.'), '\\n', ' '), '')"
-    seps = "filter(sequence(0, size(v0.m) - 1), k -> v0.m[k] = ' ')"
-    body = ("transform(split(text, '[ \\n]', -1), (w, i) -> named_struct('i', i, 'w', w, "
-            "'cs', CAST(IF(i = 0, 0, v1.sep[i - 1] + 1) AS BIGINT)))")
-    rows = let([("m", mask)], let([("sep", seps)], body, "v1"), "v0")
-    return e.select("essay_id", F.inline(F.expr(rows)))
+    w = Window.partitionBy("essay_id").orderBy("i")
+    x = e.select("essay_id", F.posexplode(F.split("text", "[ \n]")).alias("i", "w"))
+    cs = (F.sum(F.length("w") + 1).over(w) - F.length("w") - 1).cast("bigint")
+    return x.select("essay_id", "i", "w", cs.alias("cs"))
 
 
 def fx_edits(spark: SparkSession, sf_dir: str) -> DataFrame:
