@@ -63,17 +63,16 @@ def _token_edit_sql() -> str:
         f"WHEN x.s >= r.ends[{n} - 1] THEN named_struct('ts', {n}, 'te', {n}, 'xp', false, 'cs', x.s, 'ce', x.e) "
         f"WHEN q.ps > 0 THEN named_struct('ts', q.ps - 1, 'te', q.ps - 1, 'xp', false, 'cs', x.s, 'ce', x.e) "
         f"WHEN q.pe > 0 THEN named_struct('ts', q.pe, 'te', q.pe, 'xp', false, 'cs', x.s, 'ce', x.e) "
-        f"ELSE named_struct('ts', CAST(array_position(r.starts, q.ls) AS INT) - 1, 'te', CAST(array_position(r.ends, q.fe) AS INT), "
-        f"'xp', true, 'cs', q.ls, 'ce', q.fe) END "
+        f"ELSE named_struct('ts', CAST(array_position(r.starts, array_max(filter(r.starts, t -> t <= x.s))) AS INT) - 1, 'te', CAST(array_position(r.ends, array_min(filter(r.ends, t -> t > x.e))) AS INT), "
+        f"'xp', true, 'cs', array_max(filter(r.starts, t -> t <= x.s)), 'ce', array_min(filter(r.ends, t -> t > x.e))) END "
         f"WHEN q.ps > 0 AND q.pe > 0 THEN named_struct('ts', q.ps - 1, 'te', q.pe, 'xp', false, 'cs', x.s, 'ce', x.e) "
-        f"ELSE named_struct('ts', CAST(array_position(r.starts, IF(q.ps > 0, x.s, coalesce(q.ls, r.starts[{n} - 1]))) AS INT) - 1, "
-        f"'te', CAST(array_position(r.ends, IF(q.pe > 0, x.e, coalesce(q.fe, r.ends[{n} - 1]))) AS INT), 'xp', true, "
-        f"'cs', IF(q.ps > 0, x.s, coalesce(q.ls, r.starts[{n} - 1])), "
-        f"'ce', IF(q.pe > 0, x.e, coalesce(q.fe, r.ends[{n} - 1]))) END")
+        f"ELSE named_struct('ts', CAST(array_position(r.starts, IF(q.ps > 0, x.s, coalesce(array_max(filter(r.starts, t -> t <= x.s)), r.starts[{n} - 1]))) AS INT) - 1, "
+        f"'te', CAST(array_position(r.ends, IF(q.pe > 0, x.e, coalesce(array_min(filter(r.ends, t -> t > x.e)), r.ends[{n} - 1]))) AS INT), 'xp', true, "
+        f"'cs', IF(q.ps > 0, x.s, coalesce(array_max(filter(r.starts, t -> t <= x.s)), r.starts[{n} - 1])), "
+        f"'ce', IF(q.pe > 0, x.e, coalesce(array_min(filter(r.ends, t -> t > x.e)), r.ends[{n} - 1]))) END")
     lookups = [("ps", "CAST(array_position(r.starts, x.s) AS INT)"),
                ("pe", "CAST(array_position(r.ends, x.e) AS INT)"),
-               ("ls", "array_max(filter(r.starts, t -> t <= x.s))"),
-               ("fe", "array_min(filter(r.ends, t -> t > x.e))")]
+               ]  # the nearest start / end are searched only in the branches needing them
     step3 = "transform(a.e2, x -> " + let(lookups, f"named_struct('x', x, 'k', {tokspan})", "q") + ")"
     # Drop an expanded edit starting before the end of the last kept one
     fold = ("aggregate(a.e3, named_struct('prev', 0, 'drop', CAST(array() AS array<int>)), "
