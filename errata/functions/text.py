@@ -60,15 +60,17 @@ CONT_RE = r"(?<=w)w|(?<=w[-'])w|(?<=w)[-'](?=w)"
 
 
 def token_bounds_sql(text: str) -> str:
-    """struct(starts, ends): token offsets of ``text``, linear in its length."""
+    """struct(starts, ends): token offsets of cleaned ``text`` (single blanks,
+    no leading run), linear in its length. Ends come from one pass over the
+    code points; each start is the previous end, plus one over a blank."""
     words = f"regexp_replace({text}, {sql_str(WORD_CHAR)}, 'w')"
     marked = f"regexp_replace({words}, {sql_str(CONT_RE)}, 'c')"
-    body = ("named_struct('starts', filter(sequence(0, greatest(size(tb.m) - 1, 0)), "
-            "i -> tb.m[i] NOT IN ('c', ' ', '')), "
-            "'ends', transform(filter(sequence(0, greatest(size(tb.e) - 1, 0)), "
-            "i -> tb.e[i] = 'E'), i -> i + 1))")
-    inner = let([("m", "split(tb0.m, '')"),
-                 ("e", "split(regexp_replace(tb0.m, '[^ ](?!c)', 'E'), '')")], body, "tb")
+    last = "filter(sequence(0, greatest(size(tb.e) - 1, 0)), i -> tb.e[i] = 'E')"
+    starts = ("transform(t2.last, (x, k) -> IF(k = 0, IF(tb.e[0] = ' ', 1, 0), "
+              "t2.last[k - 1] + 1 + IF(tb.e[t2.last[k - 1] + 1] = ' ', 1, 0)))")
+    body = f"named_struct('starts', {starts}, 'ends', transform(t2.last, i -> i + 1))"
+    inner = let([("e", "split(regexp_replace(tb0.m, '[^ ](?!c)', 'E'), '')")],
+                let([("last", last)], body, "t2"), "tb")
     return let([("m", marked)], inner, "tb0")
 
 
