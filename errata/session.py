@@ -48,15 +48,20 @@ def checkpoint_root(spark: SparkSession) -> str:
     """The shared folder named by ``spark.checkpoint.dir``.
 
     On a cluster the setting names a shared file system and is only read.
-    Where it is unset (tests, a laptop) a folder of our own is set once.
+    Where it is unset, a run on one machine gets a folder of its own; a
+    cluster gets an error, since executors do not share temporary folders.
     """
+    sc = spark.sparkContext
     path = spark.conf.get("spark.checkpoint.dir", None)
+    if path:
+        sc.setCheckpointDir(path)
+        return path
+    path = sc.getCheckpointDir()
     if not path:
-        path = spark.sparkContext.getCheckpointDir()
-    if not path:
-        path = tempfile.mkdtemp(prefix="errata-ckpt-")
-        spark.conf.set("spark.checkpoint.dir", path)
-    spark.sparkContext.setCheckpointDir(path)
+        if not sc.master.startswith("local[") and sc.master != "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        sc.setCheckpointDir(tempfile.mkdtemp(prefix="errata-ckpt-"))
+        path = sc.getCheckpointDir()
     return path
 
 
