@@ -71,11 +71,11 @@ def _repeat_words() -> str:
     return f"CASE WHEN size(w) < 3 THEN 0L ELSE {let([('s', windows)], inner)} END"
 
 
-def base_counts(docs: DataFrame) -> DataFrame:
-    """``row`` (the input row as a struct), the counts as longs, ``base_failed``."""
+def base_counts(docs: DataFrame, carry: list[str]) -> DataFrame:
+    """``row`` (a struct of the columns ``carry``), the counts as longs, ``base_failed``."""
     sp = _sql_space()
     wordy = f"filter(split(t, '\\n'), x -> x RLIKE '{sp.replace('[', '[^')}')"
-    body = docs.select(F.struct("*").alias("row"), F.coalesce(F.col("text"), F.lit("")).alias("t"))
+    body = docs.select(F.struct(*carry).alias("row"), F.coalesce(F.col("text"), F.lit("")).alias("t"))
     words = body.withColumn("w", F.expr(f"array_remove(split(t, '{sp}+'), '')"))
     counts = words.select(
         "row",
@@ -143,7 +143,7 @@ def thresholds(sketch: DataFrame) -> DataFrame:
     return own.groupBy(*GROUP).agg(*aggs)
 
 
-def judged(docs: DataFrame) -> DataFrame:
+def judged(docs: DataFrame, carry: list[str]) -> DataFrame:
     """``row``, counts, ``base_failed`` and ``kept`` for every row of ``docs``.
 
     The counts are written once to the shared folder: thresholds need all of
@@ -151,7 +151,7 @@ def judged(docs: DataFrame) -> DataFrame:
     planner sees its size; when too large to broadcast, each of its rows meets
     its documents in ``SALTS`` partitions.
     """
-    counts = written(base_counts(docs), "quality-counts")
+    counts = written(base_counts(docs, carry), "quality-counts")
     table = written(thresholds(written(sketches(counts), "quality-sketch")), "quality-limits")
     table = table.select(F.struct("*").alias("lim"),
                          F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
@@ -172,13 +172,12 @@ def quality_filter(docs: DataFrame) -> DataFrame:
     full = docs
     for c, kind in (("lang", "string"), ("source", "string"), ("doc_id", "long")):
         full = with_default(full, c, kind)
-    return judged(full).where("kept").select(*[F.col("row")[c].alias(c) for c in have])
+    return judged(full, full.columns).where("kept").select(*[F.col("row")[c].alias(c) for c in have])
 
 
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents")
-    return (judged(docs.select("doc_id", "text", *GROUP))
-            .select("row.doc_id", *COUNTS, "base_failed", "kept"))
+    return judged(docs, ["doc_id", *GROUP]).select("row.doc_id", *COUNTS, "base_failed", "kept")
 
 
 def _oracle() -> str:
@@ -195,8 +194,10 @@ def _oracle() -> str:
     qs = ", ".join(f"min(low) FILTER (cum * 100 >= total * {q}) AS q{q}" for q in (25, 50, 75))
     return rf"""
 WITH d AS (SELECT doc_id, lang, source, coalesce(text, '') AS t FROM documents),
-w AS (SELECT *, list_filter(string_split_regex(t, '[ 	-]+'), lambda x: x <> '') AS w,
-        list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^ 	-]')) AS l FROM d),
+w AS (SELECT *, list_filter(string_split_regex(t, '[ 	-
+]+'), lambda x: x <> '') AS w,
+        list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^ 	-
+]')) AS l FROM d),
 g AS (SELECT doc_id, unnest(range(1, len(w) - 1)) AS i, w FROM w WHERE len(w) >= 3),
 gs AS (SELECT doc_id, i, w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] AS s FROM g),
 rep AS (SELECT doc_id, i FROM (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, s) AS n FROM gs) WHERE n > 1),

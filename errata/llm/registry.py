@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from errata.llm import quality
+from errata.llm import packing, quality, simhash
 
 QUERIES = {
+    "op3_best_fit_packing": packing.op3_best_fit_packing,
     "op5_quality_rules": quality.op5_quality_rules,
+    "op7_simhash_near_dedup": simhash.op7_simhash_near_dedup,
 }
 ORACLE_SQL = {
     "op5_quality_rules": quality.ORACLE_SQL,
