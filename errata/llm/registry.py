@@ -2,13 +2,21 @@
 
 from __future__ import annotations
 
-from errata.llm import packing, quality, simhash
+from errata.llm import ann, mixing, packing, quality, sharding, simhash, suffix_dedup, warc
 
 QUERIES = {
+    "op2_warc_index_merge": warc.op2_warc_index_merge,
     "op3_best_fit_packing": packing.op3_best_fit_packing,
+    "op4_shard_table": sharding.op4_shard_table,
     "op5_quality_rules": quality.op5_quality_rules,
+    "op6_learned_partitions": ann.op6_learned_partitions,
     "op7_simhash_near_dedup": simhash.op7_simhash_near_dedup,
+    "op8_mix_to_targets": mixing.op8_mix_to_targets,
+    "op9_suffix_dedup": suffix_dedup.op9_suffix_dedup,
 }
 ORACLE_SQL = {
+    "op2_warc_index_merge": warc.ORACLE_SQL,
+    "op4_shard_table": sharding.ORACLE_SQL,
     "op5_quality_rules": quality.ORACLE_SQL,
+    "op9_suffix_dedup": suffix_dedup.ORACLE_SQL,
 }
