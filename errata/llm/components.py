@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from errata.llm.common import written
 
 #: Rounds in which each bucket tests one pivot, before the rest is tested in full.
-PIVOT_ROUNDS = 4
+PIVOT_ROUNDS = 2
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -47,33 +47,36 @@ def components(links: DataFrame) -> DataFrame:
 
 
 def live_buckets(members: DataFrame) -> DataFrame:
-    """Rows (key, id) of buckets with two ids or more, in one shuffle.
+    """Rows (key, id, prev) of buckets with two ids or more, in one shuffle.
 
-    Rows must be distinct. Each bucket is a sorted run that is only streamed
-    past its neighbours; nothing is gathered.
+    ``prev`` is the next smaller id of the bucket. Rows must be distinct. Each
+    bucket is a sorted run that is only streamed past its neighbours; nothing
+    is gathered.
     """
     w = W.partitionBy("key").orderBy("id")
-    seen = members.select("key", "id", F.lag("id").over(w).alias("p"), F.lead("id").over(w).alias("n"))
-    return seen.where("p IS NOT NULL OR n IS NOT NULL").select("key", "id")
+    seen = members.select("key", "id", F.lag("id").over(w).alias("prev"), F.lead("id").over(w).alias("n"))
+    return seen.where("prev IS NOT NULL OR n IS NOT NULL").select("key", "id", "prev")
 
 
 def bucket_components(live: DataFrame, verify: Callable[[DataFrame], DataFrame]) -> DataFrame:
     """(node, root) over every true link between ids that share a bucket.
 
     ``verify`` keeps the true links of candidate pairs (a, b). No bucket emits
-    all its pairs: in each round its smallest untested id, the pivot, meets the
-    bucket's other ids, which settles all pairs of that pivot. Buckets whose
-    ids have come together in one component need no more tests; what is left
-    after ``PIVOT_ROUNDS`` is tested in full, but across components only.
+    all its pairs. In each round its smallest untested id, the pivot, meets the
+    bucket's other ids, which settles all pairs of that pivot; the first round
+    also tests neighbours in the bucket's order. Buckets whose ids have come
+    together in one component need no more tests; what is left after
+    ``PIVOT_ROUNDS`` is tested in full, but across components only.
     The result is exact: a pair is skipped only when it is already connected.
     """
     live = written(live, "buckets")
+    beside = live.where("prev IS NOT NULL").select(F.col("prev").alias("a"), F.col("id").alias("b"))
     links = None
-    roots = None
     for k in range(PIVOT_ROUNDS + 1):
         if k < PIVOT_ROUNDS:
             pivots = live.groupBy("key").agg(F.min("id").alias("a"))
             pairs = live.join(pivots, "key").where("id <> a").select("a", F.col("id").alias("b"))
+            pairs = pairs.union(beside) if k == 0 else pairs
         else:
             left = live.select("key", F.col("id").alias("a"), F.col("root").alias("ra"))
             right = live.select("key", F.col("id").alias("b"), F.col("root").alias("rb"))
@@ -86,6 +89,7 @@ def bucket_components(live: DataFrame, verify: Callable[[DataFrame], DataFrame])
         rest = live.select("key", "id").join(pivots.withColumnRenamed("a", "id"), ["key", "id"], "left_anti")
         rest = (rest.join(roots.withColumnRenamed("node", "id"), "id", "left")
                 .select("key", "id", F.coalesce("root", "id").alias("root")))
+        rest = written(rest, "rest")
         open_keys = (rest.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi"))
                      .where("lo <> hi").select("key"))
         live = written(rest.join(open_keys, "key", "left_semi"), "buckets")
