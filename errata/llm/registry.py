@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from errata.llm import ann, mixing, packing, quality, sharding, simhash, suffix_dedup, warc
+from errata.llm import ann, html_extract, line_dedup, mixing, packing, quality, sharding, simhash, suffix_dedup, warc
 
 QUERIES = {
+    "op1_line_dedup": line_dedup.op1_line_dedup,
     "op2_warc_index_merge": warc.op2_warc_index_merge,
     "op3_best_fit_packing": packing.op3_best_fit_packing,
     "op4_shard_table": sharding.op4_shard_table,
@@ -13,6 +14,7 @@ QUERIES = {
     "op7_simhash_near_dedup": simhash.op7_simhash_near_dedup,
     "op8_mix_to_targets": mixing.op8_mix_to_targets,
     "op9_suffix_dedup": suffix_dedup.op9_suffix_dedup,
+    "op10_html_extraction": html_extract.op10_html_extraction,
 }
 ORACLE_SQL = {
     "op2_warc_index_merge": warc.ORACLE_SQL,
