@@ -18,6 +18,8 @@ empty result; extra columns are ignored. Ties go to the smaller piece number.
 from __future__ import annotations
 
 import itertools
+import json
+import re
 import zlib
 from bisect import bisect_left
 from collections import defaultdict
@@ -36,8 +38,8 @@ TOKENIZER = "word_bpe_49k.json"
 GROUP_PIECES = 40_000
 #: Bins at least this full are not packed again at the next level.
 FULL_ENOUGH = 0.98
-#: Chunks kept in a worker's memo, and the longest chunk it keeps.
-MEMO_CHUNKS = 600_000
+#: Pieces kept in a worker's memo, and the longest piece it keeps.
+MEMO_PIECES = 600_000
 MEMO_CHARS = 64
 
 
@@ -46,40 +48,57 @@ def tokenizer_path(name: str = TOKENIZER) -> str:
     return public_tokenizers.path(name)
 
 
+def _byte_letters() -> dict[int, str]:
+    """How byte-level vocabularies write each byte: printable ones as they are, the rest from 256 on."""
+    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    rest = [b for b in range(256) if b not in plain]
+    return {**{b: chr(b) for b in plain}, **{b: chr(256 + k) for k, b in enumerate(rest)}}
+
+
 class Encoder:
-    """Token ids as little-endian 32-bit bytes, with a bounded memo of chunks.
+    """Token ids as little-endian 32-bit bytes, with a bounded memo of pieces.
 
-    The vocabulary's pre-tokenizer never joins characters across white space,
-    and its normalizer works within what stands between spaces and newlines; so
-    the ids of a text are those of its chunks, one after the other.
+    The vocabulary's normalizer and pre-tokenizer are spelled out here for the
+    characters of Latin-1, on which they only lower letters and cut the text
+    into runs; each run is then encoded by the library's model, once. Texts
+    with any other character go through the library whole, as do all texts if
+    the vocabulary file has other rules.
     """
 
+    # Fixed value: the pre-tokenizer's pattern in the vocabulary file.
+    PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+    LETTERS = "a-z\xaa\xb5\xba\xdf-\xf6\xf8-\xff"
+    NUMBERS = "0-9\xb2\xb3\xb9\xbc-\xbe"
+    OTHER = re.compile("[^\t\n\x0b\x0c\r -~\xa1-\xac\xae-\xff]|<[|]")
+
     def __init__(self, path: str):
         from tokenizers import Tokenizer
         self.tok = Tokenizer.from_file(path)
+        self.model = self.tok.model
         self.memo: dict[str, bytes] = {}
-
-    def _new(self, chunks: list[str]) -> list[bytes]:
-        """Ids of each chunk; one call, so that its cost is shared."""
-        e = self.tok.encode(chunks, is_pretokenized=True, add_special_tokens=False)
-        ids = np.array(e.ids, dtype="<u4").tobytes()
-        ends = 4 * np.cumsum(np.bincount(np.array(e.word_ids, dtype=np.int64), minlength=len(chunks)))
-        return [ids[a:b] for a, b in zip([0, *ends.tolist()], ends.tolist())]
+        rules = json.loads(self.tok.to_str())
+        kinds = [n.get("type") for n in (rules.get("normalizer") or {}).get("normalizers", [])]
+        steps = (rules.get("pre_tokenizer") or {}).get("pretokenizers", [{}])
+        self.known = kinds == ["NFC", "Replace", "Lowercase"] and len(steps) == 2 and \
+            steps[0].get("pattern") == {"Regex": self.PATTERN} and steps[1].get("type") == "ByteLevel"
+        self.cut = re.compile(self.PATTERN.replace(r"\p{L}", self.LETTERS).replace(r"\p{N}", self.NUMBERS)).findall
+        self.letters = str.maketrans({chr(b): c for b, c in _byte_letters().items()})
+
+    def _run(self, piece: str) -> bytes:
+        """Ids of one run; the memo keeps what came first, which holds the frequent runs."""
+        found = self.model.tokenize(piece.encode().decode("latin-1").translate(self.letters))
+        ids = np.array([t.id for t in found], dtype="<u4").tobytes()
+        if len(self.memo) < MEMO_PIECES and len(piece) <= MEMO_CHARS:
+            self.memo[piece] = ids
+        return ids
 
     def __call__(self, text: str) -> bytes:
-        chunks = text.replace("\n", " ").split(" ")
-        memo = self.memo
-        parts = list(map(memo.get, chunks))
+        if not self.known or self.OTHER.search(text):
+            return np.array(self.tok.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
+        pieces = self.cut(text.lower())
+        parts = list(map(self.memo.get, pieces))
         if None in parts:
-            todo = list(dict.fromkeys(c for c, p in zip(chunks, parts) if p is None))
-            here: dict[str, bytes] = {}
-            for k in range(0, len(todo), 10_000):
-                part = todo[k:k + 10_000]
-                here.update(zip(part, self._new(part)))
-            # The memo keeps what came first, which holds the frequent chunks.
-            if len(memo) < MEMO_CHUNKS:
-                memo.update((c, b) for c, b in here.items() if len(c) <= MEMO_CHARS)
-            parts = [here[c] if p is None else p for c, p in zip(chunks, parts)]
+            parts = [self.memo.get(w) or self._run(w) if p is None else p for w, p in zip(pieces, parts)]
         return b"".join(parts)
 
 
@@ -168,23 +187,26 @@ def _exchange(taker: list[int], room: int, giver: list[int], lead: int, size: li
 
 
 def local_search(bins: list[list[int]], size: list[int], capacity: int,
-                 width: int = 48, steps: int = 4000) -> list[list[int]]:
+                 width: int = 32, passes: int = 40) -> list[list[int]]:
     """Swap-based local search among the ``width`` emptiest bins.
 
     Bins that fill up or run empty make way for the next emptiest ones. Ends
-    when no exchange raises the sum of squared fills, or after ``steps``.
+    when no exchange raises the sum of squared fills, when as few bins are left
+    as the tokens need, or after ``passes`` over all pairs of bins.
     """
     fill = [sum(size[i] for i in b) for b in bins]
+    fewest, count = -(-sum(fill) // capacity), len(bins)
     queue = sorted((k for k in range(len(bins)) if fill[k] < capacity), key=lambda k: (-fill[k], k))
     work: list[int] = []
-    moved = True
-    while moved and steps > 0:
+    for _ in range(passes):
         work = [k for k in work if bins[k] and fill[k] < capacity]
         while queue and len(work) < width:
             work.append(queue.pop())
         moved = False
         work.sort(key=lambda k: (-fill[k], k))
         for a, d in itertools.permutations(work, 2):
+            if count == fewest:
+                break
             if fill[a] == capacity or not bins[d] or not bins[a]:
                 continue
             found = _exchange(bins[a], capacity - fill[a], bins[d], fill[a] - fill[d], size)
@@ -194,10 +216,10 @@ def local_search(bins: list[list[int]], size: list[int], capacity: int,
                 bins[d] = [i for i in bins[d] if i not in give] + list(take)
                 fill[a] += won
                 fill[d] -= won
+                count -= not bins[d]
                 moved = True
-                steps -= 1
-                if steps == 0:
-                    break
+        if not moved:
+            break
     return [b for b in bins if b]
 
 

@@ -36,12 +36,18 @@ def check(rows, docs, capacity):
 
 
 @settings(max_examples=100, deadline=None)
-@given(st.text(alphabet="abX\u00e9\u03a3'st. ,1\n\t\u0308\u3000|<>", max_size=80))
-def test_chunks_give_the_ids_of_the_text(text):
+@given(st.text(alphabet="abXsTt\u00c9\u00df\u00b5\u00bd\u00ab\u00a0'. ,1\n\t|<>", max_size=80))
+def test_pieces_give_the_ids_of_the_text(text):
     enc = packing.encoder(packing.tokenizer_path())
     assert np.frombuffer(enc(text), "<u4").tolist() + [1] == slow_ids([text])[0]
 
 
+def test_other_alphabets_and_special_strings():
+    enc = packing.encoder(packing.tokenizer_path())
+    for text in ["\u03a3\u03b1\u03a3 a", "e\u0308 x", "a<|endoftext|>b", "\u0130i", "x\x1cy\x85z\u3000w", "\u4e2d\u6587", "a\xadb"]:
+        assert np.frombuffer(enc(text), "<u4").tolist() + [1] == slow_ids([text])[0]
+
+
 @settings(max_examples=100, deadline=None)
 @given(st.lists(st.integers(1, 50), max_size=60))
 def test_pack_is_a_partition(lengths):
