@@ -1,16 +1,60 @@
-"""Corpus cleaning pipeline."""
+"""Corpus pipeline: quality rules, line dedup, near-dedup, mixing, packing.
+
+Each stage gets what its predecessor kept, with the columns of ``documents``;
+the last one gives packed pieces. ``run`` writes each stage's rows as Parquet
+in the shared folder, and reads them back for the next.
+"""
 
 from __future__ import annotations
 
-from errata.llm import quality
+from pyspark.sql import DataFrame, SparkSession
+
+from errata.llm import line_dedup, mixing, packing, quality, simhash
+from errata.llm.common import read_table, written
+
+
+def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the rules reject go."""
+    return quality.quality_filter(docs)
+
+
+def line_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Each line that is alike an earlier one goes, and documents left without lines."""
+    return line_dedup.dedup_lines(docs)
+
+
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each SimHash group stays."""
+    return simhash.keep_first(docs)
+
+
+def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents are repeated or dropped by their fitted rate."""
+    return mixing.mix(docs, read_table(spark, sf_dir, "labels"))
+
+
+def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents as pieces with their sequence and place."""
+    return packing.packed_documents(docs)
+
+
+STAGES = [
+    ("quality rules", quality_rules),
+    ("line dedup", line_dedup_stage),
+    ("simhash near-dedup", near_dedup),
+    ("mixing to target weights", mixing_stage),
+    ("best-fit packing", packing_stage),
+]
 
-STAGES = [("quality rules", lambda spark, docs, sf_dir: quality.quality_filter(docs))]
+#: Fingerprints, a trained classifier and a packing search are beyond SQL; the
+#: stages are tested against brute force instead.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    from errata.llm.common import read_table, written
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents")
-    for k, (name, stage) in enumerate(STAGES):
+    for k, (_, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
+        if k + 1 < len(STAGES):
+            docs = written(docs, f"pipeline-{k}")
     return docs

@@ -148,6 +148,8 @@ class Page:
             del self._stack[k:]
 
     def _end(self, name: str) -> None:
+        if name in RAW:
+            return
         if name not in INLINE:
             self._blocks += 1
         if self._open.get(name):
@@ -361,14 +363,16 @@ class Composer:
                 f'<div class="{r.choice(sorted(WORD_GROUPS[4]))}">{inner}</div>'
         if kind == 4:
             inner = r.choice([self._para(), f"<p>{self._para()}</p>", f'<a href="//x">{self._short(8)}</a>', self._short(9)])
-            return f'<{r.choice(["div", "section", "p"])} class="{r.choice(sorted(WORD_GROUPS[5]))}">{inner}</div>'
+            t = r.choice(["div", "div", "section"] if "<p>" in inner else ["div", "section", "p"])
+            return f'<{t} class="{r.choice(sorted(WORD_GROUPS[5]))}">{inner}</{t}>'
         if kind == 5:
             inner = f"<p>{self._para()}</p><button>{self._short(2)}</button>" if r.random() < 0.5 else self._short(14)
             return f'<div {r.choice(["class", "id"])}="{r.choice(sorted(WORD_GROUPS[6]))}">{inner}</div>'
         if kind == 6:
             posts = "".join(f"<{t}{self._attr(7)}><b>{self._short(2)}</b> <p>{self._para()}</p></{t}>"
                             for t in [r.choice(["div", "li", "article"])] * r.randint(1, 5))
-            return f'<{"section" if r.random() < 0.4 else "div"} id="{r.choice(sorted(WORD_GROUPS[7]))}">{posts}</div>'
+            t = r.choice(["section", "div", "div"])
+            return f'<{t} id="{r.choice(sorted(WORD_GROUPS[7]))}">{posts}</{t}>'
         if kind == 7:
             return f"<form{self._attr(8)}><label>{self._short(3)}</label><input name='q'><button>{self._short(1)}</button></form>"
         return f'<div class="{r.choice(sorted(WORD_GROUPS[8]))}">{self._links(r.randint(2, 5))}</div>'

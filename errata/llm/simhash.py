@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from errata.llm.common import read_table, written
+from errata.llm.common import read_table, with_default, written
 from errata.llm.components import bucket_components, live_buckets
 
 SEED = 42
@@ -89,18 +89,37 @@ def fingerprint_components(prints: DataFrame, max_bits: int = MAX_BITS) -> DataF
     return bucket_components(live_buckets(variants(prints, max_bits)), verify)
 
 
+def _rooted(prints: DataFrame, max_bits: int) -> DataFrame:
+    """(fp, first, root) of every distinct fingerprint of ``prints(fp, at)``;
+    ``first`` is the least ``at`` of its rows."""
+    ids = written(prints.groupBy("fp").agg(F.min("at").alias("first")), "simhash-ids")
+    roots = fingerprint_components(ids.select(F.col("fp").alias("id")), max_bits)
+    return (ids.join(roots, ids["fp"] == roots["node"], "left")
+            .select("fp", "first", F.coalesce("root", "fp").alias("root")))
+
+
 def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, max_bits: int = MAX_BITS) -> DataFrame:
     """(doc_id, fp, component_id) for each row; component_id is the smallest doc_id reachable."""
     prints = written(docs.select("doc_id", fingerprints(docs, shingle).alias("fp")), "simhash")
-    ids = written(prints.groupBy("fp").agg(F.min("doc_id").alias("least")), "simhash-ids")
-    roots = fingerprint_components(ids.select(F.col("fp").alias("id")), max_bits)
-    rooted = (ids.join(roots, ids["fp"] == roots["node"], "left")
-              .select("fp", "least", F.coalesce("root", "fp").alias("root")))
-    named = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
+    rooted = _rooted(prints.withColumn("at", F.col("doc_id")), max_bits)
+    named = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
     table = written(rooted.join(named, "root").select("fp", "component_id"), "simhash-components")
     return prints.join(table, "fp")
 
 
+def keep_first(docs: DataFrame, shingle: int = SHINGLE, max_bits: int = MAX_BITS) -> DataFrame:
+    """One row of each component of ``docs``: the one with the smallest doc_id
+    (null last), of repeated rows any one. All columns stay as they are."""
+    have = docs.columns
+    full = with_default(docs, "doc_id", "long")
+    rows = full.select(F.struct(*full.columns).alias("row"), fingerprints(full, shingle).alias("fp"))
+    rows = written(rows.withColumn("rid", F.monotonically_increasing_id()), "simhash-rows")
+    at = F.struct(F.col("row.doc_id").isNull().alias("no_id"), F.col("row.doc_id").alias("doc_id"), "rid")
+    rooted = _rooted(rows.select("fp", at.alias("at")), max_bits)
+    stay = written(rooted.groupBy("root").agg(F.min("first").alias("first")).select("first.rid"), "simhash-stay")
+    return rows.join(stay, "rid", "left_semi").select(*[F.col("row")[c].alias(c) for c in have])
+
+
 def op7_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = near_duplicates(read_table(spark, sf_dir, "documents"))
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
