@@ -44,36 +44,6 @@ def clean_text(c: Column) -> Column:
     return F.regexp_replace(collapse_blanks(blank_whitespace(c)), "^ ", "")
 
 
-def tokens(c: Column) -> Column:
-    """E5: token strings in text order."""
-    return F.regexp_extract_all(c, F.lit(TOKEN_RE), 0)
-
-
-# Token starts / ends in linear time, for text whose only whitespace is the
-# blank (cleaned paragraphs). Word characters become ``w``; one regex pass then
-# marks every code point that continues a token with ``c``: a word char after
-# a word char, a word char after a joiner (- or ') that follows a word char, a
-# joiner between word chars (look-arounds see the unmarked string). Starts
-# are the remaining non-blank code points; a token's last code point is one
-# not followed by ``c``.
-CONT_RE = r"(?<=w)w|(?<=w[-'])w|(?<=w)[-'](?=w)"
-
-
-def token_bounds_sql(text: str) -> str:
-    """struct(starts, ends): token offsets of cleaned ``text`` (single blanks,
-    no leading run), linear in its length. Ends come from one pass over the
-    code points; each start is the previous end, plus one over a blank."""
-    words = f"regexp_replace({text}, {sql_str(WORD_CHAR)}, 'w')"
-    marked = f"regexp_replace({words}, {sql_str(CONT_RE)}, 'c')"
-    last = "filter(sequence(0, greatest(size(tb.e) - 1, 0)), i -> tb.e[i] = 'E')"
-    starts = ("transform(t2.last, (x, k) -> IF(k = 0, IF(tb.e[0] = ' ', 1, 0), "
-              "t2.last[k - 1] + 1 + IF(tb.e[t2.last[k - 1] + 1] = ' ', 1, 0)))")
-    body = f"named_struct('starts', {starts}, 'ends', transform(t2.last, i -> i + 1))"
-    inner = let([("e", "split(regexp_replace(tb0.m, '[^ ](?!c)', 'E'), '')")],
-                let([("last", last)], body, "t2"), "tb")
-    return let([("m", marked)], inner, "tb0")
-
-
 def strip_ascii_punct(c: Column) -> Column:
     """Strip whitespace, then ASCII punctuation, at both ends."""
     return F.trim(py_strip(c), F.lit(ASCII_PUNCT))

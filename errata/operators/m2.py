@@ -19,88 +19,94 @@ SEP_RE = r"\|\|\|"
 A_T = "struct<start:int,end:int,cat:string,cor:array<string>,coder:string>"
 
 
-def edit_lines(sents: DataFrame) -> DataFrame:
-    """One row per output edit of each coder, before classification.
+LINE_FIELDS = ["edit_no", "kind", "cat", "o_start", "o_end", "c_start", "c_end", "o_toks", "c_toks"]
+ROW = ["essay_id", "para_no", "coder"]
 
-    O1: order by token end, then start, then list order. E6: corrections
-    lose equal tokens at both ends (detections never); P17: an edit reduced
-    to nothing is dropped. Columns: essay_id, para_no, coder, rank, edit_no,
-    kind, cat, o_start, o_end, c_start, c_end, o_toks, c_toks.
+
+def with_lines(sents: DataFrame, no_min: bool = False) -> DataFrame:
+    """Sentence rows with ``lines``: the output edits of the row, unclassified.
+
+    O1: ordered by token end, then start, then list order. E6: corrections lose
+    equal tokens at both ends, unless ``no_min``. P17: a *correction* reduced to
+    nothing is dropped; detections are neither minimised nor dropped. ``rank``
+    counts the ordered edits, dropped ones included.
     """
-    sorted_edits = ("array_sort(tok_edits, (p, q) -> CASE WHEN p.te <> q.te THEN IF(p.te < q.te, -1, 1) "
-                    "WHEN p.ts <> q.ts THEN IF(p.ts < q.ts, -1, 1) "
-                    "WHEN p.edit_no <> q.edit_no THEN IF(p.edit_no < q.edit_no, -1, 1) ELSE 0 END)")
-    x = sents.select("essay_id", "para_no", "coder", "orig", "cor",
-                     F.posexplode(F.expr(sorted_edits)).alias("rank", "t"))
-    o = "slice(orig, greatest(t.ts, 0) + 1, greatest(t.te - greatest(t.ts, 0), 0))"
-    c = "slice(cor, greatest(t.c_start, 0) + 1, greatest(t.c_end - greatest(t.c_start, 0), 0))"
-    x = x.select("essay_id", "para_no", "coder", "rank", F.col("t.edit_no").alias("edit_no"),
-                 F.col("t.kind").alias("kind"), F.col("t.cat").alias("cat"),
-                 F.col("t.ts").alias("ts"), F.col("t.te").alias("te"),
-                 F.col("t.c_start").alias("cs"), F.col("t.c_end").alias("ce"),
-                 F.expr(o).alias("o0"), F.expr(c).alias("c0"))
-    # common prefix, then common suffix of what is left (detections: 0)
-    pre = ("IF(kind = 'D', 0, coalesce(array_position(transform(sequence(1, least(size(o0), size(c0)) + 1), "
-           "k -> k > least(size(o0), size(c0)) OR get(o0, k - 1) <> get(c0, k - 1)), true) - 1, 0))")
-    x = x.withColumn("pre", F.expr(pre).cast("int"))
-    suf = ("IF(kind = 'D', 0, coalesce(array_position(transform(sequence(1, least(size(o0), size(c0)) - pre + 1), "
-           "k -> k > least(size(o0), size(c0)) - pre OR try_element_at(o0, -k) <> try_element_at(c0, -k)), true) - 1, 0))")
-    x = x.withColumn("suf", F.expr(suf).cast("int"))
-    x = x.select("essay_id", "para_no", "coder", "rank", "edit_no", "kind", "cat",
-                 (F.col("ts") + F.col("pre")).alias("o_start"), (F.col("te") - F.col("suf")).alias("o_end"),
-                 (F.col("cs") + F.col("pre")).alias("c_start"), (F.col("ce") - F.col("suf")).alias("c_end"),
-                 F.expr("slice(o0, pre + 1, greatest(size(o0) - pre - suf, 0))").alias("o_toks"),
-                 F.expr("slice(c0, pre + 1, greatest(size(c0) - pre - suf, 0))").alias("c_toks"))
-    return x.filter(~((F.col("o_start") == F.col("o_end")) & (F.size("c_toks") == 0)))
-
-
-def classify_edits(lines: DataFrame, lexicon: DataFrame, old_cats: bool = False) -> DataFrame:
-    """E7 (re-aimed): ``type`` of each edit line.
+    ordered = ("array_sort(tok_edits, (p, q) -> CASE WHEN p.te <> q.te THEN IF(p.te < q.te, -1, 1) "
+               "WHEN p.ts <> q.ts THEN IF(p.ts < q.ts, -1, 1) "
+               "WHEN p.edit_no <> q.edit_no THEN IF(p.edit_no < q.edit_no, -1, 1) ELSE 0 END)")
+    sides = [("o", "slice(r.orig, greatest(t.ts, 0) + 1, greatest(t.te - greatest(t.ts, 0), 0))"),
+             ("c", "slice(r.cor, greatest(t.c_start, 0) + 1, greatest(t.c_end - greatest(t.c_start, 0), 0))")]
+    keep = "true" if no_min else "t.kind = 'D'"
+    # common prefix, then common suffix of what is left
+    pre = (f"IF({keep}, 0, coalesce(array_position(transform(sequence(1, least(size(x.o), size(x.c)) + 1), "
+           "k -> k > least(size(x.o), size(x.c)) OR get(x.o, k - 1) <> get(x.c, k - 1)), true) - 1, 0))")
+    suf = (f"IF({keep}, 0, coalesce(array_position(transform(sequence(1, least(size(x.o), size(x.c)) - y.pre + 1), "
+           "k -> k > least(size(x.o), size(x.c)) - y.pre OR try_element_at(x.o, -k) <> try_element_at(x.c, -k)), true) - 1, 0))")
+    line = ("named_struct('rank', n, 'edit_no', t.edit_no, 'kind', t.kind, 'cat', t.cat, "
+            "'o_start', CAST(t.ts + y.pre AS INT), 'o_end', CAST(t.te - z.suf AS INT), "
+            "'c_start', CAST(t.c_start + y.pre AS INT), 'c_end', CAST(t.c_end - z.suf AS INT), "
+            "'o_toks', slice(x.o, y.pre + 1, greatest(size(x.o) - y.pre - z.suf, 0)), "
+            "'c_toks', slice(x.c, y.pre + 1, greatest(size(x.c) - y.pre - z.suf, 0)))")
+    each = let(sides, let([("pre", f"CAST({pre} AS INT)")], let([("suf", f"CAST({suf} AS INT)")], line, "z"), "y"), "x")
+    lines = (f"filter(transform(r.es, (t, n) -> {each}), "
+             "l -> l.kind = 'D' OR l.o_start <> l.o_end OR size(l.c_toks) > 0)")
+    lines = let([("orig", "orig"), ("cor", "cor"), ("es", ordered)], lines, "r")
+    return sents.select(*ROW, "orig", F.expr(lines).alias("lines"))
+
+
+def edit_lines(rows: DataFrame) -> DataFrame:
+    """One row per line of ``with_lines`` or ``classify_edits``."""
+    x = rows.select(*ROW, F.explode("lines").alias("l"))
+    return x.select(*ROW, "l.*")
+
+
+def classify_edits(rows: DataFrame, lexicon: DataFrame, old_cats: bool = False) -> DataFrame:
+    """E7 (re-aimed): the lines of ``rows`` with ``type``.
 
     With ``old_cats`` the given type stays (``D`` for detections). Else the
     operation is M (nothing replaced), U (nothing inserted) or R, and the
     category is the one part of speech shared by all tokens of both sides,
     OTHER when they disagree; nothing to nothing, or equal sides, is UNK.
     """
+    fields = ", ".join(f"'{f}', l.{f}" for f in ["rank", *LINE_FIELDS])
     if old_cats:
-        return lines.withColumn("type", F.when(F.col("kind") == "D", "D").otherwise(F.col("cat")))
-    key = ["essay_id", "para_no", "coder", "rank"]
-    toks = lines.select(*key, F.explode(F.concat("o_toks", "c_toks")).alias("tok"))
-    tagged = tag_tokens(toks, "tok", lexicon)
-    cats = tagged.groupBy(*key).agg(F.count_distinct("pos").alias("_n"), F.min("pos").alias("_pos"))
-    out = lines.join(cats, key, "left")
-    cat = F.when((F.col("_n") == 1) & (F.col("_pos") != "X"), F.col("_pos")).otherwise("OTHER")
-    o_empty, c_empty = F.size("o_toks") == 0, F.size("c_toks") == 0
-    same = F.array_join("o_toks", " ") == F.array_join("c_toks", " ")
-    typ = (F.when((o_empty & c_empty) | same, "UNK")
-           .when(o_empty, F.concat(F.lit("M:"), cat))
-           .when(c_empty, F.concat(F.lit("U:"), cat))
-           .otherwise(F.concat(F.lit("R:"), cat)))
-    return out.withColumn("type", typ).drop("_n", "_pos")
-
-
-def m2_blocks(sents: DataFrame, typed_lines: DataFrame) -> DataFrame:
+        typed = f"transform(lines, l -> named_struct({fields}, 'type', IF(l.kind = 'D', 'D', l.cat)))"
+        return rows.withColumn("lines", F.expr(typed))
+    toks = (rows.select(*ROW, F.posexplode("lines").alias("n", "l"))
+            .select(*ROW, "n", F.explode(F.concat("l.o_toks", "l.c_toks")).alias("tok")))
+    shared = (tag_tokens(toks, "tok", lexicon).groupBy(*ROW, "n")
+              .agg(F.min("pos").alias("lo"), F.max("pos").alias("hi")))
+    shared = shared.withColumn("cat", F.when((F.col("lo") == F.col("hi")) & (F.col("lo") != "X"), F.col("lo"))
+                               .otherwise("OTHER"))
+    by_row = shared.groupBy(*ROW).agg(F.array_sort(F.collect_list(F.struct("n", "cat"))).alias("_cats"))
+    x = rows.join(by_row, ROW, "left")
+    # A category for every line, by its number: those without tokens have none.
+    cats = let([("k", "coalesce(transform(_cats, c -> c.n), CAST(array() AS array<int>))"), ("c", "_cats"), ("n", "size(lines)")],
+               "flatten(transform(sequence(0, size(v.k)), j -> concat("
+               "array_repeat(CAST(null AS string), IF(j < size(v.k), v.k[j], v.n) - IF(j = 0, 0, v.k[j - 1] + 1)), "
+               "IF(j < size(v.k), array(v.c[j].cat), CAST(array() AS array<string>)))))")
+    same = "array_join(l.o_toks, ' ') = array_join(l.c_toks, ' ')"
+    typ = (f"CASE WHEN {same} THEN 'UNK' WHEN size(l.o_toks) = 0 THEN concat('M:', coalesce(v.cats[n], 'OTHER')) "
+           "WHEN size(l.c_toks) = 0 THEN concat('U:', coalesce(v.cats[n], 'OTHER')) "
+           "ELSE concat('R:', coalesce(v.cats[n], 'OTHER')) END")
+    typed = let([("l", "lines"), ("cats", cats)], f"transform(v.l, (l, n) -> named_struct({fields}, 'type', {typ}))")
+    return x.withColumn("lines", F.expr(typed)).drop("_cats")
+
+
+def m2_blocks(rows: DataFrame) -> DataFrame:
     """P16 + J7 + E8: one block per coder-0 sentence with every coder's
-    edits (coders in id order, a noop line for a coder without edits)."""
-    key = ["essay_id", "para_no"]
-    coders = sents.select(*key, "coder")
-    a = typed_lines.select(*key, "coder", "rank", F.struct(
-        F.col("o_start").cast("int").alias("start"), F.col("o_end").cast("int").alias("end"),
-        F.col("type").alias("cat"), F.col("c_toks").alias("cor"),
-        F.col("coder").cast("string").alias("coder")).alias("a"))
-    noop = F.struct(F.lit(-1).alias("start"), F.lit(-1).alias("end"), F.lit(NOOP_TYPE).alias("cat"),
-                    F.array(F.lit(NONE_TOKEN)).alias("cor"), F.col("coder").cast("string").alias("coder"))
-    per_coder = (coders.join(a, key + ["coder"], "left")
-                 .groupBy(*key, "coder")
-                 .agg(F.array_sort(F.collect_list(F.when(F.col("a").isNotNull(),
-                                                         F.struct("rank", "a")))).alias("_l")))
-    per_coder = per_coder.select(*key, "coder", F.when(F.size("_l") == 0, F.array(noop))
-                                 .otherwise(F.transform("_l", lambda r: r["a"])).alias("lines"))
-    blocks = (per_coder.groupBy(*key)
-              .agg(F.array_sort(F.collect_list(F.struct("coder", "lines"))).alias("_c"))
-              .select(*key, F.flatten(F.transform("_c", lambda r: r["lines"])).alias("edits")))
-    s0 = sents.filter(F.col("coder") == 0).select(*key, F.col("orig").alias("tokens"))
-    return s0.join(blocks, key)
+    edits (coders in id order, a noop line for a coder without edits).
+    ``rows`` are classified sentence rows; one grouping aligns the coders."""
+    a = ("transform(lines, l -> named_struct('start', l.o_start, 'end', l.o_end, 'cat', l.type, "
+         "'cor', l.c_toks, 'coder', CAST(coder AS STRING)))")
+    noop = (f"array(named_struct('start', -1, 'end', -1, 'cat', '{NOOP_TYPE}', 'cor', array('{NONE_TOKEN}'), "
+            "'coder', CAST(coder AS STRING)))")
+    x = rows.select("essay_id", "para_no", "coder", "orig", F.expr(f"IF(size(lines) = 0, {noop}, {a})").alias("a"))
+    g = x.groupBy("essay_id", "para_no").agg(
+        F.array_sort(F.collect_list(F.struct("coder", "a"))).alias("_c"),
+        F.first(F.when(F.col("coder") == 0, F.col("orig")), ignorenulls=True).alias("tokens"))
+    return g.where("tokens IS NOT NULL").select("essay_id", "para_no", "tokens",
+                                                F.flatten(F.transform("_c", lambda r: r["a"])).alias("edits"))
 
 
 def format_edit_sql(a: str) -> str:

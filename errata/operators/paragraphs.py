@@ -7,13 +7,17 @@ time in proportion to its length.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
+import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from errata.constants import MAX_LEADING_SHORT, SHORT_LINE_MAX
 from errata.constants import PY_WS
 from errata.functions.letbind import let, sql_str
-from errata.functions.text import STRIP_RE, token_bounds_sql, tokens
+from errata.functions.text import STRIP_RE, TOKEN_RE
 
 PARA_TYPE = "array<struct<para_no:int,p_start:int,p_end:int,para:string>>"
 
@@ -84,9 +88,9 @@ def paragraph_rows(df: DataFrame, keys: list[str], text: str = "text") -> DataFr
 
 def cleaning_sql(para: str) -> str:
     """P5 inputs for one paragraph, as struct(para_ws, clean, lead, wcl,
-    doubles): each whitespace a blank; runs collapsed and one leading blank
-    dropped; whether a blank was dropped; the blank mask as an array; the
-    positions i with blanks at i and i + 1. The mask and the positions are
+    before): each whitespace a blank; runs collapsed and one leading blank
+    dropped; whether a blank was dropped; the blank mask as an array; for each
+    offset, how many places with two blanks lie before it. The arrays are
     built only when the paragraph has two blanks in a row (otherwise no
     offset moves but for the leading blank)."""
     ws = f"regexp_replace({para}, {sql_str(PY_WS)}, ' ')"
@@ -95,8 +99,12 @@ def cleaning_sql(para: str) -> str:
     empty = "CAST(array() AS array<string>)"
     doubles = ("IF(c1.has2, filter(sequence(0, greatest(size(c1.dbl) - 1, 0)), i -> c1.dbl[i] = 'D'), "
                "CAST(array() AS array<int>))")
+    # The counts between one double blank and the next, laid end to end.
+    before = ("IF(c1.has2, flatten(concat(transform(c2.d, (x, k) -> array_repeat(k, x - coalesce(get(c2.d, k - 1), -1))), "
+              "array(array_repeat(size(c2.d), length(c0.para_ws) - element_at(c2.d, -1))))), CAST(array() AS array<int>))")
     body = ("named_struct('para_ws', c0.para_ws, 'clean', c1.clean, "
-            "'lead', coalesce(left(c0.para_ws, 1) = ' ', false), 'wcl', c1.wcl, 'doubles', " + doubles + ")")
+            "'lead', coalesce(left(c0.para_ws, 1) = ' ', false), 'wcl', c1.wcl, 'before', "
+            + let([("d", doubles)], before, "c2") + ")")
     e = let([("clean", clean), ("has2", "instr(c0.para_ws, '  ') > 0"),
              ("wcl", f"IF(instr(c0.para_ws, '  ') > 0, split({mask}, ''), {empty})"),
              ("dbl", f"IF(instr(c0.para_ws, '  ') > 0, split(regexp_replace({mask}, ' (?= )', 'D'), ''), {empty})")],
@@ -106,7 +114,7 @@ def cleaning_sql(para: str) -> str:
 
 def with_clean(df: DataFrame, para: str = "para") -> DataFrame:
     """P5 + P8 inputs as columns ``para_ws``, ``clean``, ``lead``, ``wcl``,
-    ``doubles`` (see ``cleaning_sql``)."""
+    ``before`` (see ``cleaning_sql``)."""
     return df.select("*", F.inline(F.array(F.expr(cleaning_sql(para)))))
 
 
@@ -115,11 +123,11 @@ def remap_sql(o: str, c: str = "") -> str:
 
     Each run of L blanks loses L - 1; an offset strictly inside a run moves to
     the run's start; then the dropped leading blank shifts all by one,
-    floored at 0. ``c`` prefixes the fields wcl, doubles and lead (a let
+    floored at 0. ``c`` prefixes the fields wcl, before and lead (a let
     variable such as ``v.``); use it whenever this sits inside a lambda.
     """
     inside = (f"IF({o} > 0 AND get({c}wcl, {o} - 1) = ' ' AND get({c}wcl, {o}) = ' ', 1, 0)")
-    return (f"greatest({o} - size(filter({c}doubles, d -> d < {o} - 1)) - {inside} "
+    return (f"greatest({o} - coalesce(get({c}before, {o} - 1), 0) - {inside} "
             f"- IF({c}lead, 1, 0), 0)")
 
 
@@ -133,7 +141,28 @@ def trim_end_sql(s: str, e: str, para: str = "clean") -> str:
     return f"IF({s} <> {e} AND {e} > 0 AND substring({para}, {e}, 1) = ' ', {e} - 1, {e})"
 
 
+# The same pattern as the regex module writes it: \\x{h} is \\uhhhh there.
+_TOKEN_PATTERN = regex.sub(r"\\x\{(\w+)\}", lambda m: f"\\u{int(m[1], 16):04x}", TOKEN_RE)
+
+
+def _token_batches(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+    find = regex.compile(_TOKEN_PATTERN).finditer
+    for texts in batches:
+        rows = []
+        for t in texts:
+            found = list(find(t or ""))
+            spans = [m.span() for m in found]
+            rows.append(([m[0] for m in found], [s for s, _ in spans], [e for _, e in spans]))
+        yield pd.DataFrame(rows, columns=["toks", "starts", "ends"])
+
+
 def with_tokens(df: DataFrame, text: str = "clean") -> DataFrame:
-    """E5: ``toks`` (strings), ``starts`` and ``ends`` (code point offsets)."""
-    df = df.select("*", F.inline(F.array(F.expr(token_bounds_sql(text)))))
-    return df.withColumn("toks", tokens(F.col(text)))
+    """E5: ``toks`` (strings), ``starts`` and ``ends`` (code point offsets).
+
+    One pass of the token pattern over Arrow batches. Built-in functions give
+    strings but no offsets; finding those with rewrites and per-code-point
+    arrays took five times as long (README, "Measured").
+    """
+    spans = F.pandas_udf(_token_batches, "toks array<string>, starts array<int>, ends array<int>")
+    df = df.withColumn("_tok", spans(F.col(text)))
+    return df.select(*[c for c in df.columns if c != "_tok"], "_tok.toks", "_tok.starts", "_tok.ends")

@@ -47,6 +47,7 @@ def _token_edit_sql() -> str:
     """Per row: remap + trim (P6, P7), char -> token spans (J3), overlap drop
     (W4), corrections (E3, E4, E5) and the corrected sentence (E1, W3)."""
     strip, tok = sql_str(STRIP_RE), sql_str(TOKEN_RE)
+    # Lambdas refer to the row's arrays as r.<name>, to earlier steps as a.<name>.
     rm = lambda o: pg.remap_sql(o, "r.")
     # P6 + P7
     step1 = (f"transform(r.edits, x -> named_struct('edit_no', x.edit_no, 'kind', x.kind, "
@@ -55,30 +56,36 @@ def _token_edit_sql() -> str:
             "'cor', x.cor, "
             "'s', IF(x.s0 <> x.e0 AND get(r.ccl, x.s0) = ' ', x.s0 + 1, x.s0), "
             "'e', IF(x.s0 <> x.e0 AND x.e0 > 0 AND get(r.ccl, x.e0 - 1) = ' ', x.e0 - 1, x.e0)))")
-    # J3
+    # ``at`` gives the last token that starts at or before an offset, so
+    # every lookup is one array access. is: that token for the span's start; ie:
+    # the first token that ends after the span's end.
     n = "size(r.starts)"
+    near_s, near_e = f"IF(q.is >= 0, q.is, {n} - 1)", f"least(q.ie, {n} - 1)"
+
+    def span(ts: str, te: str, xp: str, cs: str = "x.s", ce: str = "x.e") -> str:
+        return f"named_struct('ts', CAST({ts} AS INT), 'te', CAST({te} AS INT), 'xp', {xp}, 'cs', {cs}, 'ce', {ce})"
     tokspan = (
-        f"CASE WHEN x.s = x.e THEN CASE "
-        f"WHEN x.s = 0 OR x.s <= r.starts[0] THEN named_struct('ts', 0, 'te', 0, 'xp', false, 'cs', x.s, 'ce', x.e) "
-        f"WHEN x.s >= r.ends[{n} - 1] THEN named_struct('ts', {n}, 'te', {n}, 'xp', false, 'cs', x.s, 'ce', x.e) "
-        f"WHEN q.ps > 0 THEN named_struct('ts', q.ps - 1, 'te', q.ps - 1, 'xp', false, 'cs', x.s, 'ce', x.e) "
-        f"WHEN q.pe > 0 THEN named_struct('ts', q.pe, 'te', q.pe, 'xp', false, 'cs', x.s, 'ce', x.e) "
-        f"ELSE named_struct('ts', CAST(array_position(r.starts, array_max(filter(r.starts, t -> t <= x.s))) AS INT) - 1, 'te', CAST(array_position(r.ends, array_min(filter(r.ends, t -> t > x.e))) AS INT), "
-        f"'xp', true, 'cs', array_max(filter(r.starts, t -> t <= x.s)), 'ce', array_min(filter(r.ends, t -> t > x.e))) END "
-        f"WHEN q.ps > 0 AND q.pe > 0 THEN named_struct('ts', q.ps - 1, 'te', q.pe, 'xp', false, 'cs', x.s, 'ce', x.e) "
-        f"ELSE named_struct('ts', CAST(array_position(r.starts, IF(q.ps > 0, x.s, coalesce(array_max(filter(r.starts, t -> t <= x.s)), r.starts[{n} - 1]))) AS INT) - 1, "
-        f"'te', CAST(array_position(r.ends, IF(q.pe > 0, x.e, coalesce(array_min(filter(r.ends, t -> t > x.e)), r.ends[{n} - 1]))) AS INT), 'xp', true, "
-        f"'cs', IF(q.ps > 0, x.s, coalesce(array_max(filter(r.starts, t -> t <= x.s)), r.starts[{n} - 1])), "
-        f"'ce', IF(q.pe > 0, x.e, coalesce(array_min(filter(r.ends, t -> t > x.e)), r.ends[{n} - 1]))) END")
-    lookups = [("ps", "CAST(array_position(r.starts, x.s) AS INT)"),
-               ("pe", "CAST(array_position(r.ends, x.e) AS INT)"),
-               ]  # the nearest start / end are searched only in the branches needing them
-    step3 = "transform(a.e2, x -> " + let(lookups, f"named_struct('x', x, 'k', {tokspan})", "q") + ")"
+        "CASE WHEN x.s = x.e THEN CASE "
+        f"WHEN x.s = 0 OR x.s <= r.starts[0] THEN {span('0', '0', 'false')} "
+        f"WHEN x.s >= r.ends[{n} - 1] THEN {span(n, n, 'false')} "
+        f"WHEN q.ps > 0 THEN {span('q.ps - 1', 'q.ps - 1', 'false')} "
+        f"WHEN q.pe > 0 THEN {span('q.pe', 'q.pe', 'false')} "
+        f"ELSE {span('q.is', 'q.ie + 1', 'true', 'r.starts[q.is]', 'r.ends[q.ie]')} END "
+        f"WHEN q.ps > 0 AND q.pe > 0 THEN {span('q.ps - 1', 'q.pe', 'false')} "
+        "ELSE " + span(f"IF(q.ps > 0, q.ps - 1, {near_s})", f"IF(q.pe > 0, q.pe, {near_e} + 1)", "true",
+                       f"IF(q.ps > 0, x.s, r.starts[{near_s}])", f"IF(q.pe > 0, x.e, r.ends[{near_e}])") + " END")
+    last = lambda o: f"coalesce(get(r.at, {o}), IF({o} < 0, -1, {n} - 1))"
+    lookups = [("is", "p.is"), ("ie", "IF(p.ie >= 0 AND r.ends[p.ie] > x.e, p.ie, p.ie + 1)"),
+               ("ps", "IF(p.is >= 0 AND get(r.starts, p.is) = x.s, p.is + 1, 0)"),
+               ("pe", "IF(p.il >= 0 AND get(r.ends, p.il) = x.e, p.il + 1, 0)")]
+    step3 = ("transform(a.e2, x -> "
+             + let([("is", last("x.s")), ("ie", last("x.e")), ("il", last("(x.e - 1)"))],
+                   let(lookups, f"named_struct('x', x, 'k', {tokspan})", "q"), "p") + ")")
     # Drop an expanded edit starting before the end of the last kept one
-    fold = ("aggregate(a.e3, named_struct('prev', 0, 'drop', CAST(array() AS array<int>)), "
+    fold = ("aggregate(a.e3, named_struct('prev', 0, 'gone', CAST(array() AS array<boolean>)), "
             "(acc, y) -> IF(y.k.xp AND y.k.ts < acc.prev, "
-            "named_struct('prev', acc.prev, 'drop', array_append(acc.drop, y.x.edit_no)), "
-            "named_struct('prev', y.k.te, 'drop', acc.drop))).drop")
+            "named_struct('prev', acc.prev, 'gone', array_append(acc.gone, true)), "
+            "named_struct('prev', y.k.te, 'gone', array_append(acc.gone, false)))).gone")
     # E3, E4, E5
     det_text = "substring(r.clean, y.x.s + 1, y.x.e - y.x.s)"
     cor_text = f"coalesce(y.x.cor, {det_text})"
@@ -87,7 +94,7 @@ def _token_edit_sql() -> str:
     full = f"IF(y.k.xp, {expanded}, {cor_text})"
     cor_toks = (f"IF(y.x.kind = 'D', slice(r.toks, greatest(y.k.ts, 0) + 1, greatest(y.k.te - greatest(y.k.ts, 0), 0)), "
                 f"regexp_extract_all(regexp_replace({full}, {strip}, ''), {tok}, 0))")
-    step5 = ("transform(filter(a.e3, y -> NOT array_contains(a.drop, y.x.edit_no)), y -> named_struct("
+    step5 = ("transform(filter(a.e3, (y, i) -> NOT a.gone[i]), y -> named_struct("
              "'edit_no', y.x.edit_no, 'kind', y.x.kind, 'cat', y.x.cat, 's', y.x.s, 'e', y.x.e, "
              "'ts', y.k.ts, 'te', y.k.te, 'expanded', y.k.xp, 'cor_text', " + full + ", "
              "'cor_toks', " + cor_toks + "))")
@@ -101,15 +108,15 @@ def _token_edit_sql() -> str:
              f"'cor', concat(slice(acc.cor, 1, {a_}), z.cor_toks, slice(acc.cor, {b_} + 1, size(acc.cor) - {b_})), "
              "'spans', array_append(acc.spans, named_struct('edit_no', z.edit_no, "
              "'c_start', z.ts + acc.off, 'c_end', z.ts + acc.off + size(z.cor_toks)))))")
-    body = ("named_struct('tok_edits', transform(a.e5, z -> named_struct('edit_no', z.edit_no, "
+    body = ("named_struct('tok_edits', transform(a.e5, (z, i) -> named_struct('edit_no', z.edit_no, "
             "'kind', z.kind, 'cat', z.cat, 's', z.s, 'e', z.e, 'ts', z.ts, 'te', z.te, "
             "'expanded', z.expanded, 'cor_text', z.cor_text, 'cor_toks', z.cor_toks, "
-            "'c_start', element_at(filter(a.applied.spans, w -> w.edit_no = z.edit_no), 1).c_start, "
-            "'c_end', element_at(filter(a.applied.spans, w -> w.edit_no = z.edit_no), 1).c_end)), "
-            "'cor', a.applied.cor, 'dropped', a.drop, 'edits_rt', a.e2, "
+            "'c_start', a.applied.spans[i].c_start, 'c_end', a.applied.spans[i].c_end)), "
+            "'cor', a.applied.cor, 'dropped', transform(filter(a.e3, (y, i) -> a.gone[i]), y -> y.x.edit_no), "
+            "'edits_rt', a.e2, "
             "'spans_all', transform(a.e3, y -> named_struct('edit_no', y.x.edit_no, 'kind', y.x.kind, "
             "'s', y.x.s, 'e', y.x.e, 'ts', y.k.ts, 'te', y.k.te, 'expanded', y.k.xp)))")
-    return _chain([("e1", step1), ("e2", trim), ("e3", step3), ("drop", fold),
+    return _chain([("e1", step1), ("e2", trim), ("e3", step3), ("gone", fold),
                    ("e5", step5), ("applied", apply)], body)
 
 
@@ -132,7 +139,9 @@ def names_before(steps, i):
 
 
 ROW_BINDS = [("edits", "edits"), ("clean", "clean"), ("toks", "toks"), ("starts", "starts"),
-             ("ends", "ends"), ("wcl", "wcl"), ("doubles", "doubles"), ("lead", "lead"),
+             ("ends", "ends"), ("wcl", "wcl"), ("before", "before"), ("lead", "lead"),
+             ("at", "flatten(concat(array(array_repeat(-1, starts[0])), transform(starts, (x, k) -> "
+                    "array_repeat(k, coalesce(get(starts, k + 1), length(clean) + 1) - x))))"),
              ("ccl", "split(regexp_replace(clean, '[^ ]', '.'), '')")]
 
 

@@ -270,8 +270,7 @@ def _essay_paras(spark, sf_dir):
 @query("para_rows")
 def q_para_rows(spark, sf_dir):
     p = pg.with_clean(_essay_paras(spark, sf_dir)).filter(F.col("clean") != "")
-    coders = fx.fx_edits(spark, sf_dir).select("essay_id", "coder").distinct()
-    return p.join(coders, "essay_id").select("essay_id", "coder", "para_no")
+    return p.join(fx.fx_coders(spark, sf_dir), "essay_id").select("essay_id", "coder", "para_no")
 
 
 @query("edit_kind")
@@ -305,10 +304,11 @@ def q_drop_covered_detections(spark, sf_dir):
 from errata.operators import m2 as m2op  # noqa: E402
 from errata.operators.sentences import sentences as _sentences  # noqa: E402
 from errata.plans import dataset as dsp  # noqa: E402
+from errata.session import materialise  # noqa: E402
 
 
 def _sents(spark, sf_dir):
-    return _sentences(fx.fx_essays(spark, sf_dir), fx.fx_edits(spark, sf_dir))
+    return _sentences(fx.fx_essays(spark, sf_dir), fx.fx_edits(spark, sf_dir), fx.fx_coders(spark, sf_dir))
 
 
 def _spans(spark, sf_dir):
@@ -326,10 +326,9 @@ def q_char_to_tok(spark, sf_dir):
 
 @query("edit_order")
 def q_edit_order(spark, sf_dir):
-    from pyspark.sql import Window
-    w = Window.partitionBy("essay_id", "coder", "para_no").orderBy("te", "ts", "edit_no")
-    return _spans(spark, sf_dir).select("essay_id", "coder", "para_no", "edit_no",
-                                        (F.row_number().over(w) - 1).cast("int").alias("m2_rank"))
+    l = m2op.edit_lines(m2op.with_lines(_sents(spark, sf_dir), no_min=True))
+    return l.select("essay_id", "coder", "para_no", F.col("edit_no").cast("bigint").alias("edit_no"),
+                    F.col("rank").alias("m2_rank"))
 
 
 def _tok_edits(spark, sf_dir):
@@ -379,28 +378,28 @@ def q_apply_counts(spark, sf_dir):
                     F.size("cor").alias("n_cor"), delta.alias("delta"))
 
 
-def _lines(spark, sf_dir, old_cats=False):
-    s = _sents(spark, sf_dir)
-    return s, m2op.classify_edits(m2op.edit_lines(s), fx.fx_lexicon(spark, sf_dir), old_cats)
+def _lines(spark, sf_dir):
+    """Sentence rows with classified lines."""
+    rows = materialise(m2op.with_lines(_sents(spark, sf_dir)), "sentence-lines")
+    return m2op.classify_edits(rows, fx.fx_lexicon(spark, sf_dir))
 
 
 @query("minimise")
 def q_minimise(spark, sf_dir):
-    _, l = _lines(spark, sf_dir, old_cats=True)
-    return l.select("essay_id", "para_no", "coder", "rank", "edit_no", "kind", "o_start", "o_end",
-                    "c_start", "c_end", F.array_join("o_toks", " ").alias("o_str"),
+    l = m2op.edit_lines(m2op.with_lines(_sents(spark, sf_dir)))
+    return l.select("essay_id", "para_no", "coder", "rank", F.col("edit_no").cast("bigint").alias("edit_no"), "kind",
+                    "o_start", "o_end", "c_start", "c_end", F.array_join("o_toks", " ").alias("o_str"),
                     F.array_join("c_toks", " ").alias("c_str"))
 
 
 @query("classify_edits")
 def q_classify_edits(spark, sf_dir):
-    _, l = _lines(spark, sf_dir)
-    return l.select("essay_id", "para_no", "coder", "rank", "edit_no", "type")
+    return m2op.edit_lines(_lines(spark, sf_dir)).select(
+        "essay_id", "para_no", "coder", "rank", F.col("edit_no").cast("bigint").alias("edit_no"), "type")
 
 
 def _blocks(spark, sf_dir):
-    s, l = _lines(spark, sf_dir)
-    return m2op.m2_blocks(s, l)
+    return m2op.m2_blocks(_lines(spark, sf_dir))
 
 
 @query("noop_rows")
@@ -418,9 +417,10 @@ def q_coder0_sents(spark, sf_dir):
 
 @query("coder_align")
 def q_coder_align(spark, sf_dir):
-    s = _sents(spark, sf_dir)
-    c0 = s.filter(F.col("coder") == 0).select("essay_id", "para_no")
-    return s.join(c0, ["essay_id", "para_no"], "left_semi").select("essay_id", "para_no", "coder")
+    """Coders of each block, as the blocks list them."""
+    b = _blocks(spark, sf_dir).select("essay_id", "para_no", F.explode(F.array_distinct(
+        F.transform("edits", lambda a: a["coder"].cast("int")))).alias("coder"))
+    return b
 
 
 @query("m2_text")
@@ -444,7 +444,7 @@ def q_label_tokens(spark, sf_dir):
 @query("dataset_e2e")
 def q_dataset_e2e(spark, sf_dir):
     return dsp.dataset_from_essays(fx.fx_essays(spark, sf_dir), fx.fx_edits(spark, sf_dir),
-                                   fx.fx_lexicon(spark, sf_dir))
+                                   fx.fx_lexicon(spark, sf_dir), fx.fx_coders(spark, sf_dir))
 
 
 def _edit_rows_from_fixture(spark, sf_dir):

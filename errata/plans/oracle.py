@@ -233,7 +233,7 @@ WHERE o_next IS NOT NULL""")
 register("tokenise", "SELECT essay_id, para_no, tok_i, tok, cs, ce FROM o_np_tokens")
 register("para_rows", """
 SELECT DISTINCT c.essay_id, c.coder, p.para_no
-FROM o_ep_clean p JOIN (SELECT DISTINCT essay_id, coder FROM fx_edits) c ON c.essay_id = p.essay_id
+FROM o_ep_clean p JOIN (SELECT essay_id, coder FROM fx_coders) c ON c.essay_id = p.essay_id
 WHERE p.clean <> ''""")
 register("edit_kind", f"""
 SELECT essay_id, coder, CAST(edit_no AS BIGINT) AS edit_no,
@@ -314,10 +314,6 @@ FROM o_j3_ends j"""
 register("char_to_tok", """
 SELECT essay_id, coder, para_no, CAST(edit_no AS BIGINT) AS edit_no, kind, CAST(s AS INTEGER) AS s,
        CAST(e AS INTEGER) AS e, ts, te, expanded FROM o_j3""")
-register("edit_order", """
-SELECT essay_id, coder, para_no, CAST(edit_no AS BIGINT) AS edit_no,
-       CAST(row_number() OVER (PARTITION BY essay_id, coder, para_no ORDER BY te, ts, edit_no) - 1 AS INTEGER) AS m2_rank
-FROM o_j3""")
 register("fmt_edit", """
 SELECT essay_id, coder, CAST(edit_no AS BIGINT) AS edit_no,
        'A ' || CAST(s AS VARCHAR) || ' ' || CAST(e AS VARCHAR) || '|||' || coalesce(cat, 'D') || '|||' ||
@@ -339,13 +335,11 @@ SELECT essay_id, coder, count(*) AS n_edits, string_agg(CAST(edit_no AS VARCHAR)
 FROM fx_edits GROUP BY essay_id, coder""")
 register("coder0_sents", """
 SELECT t.essay_id, t.para_no, 'S ' || string_agg(t.tok, ' ' ORDER BY t.tok_i) AS s_line
-FROM o_ep_tokens t WHERE t.essay_id IN (SELECT essay_id FROM fx_edits WHERE coder = 0)
-GROUP BY t.essay_id, t.para_no""")
+FROM o_ep_tokens t GROUP BY t.essay_id, t.para_no""")
 register("coder_align", """
 SELECT p.essay_id, p.para_no, c.coder
 FROM (SELECT DISTINCT essay_id, para_no FROM o_ep_tokens) p
-JOIN (SELECT DISTINCT essay_id, coder FROM fx_edits) c ON c.essay_id = p.essay_id
-WHERE p.essay_id IN (SELECT essay_id FROM fx_edits WHERE coder = 0)""")
+JOIN (SELECT essay_id, coder FROM fx_coders) c ON c.essay_id = p.essay_id""")
 
 DERIVED_CTES["o_w4"] = """
 SELECT essay_id, coder, para_no,
@@ -372,6 +366,10 @@ DERIVED_CTES["o_cspans"] = """
 SELECT *, CAST(ts + coalesce(sum(ncor - (te - ts)) OVER (PARTITION BY essay_id, coder, para_no ORDER BY edit_no
                  ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS INTEGER) AS c_start
 FROM o_ncor"""
+register("edit_order", """
+SELECT essay_id, coder, para_no, CAST(edit_no AS BIGINT) AS edit_no, m2_rank FROM
+  (SELECT *, CAST(row_number() OVER (PARTITION BY essay_id, coder, para_no ORDER BY te, ts, edit_no) - 1 AS INTEGER) AS m2_rank FROM o_ncor)
+WHERE kind = 'D' OR ts <> te OR ncor > 0""")
 register("drop_overlaps", "SELECT essay_id, coder, para_no, unnest(dropped) AS edit_no FROM o_w4")
 register("fill_detection", """
 SELECT c.essay_id, c.coder, c.para_no, CAST(c.edit_no AS BIGINT) AS edit_no, c.ts, c.te,
@@ -415,7 +413,7 @@ SELECT essay_id, coder, para_no, op, p, r, n2, kk FROM (
         WHERE greatest(te - ts, ncor) > 0)
   UNION ALL
   SELECT c.essay_id, c.coder, t.para_no, t.tok_i AS p, 1 AS r, 0 AS n2, 0 AS kk, 'M' AS op
-  FROM o_ep_tokens t JOIN (SELECT DISTINCT essay_id, coder FROM fx_edits) c ON c.essay_id = t.essay_id
+  FROM o_ep_tokens t JOIN (SELECT essay_id, coder FROM fx_coders) c ON c.essay_id = t.essay_id
   WHERE NOT EXISTS (SELECT 1 FROM o_cspans x WHERE x.essay_id = t.essay_id AND x.coder = c.coder
                     AND x.para_no = t.para_no AND t.tok_i >= x.ts AND t.tok_i < x.te))"""
 DERIVED_CTES["o_ops2"] = """
@@ -436,3 +434,124 @@ SELECT essay_id, coder, para_no, strategy, CAST(min(o_pos) AS BIGINT) AS o_start
 FROM (SELECT *, unnest(['all-split', 'all-merge', 'all-equal']) AS strategy FROM o_ops2 WHERE op <> 'M')
 GROUP BY essay_id, coder, para_no, strategy,
          CASE strategy WHEN 'all-split' THEN g_split WHEN 'all-merge' THEN g_merge ELSE g_equal END""")
+
+
+# ---------------------------------------------------------------- M2 chain
+DERIVED_CTES["o_ptoks"] = """
+SELECT essay_id, para_no, list(tok ORDER BY tok_i) AS toks FROM o_ep_tokens GROUP BY essay_id, para_no"""
+DERIVED_CTES["o_ctoks"] = f"""
+SELECT s.*, p.toks, CASE WHEN s.kind = 'D' THEN p.toks[greatest(s.ts, 0) + 1 : s.te]
+       ELSE regexp_extract_all(regexp_replace(s.full_text, {STRIP}, '', 'g'), {lit(TOKEN_RE)}) END AS ct
+FROM o_cspans s JOIN o_ptoks p ON p.essay_id = s.essay_id AND p.para_no = s.para_no"""
+
+
+def _bound(v: str, n: str) -> str:
+    """A slice bound as Python takes it: from the end if negative, within 0..n."""
+    return f"least(greatest(CASE WHEN {v} < 0 THEN {v} + {n} ELSE {v} END, 0), {n})"
+
+
+def _splice(start: str, end: str, new: str) -> str:
+    """The fold's sentence with [start, end) replaced by ``new``."""
+    a = _bound(f"({start} + acc.off)", "len(acc.cor)")
+    b = f"greatest({_bound(f'({end} + acc.off)', 'len(acc.cor)')}, {a})"
+    return f"acc.cor[1:{a}] || {new} || acc.cor[{b} + 1:len(acc.cor)]", f"acc.cor[{a} + 1:{b}]"
+
+
+_APPLIED, _ = _splice("y.ts", "y.te", "y.ct")
+DERIVED_CTES["o_applied"] = f"""
+SELECT c.essay_id, c.coder, p.para_no, p.toks, coalesce(f.cor, p.toks) AS cor
+FROM o_ptoks p JOIN fx_coders c ON c.essay_id = p.essay_id LEFT JOIN (
+  SELECT essay_id, coder, para_no, list_reduce(list(struct_pack(ts := ts, te := te, ct := ct) ORDER BY edit_no),
+    lambda acc, y: struct_pack(off := CAST(acc.off - (y.te - y.ts) + len(y.ct) AS INTEGER), cor := {_APPLIED}),
+    struct_pack(off := CAST(0 AS INTEGER), cor := any_value(toks))).cor AS cor
+  FROM o_ctoks GROUP BY essay_id, coder, para_no) f
+ON f.essay_id = c.essay_id AND f.coder = c.coder AND f.para_no = p.para_no"""
+DERIVED_CTES["o_sides"] = """
+SELECT *, CASE WHEN kind = 'D' THEN 0 ELSE coalesce(list_min(list_filter(range(1, m + 1), lambda k: o0[k] IS DISTINCT FROM c0[k])) - 1, m) END AS pre
+FROM (SELECT *, least(len(o0), len(c0)) AS m FROM (
+  SELECT t.essay_id, t.coder, t.para_no, t.edit_no, t.kind, t.ts, t.te, t.c_start, CAST(t.c_start + t.ncor AS INTEGER) AS c_end,
+         CAST(row_number() OVER (PARTITION BY t.essay_id, t.coder, t.para_no ORDER BY t.te, t.ts, t.edit_no) - 1 AS INTEGER) AS rank,
+         t.toks[greatest(t.ts, 0) + 1 : t.te] AS o0, a.cor[greatest(t.c_start, 0) + 1 : t.c_start + t.ncor] AS c0
+  FROM o_ctoks t JOIN o_applied a ON a.essay_id = t.essay_id AND a.coder = t.coder AND a.para_no = t.para_no))"""
+DERIVED_CTES["o_sides2"] = """
+SELECT *, CASE WHEN kind = 'D' THEN 0 ELSE coalesce(list_min(list_filter(range(1, m - pre + 1),
+            lambda k: o0[len(o0) - k + 1] IS DISTINCT FROM c0[len(c0) - k + 1])) - 1, m - pre) END AS suf
+FROM o_sides"""
+DERIVED_CTES["o_lines"] = """
+SELECT * FROM (
+  SELECT essay_id, coder, para_no, CAST(edit_no AS BIGINT) AS edit_no, kind, rank, CAST(ts + pre AS INTEGER) AS o_start,
+         CAST(te - suf AS INTEGER) AS o_end, CAST(c_start + pre AS INTEGER) AS c_start, CAST(c_end - suf AS INTEGER) AS c_end,
+         o0[pre + 1 : len(o0) - suf] AS o_toks, c0[pre + 1 : len(c0) - suf] AS c_toks FROM o_sides2)
+WHERE kind = 'D' OR o_start <> o_end OR len(c_toks) > 0"""
+DERIVED_CTES["o_linetags"] = """
+SELECT l.essay_id, l.coder, l.para_no, l.rank, count(DISTINCT coalesce(a.pos, b.pos, 'X')) AS n, min(coalesce(a.pos, b.pos, 'X')) AS pos
+FROM (SELECT essay_id, coder, para_no, rank, unnest(o_toks || c_toks) AS tok FROM o_lines) l
+LEFT JOIN fx_lexicon a ON a.word = l.tok LEFT JOIN fx_lexicon b ON b.word = lower(l.tok)
+GROUP BY l.essay_id, l.coder, l.para_no, l.rank"""
+DERIVED_CTES["o_typed"] = """
+SELECT l.*, CASE WHEN array_to_string(o_toks, ' ') = array_to_string(c_toks, ' ') THEN 'UNK'
+                 WHEN len(o_toks) = 0 THEN 'M:' || g WHEN len(c_toks) = 0 THEN 'U:' || g ELSE 'R:' || g END AS type
+FROM (SELECT l.*, CASE WHEN t.n = 1 AND t.pos <> 'X' THEN t.pos ELSE 'OTHER' END AS g FROM o_lines l
+      LEFT JOIN o_linetags t ON t.essay_id = l.essay_id AND t.coder = l.coder AND t.para_no = l.para_no AND t.rank = l.rank) l"""
+DERIVED_CTES["o_alines"] = """
+SELECT a.essay_id, a.para_no, a.coder, coalesce(t.rank, 0) AS rank, coalesce(t.o_start, -1) AS s, coalesce(t.o_end, -1) AS e,
+       coalesce(t.type, 'noop') AS cat, CASE WHEN t.rank IS NULL THEN ['-NONE-'] ELSE t.c_toks END AS cor
+FROM o_applied a LEFT JOIN o_typed t ON t.essay_id = a.essay_id AND t.coder = a.coder AND t.para_no = a.para_no"""
+
+
+def _a_line(s: str, e: str, cat: str, cor: str, coder: str) -> str:
+    return (f"'A ' || CAST({s} AS VARCHAR) || ' ' || CAST({e} AS VARCHAR) || '|||' || {cat} || '|||' || "
+            f"array_to_string({cor}, ' ') || '|||REQUIRED|||-NONE-|||' || CAST({coder} AS VARCHAR)")
+
+
+_INVERTED, _REPLACED = _splice("y.s", "y.e", "y.cor")
+DERIVED_CTES["o_inverted"] = f"""
+SELECT essay_id, para_no, r.cor AS toks, r.out AS out FROM (
+  SELECT b.essay_id, b.para_no, list_reduce(list(struct_pack(s := b.s, e := b.e, cat := b.cat, cor := b.cor, coder := b.coder)
+                                                 ORDER BY b.coder, b.rank),
+    lambda acc, y: CASE WHEN y.cat = 'noop' THEN struct_pack(off := acc.off, cor := acc.cor, out := list_append(acc.out,
+        struct_pack(s := CAST(-1 AS INTEGER), e := CAST(-1 AS INTEGER), cat := y.cat, txt := ['-NONE-'], coder := y.coder)))
+      ELSE struct_pack(off := CAST(acc.off - (y.e - y.s) + len(y.cor) AS INTEGER), cor := {_INVERTED}, out := list_append(acc.out,
+        struct_pack(s := CAST(y.s + acc.off AS INTEGER), e := CAST(y.s + acc.off + len(y.cor) AS INTEGER), cat := y.cat,
+                    txt := {_REPLACED}, coder := y.coder))) END,
+    struct_pack(off := CAST(0 AS INTEGER), cor := any_value(p.toks),
+                out := CAST([] AS STRUCT(s INTEGER, e INTEGER, cat VARCHAR, txt VARCHAR[], coder INTEGER)[]))) AS r
+  FROM o_alines b JOIN o_ptoks p ON p.essay_id = b.essay_id AND p.para_no = b.para_no GROUP BY b.essay_id, b.para_no)"""
+DERIVED_CTES["o_invlab"] = f"""
+SELECT essay_id, para_no, toks, list_transform(range(0, len(toks)), lambda i:
+         CASE WHEN len(list_filter(out, lambda x: x.cat IN {SELECTED} AND x.s <= i AND i < x.e)) > 0 THEN 'true' ELSE 'false' END) AS labels
+FROM o_inverted"""
+DERIVED_CTES["o_dataset"] = f"""
+SELECT l.essay_id, l.para_no, string_agg(l.tok, '|||' ORDER BY l.i) AS token_seq,
+       string_agg(CASE WHEN coalesce(a.pos, b.pos, 'X') IN {CONTENT} THEN l.label ELSE 'NONE' END, '|||' ORDER BY l.i) AS label_seq
+FROM (SELECT essay_id, para_no, unnest(range(0, len(toks))) AS i, unnest(toks) AS tok, unnest(labels) AS label FROM o_invlab) l
+LEFT JOIN fx_lexicon a ON a.word = l.tok LEFT JOIN fx_lexicon b ON b.word = lower(l.tok)
+GROUP BY l.essay_id, l.para_no"""
+
+register("apply_edits", """
+SELECT essay_id, coder, para_no, array_to_string(toks, ' ') AS orig, array_to_string(cor, ' ') AS cor FROM o_applied""")
+register("apply_counts", """
+SELECT a.essay_id, a.coder, a.para_no, CAST(len(a.toks) AS INTEGER) AS n_orig, CAST(len(a.cor) AS INTEGER) AS n_cor,
+       CAST(coalesce((SELECT sum(len(t.ct) - (t.te - t.ts)) FROM o_ctoks t WHERE t.essay_id = a.essay_id AND t.coder = a.coder
+                      AND t.para_no = a.para_no), 0) AS INTEGER) AS delta
+FROM o_applied a""")
+register("minimise", """
+SELECT essay_id, para_no, coder, rank, edit_no, kind, o_start, o_end, c_start, c_end,
+       array_to_string(o_toks, ' ') AS o_str, array_to_string(c_toks, ' ') AS c_str FROM o_lines""")
+register("classify_edits", "SELECT essay_id, para_no, coder, rank, edit_no, type FROM o_typed")
+register("noop_rows", "SELECT essay_id, para_no, CAST(coder AS VARCHAR) AS coder FROM o_alines WHERE cat = 'noop'")
+DERIVED_CTES["o_blocktext"] = f"""
+SELECT b.essay_id, b.para_no, 'S ' || array_to_string(any_value(p.toks), ' ') || chr(10) ||
+       string_agg({_a_line('b.s', 'b.e', 'b.cat', 'b.cor', 'b.coder')}, chr(10) ORDER BY b.coder, b.rank) AS value
+FROM o_alines b JOIN o_ptoks p ON p.essay_id = b.essay_id AND p.para_no = b.para_no GROUP BY b.essay_id, b.para_no"""
+register("m2_text", "SELECT essay_id, para_no, value FROM o_blocktext")
+register("invert", f"""
+SELECT essay_id, para_no, CASE WHEN len(toks) = 0 THEN 'S' || ' ' ELSE 'S ' || array_to_string(toks, ' ') END || chr(10) ||
+       array_to_string(list_transform(out, lambda x: {_a_line('x.s', 'x.e', 'x.cat', 'x.txt', 'x.coder')}), chr(10)) AS value
+FROM o_inverted""")
+register("label_tokens", """
+SELECT essay_id, para_no, array_to_string(toks, '|||') AS token_seq, array_to_string(labels, '|||') AS label_seq FROM o_invlab""")
+register("dataset_e2e", """
+SELECT d.essay_id, d.para_no, CAST(d.essay_id AS VARCHAR) || '_' || CAST(d.para_no AS VARCHAR) AS seq_id,
+       d.token_seq, d.label_seq, left(e.cefr, 2) AS cefr
+FROM o_dataset d JOIN fx_essays e ON e.essay_id = d.essay_id""")

@@ -34,6 +34,9 @@ FROM fx_toks CROSS JOIN (SELECT 0 AS coder UNION ALL SELECT 1 AS coder) c
 WHERE length(w) > 0
   AND ((c.coder = 0 AND (essay_id * 31 + i * 17) % 23 IN (0, 17))
     OR (c.coder = 1 AND essay_id % 10 = 0 AND (essay_id * 31 + i * 17) % 29 IN (0, 17)))""",
+    "fx_coders": """
+SELECT essay_id, c.coder FROM fx_essays CROSS JOIN (SELECT 0 AS coder UNION ALL SELECT 1 AS coder) c
+WHERE c.coder = 0 OR essay_id % 10 = 0""",
     "fx_lexicon": """
 SELECT word, CASE length(word) % 5 WHEN 0 THEN 'NOUN' WHEN 1 THEN 'VERB' WHEN 2 THEN 'ADJ'
                                    WHEN 3 THEN 'ADV' ELSE 'DET' END AS pos,

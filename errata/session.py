@@ -6,7 +6,7 @@ import os
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 # Settings every job here relies on: AQE re-plans joins from runtime sizes
 # (broadcast only what turned out small, split skewed partitions) and
@@ -71,5 +71,17 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{root}/errata/{name}-{uuid.uuid4().hex[:12]}"
 
 
+def materialise(df: DataFrame, name: str) -> DataFrame:
+    """Write ``df`` once to the shared folder and read it back.
+
+    For rows that several later steps use: they start from the files instead
+    of planning and computing their source once each, and so do retries after
+    a lost executor.
+    """
+    path = scratch_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def table_path(sf_dir: str, name: str) -> str:
     return os.path.join(sf_dir, f"{name}.parquet")

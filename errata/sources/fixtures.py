@@ -79,6 +79,13 @@ def fx_edits(spark: SparkSession, sf_dir: str) -> DataFrame:
                     cor.alias("cor"), cat.alias("cat"))
 
 
+def fx_coders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Who looked at each essay: coder 0 at all, coder 1 at every tenth, with
+    or without edits of theirs."""
+    e = fx_essays(spark, sf_dir).select("essay_id", F.explode(F.array(F.lit(0), F.lit(1))).alias("coder"))
+    return e.filter((F.col("coder") == 0) | (F.col("essay_id") % 10 == 0))
+
+
 _LEX_PUNCT = "!\"#$%&()*+,-./:;<=>?@[]^_`{|}~"
 
 

@@ -39,7 +39,7 @@ def test_m3_noop(spark):
 def _remap(spark, para, offsets):
     df = spark.createDataFrame([(para,)], "para string")
     df = pg.with_clean(df)
-    expr = let([("wcl", "wcl"), ("doubles", "doubles"), ("lead", "lead")],
+    expr = let([("wcl", "wcl"), ("before", "before"), ("lead", "lead")],
                "transform(array(" + ",".join(map(str, offsets)) + "), o -> " + pg.remap_sql("o", "v.") + ")")
     r = df.select("clean", F.expr(expr).alias("m")).collect()[0]
     return r.clean, r.m

@@ -65,7 +65,7 @@ def test_remap_equals_loop(spark):
     df = spark.createDataFrame([(i, p) for i, (p, _) in enumerate(cases)], "id int, para string")
     df = pg.with_clean(df)
     from errata.functions.letbind import let
-    expr = let([("wcl", "wcl"), ("doubles", "doubles"), ("lead", "lead"), ("n", "length(para)")],
+    expr = let([("wcl", "wcl"), ("before", "before"), ("lead", "lead"), ("n", "length(para)")],
                "transform(sequence(0, v.n), o -> " + pg.remap_sql("o", "v.") + ")")
     got = {r.id: (r.clean, r.m) for r in df.select("id", "clean", F.expr(expr).alias("m")).collect()}
     for i, (p, offs) in enumerate(cases):
