@@ -9,8 +9,8 @@ sum of r * tokens * posterior, match the targets.
 The gradient of a rate needs only the four domain residuals. Each iteration is
 one distributed sum over (tokens, posterior); a rate is recomputed from the
 short list of past residuals, so no per-document state is kept or lost. The
-residuals are scaled by the inverse 4 x 4 Gram matrix of the posteriors, which
-makes the largest curvature 1, so step length 1 always converges.
+residuals are scaled by the inverse 4 x 4 Gram matrix of the documents not held
+at zero, which makes their curvature 1: a few steps are enough.
 
 Defined results: null and empty texts have zero tokens, the classifier's base
 rate as posterior, and a rate like any other; label rows with a null are not
@@ -42,7 +42,7 @@ DOMAINS = [(1, 0), (0, 0), (1, 1), (0, 1)]
 TARGET_WEIGHTS = [0.955, 0.03, 0.01, 0.005]
 #: Target tokens of the first domain, as a multiple of what is there.
 KEEP = 1.1
-MAX_STEPS = 60
+MAX_STEPS = 40
 TOLERANCE = 1e-4
 SYMBOLS = re.compile(r"[#*$%&|<>]")
 
@@ -94,20 +94,30 @@ def _features(sample: DataFrame) -> list[str]:
     return sorted(words)
 
 
-def _logistic(x: np.ndarray, y: np.ndarray, l2: float = 1e-3, steps: int = 300) -> np.ndarray:
-    """Weights (bias last) of a ridge-penalised logistic regression, by accelerated gradient."""
-    x = np.hstack([x, np.ones((len(x), 1), dtype=x.dtype)])
+def _logistic(rows: list[list[int]], width: int, y: np.ndarray, l2: float = 1e-3, steps: int = 300) -> np.ndarray:
+    """Weights (bias last) of a ridge-penalised logistic regression, by accelerated
+    gradient. ``rows`` list the features that are one; the bias is one more."""
+    at = np.concatenate([[*r, width] for r in rows]).astype(int)
+    row = np.repeat(np.arange(len(rows)), [len(r) + 1 for r in rows])
+    first = np.flatnonzero(np.diff(row, prepend=-1))
+
+    def out(v: np.ndarray) -> np.ndarray:
+        return np.add.reduceat(v[at], first)
+
+    def back(r: np.ndarray) -> np.ndarray:
+        return np.bincount(at, r[row], width + 1)
+
     base = np.clip(y.mean(), 1e-3, 1 - 1e-3)
-    w = np.zeros(x.shape[1])
+    w = np.zeros(width + 1)
     w[-1] = np.log(base / (1 - base))
     v, prev = w.copy(), w.copy()
-    top = np.ones(x.shape[1])  # power iteration for the largest curvature
+    top = np.ones(width + 1)  # power iteration for the largest curvature
     for _ in range(30):
-        top = x.T @ (x @ (top / np.linalg.norm(top)))
-    rate = 4.0 / (1.05 * np.linalg.norm(top) / len(x) + 4 * l2)
+        top = back(out(top / np.linalg.norm(top)))
+    rate = 4.0 / (1.05 * np.linalg.norm(top) / len(rows) + 4 * l2)
     for k in range(steps):
-        p = 1 / (1 + np.exp(-np.clip(x @ v, -30, 30)))
-        g = x.T @ (p - y) / len(x)
+        p = 1 / (1 + np.exp(-np.clip(out(v), -30, 30)))
+        g = back(p - y) / len(rows)
         g[:-1] += l2 * v[:-1]
         w = v - rate * g
         v = w + k / (k + 3) * (w - prev)
@@ -146,11 +156,9 @@ def fit_classifier(docs: DataFrame, labels: DataFrame) -> Classifier:
     rows = sample.mapInPandas(present, "has array<int>, quality int, toxic int").collect()
     if not rows:
         return Classifier([], np.array([]), np.array([]))
-    x = np.zeros((len(rows), len(words)), dtype=np.float32)
-    for k, r in enumerate(rows):
-        x[k, r.has] = 1
     y = np.array([(r.quality, r.toxic) for r in rows], dtype=float)
-    return Classifier(words, _logistic(x, y[:, 0]), _logistic(x, y[:, 1]))
+    has = [r.has for r in rows]
+    return Classifier(words, _logistic(has, len(words), y[:, 0]), _logistic(has, len(words), y[:, 1]))
 
 
 def posterior(model: Classifier, text: Column) -> Column:
@@ -188,19 +196,35 @@ def default_targets(natural: np.ndarray) -> np.ndarray:
 
 
 def fit_rates(scored: DataFrame, targets: np.ndarray) -> list[list[float]]:
-    """The residuals that define the rates (see ``_rate``) of ``scored(n, p)``."""
+    """The residuals that define the rates (see ``_rate``) of ``scored(n, p)``.
+
+    One pass gives the domain totals at the present rates, and the Gram matrix
+    of the documents whose rate is not held at zero.
+    """
     kk = range(len(DOMAINS))
-    gram = scored.agg(*[F.coalesce(F.sum(F.col("n") * F.col("p")[a] * F.col("p")[b]), F.lit(0.0))
-                        for a in kk for b in kk]).first()
-    scale = np.linalg.pinv(np.array(gram, dtype=float).reshape(len(DOMAINS), -1), rcond=1e-9, hermitian=True)
+    n, p, r = F.col("n"), F.col("p"), F.col("r")
+    free = n * (r > 0).cast("double")
+    sums = [n * r * p[k] for k in kk] + [free * p[a] * p[b] for a in kk for b in kk]
     history: list[list[float]] = []
+    best = np.inf
+    step = 1.0
     for _ in range(MAX_STEPS):
         now = scored.select("n", "p", _rate(history).alias("r"))
-        got = np.array(now.agg(*[F.coalesce(F.sum(F.col("n") * F.col("r") * F.col("p")[k]), F.lit(0.0))
-                                 for k in kk]).first(), dtype=float)
-        if np.abs(got - targets).max() <= TOLERANCE * max(1.0, targets.sum()):
+        got = np.array(now.agg(*[F.coalesce(F.sum(x), F.lit(0.0)) for x in sums]).first(), dtype=float)
+        gap = got[:len(DOMAINS)] - targets
+        size = np.abs(gap).max()
+        if size <= TOLERANCE * max(1.0, targets.sum()):
+            break
+        # A step that did not help was too long for the documents it held at zero.
+        step = min(1.0, 2 * step) if size < best else step / 2
+        if step < 1 / 64:
+            break
+        best = min(best, size)
+        gram = got[len(DOMAINS):].reshape(len(DOMAINS), -1)
+        move = step * (np.linalg.pinv(gram, rcond=1e-9, hermitian=True) @ gap)
+        if np.abs(move).max() <= 1e-9:
             break
-        history.append([float(x) for x in scale @ (got - targets)])
+        history.append([float(x) for x in move])
     return history
 
 
