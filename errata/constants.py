@@ -64,6 +64,9 @@ CEFR_J_POS_MAP = {
 CEFR_LEVELS = {"A1": 0, "A2": 1, "B1": 2, "B2": 3, "C1": 4, "C2": 5}
 UNKNOWN_TAG = "X"
 
+# --- fixed values: merge strategies ------------------------------------------
+STRATEGIES = ["all-split", "all-merge", "all-equal"]
+
 # --- fixed values: splits ----------------------------------------------------
 TEST_SHARE = 0.1
 SPLIT_SEED = 1848

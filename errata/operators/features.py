@@ -24,25 +24,27 @@ def last_per_key(df: DataFrame, keys: list[str], order: str) -> DataFrame:
     return df.groupBy(*keys).agg(best).select(*keys, "_last.*")
 
 
-def psy_lexicon(raw: DataFrame, order: str | None = None) -> DataFrame:
-    """(Word, pos) -> freq_pm, aoa; four parts of speech kept."""
+def psy_lexicon(raw: DataFrame, order: str) -> DataFrame:
+    """(Word, pos) -> freq_pm, aoa; four parts of speech kept. The last
+    row by ``order`` wins."""
     df = raw.withColumn("pos", _map(PSY_POS_MAP)[F.col("Dom_PoS_SUBTLEX")]).filter(F.col("pos").isNotNull())
     df = df.select(F.col("Word").alias("word"), "pos",
                    F.expr("try_cast(Freq_pm AS double)").alias("freq_pm"),
                    F.expr("try_cast(AoA_Kup_lem AS double)").alias("aoa"),
-                   (F.col(order) if order else F.lit(0)).alias("_row_no"))
+                   F.col(order).alias("_row_no"))
     return last_per_key(df, ["word", "pos"], "_row_no").drop("_row_no")
 
 
-def cefr_lexicon(raw: DataFrame, order: str | None = None) -> DataFrame:
-    """(word, pos) -> level 0..5; an unknown level is an error."""
+def cefr_lexicon(raw: DataFrame, order: str) -> DataFrame:
+    """(word, pos) -> level 0..5; an unknown level is an error. The last
+    row by ``order`` wins."""
     df = raw.withColumn("_pos", _map(CEFR_J_POS_MAP)[F.col("pos")]).filter(F.col("_pos").isNotNull())
     level = _map(CEFR_LEVELS)[F.col("cefr_j")]
     level = F.when(level.isNull(), F.raise_error(F.concat(F.lit("unknown CEFR level: "),
                                                            F.coalesce(F.col("cefr_j"), F.lit("null")))))\
              .otherwise(level)
     df = df.select("word", F.col("_pos").alias("pos"), level.cast("int").alias("cefr_j"),
-                   (F.col(order) if order else F.lit(0)).alias("_row_no"))
+                   F.col(order).alias("_row_no"))
     return last_per_key(df, ["word", "pos"], "_row_no").drop("_row_no")
 
 
@@ -94,6 +96,7 @@ def token_rows(seqs: DataFrame) -> DataFrame:
              .drop("_labs"))
 
 
+# The output columns and their order.
 FEATURE_COLUMNS = ["character_length", "frequency", "first_upper", "all_upper",
                    "sequence_length", "sequence_id", "token", "pos", "cefr", "cefr_j",
                    "freq_pm", "aoa", "is_noun", "is_verb", "is_adjective", "is_adverb",

@@ -188,7 +188,7 @@ def number_in_file(rows: DataFrame, path: str = "file", out: str = "block_no") -
     Rows are numbered per input split by their position (consecutive ids
     within a partition), and each split is offset by the rows of the
     earlier splits of the same file: a per-split count table (one row per
-    split, broadcast) instead of one window over a whole file.
+    split) instead of one window over a whole file.
     """
     x = (rows.withColumn(path, F.col("_metadata.file_path"))
              .withColumn("_split", F.col("_metadata.file_block_start"))
@@ -196,6 +196,6 @@ def number_in_file(rows: DataFrame, path: str = "file", out: str = "block_no") -
     splits = x.groupBy(path, "_split").agg(F.count(F.lit(1)).alias("_n"), F.min("_mid").alias("_base"))
     w = Window.partitionBy(path).orderBy("_split").rowsBetween(Window.unboundedPreceding, -1)
     splits = splits.withColumn("_off", F.coalesce(F.sum("_n").over(w), F.lit(0)))
-    x = x.join(F.broadcast(splits.select(path, "_split", "_base", "_off")), [path, "_split"])
+    x = x.join(splits.select(path, "_split", "_base", "_off"), [path, "_split"])
     return x.withColumn(out, (F.col("_off") + F.col("_mid") - F.col("_base")).cast("int")) \
             .drop("_split", "_mid", "_base", "_off")

@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-STRATEGIES = ["all-split", "all-merge", "all-equal"]
+from errata.constants import STRATEGIES
 
 
 def edit_operations(sents: DataFrame) -> DataFrame:

@@ -15,7 +15,6 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from errata.constants import SPLIT_SEED, TEST_SHARE
-from errata.operators.lookup import bounded_broadcast
 from errata.session import checkpoint_root
 
 
@@ -25,7 +24,11 @@ def _order_key(idcol: F.Column, seed: int, salt: str) -> F.Column:
 
 def split_exact(df: DataFrame, idcol: str, share: float = TEST_SHARE, seed: int = SPLIT_SEED,
                 salt: str = "", left: str = "train", right: str = "test") -> DataFrame:
-    """Add ``split`` = right for the first ceil(share * n) rows by key."""
+    """Add ``split`` = right for the first ceil(share * n) rows by key.
+
+    Ids must tell rows apart: if rows of one id lie on both sides of the cut,
+    no split of exact size follows from the ids, and the query fails.
+    """
     x = df.withColumn("_h", _order_key(F.col(idcol), seed, salt))
     x = x.withColumn("_b", F.conv(F.substring("_h", 1, 4), 16, 10).cast("int"))
     # The scalars below read a narrow (id, key, bucket) table written once to
@@ -41,6 +44,9 @@ def split_exact(df: DataFrame, idcol: str, share: float = TEST_SHARE, seed: int
     edge = keys.filter(F.col("_b") == cut)
     edge = edge.withColumn("_r", F.row_number().over(Window.partitionBy("_b").orderBy("_h", idcol)))
     h_cut = edge.filter(F.col("_r") == k - before).select("_h").scalar()   # last test key
+    placed = before + edge.filter(F.col("_h") <= h_cut).select(F.count(F.lit(1))).scalar()
+    h_cut = F.when(placed == k, h_cut).otherwise(F.raise_error(F.lit(
+        "the split falls between rows of one id: ids must be unique")))
     is_right = (F.col("_b") < cut) | ((F.col("_b") == cut) & (F.col("_h") <= h_cut))
     return x.withColumn("split", F.when(F.coalesce(is_right, F.lit(False)), right)
                         .otherwise(left)).drop("_h", "_b")
@@ -60,12 +66,9 @@ def split_rows(df: DataFrame, idcol: str, create_dev: bool = False, share: float
 def split_grouped(df: DataFrame, column: str, share: float = TEST_SHARE,
                   seed: int = SPLIT_SEED) -> DataFrame:
     """U3 + A4 + J8: split the distinct values of ``column``; rows follow."""
-    vals = df.select(column).distinct()
-    chosen = split_exact(vals, column, share, seed).filter(F.col("split") == "train").select(column)
-    chosen = bounded_broadcast(chosen)
-    train = df.join(chosen, column, "left_semi").withColumn("split", F.lit("train"))
-    test = df.join(chosen, column, "left_anti").withColumn("split", F.lit("test"))
-    return train.unionByName(test)
+    vals = df.select(F.col(column).alias("_v")).distinct()
+    side = split_exact(vals, "_v", share, seed)
+    return df.join(side, df[column].eqNullSafe(side["_v"]), "left").drop("_v")
 
 
 def test_size(n: int, share: float = TEST_SHARE) -> int:

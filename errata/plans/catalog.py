@@ -41,8 +41,8 @@ def _featurise_with_lemma(spark, sf_dir, seqs):
                                                       F.col("zipf").alias("_zipf")))
     rows = rows.join(z, F.lower(F.col("stripped")) == F.col("_zw"), "left")
     rows = rows.withColumn("frequency", F.coalesce(F.col("_zipf"), F.lit(0.0)))
-    psy = ft.psy_lexicon(fx.fx_psy(spark, sf_dir))
-    cj = ft.cefr_lexicon(fx.fx_cefr_vocab(spark, sf_dir))
+    psy = ft.psy_lexicon(fx.fx_psy(spark, sf_dir), "Word")
+    cj = ft.cefr_lexicon(fx.fx_cefr_vocab(spark, sf_dir), "word")
     rows = two_step_lookup(rows, psy, [F.col("token"), F.col("pos")],
                            [F.col("lemma"), F.col("pos")], ["word", "pos"], ["freq_pm", "aoa"], "_psy")
     rows = two_step_lookup(rows, cj, [F.col("token"), F.col("pos")],
@@ -61,8 +61,8 @@ def _featurise_with_lemma(spark, sf_dir, seqs):
 def q_features(spark, sf_dir):
     seqs = ws.labelled_sequences(spark, sf_dir)
     lex = fx.fx_lexicon(spark, sf_dir)
-    psy = ft.psy_lexicon(fx.fx_psy(spark, sf_dir))
-    cj = ft.cefr_lexicon(fx.fx_cefr_vocab(spark, sf_dir))
+    psy = ft.psy_lexicon(fx.fx_psy(spark, sf_dir), "Word")
+    cj = ft.cefr_lexicon(fx.fx_cefr_vocab(spark, sf_dir), "word")
     return ft.sort_features(ft.featurise(seqs, lex, psy, cj, _zipf(spark, sf_dir)))
 
 
@@ -123,17 +123,17 @@ def q_zipf_table(spark, sf_dir):
 
 @query("lex_psy")
 def q_lex_psy(spark, sf_dir):
-    return ft.psy_lexicon(fx.fx_psy(spark, sf_dir))
+    return ft.psy_lexicon(fx.fx_psy(spark, sf_dir), "Word")
 
 
 @query("lex_cefr")
 def q_lex_cefr(spark, sf_dir):
-    return ft.cefr_lexicon(fx.fx_cefr_vocab(spark, sf_dir))
+    return ft.cefr_lexicon(fx.fx_cefr_vocab(spark, sf_dir), "word")
 
 
 @query("lex_dedupe")
 def q_lex_dedupe(spark, sf_dir):
-    cj = ft.cefr_lexicon(fx.fx_cefr_vocab(spark, sf_dir))
+    cj = ft.cefr_lexicon(fx.fx_cefr_vocab(spark, sf_dir), "word")
     keyed = cj.select(F.lower("word").alias("key"), "pos", "cefr_j", F.col("word").alias("source_word"))
     out = ft.last_per_key(keyed, ["key", "pos"], "source_word")
     return out.select(F.col("key").alias("word"), "pos", "cefr_j", "source_word")
@@ -482,7 +482,7 @@ def q_parse_sent(spark, sf_dir):
 
 @query("edits_by_coder")
 def q_edits_by_coder(spark, sf_dir):
-    e = fx.fx_edits(spark, sf_dir)
+    e = ed.edit_kinds(fx.fx_edits(spark, sf_dir))
     g = e.groupBy("essay_id", "coder").agg(F.count(F.lit(1)).alias("n_edits"),
                                            F.array_sort(F.collect_list("edit_no")).alias("_l"))
     return g.select("essay_id", "coder", "n_edits",
@@ -497,58 +497,69 @@ from errata.sources import files as io  # noqa: E402
 SEQ_SCHEMA = "seq_id string, token_seq string, label_seq string, cefr string, row_i bigint"
 
 
+def _essay_files(spark, sf_dir):
+    path = scratch_path(spark, "essays-json")
+    io.write_essays_json(fx.fx_files(spark, sf_dir), fx.fx_edits(spark, sf_dir), fx.fx_coders(spark, sf_dir), path)
+    return path
+
+
 @query("src_essays")
 def q_src_essays(spark, sf_dir):
-    path = scratch_path(spark, "essays-json")
-    io.write_essays_json(fx.fx_essays(spark, sf_dir), fx.fx_edits(spark, sf_dir), path)
-    _, _, edits = io.read_essays_json(spark, path)
-    return edits.select("coder", F.col("edit_no").cast("bigint").alias("edit_no"), "s", "e", "cor", "cat")
+    essays, coders, edits = io.read_essays_json(spark, _essay_files(spark, sf_dir))
+    x = essays.join(coders, "essay_id").join(edits, ["essay_id", "coder"], "left")
+    return x.select("file", "line_no", "coder", F.col("edit_no").cast("bigint").alias("edit_no"), "s", "e", "cor", "cat")
 
 
 @query("src_glob")
 def q_src_glob(spark, sf_dir):
-    path = scratch_path(spark, "essays-json")
-    io.write_essays_json(fx.fx_essays(spark, sf_dir), fx.fx_edits(spark, sf_dir), path)
-    essays, coders, _ = io.read_essays_json(spark, path + "/part-*")
-    return essays.groupBy(F.element_at(F.split("file", "/"), -1).alias("file_name")).agg(
-        F.count(F.lit(1)).alias("n_essays"))
+    essays, _, _ = io.read_essays_json(spark, _essay_files(spark, sf_dir) + "/file=g[0-2]/part-*")
+    return essays.groupBy("file").agg(F.count(F.lit(1)).alias("n_essays"))
+
+
+def _file_blocks(spark, sf_dir):
+    of = fx.fx_files(spark, sf_dir).select("essay_id", "file", F.left("cefr", F.lit(2)).alias("cefr"))
+    return materialise(_blocks(spark, sf_dir).join(of, "essay_id"), "file-blocks")
 
 
 def _m2_files(spark, sf_dir):
     path = scratch_path(spark, "m2")
-    io.write_m2(_blocks(spark, sf_dir), path, ["essay_id", "para_no"])
+    io.write_m2(_file_blocks(spark, sf_dir), path, ["essay_id", "para_no"])
     return path
 
 
 @query("snk_m2")
 def q_snk_m2(spark, sf_dir):
-    path = _m2_files(spark, sf_dir)
-    return spark.read.option("lineSep", "\n\n").text(path)
+    return spark.read.option("lineSep", "\n\n").text(_m2_files(spark, sf_dir)).select("file", "value")
 
 
 @query("src_m2")
 def q_src_m2(spark, sf_dir):
     b = io.read_m2(spark, _m2_files(spark, sf_dir))
-    return b.select("file_name", "block_no", F.array_join("tokens", " ").alias("tokens"),
-                    F.size("edits").alias("n_edits"))
+    return b.select("file", "block_no", F.array_join("tokens", " ").alias("tokens"), F.size("edits").alias("n_edits"))
 
 
 @query("block_no")
 def q_block_no(spark, sf_dir):
-    b = io.read_m2(spark, _m2_files(spark, sf_dir))
-    inv = m2op.invert_blocks(b)
-    return inv.select("file_name", "block_no", (F.size("tokens") > 0).alias("kept"))
+    inv = m2op.invert_blocks(io.read_m2(spark, _m2_files(spark, sf_dir)))
+    return inv.select("file", "block_no", (F.size("tokens") > 0).alias("kept"))
 
 
 @query("cefr_attach")
 def q_cefr_attach(spark, sf_dir):
-    blocks = _blocks(spark, sf_dir).join(
-        fx.fx_essays(spark, sf_dir).select("essay_id", F.left("cefr", F.lit(2)).alias("cefr")), "essay_id")
+    blocks = _file_blocks(spark, sf_dir)
     m2path, cpath = scratch_path(spark, "m2"), scratch_path(spark, "cefr")
-    io.write_m2(blocks.coalesce(1), m2path, ["essay_id", "para_no"])
+    io.write_m2(blocks, m2path, ["essay_id", "para_no"])
     io.write_cefr_list(blocks, cpath, ["essay_id", "para_no"])
-    b = io.read_m2(spark, m2path)
-    return io.attach_cefr(b, spark, cpath).select("block_no", F.array_join("tokens", " ").alias("tokens"), "cefr")
+    b = io.attach_cefr(io.read_m2(spark, m2path), spark, cpath)
+    return b.select("file", "block_no", F.array_join("tokens", " ").alias("tokens"), "cefr")
+
+
+@query("dataset_files")
+def q_dataset_files(spark, sf_dir):
+    """Essay files to labelled sequences, by way of M2 and CEFR files."""
+    out = dsp.dataset_from_files(spark, _essay_files(spark, sf_dir), fx.fx_lexicon(spark, sf_dir), scratch_path(spark, "m2"),
+                                 scratch_path(spark, "cefr"), scratch_path(spark, "m2-inverted"))
+    return out.select("seq_id", "token_seq", "label_seq", "cefr")
 
 
 def _seqs_tsv(spark, sf_dir, name="seqs"):
@@ -559,7 +570,9 @@ def _seqs_tsv(spark, sf_dir, name="seqs"):
 
 @query("snk_tsv")
 def q_snk_tsv(spark, sf_dir):
-    return spark.read.text(_seqs_tsv(spark, sf_dir))
+    """The written lines; every part file starts with the header."""
+    lines = spark.read.text(_seqs_tsv(spark, sf_dir))
+    return lines.filter(F.col("value") != "\t".join(c.split()[0] for c in SEQ_SCHEMA.split(", ")))
 
 
 @query("src_tsv")
@@ -570,8 +583,7 @@ def q_src_tsv(spark, sf_dir):
 @query("src_tsv_nohdr")
 def q_src_tsv_nohdr(spark, sf_dir):
     path = scratch_path(spark, "seqs-nohdr")
-    ws.labelled_sequences(spark, sf_dir).write.mode("overwrite").options(
-        **{**io.TSV_OPTS, "header": "false"}).csv(path)
+    io.write_tsv(ws.labelled_sequences(spark, sf_dir), path, header=False)
     return io.read_tsv(spark, path, header=False)
 
 
@@ -582,9 +594,7 @@ def q_combine(spark, sf_dir):
     a, b = scratch_path(spark, "part-train"), scratch_path(spark, "part-test")
     io.write_tsv(seqs.filter(F.col("split") == "train").drop("split"), a)
     io.write_tsv(seqs.filter(F.col("split") == "test").drop("split").drop("cefr"), b)
-    ra = io.read_tsv(spark, a, SEQ_SCHEMA)
-    rb = io.read_tsv(spark, b, "seq_id string, token_seq string, label_seq string, row_i bigint")
-    out = ra.unionByName(rb, allowMissingColumns=True)
+    out = io.combine_tsv(spark, [a, b], [SEQ_SCHEMA, "seq_id string, token_seq string, label_seq string, row_i bigint"])
     return out.select("seq_id", "token_seq", "label_seq", "cefr", "row_i")
 
 
@@ -614,15 +624,12 @@ def q_snk_scores(spark, sf_dir):
 
 @query("stream_features")
 def q_stream_features(spark, sf_dir):
-    from errata.operators.tagging import tag_tokens  # noqa: F401
     from errata.streaming.features import feature_stream, run_to_parquet
     src = _seqs_tsv(spark, sf_dir, "stream-in")
-    lex = fx.fx_lexicon(spark, sf_dir)
-    psy = ft.psy_lexicon(fx.fx_psy(spark, sf_dir))
-    cj = ft.cefr_lexicon(fx.fx_cefr_vocab(spark, sf_dir))
-    zipf = _zipf(spark, sf_dir)
     out, ck = scratch_path(spark, "stream-out"), scratch_path(spark, "stream-ckpt")
-    run_to_parquet(feature_stream(spark, src, lex, psy, cj, zipf), out, ck)
+    stream = feature_stream(spark, src, fx.fx_lexicon(spark, sf_dir), ft.psy_lexicon(fx.fx_psy(spark, sf_dir), "Word"),
+                            ft.cefr_lexicon(fx.fx_cefr_vocab(spark, sf_dir), "word"), _zipf(spark, sf_dir))
+    run_to_parquet(stream, out, ck)
     return spark.read.parquet(out)
 
 

@@ -186,7 +186,15 @@ register("feat_cefr", "SELECT sequence_id, feature_i, token, lemma, pos, cefr_j
 register("feat_zipf", "SELECT sequence_id, feature_i, token, frequency FROM o_feat")
 register("feat_seq_len", "SELECT DISTINCT sequence_id, sequence_length FROM o_feat")
 register("token_rows", "SELECT seq_id AS sequence_id, feature_i, token, label FROM o_trows")
-register("tag_tokens", "SELECT seq_id AS sequence_id, feature_i, token, pos, lemma FROM o_ttag")
+# Tagging needs words and lexicon only; like the sequences, words are joined and split again.
+DERIVED_CTES["o_wseq"] = """
+SELECT essay_id, string_split(string_agg(w, '|||' ORDER BY i), '|||') AS a FROM o_words GROUP BY essay_id"""
+register("tag_tokens", """
+SELECT 'fx_' || CAST(l.essay_id AS VARCHAR) AS sequence_id, CAST(l.k AS INTEGER) AS feature_i, l.w AS token,
+       CASE WHEN a.word IS NOT NULL THEN a.pos WHEN b.word IS NOT NULL THEN b.pos ELSE 'X' END AS pos,
+       CASE WHEN a.word IS NOT NULL THEN a.lemma WHEN b.word IS NOT NULL THEN b.lemma ELSE l.w END AS lemma
+FROM (SELECT essay_id, unnest(range(0, len(a))) AS k, unnest(a) AS w FROM o_wseq) l
+LEFT JOIN fx_lexicon a ON a.word = l.w LEFT JOIN fx_lexicon b ON b.word = lower(l.w)""")
 register("zipf_table", "SELECT word, n, zipf FROM o_zipf")
 register("lex_psy", "SELECT word, pos, freq_pm, aoa FROM o_lex_psy")
 register("lex_cefr", "SELECT word, pos, cefr_j FROM o_lex_cefr")
@@ -555,3 +563,39 @@ register("dataset_e2e", """
 SELECT d.essay_id, d.para_no, CAST(d.essay_id AS VARCHAR) || '_' || CAST(d.para_no AS VARCHAR) AS seq_id,
        d.token_seq, d.label_seq, left(e.cefr, 2) AS cefr
 FROM o_dataset d JOIN fx_essays e ON e.essay_id = d.essay_id""")
+
+DERIVED_CTES["o_files"] = """
+SELECT t.*, 'g' || CAST(t.essay_id % 4 AS VARCHAR) AS file,
+       CAST(row_number() OVER (PARTITION BY t.essay_id % 4 ORDER BY t.essay_id, t.para_no) - 1 AS INTEGER) AS block_no
+FROM o_ptoks t"""
+register("src_essays", """
+SELECT 'g' || CAST(c.essay_id % 4 AS VARCHAR) AS file, l.line_no, c.coder, e.edit_no, e.s, e.e, e.cor, e.cat
+FROM fx_coders c JOIN (SELECT essay_id, CAST(row_number() OVER (PARTITION BY essay_id % 4 ORDER BY essay_id) - 1 AS INTEGER) AS line_no
+                       FROM fx_essays) l ON l.essay_id = c.essay_id
+LEFT JOIN (SELECT essay_id, coder, row_number() OVER (PARTITION BY essay_id, coder ORDER BY edit_no) - 1 AS edit_no,
+                  CAST(s AS BIGINT) AS s, CAST(e AS BIGINT) AS e, cor, cat FROM fx_edits) e
+  ON e.essay_id = c.essay_id AND e.coder = c.coder""")
+register("src_glob", """
+SELECT 'g' || CAST(essay_id % 4 AS VARCHAR) AS file, count(*) AS n_essays FROM fx_essays WHERE essay_id % 4 < 3 GROUP BY 1""")
+register("snk_m2", "SELECT 'g' || CAST(essay_id % 4 AS VARCHAR) AS file, value FROM o_blocktext")
+register("src_m2", """
+SELECT f.file, f.block_no, array_to_string(f.toks, ' ') AS tokens, CAST(count(*) AS INTEGER) AS n_edits
+FROM o_files f JOIN o_alines a ON a.essay_id = f.essay_id AND a.para_no = f.para_no GROUP BY f.file, f.block_no, f.toks""")
+register("block_no", """
+SELECT f.file, f.block_no, len(i.toks) > 0 AS kept FROM o_files f
+JOIN o_inverted i ON i.essay_id = f.essay_id AND i.para_no = f.para_no""")
+register("cefr_attach", """
+SELECT f.file, f.block_no, array_to_string(f.toks, ' ') AS tokens, left(e.cefr, 2) AS cefr
+FROM o_files f JOIN fx_essays e ON e.essay_id = f.essay_id""")
+register("dataset_files", """
+SELECT f.file || '_' || CAST(f.block_no AS VARCHAR) AS seq_id, d.token_seq, d.label_seq, left(e.cefr, 2) AS cefr
+FROM o_files f JOIN o_dataset d ON d.essay_id = f.essay_id AND d.para_no = f.para_no JOIN fx_essays e ON e.essay_id = f.essay_id""")
+register("snk_tsv", """
+SELECT seq_id || chr(9) || token_seq || chr(9) || label_seq || chr(9) || cefr || chr(9) || CAST(row_i AS VARCHAR) AS value FROM o_seqs""")
+register("src_tsv_nohdr", """
+SELECT seq_id AS "0", token_seq AS "1", label_seq AS "2", cefr AS "3", CAST(row_i AS VARCHAR) AS "4" FROM o_seqs""")
+register("snk_scores", """
+SELECT token || '|||' || pos AS key, count(*) FILTER (WHERE label = 'true') / count(*) AS score
+FROM o_feat WHERE label IN ('true', 'false') GROUP BY token, pos
+HAVING count(*) FILTER (WHERE label = 'true') > 0""")
+register("stream_features", f"SELECT {FEATURES_19} FROM o_feat")

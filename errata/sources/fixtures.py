@@ -91,10 +91,15 @@ _LEX_PUNCT = "!\"#$%&()*+,-./:;<=>?@[]^_`{|}~"
 
 def fx_lexicon(spark: SparkSession, sf_dir: str) -> DataFrame:
     words = fx_toks(spark, sf_dir).select(F.trim("w", F.lit(_LEX_PUNCT)).alias("word"))
+    counts = words.filter(F.length("word") > 0).groupBy("word").agg(F.count(F.lit(1)).alias("n"))
     pos = _pick(F.length("word") % 5, ["NOUN", "VERB", "ADJ", "ADV"]).otherwise("DET")
-    return (words.filter(F.length("word") > 0)
-            .groupBy("word", pos.alias("pos"), F.lower("word").alias("lemma"))
-            .agg(F.count(F.lit(1)).alias("n")))
+    return counts.select("word", pos.alias("pos"), F.lower("word").alias("lemma"), "n")
+
+
+def fx_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Essays dealt to four named files."""
+    e = fx_essays(spark, sf_dir)
+    return e.withColumn("file", F.concat(F.lit("g"), (F.col("essay_id") % 4).cast("string")))
 
 
 def fx_psy(spark: SparkSession, sf_dir: str) -> DataFrame:
