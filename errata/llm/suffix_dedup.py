@@ -12,8 +12,8 @@ buckets that span documents go on:
 2. Grams found in one document only leave the sort. For the others the bucket
    is refined by what stands at the later (and earlier) offsets, up to the
    length asked for: each anchor's context, at most ``2 * LENGTH - GRAM`` bytes,
-   holds all strings it is the anchor of. They are sorted by a 128-bit
-   identifier, built by doubling from the identifiers of their halves.
+   holds all strings it is the anchor of. They are sorted by 128-bit
+   identifiers, made of the buckets at their start and at later offsets.
 3. The least document id of each final bucket decides. The verdicts, a bit per
    string, travel back in the order the strings were sent.
 
@@ -46,38 +46,51 @@ from errata.session import scratch_path
 
 LENGTH = 50
 GRAM = 24
-CHUNK_BYTES = 8 << 20
+CHUNK_BYTES = 6 << 20
 #: Chunks whose packed buckets one sorting task takes, about.
 CHUNKS_PER_SORT = 2
-BLOCK = 1 << 20
+BLOCK = 1 << 19
 NO_ID = np.iinfo(np.int64).max
 #: Bits of a gram's hash that are sent: a filter, so equal bits are enough.
 SENT_BITS = 48
 
 
+def _joined(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Identifiers of pairs of identifiers."""
+    v = a * np.uint64(0xD6E8FEB86659FD93)
+    v += b
+    v ^= v >> np.uint64(29)
+    v *= np.uint64(0xBF58476D1CE4E5B9)
+    v ^= v >> np.uint64(32)
+    return v
+
+
 def _identifiers(x: np.ndarray, n: int, seed: int) -> np.ndarray:
-    """64-bit identifiers of all ``n``-byte strings in the bytes ``x``, by doubling."""
-    known = {1: (x.astype(np.uint64) + np.uint64(seed)) * np.uint64(0x9E3779B97F4A7C15)}
-
-    def ident(k: int) -> np.ndarray:
-        if k not in known:
-            half = 1 << ((k - 1).bit_length() - 1)
-            size = max(0, len(x) - k + 1)
-            v = ident(half)[:size] * np.uint64(0xD6E8FEB86659FD93)
-            v += ident(k - half)[half:half + size]
-            v ^= v >> np.uint64(29)
-            v *= np.uint64(0xBF58476D1CE4E5B9)
-            v ^= v >> np.uint64(32)
-            known[k] = v
-        return known[k]
-    return ident(n)
+    """64-bit identifiers of all ``n``-byte strings in the bytes ``x``.
+
+    Buckets of 1, 2, 4, ... bytes are refined by those at the later offset;
+    two overlapping ones make up the length asked for.
+    """
+    v = (x.astype(np.uint64) + np.uint64(seed)) * np.uint64(0x9E3779B97F4A7C15)
+    size, width = max(0, len(x) - n + 1), 1
+    while 2 * width <= n:
+        v = _joined(v[:max(0, len(v) - width)], v[width:])
+        width *= 2
+    return _joined(v[:size], v[n - width:n - width + size]) if width < n else v
+
+
+def _strings(gram: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Two identifiers of the ``LENGTH``-byte strings at the places ``at``: the
+    buckets of their first bytes, refined by those at the later offsets."""
+    a, b, c = gram[at], gram[at + GRAM], gram[at + LENGTH - GRAM]
+    return _joined(_joined(a, b), c), _joined(_joined(c, a), b)
 
 
 def _pack(*arrays: np.ndarray) -> bytes:
     """Arrays as compressed byte planes, which sorted numbers shrink well in."""
     out = []
     for a in arrays:
-        planes = np.ascontiguousarray(a.view(np.uint8).reshape(len(a), -1).T).tobytes()
+        planes = np.ascontiguousarray(a.view(np.uint8).reshape(len(a), a.itemsize).T).tobytes()
         raw = zstandard.compress(planes, 1)
         out.append(len(raw).to_bytes(8, "little") + raw)
     return b"".join(out)
@@ -115,13 +128,18 @@ class Chunk:
         self._anchors()
 
     def _anchors(self) -> None:
-        """For each run of strings with one anchor: start, count, gram hash, document."""
+        """For each run of strings with one anchor: start, count, document, gram,
+        and identifiers of its first and its last string."""
         total, span = len(self.bytes), LENGTH - GRAM + 1
         low = np.uint64((1 << 21) - 1)
-        starts, counts, grams, docs = [], [], [], []
+        whole = np.zeros(total + 1, dtype=np.int8)  # 1 where a string lies in one text
+        begins = np.r_[0, self.ends[:-1]] if len(self.ends) else self.ends
+        whole[begins] += 1
+        whole[self.ends - LENGTH + 1] -= 1
+        whole = np.cumsum(whole, dtype=np.int8).astype(bool)
+        found: list[list[np.ndarray]] = []
         for at in range(0, max(0, total - LENGTH + 1), BLOCK):
-            x = self.bytes[at:at + BLOCK + LENGTH - 1]
-            gram = _identifiers(x, GRAM, 1)
+            gram = _identifiers(self.bytes[at:at + BLOCK + LENGTH - 1], GRAM, 1)
             # Hash above, place below: the least is the leftmost of equal hashes.
             m = (gram & ~low) | np.arange(len(gram), dtype=np.uint64)
             width = 1
@@ -129,21 +147,21 @@ class Chunk:
                 step = min(width, span - width)
                 m = np.minimum(m[:len(m) - step], m[step:])
                 width += step
-            p = (m & low).astype(np.int64)
-            i = np.arange(at, at + len(p))
-            doc = np.searchsorted(self.ends, i, side="right")
-            ok = np.flatnonzero(i + LENGTH <= self.ends[np.minimum(doc, len(self.ends) - 1)])
+            ok = np.flatnonzero(whole[at:at + len(m)])
             if not len(ok):
                 continue
-            p, doc, i = p[ok], doc[ok], i[ok]
-            new = np.flatnonzero(np.r_[True, (p[1:] != p[:-1]) | (doc[1:] != doc[:-1])])
-            starts.append(i[new])
-            counts.append(np.diff(np.r_[new, len(p)]))
-            grams.append(gram[p[new]] >> np.uint64(64 - SENT_BITS))
-            docs.append(doc[new])
-        none = [np.zeros(0, dtype=np.int64)]
-        self.start, self.count, self.doc = (np.concatenate(v or none) for v in (starts, counts, docs))
-        self.gram = np.concatenate(grams or [np.zeros(0, dtype=np.uint64)])
+            p = (m[ok] & low).astype(np.int64)
+            # Between texts, the strings that cross the border make a gap.
+            new = np.flatnonzero(np.r_[True, (p[1:] != p[:-1]) | (ok[1:] != ok[:-1] + 1)])
+            count = np.diff(np.r_[new, len(p)])
+            first = ok[new]
+            found.append([first + at, count, np.searchsorted(self.ends, first + at, side="right"),
+                          # Least hashes are small ones: mixed again, they spread evenly over the sorts.
+                          (gram[p[new]] * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - SENT_BITS),
+                          _strings(gram, first)[0], _strings(gram, first + count - 1)[1]])
+        none = [np.zeros(0, dtype=k) for k in "qqqQQQ"]
+        self.start, self.count, self.doc, self.gram, self.head, self.tail = (
+            np.concatenate(v) for v in (zip(*found) if found else ([x] for x in none)))
 
     def grams(self) -> tuple[np.ndarray, np.ndarray]:
         """Distinct grams in order, and whether several of the chunk's documents have them."""
@@ -161,8 +179,7 @@ class Chunk:
         runs = np.flatnonzero(live[np.minimum(at, len(live) - 1)] == self.gram) if len(live) else np.zeros(0, dtype=int)
         if not len(runs):
             return runs, runs, runs
-        head, tail = self.start[runs], self.start[runs] + self.count[runs] - 1
-        a, b = self.identify(head, 1), self.identify(tail, 2)
+        a, b = self.head[runs], self.tail[runs]
         order = np.lexsort((self.ids[self.doc[runs]], self.count[runs], b, a))
         same = (a[order][1:] == a[order][:-1]) & (b[order][1:] == b[order][:-1]) & \
             (self.count[runs[order]][1:] == self.count[runs[order]][:-1])
@@ -172,15 +189,6 @@ class Chunk:
         owner[order] = firsts[group]
         return runs, owner, firsts[np.lexsort((firsts, self.gram[firsts]))]
 
-    def identify(self, at: np.ndarray, seed: int) -> np.ndarray:
-        """Identifiers of the strings that start at the places ``at`` (ascending)."""
-        out = np.zeros(len(at), dtype=np.uint64)
-        for s in range(0, len(self.bytes), BLOCK):
-            lo, hi = np.searchsorted(at, [s, s + BLOCK])
-            if lo < hi:
-                out[lo:hi] = _identifiers(self.bytes[s:s + BLOCK + LENGTH - 1], LENGTH, seed)[at[lo:hi] - s]
-        return out
-
     def cut(self, gone: np.ndarray) -> list[tuple]:
         """Result rows, given the starts of strings that go (in any order)."""
         step = np.zeros(len(self.bytes) + 1, dtype=np.int32)
@@ -294,12 +302,14 @@ def _sort_contexts(parts: list[bytes]) -> list[bytes]:
     one, two = np.empty(len(at), dtype=np.uint64), np.empty(len(at), dtype=np.uint64)
     for s in range(0, len(data), BLOCK):
         lo, hi = np.searchsorted(at, [s, s + BLOCK])
-        x = data[s:s + BLOCK + LENGTH - 1]
-        one[lo:hi] = _identifiers(x, LENGTH, 1)[at[lo:hi] - s]
-        two[lo:hi] = _identifiers(x, LENGTH, 2)[at[lo:hi] - s]
+        one[lo:hi], two[lo:hi] = _strings(_identifiers(data[s:s + BLOCK + LENGTH - 1], GRAM, 1), at[lo:hi] - s)
     held = np.repeat(doc, count)
-    order = np.lexsort((two, one))
-    new = np.r_[True, (one[order][1:] != one[order][:-1]) | (two[order][1:] != two[order][:-1])]
+    order = np.argsort(one)
+    same = one[order][1:] == one[order][:-1]
+    if (same & (two[order][1:] != two[order][:-1])).any():  # a first identifier stands for two strings
+        order = np.lexsort((two, one))
+        same = (one[order][1:] == one[order][:-1]) & (two[order][1:] == two[order][:-1])
+    new = np.r_[True, ~same]
     least = np.minimum.reduceat(held[order], np.flatnonzero(new))
     goes = np.empty(len(at), dtype=bool)
     goes[order] = held[order] > least[np.cumsum(new) - 1]
