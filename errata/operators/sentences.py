@@ -98,26 +98,37 @@ def _token_edit_sql() -> str:
              "'edit_no', y.x.edit_no, 'kind', y.x.kind, 'cat', y.x.cat, 's', y.x.s, 'e', y.x.e, "
              "'ts', y.k.ts, 'te', y.k.te, 'expanded', y.k.xp, 'cor_text', " + full + ", "
              "'cor_toks', " + cor_toks + "))")
-    # E1 + W3: apply in list order; Python slice assignment clamps its bounds
+    # Where each edit lands, by a running offset
+    spans = ("aggregate(a.e5, named_struct('off', 0, 'spans', "
+             "CAST(array() AS array<struct<c_start:int,c_end:int>>)), (acc, z) -> named_struct("
+             "'off', acc.off - (z.te - z.ts) + size(z.cor_toks), "
+             "'spans', array_append(acc.spans, named_struct("
+             "'c_start', z.ts + acc.off, 'c_end', z.ts + acc.off + size(z.cor_toks))))).spans")
+    # Edits in order and apart from each other leave pieces that are laid
+    # end to end; others apply one by one in list order, as slice assignment
+    # does, which clamps its bounds.
+    apart = ("aggregate(a.e5, named_struct('ok', true, 'prev', 0), (acc, z) -> named_struct("
+             "'ok', acc.ok AND z.ts >= acc.prev AND z.te >= z.ts, 'prev', z.te)).ok")
+    before = "IF(i = 0, 0, a.e5[i - 1].te)"
+    pieces = (f"flatten(concat(transform(a.e5, (z, i) -> concat(slice(r.toks, {before} + 1, z.ts - {before}), z.cor_toks)), "
+              "array(slice(r.toks, coalesce(get(a.e5, size(a.e5) - 1).te, 0) + 1, size(r.toks)))))")
     clamp = "least(greatest(IF({v} < 0, {v} + size(acc.cor), {v}), 0), size(acc.cor))"
     a_ = clamp.format(v="(z.ts + acc.off)")
     b_ = f"greatest({clamp.format(v='(z.te + acc.off)')}, {a_})"
-    apply = ("aggregate(a.e5, named_struct('off', 0, 'cor', r.toks, 'spans', "
-             "CAST(array() AS array<struct<edit_no:int,c_start:int,c_end:int>>)), (acc, z) -> named_struct("
-             "'off', acc.off - (z.te - z.ts) + size(z.cor_toks), "
-             f"'cor', concat(slice(acc.cor, 1, {a_}), z.cor_toks, slice(acc.cor, {b_} + 1, size(acc.cor) - {b_})), "
-             "'spans', array_append(acc.spans, named_struct('edit_no', z.edit_no, "
-             "'c_start', z.ts + acc.off, 'c_end', z.ts + acc.off + size(z.cor_toks)))))")
+    in_turn = ("aggregate(a.e5, named_struct('off', 0, 'cor', r.toks), (acc, z) -> named_struct("
+               "'off', acc.off - (z.te - z.ts) + size(z.cor_toks), "
+               f"'cor', concat(slice(acc.cor, 1, {a_}), z.cor_toks, slice(acc.cor, {b_} + 1, size(acc.cor) - {b_})))).cor")
+    cor = f"IF({apart}, {pieces}, {in_turn})"
     body = ("named_struct('tok_edits', transform(a.e5, (z, i) -> named_struct('edit_no', z.edit_no, "
             "'kind', z.kind, 'cat', z.cat, 's', z.s, 'e', z.e, 'ts', z.ts, 'te', z.te, "
             "'expanded', z.expanded, 'cor_text', z.cor_text, 'cor_toks', z.cor_toks, "
-            "'c_start', a.applied.spans[i].c_start, 'c_end', a.applied.spans[i].c_end)), "
-            "'cor', a.applied.cor, 'dropped', transform(filter(a.e3, (y, i) -> a.gone[i]), y -> y.x.edit_no), "
+            "'c_start', a.spans[i].c_start, 'c_end', a.spans[i].c_end)), "
+            "'cor', a.cor, 'dropped', transform(filter(a.e3, (y, i) -> a.gone[i]), y -> y.x.edit_no), "
             "'edits_rt', a.e2, "
             "'spans_all', transform(a.e3, y -> named_struct('edit_no', y.x.edit_no, 'kind', y.x.kind, "
             "'s', y.x.s, 'e', y.x.e, 'ts', y.k.ts, 'te', y.k.te, 'expanded', y.k.xp)))")
     return _chain([("e1", step1), ("e2", trim), ("e3", step3), ("gone", fold),
-                   ("e5", step5), ("applied", apply)], body)
+                   ("e5", step5), ("spans", spans), ("cor", cor)], body)
 
 
 def _chain(steps: list[tuple[str, str]], body: str) -> str:

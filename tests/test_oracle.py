@@ -11,7 +11,8 @@ sys.path.insert(0, os.path.join(os.path.dirname(os.path.dirname(os.path.abspath(
 SF = "/root/testdata/sf0.001"
 SAMPLE = ["word_scores_e2e", "features", "paragraphs", "clean_para", "tokenise", "edit_in_para",
           "drop_covered_detections", "char_to_tok", "drop_overlaps", "cor_spans", "split_rows",
-          "lex_psy", "fmt_edit", "parse_edit"]
+          "lex_psy", "fmt_edit", "parse_edit", "minimise", "classify_edits", "noop_rows", "m2_text", "invert",
+          "label_tokens", "dataset_e2e", "dataset_files", "src_essays", "cefr_attach", "stream_features"]
 
 
 @pytest.fixture(scope="module")
@@ -37,4 +38,5 @@ def test_entry_runs(spark):
     import __spark_entry__ as entry
     df = entry.entry(spark)
     assert df.columns == ["token", "pos", "n_seen", "n_true", "score"]
-    assert df.count() >= 0
+    assert df.filter("n_true > n_seen OR n_true = 0 OR score <> n_true / n_seen").count() == 0
+    assert df.count() > 100

@@ -5,7 +5,6 @@ import re
 
 from pyspark.sql import functions as F
 
-from errata.functions.text import TOKEN_RE
 from errata.operators import paragraphs as pg
 
 # Fixed value: the paragraph pattern whose matches the line rule reproduces.
@@ -39,24 +38,23 @@ def test_paragraph_rule_equals_pattern(spark):
         assert got[i] == want, (t, got[i], want)
 
 
-def _loop_remap(para, offsets):
-    """The step-by-step rule: delete one blank of each double blank, shifting
-    offsets after it; then drop a leading blank, shifting all by one."""
-    para = re.sub(r"\s", " ", para)
-    offs = list(offsets)
-    m = re.search("  ", para)
-    while m:
-        ws = m.start()
-        para = para[:ws] + para[ws + 1:]
-        offs = [o - 1 if o > ws else o for o in offs]
-        m = re.search("  ", para)
-    if para.startswith(" "):
-        para = para.lstrip()
-        offs = [max(o - 1, 0) for o in offs]
-    return para, offs
-
-
-def test_remap_equals_loop(spark):
+def _kept_remap(para):
+    """The rule by kept code points: every white space is a blank; of a run of
+    blanks the last is kept, and none at the start of the text. An offset's new
+    value is the number of kept code points before it; one strictly inside a
+    run stands where the run begins, which is its number less nothing, as the
+    blanks before it are not kept; a leading blank's removal floors at 0."""
+    blanks = ["" if not c.isspace() else " " for c in para]
+    text = [b or c for b, c in zip(blanks, para)]
+    kept = [c != " " or (i + 1 == len(text) or text[i + 1] != " ") for i, c in enumerate(text)]
+    lead = bool(text) and text[0] == " "
+    if lead:
+        kept[next((i for i, c in enumerate(text) if c != " "), len(text)) - 1] = False
+    clean = "".join(c for c, k in zip(text, kept) if k)
+    return clean, [sum(kept[:o]) for o in range(len(text) + 1)]
+
+
+def test_remap_counts_kept_code_points(spark):
     rng = random.Random(11)
     cases = []
     for _ in range(300):
@@ -69,7 +67,7 @@ def test_remap_equals_loop(spark):
                "transform(sequence(0, v.n), o -> " + pg.remap_sql("o", "v.") + ")")
     got = {r.id: (r.clean, r.m) for r in df.select("id", "clean", F.expr(expr).alias("m")).collect()}
     for i, (p, offs) in enumerate(cases):
-        assert got[i] == _loop_remap(p, offs), p
+        assert got[i] == _kept_remap(p), p
 
 
 def test_token_offsets_point_at_tokens(spark):
@@ -85,8 +83,51 @@ def test_token_offsets_point_at_tokens(spark):
             assert r.clean[s:e] == t, (r.clean, t, s, e)
 
 
-def test_token_pattern_is_shared():
-    assert TOKEN_RE.startswith(r"[\p{L}\p{M}\p{N}]+")
+def test_tokens_by_example(spark):
+    """Literal expectations, so that a wrong pattern does not match itself."""
+    cases = {"It's a well-known -- fact.": ["It's", "a", "well-known", "-", "-", "fact", "."],
+             "e\u0301te\u0301 3.5% \u4e2d\u6587": ["e\u0301te\u0301", "3", ".", "5", "%", "\u4e2d\u6587"],
+             "'tis rock-'n'-roll-": ["'", "tis", "rock", "-", "'", "n", "'", "-", "roll", "-"], "": []}
+    df = spark.createDataFrame([(t,) for t in cases], "clean string")
+    assert {r.clean: r.toks for r in pg.with_tokens(df).collect()} == cases
+
+
+def test_punctuation_map_by_code_point():
+    """Literal expectations for all 24 mapped code points."""
+    want = {0x2019: "'", 0xB4: "'", 0x2018: "'", 0x2032: "'", 0x60: "'", 0x201C: '"', 0x201D: '"', 0x2033: '"'}
+    from errata.constants import PUNCT_FROM, PUNCT_TO
+    table = dict(zip(PUNCT_FROM, PUNCT_TO))
+    assert len(PUNCT_FROM) == len(PUNCT_TO) == len(table) == 24
+    assert all(len(v) == 1 and v.isascii() for v in table.values())
+    assert all(table[chr(k)] == v for k, v in want.items() if chr(k) in table)
+
+
+def test_one_long_paragraph_is_linear(spark):
+    """An edit every five words: twice the words, less than 2.5 times the time."""
+    import time
+
+    from errata.operators.sentences import sentences
+
+    def seconds(n):
+        words = [f"word{i % 977}" for i in range(n)]
+        starts, at = [], 0
+        for w in words:
+            starts.append(at)
+            at += len(w) + 1
+        ess = spark.createDataFrame([(1, " ".join(words))], "essay_id long, text string")
+        eds = spark.createDataFrame([(1, 0, i, starts[i], starts[i] + 3, "x y", "R:NOUN") for i in range(0, n, 5)],
+                                    "essay_id long, coder int, edit_no int, s long, e long, cor string, cat string")
+        s = sentences(ess, eds)
+        best = 1e9
+        for _ in range(2):
+            t0 = time.time()
+            s.write.format("noop").mode("overwrite").save()
+            best = min(best, time.time() - t0)
+        return best
+
+    seconds(1000)
+    one, two = seconds(10_000), seconds(20_000)
+    assert two < 2.5 * max(one, 1.0), (one, two)
 
 
 def test_invert_twice_gives_original(spark):
