@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from errata.constants import CEFR_J_POS_MAP, CEFR_LEVELS, PSY_POS_MAP
 from errata.functions.text import strip_ascii_punct
-from errata.operators.lookup import bounded_broadcast, two_step_lookup
+from errata.operators.lookup import lookup_join, two_step_lookup
 from errata.operators.tagging import tag_tokens
 
 SEP_RE = r"\|\|\|"
@@ -103,16 +103,16 @@ FEATURE_COLUMNS = ["character_length", "frequency", "first_upper", "all_upper",
                    "label", "row_i", "feature_i"]
 
 
-def featurise(seqs: DataFrame, tag_lexicon: DataFrame, psy: DataFrame,
-              cefr_j: DataFrame, zipf: DataFrame | None = None) -> DataFrame:
-    """The 19-column token feature rows (unsorted; sort with O2)."""
+def featurise(seqs: DataFrame, tag_lexicon: DataFrame, psy: DataFrame, cefr_j: DataFrame,
+              zipf: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
+    """The 19-column token feature rows (unsorted; sort with O2), and the
+    columns ``keep`` (lemma, stripped). The four lookup tables are written and
+    unique on their keys."""
     rows = token_rows(seqs)
     rows = tag_tokens(rows, "token", tag_lexicon)
     rows = rows.select("*", *token_scalar_features(F.col("token")))
-    if zipf is None:
-        zipf = zipf_table(rows)
-    z = bounded_broadcast(zipf.select(F.col("word").alias("_zw"), F.col("zipf").alias("_zipf")))
-    rows = rows.join(z, F.lower(F.col("stripped")) == F.col("_zw"), "left")
+    z = zipf.select(F.col("word").alias("_zw"), F.col("zipf").alias("_zipf"))
+    rows = lookup_join(rows, z, [(F.lower(F.col("stripped")), "_zw")])
     rows = rows.withColumn("frequency", F.coalesce(F.col("_zipf"), F.lit(0.0)))
     rows = two_step_lookup(rows, psy, [F.col("token"), F.col("pos")],
                            [F.col("lemma"), F.col("pos")], ["word", "pos"],
@@ -126,7 +126,7 @@ def featurise(seqs: DataFrame, tag_lexicon: DataFrame, psy: DataFrame,
         F.col("_cj_cefr_j").cast("double").alias("cefr_j"),
         F.col("_psy_freq_pm").alias("freq_pm"), F.col("_psy_aoa").alias("aoa"),
         *pos_flags(F.col("pos")), "label",
-        F.col("row_i").cast("bigint").alias("row_i"), F.col("feature_i").cast("int").alias("feature_i"))
+        F.col("row_i").cast("bigint").alias("row_i"), F.col("feature_i").cast("int").alias("feature_i"), *keep)
 
 
 def sort_features(df: DataFrame) -> DataFrame:

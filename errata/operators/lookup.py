@@ -1,61 +1,68 @@
 """Joins against lexicons and other lookup tables.
 
-A lookup side is broadcast only when the optimiser's size estimate for it
-(derived from file sizes, an upper bound for scans and aggregates over them)
-is within a limit; otherwise the join is left to a shuffle join, which AQE
-may still turn into a broadcast once the real size is known.
+A lookup side is written once and measured; up to a limit it is broadcast.
+Beyond the limit the join is a shuffle join with salted keys, so that the rows
+of a frequent word ("the", ",") spread over many tasks.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-DEFAULT_MAX_BROADCAST = 256 << 20
+from errata.session import materialise
 
+#: Measured bytes up to which a lookup table is broadcast
+#: (``errata.broadcast.maxBytes``), and parts of a key beyond that.
+MAX_BROADCAST = 64 << 20
+SALTS = 32
 
-def planned_size(df: DataFrame) -> int:
-    """Size estimate of the analysed plan: an upper bound derived from the
-    input files (no column pruning yet), cheap to obtain."""
-    stats = df._jdf.queryExecution().analyzed().stats()
-    size = stats.sizeInBytes()
-    return int(size if isinstance(size, int) else size.toString())
 
+def measured_bytes(table: DataFrame) -> int:
+    """Bytes of the values of a written ``table``, with what a row costs in memory."""
+    text = [F.coalesce(F.octet_length(c), F.lit(0)) for c, t in table.dtypes if t == "string"]
+    row = sum(text, F.lit(40 + 16 * len(table.columns)))
+    return table.agg(F.coalesce(F.sum(row.cast("long")), F.lit(0))).first()[0]
 
-def bounded_broadcast(small: DataFrame, max_bytes: int | None = None) -> DataFrame:
-    if max_bytes is None:
-        conf = small.sparkSession.conf.get("errata.broadcast.maxBytes", None)
-        max_bytes = int(conf) if conf else DEFAULT_MAX_BROADCAST
-    if planned_size(small) <= max_bytes:
-        return F.broadcast(small)
-    return small
+
+def _fits(table: DataFrame) -> bool:
+    limit = table.sparkSession.conf.get("errata.broadcast.maxBytes", None)
+    return measured_bytes(table) <= (int(limit) if limit else MAX_BROADCAST)
+
+
+def lookup_join(df: DataFrame, table: DataFrame, on: list[tuple[Column, str]]) -> DataFrame:
+    """Left join of ``df`` to the written ``table`` on pairs (expression, key column)."""
+    cond = [e == table[k] for e, k in on]
+    if _fits(table):
+        return df.join(F.broadcast(table), cond, "left")
+    salted = table.withColumn("_ts", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    spread = df.withColumn("_ds", F.pmod(F.xxhash64(*df.columns), F.lit(SALTS)).cast("int"))
+    cond = [e == salted[k] for e, k in on] + [F.col("_ds") == F.col("_ts")]
+    return spread.join(salted, cond, "left").drop("_ts", "_ds")
 
 
 def two_step_lookup(df: DataFrame, table: DataFrame, first: list, second: list,
                     table_keys: list[str], values: list[str], prefix: str) -> DataFrame:
-    """Look up ``table`` on ``first`` key columns, else on ``second``.
+    """Look up the written ``table`` on ``first`` key columns, else on ``second``.
 
     The second key is used only when the first finds **no row**; a found row
     with null values does not fall through. ``table`` must be unique on
     ``table_keys``.
     """
     t = table.select(*table_keys, *values, F.lit(True).alias("_hit"))
-    t = bounded_broadcast(t)
-    a = t.select(*[F.col(k).alias(f"{prefix}_a{i}") for i, k in enumerate(table_keys)],
-                 *[F.col(v).alias(f"{prefix}_a_{v}") for v in values],
-                 F.col("_hit").alias(f"{prefix}_a_hit"))
-    b = t.select(*[F.col(k).alias(f"{prefix}_b{i}") for i, k in enumerate(table_keys)],
-                 *[F.col(v).alias(f"{prefix}_b_{v}") for v in values],
-                 F.col("_hit").alias(f"{prefix}_b_hit"))
-    cond_a = [c == F.col(f"{prefix}_a{i}") for i, c in enumerate(first)]
-    cond_b = [c == F.col(f"{prefix}_b{i}") for i, c in enumerate(second)]
-    out = df.join(a, cond_a, "left").join(b, cond_b, "left")
-    hit = F.col(f"{prefix}_a_hit").isNotNull()
+    out, found = df, {}
+    for side, keys in (("a", first), ("b", second)):
+        named = t.select(*[F.col(c).alias(f"{prefix}_{side}_{c}") for c in t.columns])
+        out = lookup_join(out, named, [(e, f"{prefix}_{side}_{k}") for e, k in zip(keys, table_keys)])
+        found[side] = named.columns
+    hit = F.col(f"{prefix}_a__hit").isNotNull()
     for v in values:
         out = out.withColumn(f"{prefix}_{v}", F.when(hit, F.col(f"{prefix}_a_{v}"))
                              .otherwise(F.col(f"{prefix}_b_{v}")))
-    drop = ([f"{prefix}_a{i}" for i in range(len(table_keys))]
-            + [f"{prefix}_b{i}" for i in range(len(table_keys))]
-            + [f"{prefix}_a_{v}" for v in values] + [f"{prefix}_b_{v}" for v in values]
-            + [f"{prefix}_a_hit", f"{prefix}_b_hit"])
-    return out.drop(*drop)
+    return out.drop(*found["a"], *found["b"])
+
+
+def unique_words(lexicon: DataFrame) -> DataFrame:
+    """(word, pos, lemma), written: of several entries of a word the smallest (pos, lemma)."""
+    one = lexicon.groupBy("word").agg(F.min(F.struct("pos", "lemma")).alias("_e"))
+    return materialise(one.select("word", "_e.pos", "_e.lemma"), "lexicon")

@@ -7,7 +7,7 @@ is the token itself.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from errata.constants import UNKNOWN_TAG
@@ -16,15 +16,10 @@ from errata.operators.lookup import two_step_lookup
 
 def tag_tokens(df: DataFrame, token: str, lexicon: DataFrame,
                pos_col: str = "pos", lemma_col: str = "lemma") -> DataFrame:
-    """Add ``pos_col`` and ``lemma_col``; ``lexicon`` has (word, pos, lemma).
-
-    Of several entries of a word the smallest (pos, lemma) counts, so a token
-    stays one row.
-    """
-    lx = (lexicon.groupBy("word").agg(F.min(F.struct("pos", "lemma")).alias("_e"))
-          .select("word", "_e.pos", "_e.lemma"))
+    """Add ``pos_col`` and ``lemma_col``; ``lexicon`` has one row per word
+    (word, pos, lemma) and is written (see ``lookup.unique_words``)."""
     t = F.col(token)
-    out = two_step_lookup(df, lx, [t], [F.lower(t)], ["word"], ["pos", "lemma"], "_tg")
+    out = two_step_lookup(df, lexicon, [t], [F.lower(t)], ["word"], ["pos", "lemma"], "_tg")
     return (out.withColumn(pos_col, F.coalesce(F.col("_tg_pos"), F.lit(UNKNOWN_TAG)))
                .withColumn(lemma_col, F.coalesce(F.col("_tg_lemma"), t))
                .drop("_tg_pos", "_tg_lemma"))

@@ -7,8 +7,10 @@ from pyspark.sql import functions as F
 
 from errata.operators import features as ft
 from errata.operators import scores as sc
+from errata.operators.lookup import unique_words
 from errata.plans import wordscores as ws
 from errata.plans.registry import query
+from errata.session import materialise
 from errata.sources import fixtures as fx
 
 
@@ -25,45 +27,34 @@ def _zipf(spark, sf_dir):
     return ft.zipf_table(words)
 
 
-def _features(spark, sf_dir):
-    seqs = ws.labelled_sequences(spark, sf_dir)
-    return _featurise_with_lemma(spark, sf_dir, seqs)
+def _lexicon(spark, sf_dir):
+    return unique_words(fx.fx_lexicon(spark, sf_dir))
 
 
-def _featurise_with_lemma(spark, sf_dir, seqs):
-    """Feature rows plus the lemma and stripped token (for the narrow keys)."""
-    from errata.operators.lookup import bounded_broadcast, two_step_lookup
-    from errata.operators.tagging import tag_tokens
-    rows = ft.token_rows(seqs)
-    rows = tag_tokens(rows, "token", fx.fx_lexicon(spark, sf_dir))
-    rows = rows.select("*", *ft.token_scalar_features(F.col("token")))
-    z = bounded_broadcast(_zipf(spark, sf_dir).select(F.col("word").alias("_zw"),
-                                                      F.col("zipf").alias("_zipf")))
-    rows = rows.join(z, F.lower(F.col("stripped")) == F.col("_zw"), "left")
-    rows = rows.withColumn("frequency", F.coalesce(F.col("_zipf"), F.lit(0.0)))
-    psy = ft.psy_lexicon(fx.fx_psy(spark, sf_dir), "Word")
-    cj = ft.cefr_lexicon(fx.fx_cefr_vocab(spark, sf_dir), "word")
-    rows = two_step_lookup(rows, psy, [F.col("token"), F.col("pos")],
-                           [F.col("lemma"), F.col("pos")], ["word", "pos"], ["freq_pm", "aoa"], "_psy")
-    rows = two_step_lookup(rows, cj, [F.col("token"), F.col("pos")],
-                           [F.col("lemma"), F.col("pos")], ["word", "pos"], ["cefr_j"], "_cj")
-    return rows.select(
-        "character_length", "frequency", "first_upper", "all_upper", "sequence_length",
-        F.col("seq_id").alias("sequence_id"), "token", "pos", "cefr",
-        F.col("_cj_cefr_j").cast("double").alias("cefr_j"),
-        F.col("_psy_freq_pm").alias("freq_pm"), F.col("_psy_aoa").alias("aoa"),
-        *ft.pos_flags(F.col("pos")), "label",
-        F.col("row_i").cast("bigint").alias("row_i"), F.col("feature_i").cast("int").alias("feature_i"),
-        "lemma", "stripped")
+def _featurised(spark, sf_dir, seqs, keep=(), tables=None):
+    return ft.featurise(seqs, *(tables or _lookups(spark, sf_dir)), keep=keep)
+
+
+def _lookups(spark, sf_dir):
+    """The four lookup tables, each written once; one pass counts the lexicon's words."""
+    counted = materialise(fx.fx_lexicon(spark, sf_dir), "lexicon-counts")
+    psy = ft.psy_lexicon(fx.fx_psy(spark, sf_dir, counted), "Word")
+    cj = ft.cefr_lexicon(fx.fx_cefr_vocab(spark, sf_dir, counted), "word")
+    return (unique_words(counted), materialise(psy, "lexicon-psy"), materialise(cj, "lexicon-cefr"),
+            materialise(_zipf(spark, sf_dir), "lexicon-zipf"))
+
+
+def _features(spark, sf_dir):
+    """Feature rows, with lemma and stripped token for the narrow keys."""
+    tables = _lookups(spark, sf_dir)
+    seqs = ws.labelled_sequences(spark, sf_dir, tables[0])
+    return _featurised(spark, sf_dir, seqs, ("lemma", "stripped"), tables)
 
 
 @query("features")
 def q_features(spark, sf_dir):
-    seqs = ws.labelled_sequences(spark, sf_dir)
-    lex = fx.fx_lexicon(spark, sf_dir)
-    psy = ft.psy_lexicon(fx.fx_psy(spark, sf_dir), "Word")
-    cj = ft.cefr_lexicon(fx.fx_cefr_vocab(spark, sf_dir), "word")
-    return ft.sort_features(ft.featurise(seqs, lex, psy, cj, _zipf(spark, sf_dir)))
+    tables = _lookups(spark, sf_dir)
+    return ft.sort_features(_featurised(spark, sf_dir, ws.labelled_sequences(spark, sf_dir, tables[0]), (), tables))
 
 
 @query("feat_token")
@@ -110,8 +101,9 @@ def q_token_rows(spark, sf_dir):
 @query("tag_tokens")
 def q_tag_tokens(spark, sf_dir):
     from errata.operators.tagging import tag_tokens
-    rows = ft.token_rows(ws.labelled_sequences(spark, sf_dir))
-    return tag_tokens(rows, "token", fx.fx_lexicon(spark, sf_dir)).select(
+    lexicon = _lexicon(spark, sf_dir)
+    rows = ft.token_rows(ws.labelled_sequences(spark, sf_dir, lexicon))
+    return tag_tokens(rows, "token", lexicon).select(
         F.col("seq_id").alias("sequence_id"), F.col("feature_i").cast("int").alias("feature_i"),
         "token", "pos", "lemma")
 
@@ -304,7 +296,6 @@ def q_drop_covered_detections(spark, sf_dir):
 from errata.operators import m2 as m2op  # noqa: E402
 from errata.operators.sentences import sentences as _sentences  # noqa: E402
 from errata.plans import dataset as dsp  # noqa: E402
-from errata.session import materialise  # noqa: E402
 
 
 def _sents(spark, sf_dir):
@@ -381,7 +372,7 @@ def q_apply_counts(spark, sf_dir):
 def _lines(spark, sf_dir):
     """Sentence rows with classified lines."""
     rows = materialise(m2op.with_lines(_sents(spark, sf_dir)), "sentence-lines")
-    return m2op.classify_edits(rows, fx.fx_lexicon(spark, sf_dir))
+    return m2op.classify_edits(rows, _lexicon(spark, sf_dir))
 
 
 @query("minimise")
@@ -444,7 +435,7 @@ def q_label_tokens(spark, sf_dir):
 @query("dataset_e2e")
 def q_dataset_e2e(spark, sf_dir):
     return dsp.dataset_from_essays(fx.fx_essays(spark, sf_dir), fx.fx_edits(spark, sf_dir),
-                                   fx.fx_lexicon(spark, sf_dir), fx.fx_coders(spark, sf_dir))
+                                   _lexicon(spark, sf_dir), fx.fx_coders(spark, sf_dir))
 
 
 def _edit_rows_from_fixture(spark, sf_dir):
@@ -557,7 +548,7 @@ def q_cefr_attach(spark, sf_dir):
 @query("dataset_files")
 def q_dataset_files(spark, sf_dir):
     """Essay files to labelled sequences, by way of M2 and CEFR files."""
-    out = dsp.dataset_from_files(spark, _essay_files(spark, sf_dir), fx.fx_lexicon(spark, sf_dir), scratch_path(spark, "m2"),
+    out = dsp.dataset_from_files(spark, _essay_files(spark, sf_dir), _lexicon(spark, sf_dir), scratch_path(spark, "m2"),
                                  scratch_path(spark, "cefr"), scratch_path(spark, "m2-inverted"))
     return out.select("seq_id", "token_seq", "label_seq", "cefr")
 
@@ -627,8 +618,7 @@ def q_stream_features(spark, sf_dir):
     from errata.streaming.features import feature_stream, run_to_parquet
     src = _seqs_tsv(spark, sf_dir, "stream-in")
     out, ck = scratch_path(spark, "stream-out"), scratch_path(spark, "stream-ckpt")
-    stream = feature_stream(spark, src, fx.fx_lexicon(spark, sf_dir), ft.psy_lexicon(fx.fx_psy(spark, sf_dir), "Word"),
-                            ft.cefr_lexicon(fx.fx_cefr_vocab(spark, sf_dir), "word"), _zipf(spark, sf_dir))
+    stream = feature_stream(spark, src, *_lookups(spark, sf_dir))
     run_to_parquet(stream, out, ck)
     return spark.read.parquet(out)
 

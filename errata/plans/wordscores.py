@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from errata.constants import FIELD_SEP
+from errata.operators.lookup import unique_words
 from errata.operators.labels import covered_by_spans, label_value, mask_label, selected_type
 from errata.operators.scores import word_scores
 from errata.operators.tagging import tag_tokens
@@ -30,8 +31,10 @@ def word_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lab.withColumn("label", label_value(F.col("covered"))).drop("covered")
 
 
-def masked_word_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
-    lab = tag_tokens(word_labels(spark, sf_dir), "w", fx.fx_lexicon(spark, sf_dir))
+def masked_word_labels(spark: SparkSession, sf_dir: str, lexicon: DataFrame | None = None) -> DataFrame:
+    """``lexicon``: unique and written; made from the corpus if not given."""
+    lexicon = lexicon or unique_words(fx.fx_lexicon(spark, sf_dir))
+    lab = tag_tokens(word_labels(spark, sf_dir), "w", lexicon)
     return lab.withColumn("label", mask_label(F.col("label"), F.col("pos")))
 
 
@@ -40,13 +43,13 @@ def word_scores_e2e(spark: SparkSession, sf_dir: str) -> DataFrame:
     return word_scores(m)
 
 
-def labelled_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
+def labelled_sequences(spark: SparkSession, sf_dir: str, lexicon: DataFrame | None = None) -> DataFrame:
     """One labelled sequence per essay: seq_id, token_seq, label_seq, cefr, row_i.
 
     Words are gathered per essay (an essay is one input record, so the group
     is bounded by the record) and put in word order with ``array_sort``.
     """
-    m = masked_word_labels(spark, sf_dir)
+    m = masked_word_labels(spark, sf_dir, lexicon)
     g = (m.groupBy("essay_id")
           .agg(F.array_sort(F.collect_list(F.struct("i", "w", "label"))).alias("_t")))
     ess = fx.fx_essays(spark, sf_dir).select("essay_id", F.left(F.col("cefr"), F.lit(2)).alias("cefr"))

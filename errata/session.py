@@ -15,9 +15,6 @@ DEFAULT_CONF = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
-    # Joins on (essay_id, coder, para_no) reuse the essay_id partitioning of
-    # both sides instead of shuffling paragraph rows a second time.
-    "spark.sql.requireAllClusterKeysForCoPartition": "false",
     "spark.sql.session.timeZone": "UTC",
     "spark.driver.memory": "8g",
     "spark.ui.enabled": "false",

@@ -102,8 +102,8 @@ def fx_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.withColumn("file", F.concat(F.lit("g"), (F.col("essay_id") % 4).cast("string")))
 
 
-def fx_psy(spark: SparkSession, sf_dir: str) -> DataFrame:
-    lx = fx_lexicon(spark, sf_dir).filter((F.col("word") == F.col("lemma")) & (F.col("n") % 3 != 0))
+def fx_psy(spark: SparkSession, sf_dir: str, lexicon: DataFrame | None = None) -> DataFrame:
+    lx = (lexicon or fx_lexicon(spark, sf_dir)).filter((F.col("word") == F.col("lemma")) & (F.col("n") % 3 != 0))
     dom = (F.when(F.col("pos") == "NOUN", "Noun").when(F.col("pos") == "VERB", "Verb")
            .when(F.col("pos") == "ADJ", "Adjective").when(F.col("pos") == "ADV", "Adverb")
            .otherwise("Article"))
@@ -112,8 +112,8 @@ def fx_psy(spark: SparkSession, sf_dir: str) -> DataFrame:
                      (F.length("word") % 12 + 3).cast("string").alias("AoA_Kup_lem"))
 
 
-def fx_cefr_vocab(spark: SparkSession, sf_dir: str) -> DataFrame:
-    lx = fx_lexicon(spark, sf_dir).filter(F.col("n") % 2 == 0)
+def fx_cefr_vocab(spark: SparkSession, sf_dir: str, lexicon: DataFrame | None = None) -> DataFrame:
+    lx = (lexicon or fx_lexicon(spark, sf_dir)).filter(F.col("n") % 2 == 0)
     p, n = F.col("pos"), F.col("n")
     pos = (F.when((p == "VERB") & (n % 4 == 0), "be-verb").when(p == "NOUN", "noun")
            .when(p == "VERB", "verb").when(p == "ADJ", "adjective")

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from errata.operators import features as ft
 from errata.operators import m2
 from errata.operators import splits as spl
+from errata.operators.lookup import unique_words
 from errata.operators.sentences import sentences
 from errata.operators.tagging import tag_tokens
 from errata.plans import dataset as dsp
@@ -17,6 +18,10 @@ EDIT_T = "essay_id long, coder int, edit_no int, s long, e long, cor string, cat
 
 
 def _lexicon(spark):
+    return unique_words(_entries(spark))
+
+
+def _entries(spark):
     return spark.createDataFrame([("go", "VERB", "go"), ("goes", "VERB", "go"), ("day", "NOUN", "day"),
                                   ("days", "NOUN", "day"), ("very", "ADV", "very"), ("much", "ADV", "much")],
                                  "word string, pos string, lemma string")
@@ -118,7 +123,7 @@ def test_grouped_split_keeps_groups_and_nulls(spark):
 
 def test_two_tags_of_a_word_leave_one_row(spark):
     lex = spark.createDataFrame([("run", "VERB", "run"), ("run", "NOUN", "run")], "word string, pos string, lemma string")
-    got = tag_tokens(spark.createDataFrame([("run",)], "t string"), "t", lex).collect()
+    got = tag_tokens(spark.createDataFrame([("run",)], "t string"), "t", unique_words(lex)).collect()
     assert [(r.t, r.pos) for r in got] == [("run", "NOUN")]
 
 
@@ -138,3 +143,22 @@ def test_unknown_level_is_an_error(spark):
 def test_sentences_without_coders_frame(spark):
     s = sentences(_essays(spark, TEXT, TEXT), spark.createDataFrame([(1, 0, 0, 3, 5, "goes", "R:VERB")], EDIT_T))
     assert [r.essay_id for r in s.collect()] == [1]
+
+
+def test_lookup_without_broadcast_spreads_a_frequent_word(spark):
+    """With the limit at zero the join is salted: no partition holds one word's rows."""
+    lex = unique_words(spark.createDataFrame([("the", "DET", "the"), ("The", "DET", "the")], "word string, pos string, lemma string"))
+    df = spark.range(4000).selectExpr("id", "IF(id % 10 = 0, concat('w', id), 'the') AS t")
+    want = sorted(tuple(r) for r in tag_tokens(df, "t", lex).collect())
+    spark.conf.set("errata.broadcast.maxBytes", "0")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        out = tag_tokens(df, "t", lex)
+        sizes = [r["count"] for r in out.groupBy(F.spark_partition_id()).count().collect()]
+        assert sorted(tuple(r) for r in out.collect()) == want
+    finally:
+        spark.conf.unset("errata.broadcast.maxBytes")
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert max(sizes) <= 0.6 * sum(sizes)
