@@ -58,13 +58,13 @@ def live_buckets(members: DataFrame) -> DataFrame:
     return seen.where("prev IS NOT NULL OR n IS NOT NULL").select("key", "id", "prev")
 
 
-def bucket_components(live: DataFrame, verify: Callable[[DataFrame], DataFrame]) -> DataFrame:
+def bucket_components(live: DataFrame, verify: Callable[[DataFrame], DataFrame], cheap: bool = False) -> DataFrame:
     """(node, root) over every true link between ids that share a bucket.
 
     ``verify`` keeps the true links of candidate pairs (a, b). No bucket emits
     all its pairs. In each round its smallest untested id, the pivot, meets the
-    bucket's other ids, which settles all pairs of that pivot; the first round
-    also tests neighbours in the bucket's order. Buckets whose ids have come
+    bucket's other ids, which settles all pairs of that pivot; if a test is
+    ``cheap``, the first round also tests neighbours in the bucket's order. Buckets whose ids have come
     together in one component need no more tests; what is left after
     ``PIVOT_ROUNDS`` is tested in full, but across components only.
     The result is exact: a pair is skipped only when it is already connected.
@@ -76,7 +76,7 @@ def bucket_components(live: DataFrame, verify: Callable[[DataFrame], DataFrame])
         if k < PIVOT_ROUNDS:
             pivots = live.groupBy("key").agg(F.min("id").alias("a"))
             pairs = live.join(pivots, "key").where("id <> a").select("a", F.col("id").alias("b"))
-            pairs = pairs.union(beside) if k == 0 else pairs
+            pairs = pairs.union(beside) if cheap and k == 0 else pairs
         else:
             left = live.select("key", F.col("id").alias("a"), F.col("root").alias("ra"))
             right = live.select("key", F.col("id").alias("b"), F.col("root").alias("rb"))

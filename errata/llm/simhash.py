@@ -86,7 +86,7 @@ def fingerprint_components(prints: DataFrame, max_bits: int = MAX_BITS) -> DataF
     """(node, root) of distinct fingerprints ``prints(id)`` that have a neighbour."""
     def verify(pairs: DataFrame) -> DataFrame:
         return pairs.where(F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= max_bits)
-    return bucket_components(live_buckets(variants(prints, max_bits)), verify)
+    return bucket_components(live_buckets(variants(prints, max_bits)), verify, cheap=True)
 
 
 def _rooted(prints: DataFrame, max_bits: int) -> DataFrame:
