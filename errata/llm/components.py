@@ -14,8 +14,10 @@ from pyspark.sql import functions as F
 
 from errata.llm.common import written
 
-#: Rounds in which each bucket tests one pivot, before the rest is tested in full.
-PIVOT_ROUNDS = 2
+#: The pairs left in all buckets are tested together once they are at most so
+#: many for each row, or so many in all.
+FEW_PAIRS = 4
+LEAST_PAIRS = 20_000
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -62,31 +64,34 @@ def bucket_components(live: DataFrame, verify: Callable[[DataFrame], DataFrame],
     """(node, root) over every true link between ids that share a bucket.
 
     ``verify`` keeps the true links of candidate pairs (a, b). No bucket emits
-    all its pairs. In each round its smallest untested id, the pivot, meets the
-    bucket's other ids, which settles all pairs of that pivot; if a test is
-    ``cheap``, the first round also tests neighbours in the bucket's order. Buckets whose ids have come
-    together in one component need no more tests; what is left after
-    ``PIVOT_ROUNDS`` is tested in full, but across components only.
+    all its pairs. In each round its smallest untested ids, the pivots, meet the
+    bucket's ids of other components, which settles all pairs of those pivots;
+    their number doubles from round to round. Buckets whose ids have come
+    together in one component need no more tests. Once all pairs that are left
+    are few beside the rows, they are tested, and that is the end. If a test is
+    ``cheap``, the first round also tests neighbours in the bucket's order.
     The result is exact: a pair is skipped only when it is already connected.
     """
-    live = written(live, "buckets")
+    live = written(live.withColumn("root", F.col("id")), "buckets")
     beside = live.where("prev IS NOT NULL").select(F.col("prev").alias("a"), F.col("id").alias("b"))
-    links = None
-    for k in range(PIVOT_ROUNDS + 1):
-        if k < PIVOT_ROUNDS:
-            pivots = live.groupBy("key").agg(F.min("id").alias("a"))
-            pairs = live.join(pivots, "key").where("id <> a").select("a", F.col("id").alias("b"))
-            pairs = pairs.union(beside) if cheap and k == 0 else pairs
-        else:
-            left = live.select("key", F.col("id").alias("a"), F.col("root").alias("ra"))
-            right = live.select("key", F.col("id").alias("b"), F.col("root").alias("rb"))
-            pairs = left.join(right, "key").where("a < b AND ra <> rb").select("a", "b")
+    links, count = None, 1
+    while True:
+        left = live.groupBy("key").agg(F.count("*").alias("m")).agg(
+            F.sum("m").alias("rows"), F.sum(F.col("m") * F.col("m")).alias("pairs")).first()
+        last = links is not None and (left.pairs or 0) <= max(FEW_PAIRS * (left.rows or 0), LEAST_PAIRS)
+        turn = F.row_number().over(W.partitionBy("key").orderBy("id"))
+        pivots = live if last else live.withColumn("turn", turn).where(F.col("turn") <= count)
+        pivots = pivots.select("key", F.col("id").alias("a"), F.col("root").alias("ra"))
+        pairs = (live.select("key", "id", "root").join(pivots, "key")
+                 .where("id <> a AND root <> ra" + " AND a < id" * last)
+                 .select(F.least("a", "id").alias("a"), F.greatest("a", "id").alias("b")))
+        pairs = pairs.union(beside) if cheap and links is None else pairs
         found = written(verify(pairs.distinct()).select("a", "b"), "verified")
         links = found if links is None else links.union(found)
         roots = components(links)
-        if k == PIVOT_ROUNDS:
-            break
-        rest = live.select("key", "id").join(pivots.withColumnRenamed("a", "id"), ["key", "id"], "left_anti")
+        if last:
+            return roots
+        rest = live.select("key", "id").join(pivots.select("key", F.col("a").alias("id")), ["key", "id"], "left_anti")
         rest = (rest.join(roots.withColumnRenamed("node", "id"), "id", "left")
                 .select("key", "id", F.coalesce("root", "id").alias("root")))
         rest = written(rest, "rest")
@@ -94,5 +99,5 @@ def bucket_components(live: DataFrame, verify: Callable[[DataFrame], DataFrame],
                      .where("lo <> hi").select("key"))
         live = written(rest.join(open_keys, "key", "left_semi"), "buckets")
         if live.isEmpty():
-            break
-    return roots
+            return roots
+        count *= 2
