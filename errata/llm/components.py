@@ -6,6 +6,7 @@ folder, so plans stay short and a lost executor costs one round at most.
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame
@@ -18,6 +19,8 @@ from errata.llm.common import written
 #: many for each row, or so many in all.
 FEW_PAIRS = 4
 LEAST_PAIRS = 20_000
+#: Rounds of pivots, at most.
+ROUNDS = 4
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -68,17 +71,19 @@ def bucket_components(live: DataFrame, verify: Callable[[DataFrame], DataFrame],
     bucket's ids of other components, which settles all pairs of those pivots;
     their number doubles from round to round. Buckets whose ids have come
     together in one component need no more tests. Once all pairs that are left
-    are few beside the rows, they are tested, and that is the end. If a test is
-    ``cheap``, the first round also tests neighbours in the bucket's order.
+    are few beside the rows, or after ``ROUNDS``, they are tested, across
+    components only, and that is the end. If a test is ``cheap``, the first
+    round also tests neighbours in the bucket's order, and half the rounds do.
     The result is exact: a pair is skipped only when it is already connected.
     """
     live = written(live.withColumn("root", F.col("id")), "buckets")
     beside = live.where("prev IS NOT NULL").select(F.col("prev").alias("a"), F.col("id").alias("b"))
     links, count = None, 1
-    while True:
+    for turns in itertools.count():
         left = live.groupBy("key").agg(F.count("*").alias("m")).agg(
             F.sum("m").alias("rows"), F.sum(F.col("m") * F.col("m")).alias("pairs")).first()
-        last = links is not None and (left.pairs or 0) <= max(FEW_PAIRS * (left.rows or 0), LEAST_PAIRS)
+        few = (left.pairs or 0) <= max(FEW_PAIRS * (left.rows or 0), LEAST_PAIRS)
+        last = turns > 0 and (few or turns >= (ROUNDS // 2 if cheap else ROUNDS))
         turn = F.row_number().over(W.partitionBy("key").orderBy("id"))
         pivots = live if last else live.withColumn("turn", turn).where(F.col("turn") <= count)
         pivots = pivots.select("key", F.col("id").alias("a"), F.col("root").alias("ra"))
