@@ -4,11 +4,14 @@ Every document becomes its token ids plus an end id. One longer than the
 capacity is cut into full pieces and a rest; full pieces are sequences of their
 own. All other pieces are dealt by hash into groups of about ``GROUP_PIECES``.
 Within a group, best-fit decreasing gives a first packing; local search then
-takes the emptiest bins and exchanges one-for-one, two-for-one or moves their
-pieces into other underfull bins. Every step increases the sum of squared
-fills, so it ends, and bins that run empty are gone. The pieces of bins that
-stay underfull are dealt again into fewer groups, level by level, until one
-group holds them all; so a group is bounded while the packing is global.
+exchanges pieces one-for-one, two-for-one or moves them between any two underfull
+bins. Every step increases the sum of squared fills, so it ends, and bins that
+run empty are gone. The pieces of bins that stay underfull are dealt anew, level
+by level, until one group holds them all; so a group is bounded while the
+packing is global. Two kinds of bins stay out of further levels: pieces over
+half the capacity beyond the smallest ones that all smaller pieces could join
+(no packing needs them as hosts), and the fuller bins of a level that leaves
+more than half of its pieces underfull.
 
 Defined results: a null text is the empty text and gives the end id alone;
 repeated rows and equal ids are packed separately; an empty table gives an
@@ -17,17 +20,17 @@ empty result; extra columns are ignored. Ties go to the smaller piece number.
 
 from __future__ import annotations
 
+import heapq
 import itertools
 import json
 import re
 import zlib
-from bisect import bisect_left
 from collections import defaultdict
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from errata.llm.common import read_table, written
@@ -38,6 +41,8 @@ TOKENIZER = "word_bpe_49k.json"
 GROUP_PIECES = 40_000
 #: Bins at least this full are not packed again at the next level.
 FULL_ENOUGH = 0.98
+#: More than any rest of a bin.
+NEVER = 1 << 40
 #: Pieces kept in a worker's memo, and the longest piece it keeps.
 MEMO_PIECES = 600_000
 MEMO_CHARS = 64
@@ -158,68 +163,98 @@ def best_fit(lengths: list[int], capacity: int) -> list[list[int]]:
     return bins
 
 
-def _parts(b: list[int], size: list[int]) -> list[tuple[int, tuple[int, ...]]]:
-    """The sizes of nothing, of each piece and of each pair of a bin."""
-    one = [(size[i], (i,)) for i in b]
-    two = [(size[i] + size[j], (i, j)) for i, j in itertools.combinations(b, 2)]
-    return [(0, ()), *one, *two]
+class _Givers:
+    """The pieces and pairs of pieces of underfull bins, by size.
 
-
-def _exchange(taker: list[int], room: int, giver: list[int], lead: int, size: list[int]):
-    """The exchange that fills ``taker`` most: (tokens won, pieces in, pieces out).
-
-    Moves, one-for-one, two-for-one and one-for-two. ``lead`` is how much
-    fuller the taker is; winning more than ``-lead`` tokens raises the sum of
-    squared fills.
+    ``least[n][g]`` is the least rest a bin has without some ``n`` pieces of
+    ``g`` tokens. Bins' entries stand in heaps and are dropped when outdated.
     """
-    best = None
-    asked = sorted(_parts(taker, size))
-    sizes = [t for t, _ in asked]
-    for g, give in _parts(giver, size)[1:]:
-        # The least part of the taker that leaves room for what comes in.
-        for t, take in asked[bisect_left(sizes, g - room):]:
-            if g - t <= max(0, -lead) or (best and g - t <= best[0]):
-                break
-            if len(give) + len(take) <= 3 and (len(give) < 2 or take):
-                best = (g - t, give, take)
-                break
-    return best
-
-
-def local_search(bins: list[list[int]], size: list[int], capacity: int,
-                 width: int = 32, passes: int = 40) -> list[list[int]]:
-    """Swap-based local search among the ``width`` emptiest bins.
-
-    Bins that fill up or run empty make way for the next emptiest ones. Ends
-    when no exchange raises the sum of squared fills, when as few bins are left
-    as the tokens need, or after ``passes`` over all pairs of bins.
+
+    def __init__(self, bins: list[list[int]], size: list[int], capacity: int):
+        self.bins, self.size, self.version = bins, size, [0] * len(bins)
+        self.heaps = {n: defaultdict(list) for n in (1, 2)}
+        self.least = {n: np.full(capacity + 1, NEVER) for n in (1, 2)}
+
+    def parts(self, b: int, n: int) -> dict[int, tuple[int, ...]]:
+        """Sizes of ``n`` pieces of the bin, each with the pieces."""
+        return {sum(self.size[i] for i in p): p for p in itertools.combinations(self.bins[b], n)}
+
+    def _top(self, n: int, g: int) -> None:
+        heap = self.heaps[n][g]
+        while heap and heap[0][2] != self.version[heap[0][1]]:
+            heapq.heappop(heap)
+        self.least[n][g] = heap[0][0] if heap else NEVER
+
+    def add(self, b: int, fill: int) -> None:
+        for n in (1, 2):
+            for g in self.parts(b, n):
+                heapq.heappush(self.heaps[n][g], (fill - g, b, self.version[b]))
+                self._top(n, g)
+
+    def remove(self, b: int) -> None:
+        self.version[b] += 1
+        for n in (1, 2):
+            for g in self.parts(b, n):
+                self._top(n, g)
+
+    def find(self, taker: int, fill: int, room: int):
+        """The exchange that fills ``taker`` most: (tokens won, giver, pieces in, pieces out).
+
+        Moves, one-for-one, two-for-one and one-for-two. The sum of squared
+        fills rises if the giver's rest is less than the taker's.
+        """
+        best = None
+        asked = [(0, ()), *self.parts(taker, 1).items(), *self.parts(taker, 2).items()]
+        for t, take in asked:
+            for n in (1, 2) if len(take) == 1 else (1,):
+                low = t + (best[0] if best else 0) + 1
+                hits = np.flatnonzero(self.least[n][low:t + room + 1] < fill - t)
+                if len(hits):
+                    g = low + int(hits[-1])
+                    best = (g - t, n, g, take)
+        if best:
+            won, n, g, take = best
+            giver = self.heaps[n][g][0][1]
+            return won, giver, self.parts(giver, n)[g], take
+        return None
+
+
+def local_search(bins: list[list[int]], size: list[int], capacity: int) -> list[list[int]]:
+    """Swap-based local search among all underfull bins.
+
+    Each bin in turn, the fullest first, looks for the exchange with any other
+    that fills it most. Ends when no exchange between any two bins raises the
+    sum of squared fills, or when no packing has fewer bins: one for every
+    piece over half the capacity, and as many as the tokens need.
     """
     fill = [sum(size[i] for i in b) for b in bins]
-    fewest, count = -(-sum(fill) // capacity), len(bins)
-    queue = sorted((k for k in range(len(bins)) if fill[k] < capacity), key=lambda k: (-fill[k], k))
-    work: list[int] = []
-    for _ in range(passes):
-        work = [k for k in work if bins[k] and fill[k] < capacity]
-        while queue and len(work) < width:
-            work.append(queue.pop())
+    fewest = max(-(-sum(fill) // capacity), sum(2 * s > capacity for s in size))
+    count = len(bins)
+    under = [k for k in range(len(bins)) if fill[k] < capacity]
+    givers, moved = _Givers(bins, size, capacity), count > fewest
+    for k in under if moved else ():
+        givers.add(k, fill[k])
+    while moved:
         moved = False
-        work.sort(key=lambda k: (-fill[k], k))
-        for a, d in itertools.permutations(work, 2):
-            if count == fewest:
-                break
-            if fill[a] == capacity or not bins[d] or not bins[a]:
+        under = sorted((k for k in under if bins[k] and fill[k] < capacity), key=lambda k: (-fill[k], k))
+        for a in under:
+            if not bins[a]:
                 continue
-            found = _exchange(bins[a], capacity - fill[a], bins[d], fill[a] - fill[d], size)
-            if found:
-                won, give, take = found
+            givers.remove(a)
+            while fill[a] < capacity and (found := givers.find(a, fill[a], capacity - fill[a])):
+                won, d, give, take = found
+                givers.remove(d)
                 bins[a] = [i for i in bins[a] if i not in take] + list(give)
                 bins[d] = [i for i in bins[d] if i not in give] + list(take)
                 fill[a] += won
                 fill[d] -= won
                 count -= not bins[d]
                 moved = True
-        if not moved:
-            break
+                if count == fewest:
+                    return [b for b in bins if b]
+                givers.add(d, fill[d])
+            if fill[a] < capacity:
+                givers.add(a, fill[a])
     return [b for b in bins if b]
 
 
@@ -228,6 +263,34 @@ def pack(lengths: list[int], capacity: int = CAPACITY) -> list[list[int]]:
     return local_search(best_fit(lengths, capacity), lengths, capacity)
 
 
+def _least(rows: DataFrame, value: str, by: str, want: int, level: int) -> Column:
+    """Whether a row is among the about ``want`` rows of least ``value``; of equal ones, by a hash of ``by`` and ``level``."""
+    seen = 0
+    for r in rows.groupBy(value).count().orderBy(value).collect():  # at most one row a fill or length
+        if seen + r["count"] > want:
+            share = (want - seen) * 1000 // r["count"]
+            return (F.col(value) < r[value]) | ((F.col(value) == r[value]) & (F.pmod(F.xxhash64(by, F.lit(value), F.lit(level)), F.lit(1000)) < share))
+        seen += r["count"]
+    return F.lit(True)
+
+
+def _without_lone(rest: DataFrame, capacity: int, level: int) -> tuple[DataFrame, DataFrame | None, int]:
+    """``rest`` less the large pieces that need no company, those, placed, and about how many stay.
+
+    A bin holds at most one piece over half the capacity. If company for some
+    is all there is, the smallest ones can have it: at most one for each
+    smaller piece.
+    """
+    large = 2 * F.col("length") > capacity
+    n = rest.agg(F.count(F.when(large, 1)).alias("large"), F.count(F.when(~large, 1)).alias("small")).first()
+    want = n.small + n.small // 10 + 1000
+    if n.large <= want:
+        return rest, None, n.large + n.small
+    stay = ~large | _least(rest.where(large), "length", "pid", want, level)
+    alone = rest.where(~stay).select("pid", F.col("pid").alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
+    return rest.where(stay), alone, want + n.small
+
+
 def assign(items: DataFrame, capacity: int = CAPACITY, group_pieces: int = GROUP_PIECES) -> DataFrame:
     """(pid, sequence_id, offset) for ``items(pid, length)`` with distinct pid."""
     def packed(f: pd.DataFrame) -> pd.DataFrame:
@@ -245,17 +308,17 @@ def assign(items: DataFrame, capacity: int = CAPACITY, group_pieces: int = GROUP
     schema = "pid long, length long, sequence_id long, offset long, fill long"
     full = items.where(F.col("length") >= capacity)
     done = full.select("pid", F.col("pid").alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
-    rest, count = items.where(F.col("length") < capacity), None
-    while True:
-        before, count = count, rest.count()
+    rest = items.where(F.col("length") < capacity)
+    for level in itertools.count():
+        rest, alone, count = _without_lone(rest, capacity, level)
+        done = done.union(alone) if alone is not None else done
         groups = max(1, -(-count // group_pieces))
-        dealt = rest.withColumn("g", F.expr(f"pmod(xxhash64(pid), {groups})"))
+        dealt = rest.withColumn("g", F.expr(f"pmod(xxhash64(pid, {level}), {groups})"))
         placed = written(dealt.groupBy("g").applyInPandas(lambda f: packed(f), schema), "packing")
-        # Pieces that do not fill bins in any company (say, all just over half
-        # the capacity) are left where they are.
-        if groups == 1 or (before and 2 * count > before):
+        if groups == 1:
             return done.union(placed.select("pid", "sequence_id", "offset"))
         again = F.col("fill") < FULL_ENOUGH * capacity
+        again &= _least(placed.where(again), "fill", "sequence_id", count // 2, level)
         done = done.union(placed.where(~again).select("pid", "sequence_id", "offset"))
         rest = placed.where(again).select("pid", "length")
 

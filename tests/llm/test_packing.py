@@ -69,6 +69,23 @@ def test_local_search_empties_a_bin():
     assert fewer > 10
 
 
+def test_local_search_reaches_all_bins():
+    """Bins that nothing fits beside do not keep the others from being exchanged."""
+    lengths = [2045, 1636, 1636, 1227, 818, 818] + [3400] * 40
+    assert len(packing.best_fit(lengths, 4096)) == 43
+    bins = packing.pack(lengths, 4096)
+    assert sorted(i for b in bins for i in b) == list(range(len(lengths)))
+    assert len(bins) == 42 and all(sum(lengths[i] for i in b) <= 4096 for b in bins)
+
+
+def test_underfull_bins_of_all_groups_meet(spark):
+    """Pieces that fill no bins in their group are packed across groups, beside many that fit no company."""
+    items = spark.range(1500).selectExpr("id AS pid", "CASE WHEN id % 100 = 0 THEN 45L ELSE 60L END AS length")
+    got = packing.assign(items, 100, group_pieces=300)
+    assert got.count() == 1500
+    assert got.select("sequence_id").distinct().count() == 1485 + 8
+
+
 def test_table_round_trip(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     src = [(r.doc_id, r.text) for r in docs.select("doc_id", "text").collect()]
