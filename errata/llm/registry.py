@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from errata.llm import ann, collocation, fim, html_extract, line_dedup, mixing, packing, quality, sharding, simhash, suffix_dedup, warc
+from errata.llm import ann, collocation, embed_dedup, fim, html_extract, line_dedup, mixing, packing, quality, sharding, simhash, suffix_dedup, warc
 
 QUERIES = {
     "op1_line_dedup": line_dedup.op1_line_dedup,
@@ -16,6 +16,7 @@ QUERIES = {
     "op9_suffix_dedup": suffix_dedup.op9_suffix_dedup,
     "op10_html_extraction": html_extract.op10_html_extraction,
     "op11_phrase_collocation": collocation.op11_phrase_collocation,
+    "op12_embedding_near_dedup": embed_dedup.op12_embedding_near_dedup,
     "op13_fill_in_middle": fim.op13_fill_in_middle,
 }
 ORACLE_SQL = {
@@ -24,5 +25,6 @@ ORACLE_SQL = {
     "op5_quality_rules": quality.ORACLE_SQL,
     "op9_suffix_dedup": suffix_dedup.ORACLE_SQL,
     "op11_phrase_collocation": collocation.ORACLE_SQL,
+    "op12_embedding_near_dedup": embed_dedup.ORACLE_SQL,
     "op13_fill_in_middle": fim.ORACLE_SQL,
 }
