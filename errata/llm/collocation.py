@@ -4,9 +4,10 @@ A phrase is 1 to ``MAX_WORDS`` words in a row within a piece of text; pieces
 are what ``[.,;:!?\x0A-\x0D]`` separates, words what blanks and tabs separate.
 Level k counts the phrases of k words in *stripes*: the first k - 1 words, the
 prefix, key a counter of next words. A task counts a block of texts at a time
-and sends one stripe for each prefix and segment (a hash of the next word, so
-that the stripe of a very frequent prefix is spread); stripes of a key merge
-element by element. From a merged stripe come
+and sends one stripe for each prefix; stripes of a prefix merge element by
+element. The stripe of a hot prefix (more than ``1 / HOT`` of all words; so
+there are fewer than ``HOT`` of each length) is cut into segments by a hash of
+the next word, and so is that of the empty prefix. From a merged stripe come
 
 * its extensions: the phrases of k words found often enough, with their counts;
 * its total, next words missing included: the count of the prefix;
@@ -48,8 +49,8 @@ TOP = 2000
 UNKNOWN = "und"
 #: Words counted together in a task before stripes are sent.
 BLOCK = 1 << 22
-#: Segments of a stripe: of the empty prefix, whose stripe holds all words, and of others.
-FIRST_SEGMENTS, SEGMENTS = 1024, 16
+#: Segments of the empty prefix's stripe, which holds all words, and of a hot prefix's; what makes a prefix hot.
+FIRST_SEGMENTS, SEGMENTS, HOT = 1024, 64, 4096
 #: Bits for each frequent phrase, and bits in all as powers of two, at least and at most.
 BITS_EACH, MIN_BITS, MAX_BITS = 16, 20, 30
 #: Rows of one output batch.
@@ -72,22 +73,26 @@ def word_hash(word: bytes) -> int:
     return xxhash.xxh64_intdigest(word)
 
 
-def phrase_positions(langs: list[str], phrases: list[str], bits: int) -> np.ndarray:
-    """The bit of each phrase."""
+def phrase_hashes(langs: list[str], phrases: list[str]) -> np.ndarray:
     hashes = []
     for lang, phrase in zip(langs, phrases):
         h = word_hash(lang.encode())
         for w in phrase.encode().split(b" "):
             h = (h * int(_STEP) + word_hash(w)) & 0xFFFFFFFFFFFFFFFF
         hashes.append(h)
-    return (_mixed(np.array(hashes, dtype=np.uint64)) & np.uint64((1 << bits) - 1)).astype(np.int64)
+    return np.array(hashes, dtype=np.uint64)
+
+
+def phrase_positions(langs: list[str], phrases: list[str], bits: int) -> np.ndarray:
+    """The bit of each phrase."""
+    return (_mixed(phrase_hashes(langs, phrases)) & np.uint64((1 << bits) - 1)).astype(np.int64)
 
 
 class Bits:
-    """Which phrases may be frequent."""
+    """Which phrases may be frequent, and the hashes of those that are hot."""
 
-    def __init__(self, data: np.ndarray, bits: int):
-        self.data, self.mask = data, np.uint64((1 << bits) - 1)
+    def __init__(self, data: np.ndarray, bits: int, hot: np.ndarray):
+        self.data, self.mask, self.hot = data, np.uint64((1 << bits) - 1), hot
 
     def __call__(self, hashes: np.ndarray) -> np.ndarray:
         at = _mixed(hashes) & self.mask
@@ -118,10 +123,11 @@ class Words(dict):
 
 
 def stripes(words: Words, k: int, frequent: Bits | None) -> Iterator[tuple]:
-    """(prefixes, segments, offsets, next words or null, counts) of one language's block, as Arrow arrays.
+    """(prefixes, segments, next words, counts) of one language's block, as Arrow arrays.
 
-    The next word is null where a prefix is followed by the end of its piece,
-    or by a word with which it is not counted.
+    The next words of a stripe are joined by blanks. One is empty where a
+    prefix is followed by the end of its piece, or by a word with which it is
+    not counted.
     """
     t = np.concatenate([*words.chunks, np.full(k, -1)])
     hashes = np.array(words.hashes, dtype=np.uint64)
@@ -145,49 +151,51 @@ def stripes(words: Words, k: int, frequent: Bits | None) -> Iterator[tuple]:
     if not len(at):
         return
     count = len(words.names)
-    key = np.zeros(len(at), dtype=np.int64)
-    if k > 1:
-        key = t[at]
+    key = t[at] if k > 1 else np.zeros(len(at), dtype=np.int64)
     for j in range(1, k - 1):
         key = np.unique(key * count + t[at + j], return_inverse=True)[1]
-    segments = FIRST_SEGMENTS if k == 1 else SEGMENTS
-    after = np.where(extended[at], t[np.minimum(at + k - 1, len(t) - 1)], -1)
-    segment = np.where(after >= 0, hashes[after] % np.uint64(segments), 0).astype(np.int64)
+    after = np.where(extended[at], t[at + k - 1], -1)
+    segments = SEGMENTS if k > 1 else FIRST_SEGMENTS
+    cut = np.isin(h[at], frequent.hot) if k > 1 else np.ones(len(at), dtype=bool)
+    segment = np.where(cut & (after >= 0), hashes[after] % np.uint64(segments), 0).astype(np.int64)
     key = (key * segments + segment) * (count + 1) + after + 1
-    key, first, times = np.unique(key, return_index=True, return_counts=True)
-    row = key // (count + 1)
+    if k > 2:
+        key, first, times = np.unique(key, return_index=True, return_counts=True)
+    else:  # the key tells the prefix
+        key, times = np.unique(key, return_counts=True)
+    row, after = key // (count + 1), key % (count + 1) - 1
     starts = np.nonzero(np.concatenate([[True], row[1:] != row[:-1]]))[0]
-    names = pa.array(words.names, pa.binary()).cast(pa.string())
-    after = key % (count + 1) - 1
-    heads = at[first[starts]]
+    names = pa.array([*words.names, b""], pa.binary()).cast(pa.string())  # number -1 is empty
+    after = np.where(after < 0, count, after)
     if k == 1:
-        prefixes = pa.array([""] * len(heads), pa.string())
+        prefixes = names.take(pa.array(np.full(len(starts), count)))
+    elif k == 2:
+        prefixes = names.take(pa.array(row[starts] // segments))
     else:
+        heads = at[first[starts]]
         prefixes = pc.binary_join_element_wise(*[names.take(pa.array(t[heads + j])) for j in range(k - 1)], " ")
     ends = np.append(starts[1:], len(key))
     for a in range(0, len(starts), ROWS):
         b = min(a + ROWS, len(starts))
         lo, hi = starts[a], ends[b - 1]
-        next_words = names.take(pa.array(after[lo:hi], mask=after[lo:hi] < 0))
         offsets = pa.array(np.append(starts[a:b], hi) - lo, pa.int32())
-        yield (prefixes.slice(a, b - a), pa.array(row[starts[a:b]] % segments, pa.int32()),
-               offsets, next_words, pa.array(times[lo:hi], pa.int64()))
+        next_words = pa.ListArray.from_arrays(offsets, names.take(pa.array(after[lo:hi])))
+        yield (prefixes.slice(a, b - a), pa.array(row[starts[a:b]] % segments, pa.int32()), pc.binary_join(next_words, " "),
+               pa.ListArray.from_arrays(offsets, pa.array(times[lo:hi], pa.int32())))
 
 
 def block_stripes(docs: DataFrame, k: int, frequent=None) -> DataFrame:
-    """(lang, prefix, seg, next, n): stripes of blocks of texts; ``frequent`` is a broadcast (bytes, bits)."""
+    """(lang, prefix, seg, next, n): stripes of blocks of texts; ``frequent`` is a broadcast (bytes, bits, hot hashes)."""
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = Bits(np.frombuffer(frequent.value[0], dtype=np.uint8), frequent.value[1]) if frequent else None
+        known = Bits(np.frombuffer(frequent.value[0], dtype=np.uint8), *frequent.value[1:]) if frequent else None
         block: dict[str, Words] = {}
         size = 0
 
         def flush() -> Iterator[pa.RecordBatch]:
             for lang, words in block.items():
-                for prefixes, segs, offsets, next_words, times in stripes(words, k, known):
-                    yield pa.RecordBatch.from_arrays([
-                        pa.array([lang] * len(prefixes), pa.string()), prefixes, segs,
-                        pa.ListArray.from_arrays(offsets, next_words), pa.ListArray.from_arrays(offsets, times)],
-                        names=["lang", "prefix", "seg", "next", "n"])
+                for part in stripes(words, k, known):
+                    langs = pa.array([lang] * len(part[0]), pa.string())
+                    yield pa.RecordBatch.from_arrays([langs, *part], names=["lang", "prefix", "seg", "next", "n"])
             block.clear()
 
         for batch in batches:
@@ -203,7 +211,7 @@ def block_stripes(docs: DataFrame, k: int, frequent=None) -> DataFrame:
                     size = 0
         yield from flush()
 
-    return docs.mapInArrow(count, "lang string, prefix string, seg int, next array<string>, n array<long>")
+    return docs.mapInArrow(count, "lang string, prefix string, seg int, next string, n array<int>")
 
 
 def merged_stripes(parts: DataFrame, least: int) -> DataFrame:
@@ -215,9 +223,11 @@ def merged_stripes(parts: DataFrame, least: int) -> DataFrame:
     """
     key = ["lang", "prefix", "seg"]
     dealt = parts.repartition(*key)
-    each = dealt.select(*key, F.inline(F.arrays_zip("next", "n"))).groupBy(*key, "next").agg(F.sum("n").alias("n"))
-    often = F.col("next").isNotNull() & (F.col("n") >= least)
-    return each.groupBy(*key).agg(F.sum("n").alias("total"), F.max(F.when(F.col("next").isNotNull(), F.col("n"))).alias("best"),
+    pairs = F.arrays_zip(F.split("next", " ", -1).alias("next"), F.col("n"))
+    each = dealt.select(*key, F.inline(pairs)).groupBy(*key, "next").agg(F.sum("n").alias("n"))
+    real = F.col("next") != ""
+    often = real & (F.col("n") >= least)
+    return each.groupBy(*key).agg(F.sum("n").alias("total"), F.max(F.when(real, F.col("n"))).alias("best"),
                                   F.collect_list(F.when(often, F.struct("next", "n"))).alias("stripe"))
 
 
@@ -228,12 +238,16 @@ def extensions(level: DataFrame, k: int) -> DataFrame:
     return each.select("lang", phrase.alias("phrase"), F.col("n").alias("f"))
 
 
-def frequent_bits(phrases: DataFrame, count: int):
-    """The bit table of ``phrases(lang, phrase)``, broadcast to the tasks.
+def frequent_bits(phrases: DataFrame, words: int):
+    """The bit table of ``phrases(lang, phrase, f)``, and the hot ones' hashes, broadcast to the tasks.
 
     It is put together from chunks of 128 KB, each made by one task, so at
-    most ``2 ** MAX_BITS`` bits reach the driver.
+    most ``2 ** MAX_BITS`` bits reach the driver, and fewer than ``HOT`` phrases
+    of each length.
     """
+    count = phrases.count()
+    often = phrases.where(F.col("f") * HOT > words).collect()
+    hot = phrase_hashes([r.lang for r in often], [r.phrase for r in often])
     bits = min(MAX_BITS, max(MIN_BITS, int(np.ceil(np.log2(max(1, BITS_EACH * count))))))
 
     def positions(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -253,7 +267,7 @@ def frequent_bits(phrases: DataFrame, count: int):
     each = 1 << (MIN_BITS - 3)
     for r in places.groupBy("chunk").applyInPandas(packed, "chunk int, data binary").collect():
         table[r.chunk * each:(r.chunk + 1) * each] = np.frombuffer(r.data, dtype=np.uint8)
-    return phrases.sparkSession.sparkContext.broadcast((table.tobytes(), bits))
+    return phrases.sparkSession.sparkContext.broadcast((table.tobytes(), bits, hot))
 
 
 def phrase_levels(docs: DataFrame, least: int = LEAST, max_words: int = MAX_WORDS) -> list[DataFrame]:
@@ -261,7 +275,7 @@ def phrase_levels(docs: DataFrame, least: int = LEAST, max_words: int = MAX_WORD
     texts = with_default(with_default(docs, "lang", "string"), "text", "string").select(
         F.coalesce("lang", F.lit(UNKNOWN)).alias("lang"), F.coalesce("text", F.lit("")).alias("text"))
     levels: list[DataFrame] = []
-    known, frequent = None, None
+    known, frequent, words = None, None, 0
     for k in range(1, max_words + 1):
         level = written(merged_stripes(block_stripes(texts, k, frequent), least), f"stripes-{k}")
         if frequent:
@@ -271,7 +285,8 @@ def phrase_levels(docs: DataFrame, least: int = LEAST, max_words: int = MAX_WORD
         known = found if known is None else known.union(found)
         if k == max_words or found.isEmpty():
             break
-        frequent = frequent_bits(known, known.count())
+        words = words or level.agg(F.sum("total")).first()[0]
+        frequent = frequent_bits(known, words)
     return levels
 
 
