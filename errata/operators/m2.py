@@ -13,10 +13,10 @@ from pyspark.sql import functions as F
 from errata.constants import (FIELD_SEP, LABEL_FALSE, LABEL_TRUE, NONE_TOKEN, NOOP_TYPE,
                               PY_WS, REQUIRED, SELECTED_LABELS)
 from errata.functions.letbind import let, sql_str
+from errata.functions.replay import coverage, replay
 from errata.operators.tagging import tag_tokens
 
 SEP_RE = r"\|\|\|"
-A_T = "struct<start:int,end:int,cat:string,cor:array<string>,coder:string>"
 
 
 LINE_FIELDS = ["edit_no", "kind", "cat", "o_start", "o_end", "c_start", "c_end", "o_toks", "c_toks"]
@@ -123,9 +123,17 @@ def block_text(blocks: DataFrame) -> DataFrame:
 
 
 def parse_edit_sql(line: str) -> str:
-    """An A line -> struct(start, end, cat, cor tokens, coder)."""
+    """An A line -> struct(start, end, cat, cor tokens, coder).
+
+    A line with the fixed tail (``REQUIRED``, ``-NONE-``, coder) is taken from
+    both ends, so that a correction keeps bars of its own; any other line is
+    split at every three bars from the left.
+    """
     ws = sql_str(PY_WS + "+")
-    f = f"split({line}, {sql_str(SEP_RE)}, -1)"
+    bars = SEP_RE
+    whole = sql_str(rf"(?s)\A(.*?){bars}(.*?){bars}(.*){bars}{REQUIRED}{bars}{NONE_TOKEN}{bars}([^|]*)\z")
+    f = (f"IF({line} RLIKE {whole}, transform(array(1, 2, 3, 4), g -> regexp_extract({line}, {whole}, g)), "
+         f"split({line}, {sql_str(bars)}, -1))")
     return let([("f", f)], (
         f"named_struct('start', CAST(split(trim(substring(p.f[0], 3)), {ws})[0] AS INT), "
         f"'end', CAST(split(trim(substring(p.f[0], 3)), {ws})[1] AS INT), "
@@ -154,32 +162,30 @@ def invert_blocks(blocks: DataFrame) -> DataFrame:
 
     Edits of the block are applied in list order with a running offset; each
     inverted edit spans its corrected tokens, and its correction is the text
-    it replaced. A noop passes through. Types are kept.
+    it replaced. A noop passes through. Types are kept. Bounds are clamped as
+    in a slice assignment, so edits may overlap or go back.
     """
-    clamp = "least(greatest(IF({v} < 0, {v} + size(acc.cor), {v}), 0), size(acc.cor))"
-    a_ = clamp.format(v="(x.start + acc.off)")
-    b_ = f"greatest({clamp.format(v='(x.`end` + acc.off)')}, {a_})"
-    step = ("IF(x.cat = 'noop', named_struct('off', acc.off, 'cor', acc.cor, 'out', array_append(acc.out, "
-            "named_struct('start', -1, 'end', -1, 'cat', x.cat, 'cor', array('-NONE-'), 'coder', x.coder))), "
-            "named_struct('off', acc.off - (x.`end` - x.start) + size(x.cor), "
-            f"'cor', concat(slice(acc.cor, 1, {a_}), x.cor, slice(acc.cor, {b_} + 1, size(acc.cor) - {b_})), "
-            "'out', array_append(acc.out, named_struct('start', x.start + acc.off, "
-            "'end', x.start + acc.off + size(x.cor), 'cat', x.cat, "
-            f"'cor', slice(acc.cor, {a_} + 1, {b_} - {a_}), 'coder', x.coder))))")
-    fold = (f"aggregate(edits, named_struct('off', 0, 'cor', tokens, 'out', CAST(array() AS array<{A_T}>)), "
-            f"(acc, x) -> {step})")
-    inv = blocks.withColumn("_inv", F.expr(fold))
-    return inv.withColumn("tokens", F.col("_inv.cor")).withColumn("edits", F.col("_inv.out")).drop("_inv")
+    noop = f"x.cat = '{NOOP_TYPE}'"
+    span = lambda f: f"transform(edits, x -> IF({noop}, 0, x.{f}))"
+    cors = f"transform(edits, x -> IF({noop}, slice(x.cor, 1, 0), x.cor))"
+    inv = blocks.withColumn("_r", replay("size(tokens)", span("start"), span("`end`"), f"transform({cors}, c -> size(c))"))
+    new = ("named_struct('start', v.r.at[k], 'end', v.r.at[k] + size(x.cor), 'cat', x.cat, "
+           "'cor', transform(v.r.gone[k], i -> v.all[i]), 'coder', x.coder)")
+    kept = f"named_struct('start', -1, 'end', -1, 'cat', x.cat, 'cor', array('{NONE_TOKEN}'), 'coder', x.coder)"
+    body = (f"named_struct('tokens', transform(v.r.take, i -> v.all[i]), "
+            f"'edits', transform(v.edits, (x, k) -> IF({noop}, {kept}, {new})))")
+    done = F.expr(let([("r", "_r"), ("edits", "edits"), ("all", f"concat(tokens, flatten({cors}))")], body))
+    # A generator, so that the optimiser doesn't merge this call of Python into a later one's arguments.
+    return inv.select(*[c for c in blocks.columns if c not in ("tokens", "edits")], F.inline(F.array(done)))
 
 
 def block_labels(blocks: DataFrame) -> DataFrame:
     """J9 + P12: ``labels`` true where an edit of a selected type spans the
     position; coders are united, empty spans mark nothing."""
     sel = ", ".join("'" + x + "'" for x in SELECTED_LABELS)
-    body = (f"IF(size(b.toks) > 0, transform(sequence(0, size(b.toks) - 1), i -> "
-            f"IF(exists(b.eds, x -> x.cat IN ({sel}) AND x.start <= i AND i < x.`end`), "
-            f"'{LABEL_TRUE}', '{LABEL_FALSE}')), CAST(array() AS array<string>))")
-    return blocks.withColumn("labels", F.expr(let([("toks", "tokens"), ("eds", "edits")], body, "b")))
+    span = lambda f: f"transform(filter(edits, x -> x.cat IN ({sel})), x -> x.{f})"
+    marked = blocks.withColumn("_c", coverage("size(tokens)", span("start"), span("`end`")))
+    return marked.withColumn("labels", F.expr(f"transform(_c, c -> IF(c, '{LABEL_TRUE}', '{LABEL_FALSE}'))")).drop("_c")
 
 
 def number_in_file(rows: DataFrame, path: str = "file", out: str = "block_no") -> DataFrame:

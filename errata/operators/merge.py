@@ -15,6 +15,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from errata.constants import STRATEGIES
+from errata.functions.letbind import let
+from errata.functions.replay import reached_before
 
 
 def edit_operations(sents: DataFrame) -> DataFrame:
@@ -25,11 +27,11 @@ def edit_operations(sents: DataFrame) -> DataFrame:
            "WHEN p.edit_no <> q.edit_no THEN IF(p.edit_no < q.edit_no, -1, 1) ELSE 0 END)")
     edit_ops = ("concat(array_repeat('S', least(z.te - z.ts, size(z.cor_toks))), "
                 "array_repeat(IF(z.te - z.ts > size(z.cor_toks), 'D', 'I'), abs(z.te - z.ts - size(z.cor_toks))))")
-    fold = (f"aggregate({srt}, named_struct('pos', 0, 'ops', CAST(array() AS array<string>)), "
-            "(acc, z) -> named_struct('pos', greatest(acc.pos, z.te), "
-            f"'ops', concat(acc.ops, array_repeat('M', greatest(z.ts - acc.pos, 0)), {edit_ops})))")
-    x = sents.withColumn("_f", F.expr(fold))
-    ops = F.concat(F.col("_f.ops"), F.array_repeat(F.lit("M"), F.greatest(F.size("orig") - F.col("_f.pos"), F.lit(0))))
+    x = sents.withColumn("_s", F.expr(srt))
+    x = x.withColumn("_before", reached_before("transform(_s, z -> z.te)"))
+    each = f"concat(array_repeat('M', greatest(z.ts - v.before[i], 0)), {edit_ops})"
+    rest = "array_repeat('M', greatest(size(orig) - greatest(coalesce(array_max(transform(_s, z -> z.te)), 0), 0), 0))"
+    ops = F.expr(f"concat({let([('s', '_s'), ('before', '_before')], f'flatten(transform(v.s, (z, i) -> {each}))')}, {rest})")
     x = x.select(*key, F.posexplode(ops).alias("k", "op"))
     return x.withColumn("o_inc", F.when(F.col("op") == "I", 0).otherwise(1)) \
             .withColumn("c_inc", F.when(F.col("op") == "D", 0).otherwise(1))

@@ -14,8 +14,7 @@ import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from errata.constants import MAX_LEADING_SHORT, SHORT_LINE_MAX
-from errata.constants import PY_WS
+from errata.constants import LONG_PARAGRAPH_LIMIT, MAX_LEADING_SHORT, PY_WS, SHORT_LINE_MAX
 from errata.functions.letbind import let, sql_str
 from errata.functions.text import STRIP_RE, TOKEN_RE
 
@@ -131,14 +130,21 @@ def remap_sql(o: str, c: str = "") -> str:
             f"- IF({c}lead, 1, 0), 0)")
 
 
-def trim_start_sql(s: str, e: str, para: str = "clean") -> str:
-    """A non-insertion span starting on a blank loses it."""
-    return f"IF({s} <> {e} AND substring({para}, {s} + 1, 1) = ' ', {s} + 1, {s})"
+def trim_start_sql(s: str, e: str, mask: str) -> str:
+    """A non-insertion span starting on a blank loses it; ``mask`` has the blanks by offset."""
+    return f"IF({s} <> {e} AND get({mask}, {s}) = ' ', {s} + 1, {s})"
 
 
-def trim_end_sql(s: str, e: str, para: str = "clean") -> str:
+def trim_end_sql(s: str, e: str, mask: str) -> str:
     """A non-insertion span ending on a blank loses it."""
-    return f"IF({s} <> {e} AND {e} > 0 AND substring({para}, {e}, 1) = ' ', {e} - 1, {e})"
+    return f"IF({s} <> {e} AND {e} > 0 AND get({mask}, {e} - 1) = ' ', {e} - 1, {e})"
+
+
+def long_essays(essays: DataFrame, limit: int = LONG_PARAGRAPH_LIMIT, text: str = "text") -> DataFrame:
+    """``essays`` with ``max_len``, those whose longest paragraph has more than ``limit`` code points."""
+    bounds = F.expr(paragraphs_sql(text, with_text=False))
+    found = essays.withColumn("max_len", F.array_max(F.transform(bounds, lambda p: p["p_end"] - p["p_start"])))
+    return found.filter(F.col("max_len") > limit)
 
 
 # The same pattern as the regex module writes it: \\x{h} is \\uhhhh there.

@@ -1,8 +1,9 @@
 """Sentence rows: one row per (essay, coder, paragraph) with its tokens and
 token edits, built from essays and character edits.
 
-All per-paragraph work (offset remap, char -> token spans, overlap drop,
-corrections, applying the edits) is one expression over the row's arrays;
+All per-paragraph work (offset remap, char -> token spans, corrections) is
+expressions over the row's arrays; what needs a running state (overlap drop,
+applying the edits) is worked out in numbers over Arrow batches;
 the only shuffles are the joins that bring edits to their paragraph.
 """
 
@@ -12,6 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from errata.functions.letbind import let, sql_str
+from errata.functions.replay import drop_overlaps, replay
 from errata.functions.text import STRIP_RE, TOKEN_RE, normalise_punct
 from errata.operators import edits as ed
 from errata.operators import paragraphs as pg
@@ -44,18 +46,14 @@ def coders_of(edits: DataFrame) -> DataFrame:
 
 
 def _token_edit_sql() -> str:
-    """Per row: remap + trim (P6, P7), char -> token spans (J3), overlap drop
-    (W4), corrections (E3, E4, E5) and the corrected sentence (E1, W3)."""
-    strip, tok = sql_str(STRIP_RE), sql_str(TOKEN_RE)
+    """Per row: remap + trim (P6, P7) and char -> token spans."""
     # Lambdas refer to the row's arrays as r.<name>, to earlier steps as a.<name>.
     rm = lambda o: pg.remap_sql(o, "r.")
     # P6 + P7
     step1 = (f"transform(r.edits, x -> named_struct('edit_no', x.edit_no, 'kind', x.kind, "
              f"'cat', x.cat, 'cor', x.cor, 's0', {rm('x.s')}, 'e0', {rm('x.e')}))")
-    trim = ("transform(a.e1, x -> named_struct('edit_no', x.edit_no, 'kind', x.kind, 'cat', x.cat, "
-            "'cor', x.cor, "
-            "'s', IF(x.s0 <> x.e0 AND get(r.ccl, x.s0) = ' ', x.s0 + 1, x.s0), "
-            "'e', IF(x.s0 <> x.e0 AND x.e0 > 0 AND get(r.ccl, x.e0 - 1) = ' ', x.e0 - 1, x.e0)))")
+    trim = ("transform(a.e1, x -> named_struct('edit_no', x.edit_no, 'kind', x.kind, 'cat', x.cat, 'cor', x.cor, "
+            f"'s', {pg.trim_start_sql('x.s0', 'x.e0', 'r.ccl')}, 'e', {pg.trim_end_sql('x.s0', 'x.e0', 'r.ccl')}))")
     # ``at`` gives the last token that starts at or before an offset, so
     # every lookup is one array access. is: that token for the span's start; ie:
     # the first token that ends after the span's end.
@@ -81,11 +79,12 @@ def _token_edit_sql() -> str:
     step3 = ("transform(a.e2, x -> "
              + let([("is", last("x.s")), ("ie", last("x.e")), ("il", last("(x.e - 1)"))],
                    let(lookups, f"named_struct('x', x, 'k', {tokspan})", "q"), "p") + ")")
-    # Drop an expanded edit starting before the end of the last kept one
-    fold = ("aggregate(a.e3, named_struct('prev', 0, 'gone', CAST(array() AS array<boolean>)), "
-            "(acc, y) -> IF(y.k.xp AND y.k.ts < acc.prev, "
-            "named_struct('prev', acc.prev, 'gone', array_append(acc.gone, true)), "
-            "named_struct('prev', y.k.te, 'gone', array_append(acc.gone, false)))).gone")
+    return _chain([("e1", step1), ("e2", trim), ("e3", step3)], "named_struct('e2', a.e2, 'e3', a.e3)")
+
+
+def _kept_edits_sql() -> str:
+    """Per row: the edits that stay, with their corrections."""
+    strip, tok = sql_str(STRIP_RE), sql_str(TOKEN_RE)
     # E3, E4, E5
     det_text = "substring(r.clean, y.x.s + 1, y.x.e - y.x.s)"
     cor_text = f"coalesce(y.x.cor, {det_text})"
@@ -94,41 +93,22 @@ def _token_edit_sql() -> str:
     full = f"IF(y.k.xp, {expanded}, {cor_text})"
     cor_toks = (f"IF(y.x.kind = 'D', slice(r.toks, greatest(y.k.ts, 0) + 1, greatest(y.k.te - greatest(y.k.ts, 0), 0)), "
                 f"regexp_extract_all(regexp_replace({full}, {strip}, ''), {tok}, 0))")
-    step5 = ("transform(filter(a.e3, (y, i) -> NOT a.gone[i]), y -> named_struct("
+    return ("transform(filter(r.e3, (y, i) -> NOT r.gone[i]), y -> named_struct("
              "'edit_no', y.x.edit_no, 'kind', y.x.kind, 'cat', y.x.cat, 's', y.x.s, 'e', y.x.e, "
              "'ts', y.k.ts, 'te', y.k.te, 'expanded', y.k.xp, 'cor_text', " + full + ", "
              "'cor_toks', " + cor_toks + "))")
-    # Where each edit lands, by a running offset
-    spans = ("aggregate(a.e5, named_struct('off', 0, 'spans', "
-             "CAST(array() AS array<struct<c_start:int,c_end:int>>)), (acc, z) -> named_struct("
-             "'off', acc.off - (z.te - z.ts) + size(z.cor_toks), "
-             "'spans', array_append(acc.spans, named_struct("
-             "'c_start', z.ts + acc.off, 'c_end', z.ts + acc.off + size(z.cor_toks))))).spans")
-    # Edits in order and apart from each other leave pieces that are laid
-    # end to end; others apply one by one in list order, as slice assignment
-    # does, which clamps its bounds.
-    apart = ("aggregate(a.e5, named_struct('ok', true, 'prev', 0), (acc, z) -> named_struct("
-             "'ok', acc.ok AND z.ts >= acc.prev AND z.te >= z.ts, 'prev', z.te)).ok")
-    before = "IF(i = 0, 0, a.e5[i - 1].te)"
-    pieces = (f"flatten(concat(transform(a.e5, (z, i) -> concat(slice(r.toks, {before} + 1, z.ts - {before}), z.cor_toks)), "
-              "array(slice(r.toks, coalesce(get(a.e5, size(a.e5) - 1).te, 0) + 1, size(r.toks)))))")
-    clamp = "least(greatest(IF({v} < 0, {v} + size(acc.cor), {v}), 0), size(acc.cor))"
-    a_ = clamp.format(v="(z.ts + acc.off)")
-    b_ = f"greatest({clamp.format(v='(z.te + acc.off)')}, {a_})"
-    in_turn = ("aggregate(a.e5, named_struct('off', 0, 'cor', r.toks), (acc, z) -> named_struct("
-               "'off', acc.off - (z.te - z.ts) + size(z.cor_toks), "
-               f"'cor', concat(slice(acc.cor, 1, {a_}), z.cor_toks, slice(acc.cor, {b_} + 1, size(acc.cor) - {b_})))).cor")
-    cor = f"IF({apart}, {pieces}, {in_turn})"
-    body = ("named_struct('tok_edits', transform(a.e5, (z, i) -> named_struct('edit_no', z.edit_no, "
+
+
+def _applied_sql() -> str:
+    """Per row: the corrected sentence (E1), its edits' places (W3) and the dropped ones."""
+    return ("named_struct('tok_edits', transform(r.e5, (z, i) -> named_struct('edit_no', z.edit_no, "
             "'kind', z.kind, 'cat', z.cat, 's', z.s, 'e', z.e, 'ts', z.ts, 'te', z.te, "
             "'expanded', z.expanded, 'cor_text', z.cor_text, 'cor_toks', z.cor_toks, "
-            "'c_start', a.spans[i].c_start, 'c_end', a.spans[i].c_end)), "
-            "'cor', a.cor, 'dropped', transform(filter(a.e3, (y, i) -> a.gone[i]), y -> y.x.edit_no), "
-            "'edits_rt', a.e2, "
-            "'spans_all', transform(a.e3, y -> named_struct('edit_no', y.x.edit_no, 'kind', y.x.kind, "
+            "'c_start', r.at[i], 'c_end', r.at[i] + size(z.cor_toks))), "
+            "'cor', transform(r.take, i -> r.all[i]), "
+            "'dropped', transform(filter(r.e3, (y, i) -> r.gone[i]), y -> y.x.edit_no), "
+            "'spans_all', transform(r.e3, y -> named_struct('edit_no', y.x.edit_no, 'kind', y.x.kind, "
             "'s', y.x.s, 'e', y.x.e, 'ts', y.k.ts, 'te', y.k.te, 'expanded', y.k.xp)))")
-    return _chain([("e1", step1), ("e2", trim), ("e3", step3), ("gone", fold),
-                   ("e5", step5), ("spans", spans), ("cor", cor)], body)
 
 
 def _chain(steps: list[tuple[str, str]], body: str) -> str:
@@ -164,10 +144,16 @@ def sentences(essays: DataFrame, edits: DataFrame, coders: DataFrame | None = No
     coders = coders if coders is not None else coders_of(edits)
     s = paras.join(coders, "essay_id").join(pe, KEYS, "left")
     s = s.withColumn("edits", F.coalesce(F.col("edits"), F.expr(f"CAST(array() AS {EDIT_T})")))
-    x = let(ROW_BINDS, _token_edit_sql(), "r")
-    s = s.withColumn("_te", F.expr(x))
+    s = s.withColumn("_a", F.expr(let(ROW_BINDS, _token_edit_sql(), "r")))
+    each = lambda f: f"transform(_a.e3, y -> y.k.{f})"
+    s = s.withColumn("_gone", drop_overlaps(each("ts"), each("te"), each("xp")))
+    kept = F.expr(let([("clean", "clean"), ("toks", "toks"), ("e3", "_a.e3"), ("gone", "_gone")], _kept_edits_sql(), "r"))
+    # Generators stand between calls of Python: the optimiser would merge one into the next one's arguments.
+    s = s.select("*", F.inline(F.array(F.struct(kept.alias("_e5")))))
+    each = lambda f: f"transform(_e5, z -> {f})"
+    s = s.withColumn("_re", replay("size(toks)", each("z.ts"), each("z.te"), each("size(z.cor_toks)")))
+    binds = [("e3", "_a.e3"), ("gone", "_gone"), ("e5", "_e5"), ("at", "_re.at"), ("take", "_re.take"), ("all", f"concat(toks, flatten({each('z.cor_toks')}))")]
+    s = s.drop("edits").select("*", F.inline(F.array(F.expr(let(binds, _applied_sql(), "r")))))
     return s.select("essay_id", "coder", "para_no", "p_start", "clean",
                     F.col("toks").alias("orig"), "starts", "ends",
-                    F.col("_te.cor").alias("cor"), F.col("_te.tok_edits").alias("tok_edits"),
-                    F.col("_te.dropped").alias("dropped"), F.col("_te.edits_rt").alias("edits_rt"),
-                    F.col("_te.spans_all").alias("spans_all"))
+                    "cor", "tok_edits", "dropped", F.col("_a.e2").alias("edits_rt"), "spans_all")

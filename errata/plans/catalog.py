@@ -204,9 +204,7 @@ def q_max_para_len(spark, sf_dir):
 
 @query("long_essays")
 def q_long_essays(spark, sf_dir):
-    from errata.constants import LONG_PARAGRAPH_LIMIT
-    d = q_max_para_len(spark, sf_dir)
-    return d.filter(F.col("max_len") > LONG_PARAGRAPH_LIMIT)
+    return pg.long_essays(fx.fx_dirty(spark, sf_dir)).select("essay_id", "max_len")
 
 
 def _dirty_clean(spark, sf_dir):
@@ -237,14 +235,15 @@ def q_remap_offsets(spark, sf_dir):
 @query("trim_spans")
 def q_trim_spans(spark, sf_dir):
     d = _ws_offsets(_dirty_clean(spark, sf_dir))
+    d = d.withColumn("blanks", F.split(F.regexp_replace("clean", "[^ ]", "."), ""))
     d = d.withColumn("k", F.explode(F.expr("sequence(0, size(offs) - 2)")))
     d = d.filter((F.col("k") >= 0) & (F.col("k") < F.size("offs") - 1))
     d = d.withColumn("o_start", F.expr("offs[k]")).withColumn("o_end", F.expr("offs[k + 1]"))
     d = d.withColumn("s", F.expr(pg.remap_sql("o_start"))).withColumn("e", F.expr(pg.remap_sql("o_end")))
     d = d.withColumn("s", F.col("s").cast("int")).withColumn("e", F.col("e").cast("int"))
     return d.select("essay_id", "para_no", "o_start", "o_end", "s", "e",
-                    F.expr(pg.trim_start_sql("s", "e")).alias("s_trim"),
-                    F.expr(pg.trim_end_sql("s", "e")).alias("e_trim"))
+                    F.expr(pg.trim_start_sql("s", "e", "blanks")).alias("s_trim"),
+                    F.expr(pg.trim_end_sql("s", "e", "blanks")).alias("e_trim"))
 
 
 @query("tokenise")
@@ -255,14 +254,9 @@ def q_tokenise(spark, sf_dir):
     return d.select("essay_id", "para_no", "tok_i", "t.tok", "t.cs", "t.ce")
 
 
-def _essay_paras(spark, sf_dir):
-    return pg.paragraph_rows(_norm(fx.fx_essays(spark, sf_dir)), ["essay_id"])
-
-
 @query("para_rows")
 def q_para_rows(spark, sf_dir):
-    p = pg.with_clean(_essay_paras(spark, sf_dir)).filter(F.col("clean") != "")
-    return p.join(fx.fx_coders(spark, sf_dir), "essay_id").select("essay_id", "coder", "para_no")
+    return _sents(spark, sf_dir).select("essay_id", "coder", "para_no")
 
 
 @query("edit_kind")
@@ -581,7 +575,7 @@ def q_src_tsv_nohdr(spark, sf_dir):
 @query("combine")
 def q_combine(spark, sf_dir):
     """Two TSV sets (the train and test parts) read back as one."""
-    seqs = spl.split_rows(ws.labelled_sequences(spark, sf_dir), "seq_id")
+    seqs = spl.split_rows(ws.labelled_sequences(spark, sf_dir), "seq_id", ids=ws.sequence_ids(spark, sf_dir))
     a, b = scratch_path(spark, "part-train"), scratch_path(spark, "part-test")
     io.write_tsv(seqs.filter(F.col("split") == "train").drop("split"), a)
     io.write_tsv(seqs.filter(F.col("split") == "test").drop("split").drop("cefr"), b)
@@ -591,13 +585,12 @@ def q_combine(spark, sf_dir):
 
 @query("split_rows")
 def q_split_rows(spark, sf_dir):
-    return spl.split_rows(ws.labelled_sequences(spark, sf_dir), "seq_id").select("seq_id", "split")
+    return spl.split_rows(ws.sequence_ids(spark, sf_dir), "seq_id")
 
 
 @query("split_dev")
 def q_split_dev(spark, sf_dir):
-    return spl.split_rows(ws.labelled_sequences(spark, sf_dir), "seq_id", create_dev=True).select(
-        "seq_id", "split")
+    return spl.split_rows(ws.sequence_ids(spark, sf_dir), "seq_id", create_dev=True)
 
 
 @query("split_grouped")

@@ -189,12 +189,15 @@ register("token_rows", "SELECT seq_id AS sequence_id, feature_i, token, label FR
 # Tagging needs words and lexicon only; like the sequences, words are joined and split again.
 DERIVED_CTES["o_wseq"] = """
 SELECT essay_id, string_split(string_agg(w, '|||' ORDER BY i), '|||') AS a FROM o_words GROUP BY essay_id"""
+# Each distinct word is looked up once.
+DERIVED_CTES["o_wtags"] = """
+SELECT d.w, CASE WHEN a.word IS NOT NULL THEN a.pos WHEN b.word IS NOT NULL THEN b.pos ELSE 'X' END AS pos,
+       CASE WHEN a.word IS NOT NULL THEN a.lemma WHEN b.word IS NOT NULL THEN b.lemma ELSE d.w END AS lemma
+FROM (SELECT DISTINCT unnest(a) AS w FROM o_wseq) d
+LEFT JOIN fx_lexicon a ON a.word = d.w LEFT JOIN fx_lexicon b ON b.word = lower(d.w)"""
 register("tag_tokens", """
-SELECT 'fx_' || CAST(l.essay_id AS VARCHAR) AS sequence_id, CAST(l.k AS INTEGER) AS feature_i, l.w AS token,
-       CASE WHEN a.word IS NOT NULL THEN a.pos WHEN b.word IS NOT NULL THEN b.pos ELSE 'X' END AS pos,
-       CASE WHEN a.word IS NOT NULL THEN a.lemma WHEN b.word IS NOT NULL THEN b.lemma ELSE l.w END AS lemma
-FROM (SELECT essay_id, unnest(range(0, len(a))) AS k, unnest(a) AS w FROM o_wseq) l
-LEFT JOIN fx_lexicon a ON a.word = l.w LEFT JOIN fx_lexicon b ON b.word = lower(l.w)""")
+SELECT 'fx_' || CAST(l.essay_id AS VARCHAR) AS sequence_id, CAST(l.k AS INTEGER) AS feature_i, l.w AS token, t.pos, t.lemma
+FROM (SELECT essay_id, unnest(range(0, len(a))) AS k, unnest(a) AS w FROM o_wseq) l JOIN o_wtags t ON t.w = l.w""")
 register("zipf_table", "SELECT word, n, zipf FROM o_zipf")
 register("lex_psy", "SELECT word, pos, freq_pm, aoa FROM o_lex_psy")
 register("lex_cefr", "SELECT word, pos, cefr_j FROM o_lex_cefr")
@@ -590,8 +593,16 @@ FROM o_files f JOIN fx_essays e ON e.essay_id = f.essay_id""")
 register("dataset_files", """
 SELECT f.file || '_' || CAST(f.block_no AS VARCHAR) AS seq_id, d.token_seq, d.label_seq, left(e.cefr, 2) AS cefr
 FROM o_files f JOIN o_dataset d ON d.essay_id = f.essay_id AND d.para_no = f.para_no JOIN fx_essays e ON e.essay_id = f.essay_id""")
-register("snk_tsv", """
-SELECT seq_id || chr(9) || token_seq || chr(9) || label_seq || chr(9) || cefr || chr(9) || CAST(row_i AS VARCHAR) AS value FROM o_seqs""")
+
+
+def _cell(c: str) -> str:
+    """Minimal quoting: a cell that holds a quote, a tab or a line end."""
+    return f"""CASE WHEN regexp_matches({c}, '["\\t\\n\\r]') THEN '"' || replace({c}, '"', '""') || '"' ELSE {c} END"""
+
+
+register("snk_tsv", f"""
+SELECT {_cell('seq_id')} || chr(9) || {_cell('token_seq')} || chr(9) || {_cell('label_seq')} || chr(9) || {_cell('cefr')}
+       || chr(9) || CAST(row_i AS VARCHAR) AS value FROM o_seqs""")
 register("src_tsv_nohdr", """
 SELECT seq_id AS "0", token_seq AS "1", label_seq AS "2", cefr AS "3", CAST(row_i AS VARCHAR) AS "4" FROM o_seqs""")
 register("snk_scores", """

@@ -43,6 +43,12 @@ def word_scores_e2e(spark: SparkSession, sf_dir: str) -> DataFrame:
     return word_scores(m)
 
 
+def sequence_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(seq_id) of ``labelled_sequences``, from the essays alone: those with a word."""
+    e = fx.fx_essays(spark, sf_dir).filter(F.col("text").rlike("[^ \n]"))
+    return e.select(F.concat(F.lit("fx_"), F.col("essay_id").cast("string")).alias("seq_id"))
+
+
 def labelled_sequences(spark: SparkSession, sf_dir: str, lexicon: DataFrame | None = None) -> DataFrame:
     """One labelled sequence per essay: seq_id, token_seq, label_seq, cefr, row_i.
 
