@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from errata.functions.text import normalise_punct
@@ -31,20 +31,24 @@ def paragraph_bounds(essays: DataFrame, text: str = "text") -> DataFrame:
                     F.expr("transform(paras, x -> x.p_end)").alias("pends"))
 
 
-def assign_paragraphs(edits: DataFrame, bounds: DataFrame) -> DataFrame:
+def assign_paragraphs(edits: DataFrame, bounds: DataFrame, seen: Observation | None = None) -> DataFrame:
     """J1 + P4: the paragraph(s) holding each edit, offsets rebased.
 
     The holding paragraph is the last one starting at or before ``s`` (an
     as-of lookup in the essay's start array); the edit is kept when it also
     ends inside it. An insertion exactly on a boundary belongs to both
-    paragraphs. Edits crossing a boundary vanish.
+    paragraphs. Edits crossing a boundary vanish; ``seen`` counts them
+    (``edits``, ``crossing``) in the same job.
     """
     j = edits.join(bounds, "essay_id")
     k = "(size(filter(pstarts, x -> x <= s)) - 1)"
     cands = (f"filter(array({k}, {k} - 1), q -> q >= 0 AND "
              f"((q = {k} AND e <= pends[q]) OR "
              f"(q = {k} - 1 AND s = e AND s = pstarts[q + 1] AND s = pends[q])))")
-    j = j.withColumn("para_no", F.explode(F.expr(cands)))
+    j = j.withColumn("_paras", F.expr(cands))
+    if seen is not None:
+        j = j.observe(seen, F.count(F.lit(1)).alias("edits"), F.count_if(F.size("_paras") == 0).alias("crossing"))
+    j = j.withColumn("para_no", F.explode("_paras")).drop("_paras")
     return (j.withColumn("s", F.col("s") - F.expr("pstarts[para_no]"))
              .withColumn("e", F.col("e") - F.expr("pstarts[para_no]"))
              .drop("pstarts", "pends"))

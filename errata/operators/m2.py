@@ -7,7 +7,7 @@ structs). Text appears only at the sinks and sources.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from errata.constants import (FIELD_SEP, LABEL_FALSE, LABEL_TRUE, NONE_TOKEN, NOOP_TYPE,
@@ -93,10 +93,12 @@ def classify_edits(rows: DataFrame, lexicon: DataFrame, old_cats: bool = False)
     return x.withColumn("lines", F.expr(typed)).drop("_cats")
 
 
-def m2_blocks(rows: DataFrame) -> DataFrame:
+def m2_blocks(rows: DataFrame, seen: Observation | None = None) -> DataFrame:
     """P16 + J7 + E8: one block per coder-0 sentence with every coder's
     edits (coders in id order, a noop line for a coder without edits).
-    ``rows`` are classified sentence rows; one grouping aligns the coders."""
+    ``rows`` are classified sentence rows; one grouping aligns the coders.
+    ``seen`` counts the paragraphs (``paragraphs``) and those that are lost for
+    want of coder 0 (``without_coder_0``) in the same job."""
     a = ("transform(lines, l -> named_struct('start', l.o_start, 'end', l.o_end, 'cat', l.type, "
          "'cor', l.c_toks, 'coder', CAST(coder AS STRING)))")
     noop = (f"array(named_struct('start', -1, 'end', -1, 'cat', '{NOOP_TYPE}', 'cor', array('{NONE_TOKEN}'), "
@@ -105,6 +107,8 @@ def m2_blocks(rows: DataFrame) -> DataFrame:
     g = x.groupBy("essay_id", "para_no").agg(
         F.array_sort(F.collect_list(F.struct("coder", "a"))).alias("_c"),
         F.first(F.when(F.col("coder") == 0, F.col("orig")), ignorenulls=True).alias("tokens"))
+    if seen is not None:
+        g = g.observe(seen, F.count(F.lit(1)).alias("paragraphs"), F.count_if(F.col("tokens").isNull()).alias("without_coder_0"))
     return g.where("tokens IS NOT NULL").select("essay_id", "para_no", "tokens",
                                                 F.flatten(F.transform("_c", lambda r: r["a"])).alias("edits"))
 

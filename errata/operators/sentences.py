@@ -9,7 +9,7 @@ the only shuffles are the joins that bring edits to their paragraph.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from errata.functions.letbind import let, sql_str
@@ -30,11 +30,12 @@ def essay_paragraphs(essays: DataFrame) -> DataFrame:
     return pg.with_tokens(p, "clean")
 
 
-def paragraph_edits(essays: DataFrame, edits: DataFrame) -> DataFrame:
-    """Edits per (essay, coder, paragraph) in list order."""
+def paragraph_edits(essays: DataFrame, edits: DataFrame, seen: Observation | None = None) -> DataFrame:
+    """Edits per (essay, coder, paragraph) in list order.
+    ``seen`` counts the edits that no paragraph holds (see ``assign_paragraphs``)."""
     ess = essays.select("essay_id", normalise_punct(F.col("text")).alias("text"))
     e = ed.edit_kinds(edits)
-    e = ed.assign_paragraphs(e, ed.paragraph_bounds(ess))
+    e = ed.assign_paragraphs(e, ed.paragraph_bounds(ess), seen)
     e = ed.drop_covered_detections(e, KEYS)
     item = F.struct(F.col("edit_no").cast("int").alias("edit_no"), F.col("s").cast("int").alias("s"),
                     F.col("e").cast("int").alias("e"), "kind", "cat", "cor")
@@ -136,11 +137,13 @@ ROW_BINDS = [("edits", "edits"), ("clean", "clean"), ("toks", "toks"), ("starts"
              ("ccl", "split(regexp_replace(clean, '[^ ]', '.'), '')")]
 
 
-def sentences(essays: DataFrame, edits: DataFrame, coders: DataFrame | None = None) -> DataFrame:
+def sentences(essays: DataFrame, edits: DataFrame, coders: DataFrame | None = None,
+              seen: Observation | None = None) -> DataFrame:
     """E9/E10 + token edits: essay_id, coder, para_no, orig (tokens), cor,
-    tok_edits (list order), dropped edit numbers, and the paragraph text."""
+    tok_edits (list order), dropped edit numbers, and the paragraph text.
+    ``seen`` counts the edits that are lost at paragraph bounds."""
     paras = essay_paragraphs(essays)
-    pe = paragraph_edits(essays, edits)
+    pe = paragraph_edits(essays, edits, seen)
     coders = coders if coders is not None else coders_of(edits)
     s = paras.join(coders, "essay_id").join(pe, KEYS, "left")
     s = s.withColumn("edits", F.coalesce(F.col("edits"), F.expr(f"CAST(array() AS {EDIT_T})")))

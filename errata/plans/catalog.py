@@ -131,19 +131,27 @@ def q_lex_dedupe(spark, sf_dir):
     return out.select(F.col("key").alias("word"), "pos", "cefr_j", "source_word")
 
 
+def _tagged(spark, sf_dir):
+    """Token rows with part of speech: all that a word score is made of."""
+    from errata.operators.tagging import tag_tokens
+    lexicon = _lexicon(spark, sf_dir)
+    return tag_tokens(ft.token_rows(ws.labelled_sequences(spark, sf_dir, lexicon)), "token", lexicon)
+
+
 @query("word_counts")
 def q_word_counts(spark, sf_dir):
-    return sc.word_counts(_features(spark, sf_dir))
+    return sc.word_counts(_tagged(spark, sf_dir))
 
 
 @query("word_scores")
 def q_word_scores(spark, sf_dir):
-    return sc.word_scores(_features(spark, sf_dir))
+    return sc.word_scores(_tagged(spark, sf_dir))
 
 
 @query("word_scores_ordered")
 def q_word_scores_ordered(spark, sf_dir):
-    s = sc.word_scores_ordered(_features(spark, sf_dir), ["row_i", "feature_i"])
+    rows = _tagged(spark, sf_dir).withColumn("feature_i", F.col("feature_i").cast("int"))
+    s = sc.word_scores_ordered(rows, ["row_i", "feature_i"])
     return s.select("token", "pos", "n_seen", "n_true", "score",
                     F.col("first_seen.row_i").alias("first_row_i"),
                     F.col("first_seen.feature_i").alias("first_feature_i"))
@@ -602,7 +610,7 @@ def q_split_grouped(spark, sf_dir):
 @query("snk_scores")
 def q_snk_scores(spark, sf_dir):
     path = scratch_path(spark, "scores")
-    io.write_scores(sc.word_scores(_features(spark, sf_dir)), path)
+    io.write_scores(sc.word_scores(_tagged(spark, sf_dir)), path)
     return spark.read.schema("key string, score double").json(path)
 
 
@@ -616,6 +624,61 @@ def q_stream_features(spark, sf_dir):
     return spark.read.parquet(out)
 
 
+@query("stream_word_scores")
+def q_stream_word_scores(spark, sf_dir):
+    """Two halves of the sequences arrive one after the other; the query stops between them."""
+    from errata.streaming.features import latest_scores, run_scores, score_stream
+    lexicon = _lexicon(spark, sf_dir)
+    seqs = materialise(ws.labelled_sequences(spark, sf_dir, lexicon), "stream-seqs")
+    src, out, ck = (scratch_path(spark, f"scores-{n}") for n in ("in", "out", "ckpt"))
+    for half in (0, 1):
+        io.write_tsv(seqs.filter(F.pmod(F.xxhash64("seq_id"), F.lit(2)) == half), f"{src}/half{half}")
+        run_scores(score_stream(spark, src + "/*", lexicon), out, ck)
+    return latest_scores(spark, out).select("token", "pos", "n_seen", "n_true", "score")
+
+
+@query("word_scores_files")
+def q_word_scores_files(spark, sf_dir):
+    """U1 + A3: scores over several feature files (the train and test parts)."""
+    feats = materialise(_features(spark, sf_dir).select(*ft.FEATURE_COLUMNS), "feature-rows")
+    sides = spl.split_rows(ws.sequence_ids(spark, sf_dir).withColumnRenamed("seq_id", "sequence_id"), "sequence_id")
+    parts = feats.join(sides, "sequence_id").select(*ft.FEATURE_COLUMNS, "split")
+    paths = {side: scratch_path(spark, f"features-{side}") for side in ("train", "test")}
+    for side, path in paths.items():
+        io.write_tsv(parts.filter(F.col("split") == side).drop("split"), path)
+    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in feats.schema)
+    return sc.word_scores(io.combine_tsv(spark, list(paths.values()), [schema] * 2)).select("token", "pos", "n_seen", "n_true", "score")
+
+
+@query("dense_rows")
+def q_dense_rows(spark, sf_dir):
+    """Sequences numbered 0, 1, ... in the order of their ids."""
+    from errata.operators.numbering import dense_numbers
+    return dense_numbers(ws.sequence_ids(spark, sf_dir), ["seq_id"])
+
+
+@query("lost_counts")
+def q_lost_counts(spark, sf_dir):
+    """What the way to M2 blocks loses, observed in the job that makes them:
+    edits across paragraph bounds, and paragraphs without coder 0 (every
+    twentieth essay is taken from that coder here)."""
+    from pyspark.sql import Observation
+    coders = fx.fx_coders(spark, sf_dir).filter((F.col("coder") != 0) | (F.col("essay_id") % 20 != 0))
+    edits, blocks = Observation(), Observation()
+    rows = m2op.with_lines(_sentences(fx.fx_essays(spark, sf_dir), fx.fx_edits(spark, sf_dir), coders, edits))
+    made = m2op.m2_blocks(m2op.classify_edits(rows, None, old_cats=True), blocks)
+    made.write.format("noop").mode("overwrite").save()
+    seen = {**edits.get, **blocks.get}
+    return spark.createDataFrame([(k, int(seen[k])) for k in sorted(seen)], "what string, n long")
+
+
+@query("long_essay_report")
+def q_long_essay_report(spark, sf_dir):
+    """P18 from files: where the essays stand that have a paragraph over 1,000 code points."""
+    essays, _, _ = io.read_essays_json(spark, _essay_files(spark, sf_dir))
+    return pg.long_essays(essays, limit=1000).select("file", "line_no", "max_len")
+
+
 @query("merge_ops")
 def q_merge_ops(spark, sf_dir):
     from errata.operators.merge import merge_ops

@@ -610,3 +610,26 @@ SELECT token || '|||' || pos AS key, count(*) FILTER (WHERE label = 'true') / co
 FROM o_feat WHERE label IN ('true', 'false') GROUP BY token, pos
 HAVING count(*) FILTER (WHERE label = 'true') > 0""")
 register("stream_features", f"SELECT {FEATURES_19} FROM o_feat")
+
+# ---------------------------------------------------------------- stream, numbering, reports
+DERIVED_CTES.update(paragraph_ctes("fx_essays", "o_fp"))
+_SCORES = """
+SELECT token, pos, count(*) AS n_seen, count(*) FILTER (WHERE label = 'true') AS n_true,
+       count(*) FILTER (WHERE label = 'true') / count(*) AS score
+FROM o_ttag WHERE label IN ('true', 'false') GROUP BY token, pos
+HAVING count(*) FILTER (WHERE label = 'true') > 0"""
+register("stream_word_scores", _SCORES)
+register("word_scores_files", _SCORES)
+register("dense_rows", """
+SELECT seq_id, row_number() OVER (ORDER BY seq_id) - 1 AS row_i
+FROM (SELECT DISTINCT 'fx_' || CAST(essay_id AS VARCHAR) AS seq_id FROM o_words)""")
+register("lost_counts", """
+SELECT 'edits' AS what, count(*) AS n FROM fx_edits
+UNION ALL SELECT 'crossing', (SELECT count(*) FROM fx_edits) - (SELECT count(*) FROM (SELECT DISTINCT essay_id, coder, edit_no FROM o_edit_para))
+UNION ALL SELECT 'paragraphs', count(*) FROM o_ptoks
+UNION ALL SELECT 'without_coder_0', count(*) FROM o_ptoks WHERE essay_id % 20 = 0""")
+register("long_essay_report", """
+SELECT 'g' || CAST(l.essay_id % 4 AS VARCHAR) AS file, l.line_no, p.max_len
+FROM (SELECT essay_id, CAST(row_number() OVER (PARTITION BY essay_id % 4 ORDER BY essay_id) - 1 AS INTEGER) AS line_no FROM fx_essays) l
+JOIN (SELECT essay_id, CAST(max(p_end - p_start) AS INTEGER) AS max_len FROM o_fp_paras
+      GROUP BY essay_id HAVING max(p_end - p_start) > 1000) p ON p.essay_id = l.essay_id""")
