@@ -9,6 +9,7 @@ from errata.constants import CEFR_J_POS_MAP, CEFR_LEVELS, PSY_POS_MAP
 from errata.functions.text import strip_ascii_punct
 from errata.operators.lookup import lookup_join, two_step_lookup
 from errata.operators.tagging import tag_tokens
+from errata.session import materialise
 
 SEP_RE = r"\|\|\|"
 
@@ -103,23 +104,45 @@ FEATURE_COLUMNS = ["character_length", "frequency", "first_upper", "all_upper",
                    "label", "row_i", "feature_i"]
 
 
-def featurise(seqs: DataFrame, tag_lexicon: DataFrame, psy: DataFrame, cefr_j: DataFrame,
-              zipf: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
-    """The 19-column token feature rows (unsorted; sort with O2), and the
-    columns ``keep`` (lemma, stripped). The four lookup tables are written and
-    unique on their keys."""
-    rows = token_rows(seqs)
+def with_word_features(rows: DataFrame, tag_lexicon: DataFrame, psy: DataFrame, cefr_j: DataFrame,
+                       zipf: DataFrame) -> DataFrame:
+    """What follows from ``token`` alone. The four lookup
+    tables are written and unique on their keys."""
     rows = tag_tokens(rows, "token", tag_lexicon)
     rows = rows.select("*", *token_scalar_features(F.col("token")))
     z = zipf.select(F.col("word").alias("_zw"), F.col("zipf").alias("_zipf"))
     rows = lookup_join(rows, z, [(F.lower(F.col("stripped")), "_zw")])
-    rows = rows.withColumn("frequency", F.coalesce(F.col("_zipf"), F.lit(0.0)))
+    rows = rows.withColumn("frequency", F.coalesce(F.col("_zipf"), F.lit(0.0))).drop("_zw", "_zipf")
     rows = two_step_lookup(rows, psy, [F.col("token"), F.col("pos")],
                            [F.col("lemma"), F.col("pos")], ["word", "pos"],
                            ["freq_pm", "aoa"], "_psy")
     rows = two_step_lookup(rows, cefr_j, [F.col("token"), F.col("pos")],
                            [F.col("lemma"), F.col("pos")], ["word", "pos"],
                            ["cefr_j"], "_cj")
+    return rows
+
+
+def word_dictionary(rows: DataFrame, *tables: DataFrame) -> DataFrame:
+    """Every distinct token of ``rows`` with its word features, written: the
+    lexicons are looked up once for each word, not for each of its places."""
+    return materialise(with_word_features(rows.select("token").distinct(), *tables), "word-dictionary")
+
+
+def featurise(seqs: DataFrame, tag_lexicon: DataFrame, psy: DataFrame, cefr_j: DataFrame,
+              zipf: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
+    """The 19-column token feature rows (unsorted; sort with O2), and the
+    columns ``keep`` (lemma, stripped).
+
+    A token row meets its word's row of the dictionary in one join; ``seqs`` is
+    read twice. A stream has no distinct words, so its rows are looked up as
+    they come.
+    """
+    rows = token_rows(seqs)
+    if seqs.isStreaming:
+        rows = with_word_features(rows, tag_lexicon, psy, cefr_j, zipf)
+    else:
+        words = word_dictionary(rows, tag_lexicon, psy, cefr_j, zipf).withColumnRenamed("token", "_word")
+        rows = lookup_join(rows, words, [(F.col("token"), "_word")])
     return rows.select(
         "character_length", "frequency", "first_upper", "all_upper",
         "sequence_length", F.col("seq_id").alias("sequence_id"), "token", "pos", "cefr",

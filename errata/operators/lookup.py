@@ -25,15 +25,17 @@ def measured_bytes(table: DataFrame) -> int:
     return table.agg(F.coalesce(F.sum(row.cast("long")), F.lit(0))).first()[0]
 
 
-def _fits(table: DataFrame) -> bool:
+def fits(table: DataFrame) -> bool:
+    """Whether a written table is small enough to be broadcast; counts it."""
     limit = table.sparkSession.conf.get("errata.broadcast.maxBytes", None)
     return measured_bytes(table) <= (int(limit) if limit else MAX_BROADCAST)
 
 
-def lookup_join(df: DataFrame, table: DataFrame, on: list[tuple[Column, str]]) -> DataFrame:
-    """Left join of ``df`` to the written ``table`` on pairs (expression, key column)."""
+def lookup_join(df: DataFrame, table: DataFrame, on: list[tuple[Column, str]], small: bool | None = None) -> DataFrame:
+    """Left join of ``df`` to the written ``table`` on pairs (expression, key
+    column). ``small``: whether it fits a broadcast, if that is known."""
     cond = [e == table[k] for e, k in on]
-    if _fits(table):
+    if fits(table) if small is None else small:
         return df.join(F.broadcast(table), cond, "left")
     salted = table.withColumn("_ts", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
     spread = df.withColumn("_ds", F.pmod(F.xxhash64(*df.columns), F.lit(SALTS)).cast("int"))
@@ -50,10 +52,10 @@ def two_step_lookup(df: DataFrame, table: DataFrame, first: list, second: list,
     ``table_keys``.
     """
     t = table.select(*table_keys, *values, F.lit(True).alias("_hit"))
-    out, found = df, {}
+    out, found, small = df, {}, fits(t)
     for side, keys in (("a", first), ("b", second)):
         named = t.select(*[F.col(c).alias(f"{prefix}_{side}_{c}") for c in t.columns])
-        out = lookup_join(out, named, [(e, f"{prefix}_{side}_{k}") for e, k in zip(keys, table_keys)])
+        out = lookup_join(out, named, [(e, f"{prefix}_{side}_{k}") for e, k in zip(keys, table_keys)], small)
         found[side] = named.columns
     hit = F.col(f"{prefix}_a__hit").isNotNull()
     for v in values:

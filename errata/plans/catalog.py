@@ -31,8 +31,9 @@ def _lexicon(spark, sf_dir):
     return unique_words(fx.fx_lexicon(spark, sf_dir))
 
 
-def _featurised(spark, sf_dir, seqs, keep=(), tables=None):
-    return ft.featurise(seqs, *(tables or _lookups(spark, sf_dir)), keep=keep)
+def _sequences(spark, sf_dir, lexicon):
+    """The labelled sequences, written: features read them twice."""
+    return materialise(ws.labelled_sequences(spark, sf_dir, lexicon), "sequences")
 
 
 def _lookups(spark, sf_dir):
@@ -47,14 +48,13 @@ def _lookups(spark, sf_dir):
 def _features(spark, sf_dir):
     """Feature rows, with lemma and stripped token for the narrow keys."""
     tables = _lookups(spark, sf_dir)
-    seqs = ws.labelled_sequences(spark, sf_dir, tables[0])
-    return _featurised(spark, sf_dir, seqs, ("lemma", "stripped"), tables)
+    return ft.featurise(_sequences(spark, sf_dir, tables[0]), *tables, keep=("lemma", "stripped"))
 
 
 @query("features")
 def q_features(spark, sf_dir):
     tables = _lookups(spark, sf_dir)
-    return ft.sort_features(_featurised(spark, sf_dir, ws.labelled_sequences(spark, sf_dir, tables[0]), (), tables))
+    return ft.sort_features(ft.featurise(_sequences(spark, sf_dir, tables[0]), *tables))
 
 
 @query("feat_token")
