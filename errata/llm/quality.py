@@ -4,7 +4,10 @@ Base counts come from the words ``[^\x20\x09-\x0D]+`` of the whole text. Two
 rules are fixed: a text of fewer than ``MIN_WORDS`` words, or one where more
 than half of the words lie in repeated 3-word windows, fails. All other cutoffs
 adapt: every (lang, source) group has a quantile sketch per feature, and a
-text is rejected when a feature lies far outside the range usual in its group.
+text is rejected when a feature lies far above an upper quantile of its group,
+measured by the distance between two of the group's quantiles. A group's sketch
+is blended with the sketch of all documents, which counts as ``PRIOR`` documents:
+a small group goes by the whole corpus, and the larger it is the less it does.
 
 The sketch is a log-linear histogram: whole numbers below ``2**(SKETCH_BITS+1)``
 have a bucket each, larger ones keep their ``SKETCH_BITS + 1`` leading bits, so
@@ -30,22 +33,23 @@ from errata.llm.common import SPACE, read_table, with_default, written
 MIN_WORDS = 50
 MAX_REPEAT_PERCENT = 50
 SKETCH_BITS = 5
-#: Documents a (lang, source) group needs for thresholds of its own; smaller
-#: ones use those of all documents.
-MIN_GROUP = 50
+#: Documents that the sketch of all documents counts for in each group's.
+PRIOR = 50
 #: Copies of a group's thresholds, over which a hot group's documents spread
 #: when the table is too large to broadcast.
 SALTS = 16
-#: feature -> (expression, spreads allowed from the median, least spread, low
-#: side too). Features are whole numbers per 10,000, so that no result depends
-#: on rounding. A spread is the distance of the quartile on the *other* side
-#: from the median: it stays put until half of a group is junk.
+#: feature -> (expression, upper and lower quantile, spreads allowed beyond
+#: them, least spread, low side too). Features are whole numbers per 10,000, so
+#: that no result depends on rounding. A spread is the distance of the two
+#: quantiles. Quartiles stay put until a quarter of a group is junk; repetition
+#: is usual in some good texts, and its limits go by the hundredth beyond which it is rare.
 RULES = {
-    "symbols": ("10000 * n_symbols DIV n_words", 8, 50, False),
-    "dup_lines": ("10000 * n_dup_lines DIV n_lines", 8, 500, False),
-    "repeats": ("10000 * n_repeat_words DIV n_words", 8, 600, False),
-    "word_len": ("10000 * word_chars DIV n_words", 8, 2500, True),
+    "symbols": ("10000 * n_symbols DIV n_words", 75, 25, 4, 10, False),
+    "dup_lines": ("10000 * n_dup_lines DIV n_lines", 99, 50, 1, 250, False),
+    "repeats": ("10000 * n_repeat_words DIV n_words", 99, 50, 1, 100, False),
+    "word_len": ("10000 * word_chars DIV n_words", 75, 25, 4, 1024, True),
 }
+QUANTILES = sorted({x for _, upper, lower, *_ in RULES.values() for x in (upper, lower)})
 COUNTS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
 GROUP = ["lang", "source"]
 
@@ -103,44 +107,38 @@ def sketches(counts: DataFrame) -> DataFrame:
     return each.groupBy(*GROUP, "feature", low.alias("low")).agg(F.count("*").alias("n"))
 
 
-def _quartiles(sketch: DataFrame, keys: list[str]) -> DataFrame:
-    by = W.partitionBy(*keys)
-    cum = sketch.select(*keys, "low", F.sum("n").over(by.orderBy("low")).alias("cum"),
-                        F.sum("n").over(by).alias("total"))
-    return cum.groupBy(*keys).agg(
-        F.max("total").alias("total"),
-        *[F.min(F.when(F.col("cum") * 100 >= F.col("total") * q, F.col("low"))).alias(f"q{q}")
-          for q in (25, 50, 75)])
+def blended(sketch: DataFrame) -> DataFrame:
+    """(lang, source, feature, low, n): every group's sketch with that of all
+    documents, as exact whole weights: a group's document weighs as many as
+    there are documents, those of the others ``PRIOR`` together."""
+    overall = sketch.groupBy("feature", "low").agg(F.sum("n").alias("n"))  # a few hundred buckets a feature
+    totals = overall.groupBy("feature").agg(F.sum("n").alias("t"))
+    wide = lambda c: F.col(c).cast("decimal(19,0)")
+    own = sketch.join(F.broadcast(totals), "feature").select(*GROUP, "feature", "low", (wide("n") * wide("t")).alias("n"))
+    groups = sketch.select(*GROUP, "feature").distinct()
+    whole = groups.join(F.broadcast(overall), "feature").select(*GROUP, "feature", "low", (F.lit(PRIOR).cast("decimal(19,0)") * wide("n")).alias("n"))
+    return own.union(whole).groupBy(*GROUP, "feature", "low").agg(F.sum("n").cast("decimal(36,0)").alias("n"))
 
 
-def _limits(quartiles: DataFrame) -> DataFrame:
-    """Columns ``lo`` and ``hi`` beside the quartiles."""
-    lo = hi = F.lit(None).cast("long")
-    for f, (_, k, least, low_side) in RULES.items():
-        here = F.col("feature") == f
-        hi = F.when(here, F.col("q50") + k * F.greatest(F.col("q50") - F.col("q25"), F.lit(least))).otherwise(hi)
-        if low_side:
-            lo = F.when(here, F.col("q50") - k * F.greatest(F.col("q75") - F.col("q50"), F.lit(least))).otherwise(lo)
-    return quartiles.withColumns({"lo": lo, "hi": hi})
+def quantiles(sketch: DataFrame, keys: list[str]) -> DataFrame:
+    """One row per key with the quantiles ``q<percent>`` of its sketch."""
+    by = W.partitionBy(*keys)
+    cum = sketch.select(*keys, "low", F.sum("n").over(by.orderBy("low")).cast("decimal(36,0)").alias("cum"),
+                        F.sum("n").over(by).cast("decimal(36,0)").alias("total"))
+    return cum.groupBy(*keys).agg(
+        *[F.min(F.when(F.col("cum") * 100 >= F.col("total") * q, F.col("low"))).alias(f"q{q}") for q in QUANTILES])
 
 
 def thresholds(sketch: DataFrame) -> DataFrame:
-    """One row per (lang, source): ``lo_<feature>`` and ``hi_<feature>``.
-
-    The limits over all documents, one row per feature, stand in for groups
-    of under ``MIN_GROUP`` documents; these four rows pass the driver.
-    """
-    merged = sketch.groupBy("feature", "low").agg(F.sum("n").alias("n"))
-    overall = {r.feature: r for r in _limits(_quartiles(merged, ["feature"])).collect()}
-    own = _limits(_quartiles(sketch, [*GROUP, "feature"]))
-    small = F.col("total") < MIN_GROUP
+    """One row per (lang, source): ``lo_<feature>`` and ``hi_<feature>``."""
+    found = quantiles(blended(sketch), [*GROUP, "feature"])
     aggs = []
-    for f in RULES:
-        for side in ("lo", "hi"):
-            v = getattr(overall[f], side) if f in overall else None
-            limit = F.when(small, F.lit(v).cast("long")).otherwise(F.col(side))
-            aggs.append(F.max(F.when(F.col("feature") == f, limit)).alias(f"{side}_{f}"))
-    return own.groupBy(*GROUP).agg(*aggs)
+    for f, (_, upper, lower, k, least, low_side) in RULES.items():
+        spread = F.greatest(F.col(f"q{upper}") - F.col(f"q{lower}"), F.lit(least))
+        here = F.col("feature") == f
+        aggs.append(F.max(F.when(here, F.col(f"q{upper}") + k * spread)).alias(f"hi_{f}"))
+        aggs.append(F.max(F.when(here, F.col(f"q{lower}") - k * spread if low_side else F.lit(-1))).cast("long").alias(f"lo_{f}"))
+    return found.groupBy(*GROUP).agg(*aggs)
 
 
 def judged(docs: DataFrame, carry: list[str]) -> DataFrame:
@@ -161,7 +159,7 @@ def judged(docs: DataFrame, carry: list[str]) -> DataFrame:
     on += [F.col(f"row.{g}").eqNullSafe(F.col(f"lim.{g}")) for g in GROUP]
     usual = F.lit(True)
     for f, (e, *_) in RULES.items():
-        usual &= F.expr(f"coalesce({e} BETWEEN coalesce(lim.lo_{f}, -1) AND lim.hi_{f}, false)")
+        usual &= F.expr(f"coalesce({e} BETWEEN lim.lo_{f} AND lim.hi_{f}, false)")
     kept = F.when(F.col("base_failed"), False).otherwise(usual)
     return salted.join(table, on, "left").select("row", *COUNTS, "base_failed", kept.alias("kept"))
 
@@ -185,13 +183,12 @@ def _oracle() -> str:
     each = " UNION ALL ".join(
         f"SELECT lang, source, '{f}' AS feature, {e} AS v FROM c WHERE NOT base_failed" for f, e in feats.items())
     lims = []
-    for f, (_, k, least, low_side) in RULES.items():
-        hi = f"q50 + {k} * greatest(q50 - q25, {least})"
-        lo = f"q50 - {k} * greatest(q75 - q50, {least})" if low_side else "-1"
-        lims.append((f"WHEN '{f}' THEN {lo}", f"WHEN '{f}' THEN {hi}"))
+    for f, (_, upper, lower, k, least, low_side) in RULES.items():
+        spread = f"{k} * greatest(q{upper} - q{lower}, {least})"
+        lims.append((f"WHEN '{f}' THEN " + (f"q{lower} - {spread}" if low_side else "-1"), f"WHEN '{f}' THEN q{upper} + {spread}"))
     lo = "CASE feature " + " ".join(a for a, _ in lims) + " END"
     hi = "CASE feature " + " ".join(b for _, b in lims) + " END"
-    qs = ", ".join(f"min(low) FILTER (cum * 100 >= total * {q}) AS q{q}" for q in (25, 50, 75))
+    qs = ", ".join(f"min(low) FILTER (cum * 100 >= total * {q}) AS q{q}" for q in QUANTILES)
     return rf"""
 WITH d AS (SELECT doc_id, lang, source, coalesce(text, '') AS t FROM documents),
 w AS (SELECT *, list_filter(string_split_regex(t, '[ 	-
@@ -212,13 +209,14 @@ c AS (SELECT * EXCLUDE wc, coalesce(wc, 0) AS word_chars,
 e AS ({each}),
 s AS (SELECT lang, source, feature, (v >> greatest(0, length(bin(v)) - {SKETCH_BITS + 1})) << greatest(0, length(bin(v)) - {SKETCH_BITS + 1}) AS low,
         count(*) AS n FROM e GROUP BY ALL),
-q AS (SELECT lang, source, feature, max(total) AS total, {qs} FROM (SELECT *, sum(n) OVER (PARTITION BY lang, source, feature ORDER BY low) AS cum,
-        sum(n) OVER (PARTITION BY lang, source, feature) AS total FROM s) GROUP BY ALL),
 sa AS (SELECT feature, low, sum(n) AS n FROM s GROUP BY ALL),
-qa AS (SELECT feature, {qs} FROM (SELECT *, sum(n) OVER (PARTITION BY feature ORDER BY low) AS cum,
-        sum(n) OVER (PARTITION BY feature) AS total FROM sa) GROUP BY ALL),
-lim AS (SELECT q.lang, q.source, feature, CASE WHEN total < {MIN_GROUP} THEN a.lo ELSE q.lo END AS lo, CASE WHEN total < {MIN_GROUP} THEN a.hi ELSE q.hi END AS hi
-  FROM (SELECT *, {lo} AS lo, {hi} AS hi FROM q) q JOIN (SELECT feature, {lo} AS lo, {hi} AS hi FROM qa) a USING (feature)),
+ta AS (SELECT feature, sum(n) AS t FROM sa GROUP BY ALL),
+m AS (SELECT lang, source, feature, low, sum(n) AS n FROM (
+  SELECT lang, source, feature, low, n::HUGEINT * t AS n FROM s JOIN ta USING (feature) UNION ALL
+  SELECT lang, source, feature, low, {PRIOR}::HUGEINT * n FROM (SELECT DISTINCT lang, source, feature FROM s) g JOIN sa USING (feature)) GROUP BY ALL),
+q AS (SELECT lang, source, feature, {qs} FROM (SELECT *, sum(n) OVER (PARTITION BY lang, source, feature ORDER BY low) AS cum,
+        sum(n) OVER (PARTITION BY lang, source, feature) AS total FROM m) GROUP BY ALL),
+lim AS (SELECT *, {lo} AS lo, {hi} AS hi FROM q),
 bad AS (SELECT DISTINCT doc_id FROM (
   SELECT doc_id, lang, source, feature, v FROM ({each.replace("SELECT lang", "SELECT doc_id, lang")})) x
   JOIN lim USING (feature) WHERE x.lang IS NOT DISTINCT FROM lim.lang AND x.source IS NOT DISTINCT FROM lim.source AND NOT v BETWEEN lo AND hi)

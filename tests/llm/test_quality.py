@@ -4,6 +4,7 @@ import re
 from collections import Counter
 
 from errata.llm import quality as q
+from errata.llm.common import written
 
 SF = "/root/testdata/sf0.001"
 
@@ -30,19 +31,29 @@ def verdicts(rows):
     feats = [None if f else {"symbols": 10000 * c[2] // c[0], "dup_lines": 10000 * c[3] // c[5], "repeats": 10000 * c[4] // c[0],
                              "word_len": 10000 * c[1] // c[0]} for c, f in zip(base, failed)]
 
+    good = [i for i, f in enumerate(failed) if not f]
+
     def limits(members):
         out = {}
-        for f, (_, k, least, low) in q.RULES.items():
-            v = sorted(bucket(feats[i][f]) for i in members)
-            q25, q50, q75 = (next(x for n, x in enumerate(v, 1) if n * 100 >= len(v) * p) for p in (25, 50, 75))
-            out[f] = (q50 - k * max(q75 - q50, least) if low else -1, q50 + k * max(q50 - q25, least))
+        for f, (_, upper, lower, k, least, low) in q.RULES.items():
+            weight = Counter()
+            for i in members:
+                weight[bucket(feats[i][f])] += len(good)
+            for i in good:
+                weight[bucket(feats[i][f])] += q.PRIOR
+            total, at, cum = sum(weight.values()), {}, 0
+            for v in sorted(weight):
+                cum += weight[v]
+                for p in (lower, upper):
+                    if cum * 100 >= total * p:
+                        at.setdefault(p, v)
+            spread = k * max(at[upper] - at[lower], least)
+            out[f] = (at[lower] - spread if low else -1, at[upper] + spread)
         return out
-    good = [i for i, f in enumerate(failed) if not f]
-    overall = limits(good) if good else {}
     groups = {}
     for i in good:
         groups.setdefault(rows[i][:2], []).append(i)
-    own = {g: overall if len(m) < q.MIN_GROUP else limits(m) for g, m in groups.items()}
+    own = {g: limits(m) for g, m in groups.items()}
     return [not f and all(lo <= feats[i][x] <= hi for x, (lo, hi) in own[rows[i][:2]].items()) for i, f in enumerate(failed)]
 
 
@@ -69,6 +80,50 @@ def test_groups_adapt_and_edge_rows(spark):
     assert q.quality_filter(df).count() == sum(want)
 
 
+def _limits(spark, rows):
+    df = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "doc_id long, lang string, source string, text string")
+    sketch = written(q.sketches(q.base_counts(df, ["doc_id", *q.GROUP])), "test-sketch")
+    return {r.source: r.asDict() for r in q.thresholds(sketch).collect()}
+
+
+def test_limits_follow_the_upper_tail(spark):
+    """Two groups alike but for their tail have different limits, and a limit moves with its tail."""
+    plain = [" ".join(f"word{(i * j) % 997}" for i in range(1, 80 + j)) for j in range(1, 201)]
+    tail = [" ".join(f"word{i}&" if i % 3 else f"word{i}" for i in range(80 + j)) for j in range(40)]
+    lines = ["\n".join(" ".join(f"w{j}x{i}y{k}" for i in range(9)) for k in [*range(12), *range(3)]) for j in range(12)]
+    rows = [("en", "a", t) for t in plain] + [("en", "b", t) for t in plain[:150] + tail + lines] + [("en", "b", plain[3])] * 3
+    one = _limits(spark, rows)
+    assert one["b"]["hi_dup_lines"] > one["a"]["hi_dup_lines"]
+    more = _limits(spark, rows + [("en", "a", t) for t in tail * 3])
+    assert more["a"]["hi_symbols"] > one["a"]["hi_symbols"]
+
+
+def test_limits_differ_in_the_given_table(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    table = q.thresholds(written(q.sketches(q.base_counts(docs, ["doc_id", *q.GROUP])), "test-sketch")).collect()
+    for f in ("dup_lines", "repeats", "word_len"):
+        assert len({r[f"hi_{f}"] for r in table}) > 3
+
+
+def test_every_rule_rejects(spark):
+    plain = [" ".join(f"word{(i * j) % 997}" for i in range(1, 80 + j)) for j in range(1, 301)]
+    bad = {"symbols": " ".join(f"word{i}&%" for i in range(80)), "word_len": " ".join("x" * 40 + str(i) for i in range(80)),
+           "dup_lines": "\n".join([f"this line is number {i} of the text here" for i in range(12)] + ["!"] * 12),
+           "repeats": " ".join([f"some w{i}" for i in range(40)] + ["one two three four five six seven"] * 4)}
+    rows = [("en", "s", t) for t in [*plain, *bad.values()]]
+    df = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "doc_id long, lang string, source string, text string")
+    got = {r.row.doc_id: r.kept for r in q.judged(df, df.columns).collect()}
+    assert all(got[i] for i in range(300)) and not any(got[300 + i] for i in range(4))
+    assert [got[i] for i in range(304)] == verdicts(rows)
+
+
+def test_very_long_text_and_line(spark):
+    long = " ".join(f"w{i}" for i in range(20_000))
+    rows = [("en", "s", long), ("en", "s", "\n".join(["abc d"] * 10_000)), ("en", "s", "y" * 100_000)]
+    df = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "doc_id long, lang string, source string, text string")
+    assert [r.kept for r in q.judged(df, df.columns).orderBy("row.doc_id").collect()] == verdicts(rows)
+
+
 def test_repeated_rows_and_empty_table(spark):
     df = spark.createDataFrame([(1, "x " * 60)] * 3, "doc_id long, text string")
     assert q.quality_filter(df).count() == 0
