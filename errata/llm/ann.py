@@ -9,8 +9,9 @@ probable part. A query goes to its most probable parts, as many as hold
 
 Parts are dealt in slices by a hash of the row's id, sized from counts, so that
 a part of any size, and any number of copies of one vector, is spread over
-tasks; each slice gives the best few per query, and a last small ranking joins
-them. Queries are taken in blocks.
+tasks, and so are the queries that visit a part, in blocks by a hash of their
+id. Each slice gives the best few per query of a block, and a last small ranking
+joins them.
 
 Defined results: vectors that are null, zero, of another length than the
 commonest, or hold null or non-finite components take no part; null ids and
@@ -25,7 +26,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -38,8 +39,9 @@ PARTS = 32
 #: A query visits its most probable parts until they hold this probability.
 COVER = 0.9
 MIN_PARTS = 4
-#: Rows of a part in one task, about, and queries ranked there at a time.
+#: Rows and queries of a part in one task, about, and queries ranked there at a time.
 SLICE_ROWS = 20_000
+SLICE_QUERIES = 20_000
 QUERY_BLOCK = 256
 QUERY_STEP = 50
 TOP = 5
@@ -201,8 +203,14 @@ def routed(queries: DataFrame, router: Router, cover: float = COVER) -> DataFram
     return queries.mapInPandas(choose, "query_id long, q array<double>, part int")
 
 
+def _near_one(x: np.ndarray) -> np.ndarray:
+    """Rows times a power of two, so that no square over- or underflows; no digit changes."""
+    return np.ldexp(x, -np.frexp(np.abs(x).max(axis=-1, keepdims=True))[1])
+
+
 def _cosines(x: np.ndarray, q: np.ndarray) -> np.ndarray:
     """Cosine of ``q`` with every row; equal rows give equal numbers."""
+    x, q = _near_one(x), _near_one(q)
     return (x * q).sum(axis=1) / (np.sqrt((x * x).sum(axis=1)) * np.sqrt((q * q).sum()))
 
 
@@ -229,13 +237,19 @@ def rank_slice(ids: np.ndarray, x: np.ndarray, query_ids: np.ndarray, q: np.ndar
 
 def search(index: DataFrame, visits: DataFrame, top: int = TOP) -> DataFrame:
     """(query_id, rank, vec_id, score): rows of the visited parts, nearest first."""
-    sizes = index.groupBy("part").agg(F.count("*").alias("n")).collect()  # one row a part
-    slices = {r.part: -(-r.n // SLICE_ROWS) for r in sizes}
-    many = F.create_map(*[F.lit(x) for p, s in slices.items() for x in (p, s)]) if slices else F.create_map(F.lit(0), F.lit(1))
-    count = F.coalesce(many[F.col("part")], F.lit(0))
-    rows = index.withColumn("slice", F.pmod(F.xxhash64("vec_id", "v"), count).cast("int"))
-    asks = visits.withColumn("slice", F.explode(F.sequence(F.lit(1), count))).withColumn("slice", F.col("slice") - 1) \
-        .where(count > 0)
+    def pieces(df: DataFrame, rows: int) -> Column:
+        """In how many pieces of about ``rows`` rows each part is dealt; one count a part passes the driver."""
+        counts = {r.part: -(-r.n // rows) for r in df.groupBy("part").agg(F.count("*").alias("n")).collect()}
+        found = F.create_map(*[F.lit(x) for p, n in (counts or {-1: 0}).items() for x in (p, n)])
+        return F.coalesce(found[F.col("part")], F.lit(0))
+
+    visits = written(visits, "ann-visits")
+    slices, blocks = pieces(index, SLICE_ROWS), pieces(visits, SLICE_QUERIES)
+    # Every slice of rows meets every block of queries.
+    each = lambda n, name: F.explode(F.when(n > 0, F.sequence(F.lit(1), n))).alias(name)
+    rows = (index.select("*", F.pmod(F.xxhash64("vec_id", "v"), slices).cast("int").alias("slice"), each(blocks, "block")))
+    asks = visits.select("*", (F.pmod(F.xxhash64("query_id"), blocks).cast("int") + 1).alias("block"), each(slices, "slice1"))
+    asks = asks.withColumn("slice", F.col("slice1") - 1).drop("slice1")
 
     def ranked(key: tuple, x: pd.DataFrame, q: pd.DataFrame) -> pd.DataFrame:
         found = []
@@ -244,7 +258,7 @@ def search(index: DataFrame, visits: DataFrame, top: int = TOP) -> DataFrame:
                                np.array(q["q"].tolist()), top)
         return pd.DataFrame(found, columns=["query_id", "vec_id", "score"])
 
-    best = (rows.groupBy("part", "slice").cogroup(asks.groupBy("part", "slice"))
+    best = (rows.groupBy("part", "slice", "block").cogroup(asks.groupBy("part", "slice", "block"))
             .applyInPandas(ranked, "query_id long, vec_id long, score double"))
     place = F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     return best.withColumn("rank", place).where(F.col("rank") <= top).select("query_id", "rank", "vec_id", "score")

@@ -75,6 +75,7 @@ def test_exact_scores_ties_and_edge_rows(spark):
 
 def test_slices_and_large_values(spark, monkeypatch):
     monkeypatch.setattr(ann, "SLICE_ROWS", 7)
+    monkeypatch.setattr(ann, "SLICE_QUERIES", 2)
     rng = np.random.default_rng(4)
     rows = [(i, (rng.standard_normal(3) * 10.0 ** rng.integers(-100, 100)).tolist()) for i in range(60)]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
@@ -82,6 +83,15 @@ def test_slices_and_large_values(spark, monkeypatch):
     assert {q: [i for i, _ in v] for q, v in got.items()} == {q: [i for i, _ in v] for q, v in want.items()}
 
 
+def test_scores_of_extreme_values(spark):
+    """Squares of these over- or underflow; scores do not."""
+    big, small = 1e200, 1e-200
+    rows = [(0, [big, big]), (1, [1.0, 2.0]), (2, [big, 2 * big]), (3, [small, -2 * small])]
+    got = result(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), query_step=10)
+    assert [i for i, _ in got[0]] == [1, 2, 3]
+    assert np.allclose([s for _, s in got[0]], [3 / np.sqrt(10), 3 / np.sqrt(10), -1 / np.sqrt(10)], rtol=1e-14, atol=0)
+
+
 def test_few_and_no_rows(spark):
     df = spark.createDataFrame([(0, [1.0, 0.0]), (1, [0.0, 1.0])], "vec_id long, embedding array<float>")
     assert result(df) == {0: [(1, 0.0)]}
