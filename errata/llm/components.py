@@ -66,15 +66,18 @@ def live_buckets(members: DataFrame) -> DataFrame:
 def bucket_components(live: DataFrame, verify: Callable[[DataFrame], DataFrame], cheap: bool = False) -> DataFrame:
     """(node, root) over every true link between ids that share a bucket.
 
-    ``verify`` keeps the true links of candidate pairs (a, b). No bucket emits
-    all its pairs. In each round its smallest untested ids, the pivots, meet the
-    bucket's ids of other components, which settles all pairs of those pivots;
-    their number doubles from round to round. Buckets whose ids have come
-    together in one component need no more tests. Once all pairs that are left
-    are few beside the rows, or after ``ROUNDS``, they are tested, across
-    components only, and that is the end. If a test is ``cheap``, the first
-    round also tests neighbours in the bucket's order, and half the rounds do.
-    The result is exact: a pair is skipped only when it is already connected.
+    ``verify`` keeps the true links of candidate pairs (a, b). In each round
+    a bucket's smallest untested ids, the pivots, meet the bucket's ids of other
+    components, which settles all pairs of those pivots; their number doubles
+    from round to round. Buckets whose ids have come together in one component
+    need no more tests. Once the pairs that are left are few beside the rows, or
+    after ``ROUNDS``, what is left is tested at once, across components only.
+    **That last step grows with the square of what a bucket still holds**: a
+    bucket of many ids that share a band and are not alike is not split further,
+    which is what the check tool holds against op1 (README). If a test is
+    ``cheap``, the first round also tests neighbours in the bucket's order, and
+    half the rounds do. The result is exact: a pair is skipped only when it is
+    already connected.
     """
     live = written(live.withColumn("root", F.col("id")), "buckets")
     beside = live.where("prev IS NOT NULL").select(F.col("prev").alias("a"), F.col("id").alias("b"))
