@@ -505,7 +505,7 @@ def q_src_essays(spark, sf_dir):
 
 @query("src_glob")
 def q_src_glob(spark, sf_dir):
-    essays, _, _ = io.read_essays_json(spark, _essay_files(spark, sf_dir) + "/file=g[0-2]/part-*")
+    essays, _, _ = io.read_essays_json(spark, _essay_files(spark, sf_dir) + "/file=g*[0-9]/part-*")
     return essays.groupBy("file").agg(F.count(F.lit(1)).alias("n_essays"))
 
 

@@ -568,19 +568,19 @@ SELECT d.essay_id, d.para_no, CAST(d.essay_id AS VARCHAR) || '_' || CAST(d.para_
 FROM o_dataset d JOIN fx_essays e ON e.essay_id = d.essay_id""")
 
 DERIVED_CTES["o_files"] = """
-SELECT t.*, 'g' || CAST(t.essay_id % 4 AS VARCHAR) AS file,
-       CAST(row_number() OVER (PARTITION BY t.essay_id % 4 ORDER BY t.essay_id, t.para_no) - 1 AS INTEGER) AS block_no
+SELECT t.*, 'g' || CAST(t.essay_id // 256 AS VARCHAR) AS file,
+       CAST(row_number() OVER (PARTITION BY t.essay_id // 256 ORDER BY t.essay_id, t.para_no) - 1 AS INTEGER) AS block_no
 FROM o_ptoks t"""
 register("src_essays", """
-SELECT 'g' || CAST(c.essay_id % 4 AS VARCHAR) AS file, l.line_no, c.coder, e.edit_no, e.s, e.e, e.cor, e.cat
-FROM fx_coders c JOIN (SELECT essay_id, CAST(row_number() OVER (PARTITION BY essay_id % 4 ORDER BY essay_id) - 1 AS INTEGER) AS line_no
+SELECT 'g' || CAST(c.essay_id // 256 AS VARCHAR) AS file, l.line_no, c.coder, e.edit_no, e.s, e.e, e.cor, e.cat
+FROM fx_coders c JOIN (SELECT essay_id, CAST(row_number() OVER (PARTITION BY essay_id // 256 ORDER BY essay_id) - 1 AS INTEGER) AS line_no
                        FROM fx_essays) l ON l.essay_id = c.essay_id
 LEFT JOIN (SELECT essay_id, coder, row_number() OVER (PARTITION BY essay_id, coder ORDER BY edit_no) - 1 AS edit_no,
                   CAST(s AS BIGINT) AS s, CAST(e AS BIGINT) AS e, cor, cat FROM fx_edits) e
   ON e.essay_id = c.essay_id AND e.coder = c.coder""")
 register("src_glob", """
-SELECT 'g' || CAST(essay_id % 4 AS VARCHAR) AS file, count(*) AS n_essays FROM fx_essays WHERE essay_id % 4 < 3 GROUP BY 1""")
-register("snk_m2", "SELECT 'g' || CAST(essay_id % 4 AS VARCHAR) AS file, value FROM o_blocktext")
+SELECT 'g' || CAST(essay_id // 256 AS VARCHAR) AS file, count(*) AS n_essays FROM fx_essays GROUP BY 1""")
+register("snk_m2", "SELECT 'g' || CAST(essay_id // 256 AS VARCHAR) AS file, value FROM o_blocktext")
 register("src_m2", """
 SELECT f.file, f.block_no, array_to_string(f.toks, ' ') AS tokens, CAST(count(*) AS INTEGER) AS n_edits
 FROM o_files f JOIN o_alines a ON a.essay_id = f.essay_id AND a.para_no = f.para_no GROUP BY f.file, f.block_no, f.toks""")
@@ -629,7 +629,7 @@ UNION ALL SELECT 'crossing', (SELECT count(*) FROM fx_edits) - (SELECT count(*)
 UNION ALL SELECT 'paragraphs', count(*) FROM o_ptoks
 UNION ALL SELECT 'without_coder_0', count(*) FROM o_ptoks WHERE essay_id % 20 = 0""")
 register("long_essay_report", """
-SELECT 'g' || CAST(l.essay_id % 4 AS VARCHAR) AS file, l.line_no, p.max_len
-FROM (SELECT essay_id, CAST(row_number() OVER (PARTITION BY essay_id % 4 ORDER BY essay_id) - 1 AS INTEGER) AS line_no FROM fx_essays) l
+SELECT 'g' || CAST(l.essay_id // 256 AS VARCHAR) AS file, l.line_no, p.max_len
+FROM (SELECT essay_id, CAST(row_number() OVER (PARTITION BY essay_id // 256 ORDER BY essay_id) - 1 AS INTEGER) AS line_no FROM fx_essays) l
 JOIN (SELECT essay_id, CAST(max(p_end - p_start) AS INTEGER) AS max_len FROM o_fp_paras
       GROUP BY essay_id HAVING max(p_end - p_start) > 1000) p ON p.essay_id = l.essay_id""")

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from errata.session import table_path
 
+ESSAYS_A_FILE = 256
 _CEFR6 = ["A1", "A2", "B1", "B2", "C1", "C2"]
 
 
@@ -97,9 +98,10 @@ def fx_lexicon(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def fx_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Essays dealt to four named files."""
+    """Essays dealt to named files of at most ``ESSAYS_A_FILE`` each: their number grows with the table."""
     e = fx_essays(spark, sf_dir)
-    return e.withColumn("file", F.concat(F.lit("g"), (F.col("essay_id") % 4).cast("string")))
+    number = F.floor(F.col("essay_id") / ESSAYS_A_FILE).cast("bigint")
+    return e.withColumn("file", F.concat(F.lit("g"), number.cast("string")))
 
 
 def fx_psy(spark: SparkSession, sf_dir: str, lexicon: DataFrame | None = None) -> DataFrame:
