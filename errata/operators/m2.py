@@ -17,6 +17,8 @@ from errata.functions.replay import coverage, replay
 from errata.operators.tagging import tag_tokens
 
 SEP_RE = r"\|\|\|"
+#: Type of an edit line.
+A_T = "struct<start:int,end:int,cat:string,cor:array<string>,coder:string>"
 
 
 LINE_FIELDS = ["edit_no", "kind", "cat", "o_start", "o_end", "c_start", "c_end", "o_toks", "c_toks"]

@@ -130,12 +130,13 @@ def remap_sql(o: str, c: str = "") -> str:
             f"- IF({c}lead, 1, 0), 0)")
 
 
-def trim_start_sql(s: str, e: str, mask: str) -> str:
-    """A non-insertion span starting on a blank loses it; ``mask`` has the blanks by offset."""
+def trim_start_sql(s: str, e: str, mask: str = "split(clean, '')") -> str:
+    """A non-insertion span starting on a blank loses it; ``mask`` has the
+    blanks by offset (bind one for many spans of a text)."""
     return f"IF({s} <> {e} AND get({mask}, {s}) = ' ', {s} + 1, {s})"
 
 
-def trim_end_sql(s: str, e: str, mask: str) -> str:
+def trim_end_sql(s: str, e: str, mask: str = "split(clean, '')") -> str:
     """A non-insertion span ending on a blank loses it."""
     return f"IF({s} <> {e} AND {e} > 0 AND get({mask}, {e} - 1) = ' ', {e} - 1, {e})"
 
