@@ -12,7 +12,8 @@ SF = "/root/testdata/sf0.001"
 SAMPLE = ["word_scores_e2e", "features", "paragraphs", "clean_para", "tokenise", "edit_in_para",
           "drop_covered_detections", "char_to_tok", "drop_overlaps", "cor_spans", "split_rows",
           "lex_psy", "fmt_edit", "parse_edit", "minimise", "classify_edits", "noop_rows", "m2_text", "invert",
-          "label_tokens", "dataset_e2e", "dataset_files", "src_essays", "cefr_attach", "stream_features"]
+          "label_tokens", "dataset_e2e", "dataset_files", "src_essays", "cefr_attach", "stream_features",
+          "stream_word_scores", "dense_rows", "lost_counts", "long_essay_report", "split_dev", "snk_tsv", "merge_ops", "tag_tokens"]
 
 
 @pytest.fixture(scope="module")
