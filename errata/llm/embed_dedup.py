@@ -10,12 +10,14 @@ many inside a group of near copies, so they are counted without being listed:
    of a ball link with each other. A few passes in different orders, of
    leaders only, bring the balls of a dense group together.
 3. NN-descent on the leaders: lists of the ``NEIGHBOURS`` nearest start from
-   neighbours in such orders. In each round every vector introduces the vectors
+   neighbours in such orders, and from further orders' neighbours that are near
+   enough to matter. In each round every vector introduces the vectors
    on its list, and those that list it, to each other, and lists keep the
    nearest. A reverse list of any length is dealt in groups of bounded size.
    A list whose last entry could still matter is saturated and doubles.
 4. Audit: a sample of leaders is compared with all, in blocks. While too few of
-   their true edges were found, lists grow by new orders and further rounds.
+   their true edges were found, new orders and further rounds follow (``AUDITS``
+   times at most).
 5. Balls whose leaders are near are resolved by angles: all members link, none
    do, or the members on the edge are compared. Union-find over balls gives
    components.
@@ -50,10 +52,12 @@ SIMILARITY = 0.95
 NEIGHBOURS = 8
 ORDERS = 6
 BESIDE = 2
+#: Further orders, of which only pairs that may matter enter the lists.
+SWEEPS = 18
 #: Groups of neighbours multiplied at a time.
 STACK = 512
 #: Passes that join balls, and recent leaders a vector is compared with.
-PASSES = 3
+PASSES = 6
 RECENT = 8
 #: Leaders in the audit (about, at most twice), and the share of their true edges to be found.
 SAMPLE = 256
@@ -165,8 +169,9 @@ def balls(points: DataFrame, similarity: float) -> DataFrame:
     return of
 
 
-def beside(points: DataFrame, seeds: range) -> DataFrame:
-    """(a, b, s), both ways: neighbours in the orders of ``seeds``, all orders in one shuffle."""
+def beside(points: DataFrame, seeds: range, least: float = -2.0) -> DataFrame:
+    """(a, b, s), both ways: neighbours in the orders of ``seeds`` with products
+    of ``least`` or more, all orders in one shuffle."""
     def pairs(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         tail: list[tuple] = []
         for f in frames:
@@ -174,13 +179,15 @@ def beside(points: DataFrame, seeds: range) -> DataFrame:
             for row in zip(f["seed"].tolist(), f["node"].tolist(), f["u"]):
                 for order, node, u in tail:
                     if order == row[0] and len(u) == len(row[2]):
-                        a.append(node)
-                        b.append(row[1])
-                        s.append(float(u @ row[2]))
+                        product = float(u @ row[2])
+                        if product >= least:
+                            a.append(node)
+                            b.append(row[1])
+                            s.append(product)
                 tail = [*tail[-BESIDE + 1:], row]
             yield pd.DataFrame({"a": a + b, "b": b + a, "s": s + s}).astype({"a": "int64", "b": "int64", "s": "float64"})
 
-    each = points.select("node", "u", F.explode(F.array(*[F.lit(k) for k in seeds])).alias("seed"))
+    each = points.select("node", F.col("u").cast("array<float>").alias("u"), F.explode(F.array(*[F.lit(k) for k in seeds])).alias("seed"))
     placed = each.select("seed", F.size("u").alias("dims"), signature("u", F.col("seed")).alias("sig"), "node", "u")
     placed = placed.repartitionByRange("seed", "dims", "sig", "node").sortWithinPartitions("seed", "dims", "sig", "node")
     return placed.select("seed", "node", "u").mapInPandas(pairs, "a long, b long, s double")
@@ -258,7 +265,9 @@ def near_leaders(points: DataFrame, similarity: float) -> DataFrame:
     radius = points.select(F.col("node").alias("b"), F.col("radius").alias("rb"))
     own = points.select(F.col("node").alias("a"), F.col("radius").alias("ra"))
     matters = f"acos(least(1D, s)) <= {theta + 2 * MARGIN} + ra + rb"
-    lists = written(nearest_lists(beside(points, range(ORDERS)).withColumn("fresh", F.lit(True)), sizes), "descent-lists")
+    floor = float(np.cos(min(2 * theta, np.pi))) - 1e-3  # below it not even two balls of the largest radius link
+    first = beside(points, range(ORDERS)).union(beside(points, range(ORDERS, ORDERS + SWEEPS), floor))
+    lists = written(nearest_lists(first.withColumn("fresh", F.lit(True)), sizes), "descent-lists")
     sampled = F.pmod(F.xxhash64("node"), F.lit(1 << 20)) < int(max(1, min(1, SAMPLE / max(1, count)) * (1 << 20)))
     asked = points.where(sampled).select("node", "u", "radius").collect()
     truth = written(true_edges(points, asked, theta), "descent-truth")
@@ -280,11 +289,13 @@ def near_leaders(points: DataFrame, similarity: float) -> DataFrame:
         enough = missed <= (1 - RECALL) * truth.count()
         if enough and not saturated:
             break
-        lists = lists.withColumn("fresh", F.col("fresh") | F.lit(saturated))
-        if not enough:  # new orders and longer lists for all
-            sizes = written(sizes.select("a", (F.col("k") + NEIGHBOURS).alias("k")), "descent-sizes")
-            more = beside(points, range((audit + 1) * ORDERS, (audit + 2) * ORDERS)).withColumn("fresh", F.lit(True))
-            lists = lists.unionByName(more)
+        if saturated:  # the longer lists are filled by the vectors around them, which have met before
+            around = grown.select("a", F.lit(True).alias("more")).union(
+                lists.join(grown.select("a"), "a").select(F.col("b").alias("a"), F.lit(True).alias("more"))).distinct()
+            lists = lists.join(around, "a", "left").select("a", "b", "s", (F.col("fresh") | F.coalesce("more", F.lit(False))).alias("fresh"))
+        if not enough:
+            seeds = range(ORDERS + (audit + 1) * SWEEPS, ORDERS + (audit + 2) * SWEEPS)
+            lists = lists.unionByName(beside(points, seeds, floor).withColumn("fresh", F.lit(True)))
         lists = written(nearest_lists(lists, sizes), "descent-lists")
     pairs = (lists.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "s").union(truth.select("a", "b", "s"))
              .groupBy("a", "b").agg(F.max("s").alias("s")))
