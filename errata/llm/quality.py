@@ -45,9 +45,9 @@ SALTS = 16
 #: is usual in some good texts, and its limits go by the hundredth beyond which it is rare.
 RULES = {
     "symbols": ("10000 * n_symbols DIV n_words", 75, 25, 4, 10, False),
-    "dup_lines": ("10000 * n_dup_lines DIV n_lines", 99, 50, 1, 250, False),
-    "repeats": ("10000 * n_repeat_words DIV n_words", 99, 50, 1, 100, False),
-    "word_len": ("10000 * word_chars DIV n_words", 75, 25, 4, 1024, True),
+    "dup_lines": ("10000 * n_dup_lines DIV n_lines", 99, 50, 2, 250, False),
+    "repeats": ("10000 * n_repeat_words DIV n_words", 99, 50, 2, 100, False),
+    "word_len": ("10000 * word_chars DIV n_words", 75, 25, 6, 1024, True),
 }
 QUANTILES = sorted({x for _, upper, lower, *_ in RULES.values() for x in (upper, lower)})
 COUNTS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
