@@ -106,13 +106,15 @@ def test_limits_differ_in_the_given_table(spark):
 
 
 def test_every_rule_rejects(spark):
-    plain = [" ".join(f"word{(i * j) % 997}" for i in range(1, 80 + j)) for j in range(1, 301)]
+    plain = [" ".join(f"word{(i * j) % 997}" for i in range(1, 80 + j)) for j in range(2, 302)]
     bad = {"symbols": " ".join(f"word{i}&%" for i in range(80)), "word_len": " ".join("x" * 40 + str(i) for i in range(80)),
-           "dup_lines": "\n".join([f"this line is number {i} of the text here" for i in range(12)] + ["!"] * 12),
+           "dup_lines": "\n".join(f"alpha{i} beta{i} gamma{i} delta{i}\n!" for i in range(12)),
            "repeats": " ".join([f"some w{i}" for i in range(40)] + ["one two three four five six seven"] * 4)}
     rows = [("en", "s", t) for t in [*plain, *bad.values()]]
     df = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "doc_id long, lang string, source string, text string")
-    got = {r.row.doc_id: r.kept for r in q.judged(df, df.columns).collect()}
+    found = q.judged(df, df.columns).collect()
+    assert not any(r.base_failed for r in found)
+    got = {r.row.doc_id: r.kept for r in found}
     assert all(got[i] for i in range(300)) and not any(got[300 + i] for i in range(4))
     assert [got[i] for i in range(304)] == verdicts(rows)
 
