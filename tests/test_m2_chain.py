@@ -162,3 +162,32 @@ def test_lookup_without_broadcast_spreads_a_frequent_word(spark):
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
         spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
     assert max(sizes) <= 0.6 * sum(sizes)
+
+
+def test_lookup_copies_frequent_words_only(spark):
+    """Beyond the broadcast limit the table has one row a word, but for the frequent words; 50,000 words are beyond it."""
+    from errata.operators import lookup
+    lex = unique_words(spark.range(50_000).selectExpr("concat('Word', id, '-', sha2(CAST(id AS STRING), 256)) AS word", "'NOUN' AS pos", "lower(word) AS lemma"))
+    assert not lookup.fits(lex)
+    df = spark.range(20_000).selectExpr("IF(id % 10 = 0, concat('w', id), 'the') AS t")
+    spread, salted = lookup._salted(df, lex, [(F.col("t"), "word")])
+    assert salted.count() == 50_000
+    assert spread.where("t = 'the'").select("_ds").distinct().count() == 1  # equal rows go together
+    spread, salted = lookup._salted(df.withColumn("i", F.monotonically_increasing_id()), lex.union(spark.createDataFrame([("the", "DET", "the")], lex.schema)), [(F.col("t"), "word")])
+    assert salted.count() == 50_000 + lookup.SALTS
+    assert spread.where("t = 'the'").select("_ds").distinct().count() == lookup.SALTS
+
+
+def test_tag_of_words_that_differ_in_case(spark):
+    """The word itself comes first, then its lower case; a found word without a tag does not fall through."""
+    lex = unique_words(spark.createDataFrame([("It", "A", "it"), ("it", "B", "it"), ("NO", None, None), ("no", "C", "no"), (None, "D", "d")],
+                                             "word string, pos string, lemma string"))
+    df = spark.createDataFrame([("It",), ("it",), ("IT",), ("NO",), ("No",), ("zz",), (None,)], "t string")
+    want = [("It", "A", "it"), ("it", "B", "it"), ("IT", "B", "it"), ("NO", "X", "NO"), ("No", "C", "no"), ("zz", "X", "zz"), (None, "X", None)]
+    for limit in (None, "0"):
+        if limit:
+            spark.conf.set("errata.broadcast.maxBytes", limit)
+        try:
+            assert sorted(map(str, map(tuple, tag_tokens(df, "t", lex).collect()))) == sorted(map(str, want))
+        finally:
+            spark.conf.unset("errata.broadcast.maxBytes")
