@@ -23,11 +23,14 @@ EDIT_T = "array<struct<edit_no:int,s:int,e:int,kind:string,cat:string,cor:string
 
 
 def essay_paragraphs(essays: DataFrame) -> DataFrame:
-    """Cleaned, non-empty paragraphs with tokens."""
+    """Raw paragraphs."""
     ess = essays.select("essay_id", normalise_punct(F.col("text")).alias("text"))
-    p = pg.paragraph_rows(ess, ["essay_id"])
-    p = pg.with_clean(p).filter(F.col("clean") != "")
-    return pg.with_tokens(p, "clean")
+    return pg.paragraph_rows(ess, ["essay_id"])
+
+
+def paragraph_tokens(paras: DataFrame) -> DataFrame:
+    """Cleaned, non-empty paragraphs with tokens."""
+    return pg.with_tokens(pg.with_clean(paras).filter(F.col("clean") != ""), "clean")
 
 
 def paragraph_edits(essays: DataFrame, edits: DataFrame, seen: Observation | None = None) -> DataFrame:
@@ -141,11 +144,15 @@ def sentences(essays: DataFrame, edits: DataFrame, coders: DataFrame | None = No
               seen: Observation | None = None) -> DataFrame:
     """E9/E10 + token edits: essay_id, coder, para_no, orig (tokens), cor,
     tok_edits (list order), dropped edit numbers, and the paragraph text.
-    ``seen`` counts the edits that are lost at paragraph bounds."""
-    paras = essay_paragraphs(essays)
+    ``seen`` counts the edits that are lost at paragraph bounds.
+
+    Paragraphs meet their coders and edits as raw text; what is derived from
+    it, several arrays as long as the paragraph, is made after the joins.
+    """
+    paras = essay_paragraphs(essays).select("essay_id", "para_no", "p_start", "para")
     pe = paragraph_edits(essays, edits, seen)
     coders = coders if coders is not None else coders_of(edits)
-    s = paras.join(coders, "essay_id").join(pe, KEYS, "left")
+    s = paragraph_tokens(paras.join(coders, "essay_id").join(pe, KEYS, "left"))
     s = s.withColumn("edits", F.coalesce(F.col("edits"), F.expr(f"CAST(array() AS {EDIT_T})")))
     s = s.withColumn("_a", F.expr(let(ROW_BINDS, _token_edit_sql(), "r")))
     each = lambda f: f"transform(_a.e3, y -> y.k.{f})"

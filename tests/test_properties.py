@@ -155,3 +155,17 @@ def test_split_parts_exact_disjoint_complete(spark):
         dev = sum(r.split == "dev" for r in out)
         assert test == spl.test_size(n)
         assert dev == spl.test_size(n - test)
+
+
+def test_texts_are_dealt_before_they_are_split(spark, tmp_path):
+    """Words, tokens and other arrays as long as the text are made after the shuffles, which carry text only."""
+    from errata.operators.sentences import sentences
+    from errata.sources import fixtures as fx
+
+    spark.createDataFrame([(i, "A first line of some words. \n" * (i + 1), 30 * (i + 1), "web") for i in range(4)],
+                          "doc_id long, text string, n_chars long, source string").write.parquet(str(tmp_path / "documents.parquet"))
+    plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    words = plan(fx.fx_toks(spark, str(tmp_path)))
+    assert words.index("Generate") < words.index("Exchange") and words.count("Exchange hashpartitioning") == 1
+    made = plan(sentences(fx.fx_essays(spark, str(tmp_path)), fx.fx_edits(spark, str(tmp_path)), fx.fx_coders(spark, str(tmp_path))))
+    assert made.rindex("ArrowEvalPython") < made.index("Exchange")
