@@ -21,6 +21,17 @@ from errata.functions.text import STRIP_RE, TOKEN_RE
 PARA_TYPE = "array<struct<para_no:int,p_start:int,p_end:int,para:string>>"
 
 
+def line_ends_sql(lines: str) -> str:
+    """Running sums of the lines' lengths, each with its line feed: where the next line starts.
+
+    In doubling steps: after step p each element holds the sum of up to 2 ** (p + 1)
+    lengths, so the work follows the number of lines, not of code points.
+    """
+    steps = f"sequence(0, CAST(floor(log2(greatest(size({lines}), 1))) AS INT))"
+    return (f"aggregate({steps}, transform({lines}, l -> length(l) + 1), (s, p) -> IF(size(s) > shiftleft(1, p), "
+            "transform(s, (x, i) -> x + IF(i >= shiftleft(1, p), s[i - shiftleft(1, p)], 0)), s))")
+
+
 def paragraphs_sql(text: str, with_text: bool = True) -> str:
     """W2 + W1: ``text`` -> array of struct(para_no, p_start, p_end, para).
 
@@ -32,15 +43,16 @@ def paragraphs_sql(text: str, with_text: bool = True) -> str:
     non-blank line has none.
     """
     strip = sql_str(STRIP_RE)
-    kind = (f"transform(transform(v0.lines, l -> length(regexp_replace(l, {strip}, ''))), "
+    # Only a line with a blank at an end is searched for more.
+    stripped = f"IF(concat(left(l, 1), right(l, 1)) RLIKE {sql_str(PY_WS)}, regexp_replace(l, {strip}, ''), l)"
+    kind = (f"transform(transform(v0.lines, l -> length({stripped})), "
             f"x -> CASE WHEN x > {SHORT_LINE_MAX} THEN 2 WHEN x > 0 THEN 1 ELSE 0 END)")
-    nlpos = "filter(sequence(0, size(v0.nlm) - 1), i -> v0.nlm[i] = '\\n')"
     longs = "filter(sequence(0, size(v1.kind) - 1), k -> v1.kind[k] = 2)"
     kshort = "size(filter(IF(size(v2.longs) = 0, v1.kind, slice(v1.kind, 1, v2.longs[0])), x -> x = 1))"
     starts = ("CASE WHEN size(v2.longs) = 0 THEN IF(v3.kshort > 0, array(0), CAST(array() AS array<int>)) "
               f"WHEN v3.kshort <= {MAX_LEADING_SHORT} THEN concat(array(0), slice(v2.longs, 2, size(v2.longs))) "
               "ELSE concat(array(0), v2.longs) END")
-    lstart = "IF({k} = 0, 0, v1.nlpos[{k} - 1] + 1)"
+    lstart = "IF({k} = 0, 0, v1.lends[{k} - 1])"
     a, b = "v4.starts[j]", "coalesce(get(v4.starts, j + 1), size(v0.lines))"
     item = ("named_struct('para_no', j, "
             f"'p_start', {lstart.format(k=a)}, "
@@ -52,10 +64,8 @@ def paragraphs_sql(text: str, with_text: bool = True) -> str:
     e = let([("starts", starts)], body, "v4")
     e = let([("kshort", kshort)], e, "v3")
     e = let([("longs", longs)], e, "v2")
-    e = let([("kind", kind), ("nlpos", nlpos)], e, "v1")
-    return let([("lines", f"split({text}, '\\n', -1)"),
-                ("nlm", f"split(regexp_replace({text}, '[^\\n]', '.'), '')"),
-                ("n", f"length({text})")], e, "v0")
+    e = let([("kind", kind), ("lends", line_ends_sql("v0.lines"))], e, "v1")
+    return let([("lines", f"split({text}, '\\n', -1)"), ("n", f"length({text})")], e, "v0")
 
 
 def with_paragraphs(df: DataFrame, text: str = "text", out: str = "paras") -> DataFrame:
@@ -64,12 +74,10 @@ def with_paragraphs(df: DataFrame, text: str = "text", out: str = "paras") -> Da
 
 def with_line_offsets(df: DataFrame, text: str = "text", out: str = "lines") -> DataFrame:
     """Start offset and length of every line."""
-    nlpos = "filter(sequence(0, size(v0.nlm) - 1), i -> v0.nlm[i] = '\\n')"
     body = ("transform(v0.lines, (l, k) -> named_struct('line_no', k, "
-            "'l_start', IF(k = 0, 0, v1.nlpos[k - 1] + 1), 'l_len', length(l)))")
-    e = let([("nlpos", nlpos)], body, "v1")
-    e = let([("lines", f"split({text}, '\\n', -1)"),
-             ("nlm", f"split(regexp_replace({text}, '[^\\n]', '.'), '')")], e, "v0")
+            "'l_start', IF(k = 0, 0, v1.lends[k - 1]), 'l_len', length(l)))")
+    e = let([("lends", line_ends_sql("v0.lines"))], body, "v1")
+    e = let([("lines", f"split({text}, '\\n', -1)")], e, "v0")
     return df.withColumn(out, F.expr(e))
 
 

@@ -169,3 +169,32 @@ def test_texts_are_dealt_before_they_are_split(spark, tmp_path):
     assert words.index("Generate") < words.index("Exchange") and words.count("Exchange hashpartitioning") == 1
     made = plan(sentences(fx.fx_essays(spark, str(tmp_path)), fx.fx_edits(spark, str(tmp_path)), fx.fx_coders(spark, str(tmp_path))))
     assert made.rindex("ArrowEvalPython") < made.index("Exchange")
+
+
+def test_line_starts_follow_the_lines(spark):
+    """Line starts and paragraphs of texts of 1 to 70 lines, without an array over the text's code points."""
+    from errata.operators import paragraphs as pg
+
+    rnd = random.Random(5)
+    ends = ["", " ", "\t", " ", "　 "]
+    texts = [None, "", "\n", "\n\n"] + ["\n".join(rnd.choice(ends) + "wört\U0001f600 " * rnd.choice([0, 1, 4, 5, 9]) + rnd.choice(ends) for _ in range(n))
+                                        for n in list(range(1, 18)) + [31, 32, 33, 70]]
+    df = spark.createDataFrame(list(enumerate(texts)), "essay_id int, text string")
+    lines = {r.essay_id: r.lines for r in pg.with_line_offsets(df).collect()}
+    paras = {r.essay_id: r.paras for r in pg.with_paragraphs(df).collect()}
+    for i, t in enumerate(texts):
+        if t is None:
+            assert not lines[i] and not paras[i]
+            continue
+        at, want = 0, []
+        for l in t.split("\n"):
+            want.append((at, len(l)))
+            at += len(l) + 1
+        assert [(l.l_start, l.l_len) for l in lines[i]] == want
+        sizes = [len(l.strip()) for l in t.split("\n")]
+        longs = [k for k, n in enumerate(sizes) if n > 25]
+        short = sum(0 < n <= 25 for n in sizes[:longs[0] if longs else len(sizes)])
+        first = ([0] if short else []) if not longs else [0] + (longs[1:] if short <= 5 else longs)
+        assert [p.p_start for p in paras[i]] == [want[k][0] for k in first]
+        assert "".join(p.para for p in paras[i]) == (t if first else "")
+    assert "[^\\n]" not in pg.paragraphs_sql("text")
