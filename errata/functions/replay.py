@@ -14,6 +14,8 @@ import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from errata.constants import STRATEGIES
+
 #: Pieces of a block of the piece table before it is split.
 BLOCK = 128
 
@@ -268,3 +270,64 @@ def reached_before(end: str) -> Column:
         before[edges[:-1][np.diff(edges) > 0]] = 0
         return _lists(edges, pa.array(before, pa.int32()))
     return run(F.expr(end))
+
+
+def runs(flat: np.ndarray, row: np.ndarray, k: np.ndarray) -> tuple:
+    """(letters, {strategy: (first, last, columns)}): the runs of changes of each row.
+
+    ``flat`` has the operations' letters, ordered by ``row`` and place ``k``.
+    ``first`` and ``last`` bound each run within ``letters``, the changes alone;
+    ``columns`` are its row, o_start, o_end, c_start and c_end.
+    """
+    new = np.diff(row, prepend=-1) != 0
+    base = np.maximum.accumulate(np.where(new, np.arange(len(row)), 0))
+    reach = {}
+    for side, none in (("o", b"I"), ("c", b"D")):
+        steps = (flat != ord(none)).astype(np.int64)
+        total = np.cumsum(steps)
+        before = total - steps
+        reach[side] = before - before[base], total - before[base]
+    turned = np.cumsum(new | (np.diff(flat.astype(np.int64), prepend=-1) != 0))
+    live = flat != ord(b"M")
+    r, found = row[live], {}
+    for strategy, group in zip(STRATEGIES, (k, np.cumsum(~live), turned)):
+        g = group[live]
+        first = np.flatnonzero((np.diff(r, prepend=-1) != 0) | (np.diff(g, prepend=-1) != 0))
+        last = np.append(first[1:], len(r)) - 1 if len(r) else first
+        found[strategy] = first, last, [r[first], *(reach[s][j][live][(first, last)[j]] for s in "oc" for j in (0, 1))]
+    return flat[live], found
+
+
+RUN_T = "array<struct<strategy:string,o_start:bigint,o_end:bigint,c_start:bigint,c_end:bigint,ops:string>>"
+
+
+def merged_runs(ops: str) -> Column:
+    """Column: the runs of changes in a row's operations, an array of strings (see ``runs``).
+
+    Several strings are one sequence: operations with one place follow each
+    other, by their letters.
+    """
+    @F.arrow_udf(RUN_T)
+    def run(ops: pa.Array) -> pa.Array:
+        edges, copies = ops.offsets.to_numpy().astype(np.int64), [c.encode() for c in ops.flatten().to_pylist()]
+        size = np.array([len(c) for c in copies], dtype=np.int64)
+        flat = np.frombuffer(b"".join(copies), dtype=np.uint8)
+        row = np.repeat(np.repeat(np.arange(len(ops)), np.diff(edges)), size)
+        k = np.arange(len(flat)) - np.repeat(np.cumsum(size) - size, size)
+        if (np.diff(edges) > 1).any():
+            by = np.lexsort((flat, k, row))
+            flat, row, k = flat[by], row[by], k[by]
+        letters, found = runs(flat, row, k)
+        letters, columns, texts, names = pa.py_buffer(letters.tobytes()), [], [], []
+        for strategy, (first, last, values) in found.items():
+            ends = np.append(first, last[-1:] + 1).astype(np.int32) if len(first) else np.zeros(1, np.int32)
+            texts.append(pa.StringArray.from_buffers(len(first), pa.py_buffer(ends.tobytes()), letters))
+            names += [strategy] * len(first)
+            columns.append(np.array(values, dtype=np.int64))
+        row, *places = np.concatenate(columns, axis=1)
+        by = np.argsort(row, kind="stable")
+        fields = [pa.array(names, pa.string()).take(pa.array(by)), *[pa.array(p[by]) for p in places],
+                  pa.concat_arrays(texts).take(pa.array(by))]
+        made = pa.StructArray.from_arrays(fields, names=["strategy", "o_start", "o_end", "c_start", "c_end", "ops"])
+        return _lists(np.concatenate([[0], np.cumsum(np.bincount(row, minlength=len(ops)))]), made)
+    return run(F.expr(ops))

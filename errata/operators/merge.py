@@ -6,56 +6,41 @@ insertions) and the orig tokens between edits are matches ``M``. Then
   all-split  every non-match operation is an edit,
   all-merge  each run of adjacent non-matches is one edit,
   all-equal  each run of adjacent operations of the same kind is one edit.
-Runs are islands found with running sums over the operation order.
+A row's operations are one string; its runs are found in numbers, over Arrow
+batches of whole rows (see ``replay.merged_runs``), so no operation is a row.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from errata.constants import STRATEGIES
 from errata.functions.letbind import let
-from errata.functions.replay import reached_before
+from errata.functions.replay import merged_runs, reached_before
+
+KEY = ["essay_id", "coder", "para_no"]
 
 
 def edit_operations(sents: DataFrame) -> DataFrame:
-    """One row per operation: keys, k (order), op, o_inc, c_inc."""
-    key = ["essay_id", "coder", "para_no"]
+    """Keys and ``ops``: each row's operations in order, a letter each."""
     srt = ("array_sort(tok_edits, (p, q) -> CASE WHEN p.ts <> q.ts THEN IF(p.ts < q.ts, -1, 1) "
            "WHEN p.te <> q.te THEN IF(p.te < q.te, -1, 1) "
            "WHEN p.edit_no <> q.edit_no THEN IF(p.edit_no < q.edit_no, -1, 1) ELSE 0 END)")
-    edit_ops = ("concat(array_repeat('S', least(z.te - z.ts, size(z.cor_toks))), "
-                "array_repeat(IF(z.te - z.ts > size(z.cor_toks), 'D', 'I'), abs(z.te - z.ts - size(z.cor_toks))))")
+    edit_ops = ("concat(repeat('S', least(z.te - z.ts, size(z.cor_toks))), "
+                "repeat(IF(z.te - z.ts > size(z.cor_toks), 'D', 'I'), abs(z.te - z.ts - size(z.cor_toks))))")
     x = sents.withColumn("_s", F.expr(srt))
     x = x.withColumn("_before", reached_before("transform(_s, z -> z.te)"))
-    each = f"concat(array_repeat('M', greatest(z.ts - v.before[i], 0)), {edit_ops})"
-    rest = "array_repeat('M', greatest(size(orig) - greatest(coalesce(array_max(transform(_s, z -> z.te)), 0), 0), 0))"
-    ops = F.expr(f"concat({let([('s', '_s'), ('before', '_before')], f'flatten(transform(v.s, (z, i) -> {each}))')}, {rest})")
-    x = x.select(*key, F.posexplode(ops).alias("k", "op"))
-    return x.withColumn("o_inc", F.when(F.col("op") == "I", 0).otherwise(1)) \
-            .withColumn("c_inc", F.when(F.col("op") == "D", 0).otherwise(1))
+    each = f"concat(repeat('M', greatest(z.ts - v.before[i], 0)), {edit_ops})"
+    rest = "repeat('M', greatest(size(orig) - greatest(coalesce(array_max(transform(_s, z -> z.te)), 0), 0), 0))"
+    ops = F.expr(f"concat({let([('s', '_s'), ('before', '_before')], f"array_join(transform(v.s, (z, i) -> {each}), '')")}, {rest})")
+    return x.select(*KEY, ops.alias("ops"))
 
 
 def merge_ops(sents: DataFrame) -> DataFrame:
-    """Merged edits per strategy: keys, strategy, o_start, o_end, c_start, c_end, ops."""
-    key = ["essay_id", "coder", "para_no"]
-    w = Window.partitionBy(*key).orderBy("k")
-    before = w.rowsBetween(Window.unboundedPreceding, -1)
-    x = edit_operations(sents)
-    x = (x.withColumn("o_pos", F.coalesce(F.sum("o_inc").over(before), F.lit(0)))
-          .withColumn("c_pos", F.coalesce(F.sum("c_inc").over(before), F.lit(0)))
-          .withColumn("_m", F.sum(F.when(F.col("op") == "M", 1).otherwise(0))
-                      .over(w.rowsBetween(Window.unboundedPreceding, 0)))
-          .withColumn("_chg", F.sum(F.when(F.lag("op").over(w).eqNullSafe(F.col("op")), 0).otherwise(1))
-                      .over(w.rowsBetween(Window.unboundedPreceding, 0))))
-    x = x.filter(F.col("op") != "M")
-    x = x.withColumn("strategy", F.explode(F.array(*[F.lit(s) for s in STRATEGIES])))
-    g = (F.when(F.col("strategy") == "all-split", F.col("k"))
-         .when(F.col("strategy") == "all-merge", F.col("_m")).otherwise(F.col("_chg")))
-    out = x.withColumn("_g", g).groupBy(*key, "strategy", "_g").agg(
-        F.min("o_pos").alias("o_start"), F.max(F.col("o_pos") + F.col("o_inc")).alias("o_end"),
-        F.min("c_pos").alias("c_start"), F.max(F.col("c_pos") + F.col("c_inc")).alias("c_end"),
-        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("k", "op"))), lambda r: r["op"]), "")
-        .alias("ops"))
-    return out.drop("_g")
+    """Merged edits per strategy: keys, strategy, o_start, o_end, c_start, c_end, ops.
+
+    Rows that repeat a key are one sequence, their operations taken in turn.
+    """
+    rows = edit_operations(sents).groupBy(*KEY).agg(F.collect_list("ops").alias("_ops"))
+    rows = rows.withColumn("_runs", merged_runs("_ops"))
+    return rows.select(*KEY, F.inline("_runs"))

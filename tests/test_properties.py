@@ -198,3 +198,40 @@ def test_line_starts_follow_the_lines(spark):
         assert [p.p_start for p in paras[i]] == [want[k][0] for k in first]
         assert "".join(p.para for p in paras[i]) == (t if first else "")
     assert "[^\\n]" not in pg.paragraphs_sql("text")
+
+
+def test_runs_of_operations_against_a_plain_count(spark):
+    """Merged edits by strategy, of one sequence a key and of a key that two rows share; no operation is a row."""
+    from itertools import groupby
+
+    from errata.operators.merge import KEY, merge_ops
+
+    rnd, rows, want = random.Random(9), [], []
+    cases = [[(rnd.randint(0, 3), rnd.randint(0, 2), rnd.randint(0, 3)) for _ in range(rnd.randint(0, 9))] for _ in range(40)]
+    for n, steps in enumerate(cases):
+        at, edits, ops = 0, [], ""
+        for gap, gone, put in steps:
+            at += gap
+            edits.append((len(edits), at, at + gone, ["x"] * put))
+            ops += "M" * gap + "S" * min(gone, put) + ("D" if gone > put else "I") * abs(gone - put)
+            at += gone
+        rows.append((n, 0, 0, ["w"] * (at + 2), edits[::-1]))
+        o, c, places = 0, 0, []
+        for k, op in enumerate(ops + "MM"):
+            places.append((k, op, o, c))
+            o, c = o + (op != "I"), c + (op != "D")
+        m = [sum(p[1] == "M" for p in places[:k + 1]) for k in range(len(places))]
+        for name, key in (("all-split", lambda p: p[0]), ("all-merge", lambda p: m[p[0]]), ("all-equal", lambda p: (m[p[0]], p[1]))):
+            for _, run in groupby([p for p in places if p[1] != "M"], key):
+                run = list(run)
+                k, op, a, b = run[-1]
+                want.append((n, 0, 0, name, run[0][2], a + (op != "I"), run[0][3], b + (op != "D"), "".join(p[1] for p in run)))
+    t = "essay_id long, coder int, para_no int, orig array<string>, tok_edits array<struct<edit_no:int,ts:int,te:int,cor_toks:array<string>>>"
+    # Both rows of key 99 start with a deletion, then differ.
+    twice = [(99, 0, 0, ["a", "b"], [(0, 0, 1, [])]), (99, 0, 0, ["a"], [(0, 0, 1, [])])]
+    found = merge_ops(spark.createDataFrame(rows + twice, t))
+    got = [tuple(r) for r in found.select(*KEY, "strategy", "o_start", "o_end", "c_start", "c_end", "ops").collect()]
+    assert sorted(r for r in got if r[0] != 99) == sorted(want)
+    assert sorted(r[3:] for r in got if r[0] == 99) == [(s, 0, 2, 0, 0, "DD") for s in ("all-equal", "all-merge", "all-split")]
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "Window" not in plan and "posexplode" not in plan
