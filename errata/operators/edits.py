@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
+from errata.functions.letbind import let
 from errata.functions.text import normalise_punct
 from errata.operators.paragraphs import paragraphs_sql
 
@@ -41,10 +42,11 @@ def assign_paragraphs(edits: DataFrame, bounds: DataFrame, seen: Observation | N
     (``edits``, ``crossing``) in the same job.
     """
     j = edits.join(bounds, "essay_id")
-    k = "(size(filter(pstarts, x -> x <= s)) - 1)"
-    cands = (f"filter(array({k}, {k} - 1), q -> q >= 0 AND "
-             f"((q = {k} AND e <= pends[q]) OR "
-             f"(q = {k} - 1 AND s = e AND s = pstarts[q + 1] AND s = pends[q])))")
+    # The holding paragraph is bound: written out in the filter, it would be looked for at each mention.
+    held = ("filter(array(v.k, v.k - 1), q -> q >= 0 AND ((q = v.k AND v.e <= v.pends[q]) OR "
+            "(q = v.k - 1 AND v.s = v.e AND v.s = v.pstarts[q + 1] AND v.s = v.pends[q])))")
+    cands = let([("k", "size(filter(pstarts, x -> x <= s)) - 1"), ("s", "s"), ("e", "e"),
+                 ("pstarts", "pstarts"), ("pends", "pends")], held)
     j = j.withColumn("_paras", F.expr(cands))
     if seen is not None:
         j = j.observe(seen, F.count(F.lit(1)).alias("edits"), F.count_if(F.size("_paras") == 0).alias("crossing"))

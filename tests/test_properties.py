@@ -235,3 +235,20 @@ def test_runs_of_operations_against_a_plain_count(spark):
     assert sorted(r[3:] for r in got if r[0] == 99) == [(s, 0, 2, 0, 0, "DD") for s in ("all-equal", "all-merge", "all-split")]
     plan = found._jdf.queryExecution().executedPlan().toString()
     assert "Window" not in plan and "posexplode" not in plan
+
+
+def test_an_edit_looks_its_paragraph_up_once(spark):
+    """Paragraph of each edit, boundaries included, with one search of the starts in the plan's text."""
+    from errata.operators.edits import assign_paragraphs
+
+    starts, ends = [0, 10, 20], [10, 20, 30]
+    bounds = spark.createDataFrame([(1, starts, ends), (2, [], [])], "essay_id long, pstarts array<int>, pends array<int>")
+    spans = [(0, 0), (3, 5), (5, 10), (5, 12), (10, 10), (10, 11), (20, 20), (29, 30), (30, 30), (31, 33)]
+    edits = spark.createDataFrame([(1, n, s, e) for n, (s, e) in enumerate(spans)] + [(2, 99, 0, 1)],
+                                  "essay_id long, edit_no int, s long, e long")
+    out = assign_paragraphs(edits, bounds)
+    got = sorted((r.edit_no, r.para_no, r.s, r.e) for r in out.collect())
+    assert got == [(0, 0, 0, 0), (1, 0, 3, 5), (2, 0, 5, 10), (4, 0, 10, 10), (4, 1, 0, 0), (5, 1, 0, 1),
+                   (6, 1, 10, 10), (6, 2, 0, 0), (7, 2, 9, 10), (8, 2, 10, 10)]
+    plan = out._jdf.queryExecution().analyzed().toString()
+    assert plan.count("filter(pstarts") == 1
