@@ -7,9 +7,8 @@ time in proportion to its length.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
+import numpy as np
+import pyarrow as pa
 import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -160,15 +159,17 @@ def long_essays(essays: DataFrame, limit: int = LONG_PARAGRAPH_LIMIT, text: str
 _TOKEN_PATTERN = regex.sub(r"\\x\{(\w+)\}", lambda m: f"\\u{int(m[1], 16):04x}", TOKEN_RE)
 
 
-def _token_batches(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+def _tokens(texts: pa.Array) -> pa.Array:
     find = regex.compile(_TOKEN_PATTERN).finditer
-    for texts in batches:
-        rows = []
-        for t in texts:
-            found = list(find(t or ""))
-            spans = [m.span() for m in found]
-            rows.append(([m[0] for m in found], [s for s, _ in spans], [e for _, e in spans]))
-        yield pd.DataFrame(rows, columns=["toks", "starts", "ends"])
+    toks, spans, edges = [], [], [0]
+    for t in texts.to_pylist():
+        for m in find(t or ""):
+            toks.append(m[0])
+            spans.append(m.span())
+        edges.append(len(toks))
+    places, edges = np.array(spans, dtype=np.int32).reshape(-1, 2), pa.array(edges, pa.int32())
+    listed = [pa.array(toks, pa.string()), pa.array(places[:, 0].copy()), pa.array(places[:, 1].copy())]
+    return pa.StructArray.from_arrays([pa.ListArray.from_arrays(edges, v) for v in listed], names=["toks", "starts", "ends"])
 
 
 def with_tokens(df: DataFrame, text: str = "clean") -> DataFrame:
@@ -178,6 +179,7 @@ def with_tokens(df: DataFrame, text: str = "clean") -> DataFrame:
     strings but no offsets; finding those with rewrites and per-code-point
     arrays took five times as long (README, "Measured").
     """
-    spans = F.pandas_udf(_token_batches, "toks array<string>, starts array<int>, ends array<int>")
+    spans = F.arrow_udf(_tokens, "toks array<string>, starts array<int>, ends array<int>")
     df = df.withColumn("_tok", spans(F.col(text)))
-    return df.select(*[c for c in df.columns if c != "_tok"], "_tok.toks", "_tok.starts", "_tok.ends")
+    # A generator, so that the optimiser doesn't merge this call of Python into a later one's arguments.
+    return df.select(*[c for c in df.columns if c != "_tok"], F.inline(F.array("_tok")))

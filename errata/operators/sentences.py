@@ -89,11 +89,11 @@ def _token_edit_sql() -> str:
 def _kept_edits_sql() -> str:
     """Per row: the edits that stay, with their corrections."""
     strip, tok = sql_str(STRIP_RE), sql_str(TOKEN_RE)
+    # A place in a string is found by counting from its start, which costs an edit the whole text before it.
+    part = lambda a, b: f"array_join(slice(r.chars, {a} + 1, IF({b} < {a}, 0, {b} - {a})), '')"
     # E3, E4, E5
-    det_text = "substring(r.clean, y.x.s + 1, y.x.e - y.x.s)"
-    cor_text = f"coalesce(y.x.cor, {det_text})"
-    expanded = (f"regexp_replace(concat(substring(r.clean, y.k.cs + 1, y.x.s - y.k.cs), {cor_text}, "
-                f"substring(r.clean, y.x.e + 1, y.k.ce - y.x.e)), {strip}, '')")
+    cor_text = f"coalesce(y.x.cor, {part('y.x.s', 'y.x.e')})"
+    expanded = f"regexp_replace(concat({part('y.k.cs', 'y.x.s')}, {cor_text}, {part('y.x.e', 'y.k.ce')}), {strip}, '')"
     full = f"IF(y.k.xp, {expanded}, {cor_text})"
     cor_toks = (f"IF(y.x.kind = 'D', slice(r.toks, greatest(y.k.ts, 0) + 1, greatest(y.k.te - greatest(y.k.ts, 0), 0)), "
                 f"regexp_extract_all(regexp_replace({full}, {strip}, ''), {tok}, 0))")
@@ -157,7 +157,7 @@ def sentences(essays: DataFrame, edits: DataFrame, coders: DataFrame | None = No
     s = s.withColumn("_a", F.expr(let(ROW_BINDS, _token_edit_sql(), "r")))
     each = lambda f: f"transform(_a.e3, y -> y.k.{f})"
     s = s.withColumn("_gone", drop_overlaps(each("ts"), each("te"), each("xp")))
-    kept = F.expr(let([("clean", "clean"), ("toks", "toks"), ("e3", "_a.e3"), ("gone", "_gone")], _kept_edits_sql(), "r"))
+    kept = F.expr(let([("chars", "split(clean, '')"), ("toks", "toks"), ("e3", "_a.e3"), ("gone", "_gone")], _kept_edits_sql(), "r"))
     # Generators stand between calls of Python: the optimiser would merge one into the next one's arguments.
     s = s.select("*", F.inline(F.array(F.struct(kept.alias("_e5")))))
     each = lambda f: f"transform(_e5, z -> {f})"

@@ -252,3 +252,26 @@ def test_an_edit_looks_its_paragraph_up_once(spark):
                    (6, 1, 10, 10), (6, 2, 0, 0), (7, 2, 9, 10), (8, 2, 10, 10)]
     plan = out._jdf.queryExecution().analyzed().toString()
     assert plan.count("filter(pstarts") == 1
+
+
+def test_corrections_are_cut_at_code_points(spark):
+    """Corrections of edits inside tokens, behind characters beyond the basic plane; no edit counts through the text."""
+    from errata.operators import sentences as sn
+
+    text = "a \U0001f600 bcd efgh, \U0001f600ij klm nop"
+    spans = [(0, 5, 6, "X"), (1, 8, 10, None), (2, 15, 17, "Q Q"), (3, 20, 21, "")]
+    ess = spark.createDataFrame([(1, text)], "essay_id long, text string")
+    eds = spark.createDataFrame([(1, 0, n, s, e, c, "R:NOUN") for n, s, e, c in spans],
+                                "essay_id long, coder int, edit_no int, s long, e long, cor string, cat string")
+    r = sn.sentences(ess, eds).first()
+    got = {t.edit_no: (t.expanded, t.cor_text) for t in r.tok_edits}
+    toks = list(zip(r.starts, r.ends))
+    for n, s, e, c in spans:
+        a = max(x for x, _ in toks if x <= s)
+        b = min(y for _, y in toks if y >= e)
+        whole = (s, e) == (a, b)
+        assert got[n] == (not whole, (c if c is not None else text[s:e]) if whole else text[a:s] + (c if c is not None else text[s:e]) + text[e:b])
+    assert r.orig == ["a", "\U0001f600", "bcd", "efgh", ",", "\U0001f600", "ij", "klm", "nop"]
+    assert "substring(r.clean" not in sn._kept_edits_sql()
+    assert "MapInPandas" not in (plan := sn.sentences(ess, eds)._jdf.queryExecution().executedPlan().toString())
+    assert plan.count("ArrowEvalPython") == 3
