@@ -191,3 +191,16 @@ def test_tag_of_words_that_differ_in_case(spark):
             assert sorted(map(str, map(tuple, tag_tokens(df, "t", lex).collect()))) == sorted(map(str, want))
         finally:
             spark.conf.unset("errata.broadcast.maxBytes")
+
+
+def test_lookup_beyond_the_limit_is_never_broadcast(spark):
+    """The files of 50,000 words are below Spark's own broadcast limit, their rows are beyond this package's."""
+    from errata.operators import lookup
+    lex = unique_words(spark.range(50_000).selectExpr("concat('Word', id, repeat('-', 100)) AS word", "'NOUN' AS pos", "lower(word) AS lemma"))
+    assert not lookup.fits(lex)
+    df = spark.range(2000).selectExpr("concat('Word', id, repeat('-', 100)) AS t", "id")
+    for even in (True, False):
+        out = lookup.lookup_join(df, lex, [(F.col("t"), "word")], even=even)
+        assert out.where("pos = 'NOUN'").count() == 2000
+        plan = out._jdf.queryExecution().executedPlan().toString()
+        assert "SortMergeJoin" in plan and "BroadcastHashJoin" not in plan
