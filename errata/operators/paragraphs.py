@@ -103,18 +103,14 @@ def cleaning_sql(para: str) -> str:
     clean = "regexp_replace(regexp_replace(c0.para_ws, ' {2,}', ' '), '^ ', '')"
     mask = "regexp_replace(c0.para_ws, '[^ ]', '.')"
     empty = "CAST(array() AS array<string>)"
-    doubles = ("IF(c1.has2, filter(sequence(0, greatest(size(c1.dbl) - 1, 0)), i -> c1.dbl[i] = 'D'), "
-               "CAST(array() AS array<int>))")
-    # The counts between one double blank and the next, laid end to end.
-    before = ("IF(c1.has2, flatten(concat(transform(c2.d, (x, k) -> array_repeat(k, x - coalesce(get(c2.d, k - 1), -1))), "
-              "array(array_repeat(size(c2.d), length(c0.para_ws) - element_at(c2.d, -1))))), CAST(array() AS array<int>))")
+    # Cut between the two blanks of each pair: as many pairs lie before a piece's places as pieces.
+    laid = "flatten(transform(c2.p, (x, k) -> array_repeat(k, length(x) + IF(k + 1 = size(c2.p), 1, 0))))"
+    pieces = "split(c0.para_ws, '(?<= )(?= )', -1)"
+    before = f"IF(c1.has2, {let([('p', pieces)], laid, 'c2')}, CAST(array() AS array<int>))"
     body = ("named_struct('para_ws', c0.para_ws, 'clean', c1.clean, "
-            "'lead', coalesce(left(c0.para_ws, 1) = ' ', false), 'wcl', c1.wcl, 'before', "
-            + let([("d", doubles)], before, "c2") + ")")
+            f"'lead', coalesce(left(c0.para_ws, 1) = ' ', false), 'wcl', c1.wcl, 'before', {before})")
     e = let([("clean", clean), ("has2", "instr(c0.para_ws, '  ') > 0"),
-             ("wcl", f"IF(instr(c0.para_ws, '  ') > 0, split({mask}, ''), {empty})"),
-             ("dbl", f"IF(instr(c0.para_ws, '  ') > 0, split(regexp_replace({mask}, ' (?= )', 'D'), ''), {empty})")],
-            body, "c1")
+             ("wcl", f"IF(instr(c0.para_ws, '  ') > 0, split({mask}, ''), {empty})")], body, "c1")
     return let([("para_ws", ws)], e, "c0")
 
 

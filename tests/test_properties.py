@@ -275,3 +275,25 @@ def test_corrections_are_cut_at_code_points(spark):
     assert "substring(r.clean" not in sn._kept_edits_sql()
     assert "MapInPandas" not in (plan := sn.sentences(ess, eds)._jdf.queryExecution().executedPlan().toString())
     assert plan.count("ArrowEvalPython") == 3
+
+
+def test_blank_pairs_are_counted_by_piece(spark):
+    """The counts before each place come from the pieces between pairs of blanks, not from a look at each place."""
+    assert "filter(" not in pg.cleaning_sql("para")
+    rows = ["", " ", "  ", "a", "a  b", "   a \t b  ", "\U0001F600  \U0001F600x   ", "a b c"]
+    got = pg.with_clean(spark.createDataFrame([(p,) for p in rows], "para string")).select("para_ws", "wcl", "before").collect()
+    for p, r in zip(rows, got):
+        ws = p.replace("\t", " ")
+        two = [k for k in range(len(ws) - 1) if ws[k:k + 2] == "  "]
+        assert r.para_ws == ws
+        assert r.before == ([sum(k < o for k in two) for o in range(len(ws) + 1)] if two else []), p
+        assert r.wcl == (["." if c != " " else c for c in ws] if two else []), p
+
+
+def test_offsets_are_ends_of_texts_and_blanks(spark):
+    from errata.plans import catalog
+    rows = [" ", "a", "ab", "a b", "  ab  cd ", "\U0001F600 \U0001F600", "abc def"]
+    got = catalog._ws_offsets(spark.createDataFrame([(p,) for p in rows], "para_ws string")).collect()
+    for r in got:
+        p = r.para_ws
+        assert r.offs == [o for o in range(len(p) + 1) if o in (0, len(p)) or p[o - 1] == " " or p[o] == " "], p
