@@ -204,3 +204,22 @@ def test_lookup_beyond_the_limit_is_never_broadcast(spark):
         assert out.where("pos = 'NOUN'").count() == 2000
         plan = out._jdf.queryExecution().executedPlan().toString()
         assert "SortMergeJoin" in plan and "BroadcastHashJoin" not in plan
+
+
+def test_lookup_of_some_megabytes_does_not_pass_the_driver(spark):
+    """20,000 words are some 2 MB of values; as a broadcast the driver would hold several times that."""
+    from errata.operators import lookup
+    lex = unique_words(spark.range(20_000).selectExpr("concat('Word', id) AS word", "'NOUN' AS pos", "lower(word) AS lemma"))
+    assert 1 << 20 < lookup.measured_bytes(lex) < 4 << 20 and not lookup.fits(lex)
+    df = spark.range(3000).selectExpr("concat('Word', id) AS t", "id")
+    out = tag_tokens(df, "t", lex, even=True)
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" not in plan and out.where("pos = 'NOUN'").count() == 3000
+
+
+def test_written_tables_release_what_made_them(spark, monkeypatch):
+    """The driver's garbage holds shuffle files and broadcasts: it goes once a table is written."""
+    from errata import session
+    released = []
+    monkeypatch.setattr(session, "release", lambda s: released.append(s))
+    assert session.materialise(spark.range(5), "five").count() == 5 and released == [spark]
