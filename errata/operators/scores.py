@@ -8,17 +8,20 @@ from pyspark.sql import functions as F
 from errata.constants import FIELD_SEP, LABEL_FALSE, LABEL_TRUE
 
 
-def word_counts(features: DataFrame) -> DataFrame:
-    """A1 + A2 in one partial/final hash aggregate (hot words combine map-side)."""
-    return (features.filter(F.col("label").isin(LABEL_TRUE, LABEL_FALSE))
-            .groupBy("token", "pos")
-            .agg(F.count(F.lit(1)).alias("n_seen"),
-                 F.count_if(F.col("label") == LABEL_TRUE).alias("n_true")))
+def word_counts(features: DataFrame, count: str | None = None) -> DataFrame:
+    """A1 + A2 in one partial/final hash aggregate (hot words combine map-side). A
+    row stands for one token, or for as many as its ``count`` says."""
+    f = features.filter(F.col("label").isin(LABEL_TRUE, LABEL_FALSE))
+    if count:
+        sums = (F.sum(count).alias("n_seen"), F.sum(F.when(F.col("label") == LABEL_TRUE, F.col(count)).otherwise(0)).alias("n_true"))
+    else:
+        sums = (F.count(F.lit(1)).alias("n_seen"), F.count_if(F.col("label") == LABEL_TRUE).alias("n_true"))
+    return f.groupBy("token", "pos").agg(*sums)
 
 
-def word_scores(features: DataFrame) -> DataFrame:
+def word_scores(features: DataFrame, count: str | None = None) -> DataFrame:
     """A3: ratio true / seen, only for pairs revised at least once."""
-    c = word_counts(features).filter(F.col("n_true") > 0)
+    c = word_counts(features, count).filter(F.col("n_true") > 0)
     return c.withColumn("score", F.col("n_true") / F.col("n_seen"))
 
 
