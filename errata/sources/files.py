@@ -141,10 +141,11 @@ def read_cefr_lexicon(spark: SparkSession, path: str) -> DataFrame:
 
 
 # ------------------------------------------------------------------ TSV
-def write_tsv(df: DataFrame, path: str, order: list[str] | None = None, header: bool = True) -> None:
-    """Header, tab separated, minimal quoting."""
+def write_tsv(df: DataFrame, path: str, order: list[str] | None = None, header: bool = True,
+              compression: str | None = None) -> None:
+    """Header, tab separated, minimal quoting; plain text unless ``compression`` (``gzip``) is given."""
     out = df.orderBy(*order) if order else df
-    out.write.mode("overwrite").options(**{**TSV_OPTS, "header": str(header).lower()}).csv(path)
+    out.write.mode("overwrite").options(**{**TSV_OPTS, "header": str(header).lower()}).csv(path, compression=compression or "none")
 
 
 def combine_tsv(spark: SparkSession, paths: list[str], schemas: list[str | None], header: bool = True) -> DataFrame:
